@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "hotspot.plans.runout_queries",
+    "hotspot.plans.count_queries",
 ]
 
 
