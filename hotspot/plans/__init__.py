@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "hotspot.plans.runout_queries",
     "hotspot.plans.count_queries",
+    "hotspot.plans.frp_queries",
 ]
 
 

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def round_places(c, places: int = 6):
+    """round(x * 10^p) / 10^p on the binary value — the same double the SQL oracle's
+    round(x, p) yields, also on exact ties (plain Spark round decides ties on the
+    shortest decimal string instead)."""
+    m = float(10**places)
+    return F.round(c * F.lit(m)) / F.lit(m)
+
+
 def round6(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column (the oracle compares at 6 decimals)."""
     cols = [
-        F.round(F.col(f"`{f.name}`"), places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+        round_places(F.col(f"`{f.name}`"), places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ]
     return df.select(*cols)
