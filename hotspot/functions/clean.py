@@ -33,9 +33,9 @@ def parse_date(c) -> Column:
     """Row-wise date parser: ISO (optional time part), day-first 4-digit year, day-first
     2-digit year. Two-digit years pivot at 2070 (70..99 -> 19xx). Anything else -> NULL."""
     s = F.trim(_c(c).cast("string"))
-    iso = F.try_to_date(s, F.lit("yyyy-MM-dd[ HH:mm:ss]"))
-    dmy4 = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(s, F.lit("d/M/yyyy")))
-    dmy2 = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(s, F.lit("d/M/yy")))
+    iso = F.try_to_date(s, "yyyy-MM-dd[ HH:mm:ss]")
+    dmy4 = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(s, "d/M/yyyy"))
+    dmy2 = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(s, "d/M/yy"))
     dmy2 = F.when(F.year(dmy2) >= 2070, F.add_months(dmy2, -1200)).otherwise(dmy2)
     return F.coalesce(F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), iso), dmy4, dmy2)
 

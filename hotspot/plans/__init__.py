@@ -8,6 +8,7 @@ _MODULES = [
     "hotspot.plans.runout_queries",
     "hotspot.plans.count_queries",
     "hotspot.plans.frp_queries",
+    "hotspot.plans.ingest_queries",
 ]
 
 

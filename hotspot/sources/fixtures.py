@@ -180,10 +180,11 @@ def raw_li(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(sel == 2, F.lit("NaN"))
         .otherwise(F.format_string("%.5f", "frp"))
     )
+    b = _with_sensor(b, spark)
     return b.select(
         "project_id",
-        "detection_id",
-        "satellite",
+        F.col("detection_id").cast("string").alias("detection_id"),
+        "sensor",
         F.format_string("%.5f", "latitude").alias("latitude"),
         F.format_string("%.5f", "longitude").alias("longitude"),
         F.format_string("%.2f", "track").alias("track"),
