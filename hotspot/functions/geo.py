@@ -33,11 +33,16 @@ def bbox_half_extent(lat, radius_m, m_per_deg: float = M_PER_DEG_BOX):
     return dlat, dlon
 
 
+def round5(c: Column) -> Column:
+    """Round to 5 decimals on the binary value (round(x * 1e5) / 1e5)."""
+    return F.round(c * F.lit(1e5)) / F.lit(1e5)
+
+
 def bbox_cols(lat, lon, radius_m) -> dict[str, Column]:
     """West, south, east, north (5 dp) and the 'W,S,E,N' text used by the area request."""
     dlat, dlon = bbox_half_extent(lat, radius_m)
-    west = F.round(_c(lon) - dlon, 5)
-    south = F.round(_c(lat) - dlat, 5)
-    east = F.round(_c(lon) + dlon, 5)
-    north = F.round(_c(lat) + dlat, 5)
+    west = round5(_c(lon) - dlon)
+    south = round5(_c(lat) - dlat)
+    east = round5(_c(lon) + dlon)
+    north = round5(_c(lat) + dlat)
     return {"west": west, "south": south, "east": east, "north": north}

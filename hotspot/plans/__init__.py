@@ -9,6 +9,7 @@ _MODULES = [
     "hotspot.plans.count_queries",
     "hotspot.plans.frp_queries",
     "hotspot.plans.ingest_queries",
+    "hotspot.plans.map_queries",
 ]
 
 

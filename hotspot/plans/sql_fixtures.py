@@ -26,7 +26,8 @@ PROJECTS_EV = """projects_ev AS (
          ['-0.35;-0.36', '-0.25', '', '-0.05;;-0.07', '0.01;abc'][r_regionkey + 1] AS wpt_lats,
          ['-91.45;-91.46', '-91.35', '', '-91.2;-91.21;-91.22', '-91.1;-91.1'][r_regionkey + 1] AS wpt_lons,
          ['triangle;', 'circle', 'circle', 'star;square;x', ''][r_regionkey + 1] AS wpt_symbols,
-         ['', 'INSERT_YOUR_MAP_KEY_HERE', 'k2', 'k3', 'k4'][r_regionkey + 1] AS map_key
+         ['', 'INSERT_YOUR_MAP_KEY_HERE', 'k2', 'k3', 'k4'][r_regionkey + 1] AS map_key,
+         r_regionkey <> 2 AS include_reference_radius, r_regionkey IN (0, 3, 4) AS include_reference_waypoint
   FROM region)"""
 
 PROJECTS_LI = """projects_li AS (
@@ -40,7 +41,8 @@ PROJECTS_LI = """projects_li AS (
          CAST(20.0 AS DOUBLE) AS filter_frp, 'gt' AS frp_mode, CAST(0.5 AS DOUBLE) AS filter_track,
          CAST(15000.0 AS DOUBLE) AS ref_radius_m,
          CAST(CASE WHEN r_regionkey = 1 THEN 0 WHEN r_regionkey = 4 THEN 6 ELSE 3 END AS INTEGER) AS week_anchor,
-         '' AS wpt_names, '' AS wpt_lats, '' AS wpt_lons, '' AS wpt_symbols, 'k' AS map_key
+         '' AS wpt_names, '' AS wpt_lats, '' AS wpt_lons, '' AS wpt_symbols, 'k' AS map_key,
+         true AS include_reference_radius, false AS include_reference_waypoint
   FROM region)"""
 
 DET_EV = """det_ev AS (

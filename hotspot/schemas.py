@@ -152,6 +152,8 @@ PROJECTS = T.StructType(
         T.StructField("wpt_lons", T.StringType()),
         T.StructField("wpt_symbols", T.StringType()),
         T.StructField("map_key", T.StringType()),
+        T.StructField("include_reference_radius", T.BooleanType()),
+        T.StructField("include_reference_waypoint", T.BooleanType()),
     ]
 )
 

@@ -52,6 +52,8 @@ def projects_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case(k, ["-91.45;-91.46", "-91.35", "", "-91.2;-91.21;-91.22", "-91.1;-91.1"], "").alias("wpt_lons"),
         _case(k, ["triangle;", "circle", "circle", "star;square;x", ""], "").alias("wpt_symbols"),
         _case(k, ["", schemas.MAP_KEY_PLACEHOLDER, "k2", "k3", "k4"], "").alias("map_key"),
+        (k != 2).alias("include_reference_radius"),
+        k.isin(0, 3, 4).alias("include_reference_waypoint"),
     )
 
 
@@ -79,6 +81,8 @@ def projects_li(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("wpt_lons"),
         F.lit("").alias("wpt_symbols"),
         F.lit("k").alias("map_key"),
+        F.lit(True).alias("include_reference_radius"),
+        F.lit(False).alias("include_reference_waypoint"),
     )
 
 
