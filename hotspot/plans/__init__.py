@@ -10,6 +10,7 @@ _MODULES = [
     "hotspot.plans.frp_queries",
     "hotspot.plans.ingest_queries",
     "hotspot.plans.map_queries",
+    "hotspot.plans.project_queries",
 ]
 
 
