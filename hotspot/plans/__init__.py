@@ -11,6 +11,7 @@ _MODULES = [
     "hotspot.plans.ingest_queries",
     "hotspot.plans.map_queries",
     "hotspot.plans.project_queries",
+    "hotspot.plans.report_queries",
 ]
 
 
