@@ -12,6 +12,7 @@ _MODULES = [
     "hotspot.plans.map_queries",
     "hotspot.plans.project_queries",
     "hotspot.plans.report_queries",
+    "hotspot.plans.stream_queries",
 ]
 
 
