@@ -24,8 +24,8 @@ def nan_to_null(c) -> Column:
 
 
 def pad_time(c) -> Column:
-    """'639' -> '0639'; also accepts integers and '06:39'."""
-    t = F.regexp_replace(F.trim(_c(c).cast("string")), ":", "")
+    """'639' -> '0639' (text or integer input); anything but 1-4 digits -> NULL."""
+    t = F.trim(_c(c).cast("string"))
     return F.when(t.rlike(r"^\d{1,4}$"), F.lpad(t, 4, "0"))
 
 
@@ -42,10 +42,9 @@ def parse_date(c) -> Column:
 
 def build_obs_ts(date_col, time_col) -> Column:
     """acq_date (date) + acq_time ('HHMM') -> TIMESTAMP_NTZ; invalid time -> NULL."""
-    t = pad_time(time_col)
-    hh = F.substring(t, 1, 2).cast("int")
-    mm = F.substring(t, 3, 2).cast("int")
-    ok = t.isNotNull() & (hh < 24) & (mm < 60)
+    v = pad_time(time_col).cast("int")
+    hh, mm = F.floor(v / 100), F.pmod(v, F.lit(100))
+    ok = v.isNotNull() & (hh < 24) & (mm < 60)
     return F.when(ok, F.timestamp_add("MINUTE", hh * 60 + mm, _c(date_col).cast("timestamp_ntz")))
 
 

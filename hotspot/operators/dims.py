@@ -1,20 +1,24 @@
-"""Joins against small dimension tables, broadcast only behind a size check."""
+"""Joins against small dimension tables.
+
+Size policy: a dimension whose size is a fixed constant (the 4 sensors) is broadcast
+explicitly. Every other dimension (projects, per-group bounds, project boxes) is joined
+plainly and the broadcast decision is left to Spark's size check: Catalyst broadcasts a
+side whose estimated size is under spark.sql.autoBroadcastJoinThreshold, and AQE
+re-plans with the real size once a stage has run; above it the join stays a shuffle
+(sort-merge) join. No extra job is spent counting a dimension.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension joined by broadcast must stay below this many rows; above it the join
-# falls back to a shuffle join chosen by Catalyst/AQE.
-MAX_BROADCAST_ROWS = 200_000
-
 
-def bounded_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the dimension is proven small (counted, bounded at max_rows)."""
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
+def fixed_broadcast(dim: DataFrame) -> DataFrame:
+    """Broadcast a dimension whose size is a fixed constant (e.g. the 4 sensors)."""
+    return F.broadcast(dim)
 
 
-def dim_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    return fact.join(bounded_broadcast(dim, max_rows), on, how)
+def dim_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Fact x dimension join; broadcast chosen by Spark's size check (see module doc)."""
+    return fact.join(dim, on, how)

@@ -63,8 +63,9 @@ def assign_ticks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     bounds = rows.groupBy(*G).agg(
         F.to_date(F.min("obs_ts")).alias("d0"), F.to_date(F.max("obs_ts")).alias("d1")
     )
-    # one row per (project, satellite): bounded by the project catalogue
-    r = dim_join(rows, bounds, G)
+    # one row per (project, satellite); a plain join: once the aggregate has run, AQE sees
+    # its real size and broadcasts it (or keeps the shuffle join if it is large)
+    r = rows.join(bounds, G)
     t0 = F.col("d0").cast("timestamp_ntz")
     secs = seconds_between(t0, F.col("obs_ts"))
     r = r.withColumn("idx", F.ceil(secs / float(TICK_HOURS * 3600)).cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hotspot.functions.geo import COS_FLOOR, M_PER_DEG_MAP, bbox_cols
 from hotspot.functions.waypoints import parse_waypoints
-from hotspot.operators.dims import bounded_broadcast, dim_join
+from hotspot.operators.dims import dim_join
 
 REQUEST_MAX_DAYS = 5  # fixed value: longest window one area request may cover
 MIN_CELL_DEG = 0.1
@@ -40,8 +40,8 @@ def assign_projects(det: DataFrame, projects: DataFrame) -> DataFrame:
     A 2-D range join that Catalyst would run as a nested loop is rewritten as an equi-join
     on grid cells: the cell side is the largest box extent, so each box covers at most
     2 x 2 cells; a detection falls in exactly one cell. The exact box test follows the
-    hash join. The box table is broadcast only when small (size-checked), otherwise both
-    sides shuffle on the cell key (AQE splits a hot cell)."""
+    hash join. The box table is broadcast when Spark sizes it small (it is bounded by
+    the project count), otherwise both sides shuffle on the cell key (AQE splits a hot cell)."""
     boxes = _split_antimeridian(project_boxes(projects))
     ext = boxes.agg(F.max(F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))).alias("x")).first()
     cs = max(MIN_CELL_DEG, float(ext["x"] or 0.0))  # one scalar over the project catalogue
@@ -51,7 +51,7 @@ def assign_projects(det: DataFrame, projects: DataFrame) -> DataFrame:
         F.explode(F.sequence(cell("south"), cell("north"))).alias("cy"),
     ).select("*", F.explode(F.sequence(cell("west"), cell("east"))).alias("cx"))
     d = det.withColumn("cy", cell("latitude")).withColumn("cx", cell("longitude"))
-    j = d.join(bounded_broadcast(cells), ["cy", "cx"])
+    j = d.join(cells, ["cy", "cx"])
     inside = F.col("latitude").between(F.col("south"), F.col("north")) & F.col("longitude").between(F.col("west"), F.col("east"))
     return j.where(inside).drop("cy", "cx", "south", "north", "west", "east")
 

@@ -76,10 +76,10 @@ def q_with_project(spark, sf):
     with_fixtures(["sensors", "li_base"], [], "SELECT b.detection_id, s.sensor, s.source_id, s.family FROM li_base b JOIN sensors s USING (satellite)"),
 )
 def q_with_sensor(spark, sf):
-    from hotspot.operators.dims import dim_join
+    from hotspot.operators.dims import fixed_broadcast
 
     b = fx._li_base(spark, sf).select("detection_id", "satellite")
-    return dim_join(b, schemas.sensors(spark), "satellite").select("detection_id", "sensor", "source_id", "family")
+    return b.join(fixed_broadcast(schemas.sensors(spark)), "satellite").select("detection_id", "sensor", "source_id", "family")
 
 
 @R.add(

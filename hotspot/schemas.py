@@ -159,8 +159,15 @@ PROJECTS = T.StructType(
 
 
 def sensors(spark: SparkSession) -> DataFrame:
-    """4-row sensor dimension; safe to broadcast (fixed size)."""
-    return spark.createDataFrame(SENSORS, SENSOR_SCHEMA)
+    """4-row sensor dimension as an inline JVM table (no Python round trip); its size is
+    fixed, so it may always be broadcast."""
+    from pyspark.sql import functions as F
+
+    rows = [
+        F.struct(F.lit(k).alias("sensor"), F.lit(s).alias("satellite"), F.lit(i).cast("int").alias("source_id"), F.lit(f).alias("family"))
+        for k, s, i, f in SENSORS
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hotspot import schemas
 from hotspot.functions.clean import build_obs_ts, coerce_numeric, pad_time, parse_date
-from hotspot.operators.dims import dim_join
+from hotspot.operators.dims import fixed_broadcast
 
 # Archive keys as they appear in file names, e.g.
 # historical_VIIRS_SNPP_NRT_<project>.csv, and the project part of such a name.
@@ -77,7 +77,7 @@ def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool
     )
     d = d.withColumn("detection_id", ident).withColumn("obs_ts", build_obs_ts("acq_date", "acq_time"))
     # the sensor dimension has 4 fixed rows
-    d = dim_join(d, schemas.sensors(spark).drop("family"), "sensor")
+    d = d.join(fixed_broadcast(schemas.sensors(spark).drop("family")), "sensor")
     if drop_incomplete:
         d = d.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("acq_date").isNotNull())
     return d.select(*[f.name for f in schemas.DETECTIONS.fields])

@@ -89,7 +89,7 @@ def parse_period_ts(c: Column) -> Column:
     s = F.trim(c)
     d = parse_date(F.split(s, " ").getItem(0))
     t = F.coalesce(F.get(F.split(s, " "), 1), F.lit("00:00"))
-    return build_obs_ts(d, t)
+    return build_obs_ts(d, F.regexp_replace(t, ":", ""))
 
 
 def scan_projects(spark: SparkSession, roots, glob: str = "*.txt") -> DataFrame:
