@@ -19,6 +19,11 @@ def running_max(daily: DataFrame, order=("date_only", "satellite"), key="project
     )
 
 
+def safe_rate(num="distance_diff", den="time_diff"):
+    """Num / den where den > 0, else 0."""
+    return F.when(F.col(den) > 0, F.col(num) / F.col(den)).otherwise(F.lit(0.0))
+
+
 def frontier(daily: DataFrame, order=("date_only", "satellite"), date_col="date_only", key="project_id") -> DataFrame:
     """Rows strictly beyond the previous running max, with hours since the previous kept
     row, the advance in metres and the speed (m/h; 0 when no time elapsed or first row)."""
@@ -31,7 +36,7 @@ def frontier(daily: DataFrame, order=("date_only", "satellite"), date_col="date_
         rm.withColumn("date", F.col(date_col))
         .withColumn("time_diff", td)
         .withColumn("distance_diff", dd)
-        .withColumn("speed", F.when(F.col("time_diff") > 0, F.col("distance_diff") / F.col("time_diff")).otherwise(F.lit(0.0)))
+        .withColumn("speed", safe_rate("distance_diff", "time_diff"))
     )
 
 

@@ -89,3 +89,9 @@ def q_ticks_join(spark, sf):
 def q_cumulative_approx(spark, sf):
     """Approximate (KLL) variant: no exact oracle; tests check the rank-error bound."""
     return round6(frp.cumulative_quantiles_approx(_rows(spark, sf)))
+
+
+@R.add("cumulative_quantiles", CUM_SQL)
+def q_cumulative_quantiles(spark, sf):
+    """W3 as its own key: the exact two-level cumulative quantiles (A8 applies it to FRP)."""
+    return round6(frp.cumulative_quantiles(_rows(spark, sf)))

@@ -258,3 +258,20 @@ def q_merge_into_archive(spark, sf):
     sinks.write_archive(hist, path)
     sinks.merge_into_archive(spark, path, new)
     return round6(sinks.read_archive_table(spark, path).select(*DET_COLS, "origin", "ingest_seq"))
+
+
+@R.add("landing_ingest", SCANNED)
+def q_landing_ingest(spark, sf):
+    """Response files of many request windows in a landing folder (some empty, header
+    only) read as one batch and typed; empty files contribute nothing."""
+    path = _write_raw(spark, sf)
+    empty = _raw(spark, sf).limit(0).drop("project_id", "sensor")
+    empty.write.option("header", True).mode("overwrite").csv(f"{path}/project_id=0/sensor=VIIRS_SNPP_NRT/empty")
+    raw = sd.read_archive(spark, path)
+    return round6(sd.clean_detections(raw, spark))
+
+
+@R.add("sort_archive", with_fixtures(["det_ev"], [], "SELECT project_id, detection_id, acq_date, acq_time FROM det_ev"))
+def q_sort_archive(spark, sf):
+    """O2: newest first inside each partition (no global sort); the row set is unchanged."""
+    return ing.sort_archive(fx.detections_ev(spark, sf)).select("project_id", "detection_id", "acq_date", "acq_time")

@@ -119,19 +119,35 @@ def q_sort_detections(spark, sf):
     return round6(f.select("project_id", "detection_id", "obs_ts", "satellite", "latitude", "longitude"))
 
 
+def _write_filtered(spark, sf) -> str:
+    f = ro.filter_runout(fx.detections_ev(spark, sf), fx.projects_ev(spark, sf))
+    path = new_table_path(spark, "filtered")
+    sinks.write_table(f.select("project_id", "detection_id", "satellite", "obs_ts", "frp", "distance_km", "latitude", "longitude"), path,
+                      ["project_id"])
+    return path
+
+
 @R.add(
     "write_filtered",
+    with_fixtures(EV, [FILTERED], "SELECT project_id, detection_id, satellite, obs_ts, " + r6("frp", "distance_km", "latitude", "longitude")
+                  + " FROM filtered"),
+)
+def q_write_filtered(spark, sf):
+    """K2: filtered detections written as Parquet partitioned by project, read back whole."""
+    back = spark.read.parquet(_write_filtered(spark, sf))
+    return round6(back.select(F.col("project_id").cast("bigint").alias("project_id"), "detection_id", "satellite", "obs_ts", "frp",
+                              "distance_km", "latitude", "longitude"))
+
+
+@R.add(
+    "scan_filtered",
     with_fixtures(EV, [FILTERED], "SELECT project_id, detection_id, satellite, obs_ts, " + r6("frp", "distance_km")
                   + " FROM filtered WHERE project_id IN (1, 2) AND distance_km > 1.0"),
 )
-def q_write_filtered(spark, sf):
-    """K2 + S5: filtered detections written partitioned by project and read back with a
-    pushed-down predicate and a pruned projection (partition pruning on project_id)."""
-    f = ro.filter_runout(fx.detections_ev(spark, sf), fx.projects_ev(spark, sf))
-    path = new_table_path(spark, "filtered")
-    sinks.write_table(f.select("project_id", "detection_id", "satellite", "obs_ts", "frp", "distance_km", "latitude", "longitude"), path,
-                      ["project_id"])
-    back = spark.read.parquet(path).where(F.col("project_id").isin(1, 2) & (F.col("distance_km") > 1.0))
+def q_scan_filtered(spark, sf):
+    """The filtered table read with a predicate on the partition column (partition
+    pruning), a pushed-down value filter and a pruned column set."""
+    back = spark.read.parquet(_write_filtered(spark, sf)).where(F.col("project_id").isin(1, 2) & (F.col("distance_km") > 1.0))
     return round6(back.select(F.col("project_id").cast("bigint").alias("project_id"), "detection_id", "satellite", "obs_ts", "frp", "distance_km"))
 
 
@@ -158,3 +174,37 @@ def q_write_frontier(spark, sf):
     path = new_table_path(spark, "frontier")
     sinks.write_table(d, path)
     return round6(spark.read.parquet(path))
+
+
+def _daily_ev(spark, sf):
+    return ro.daily_runout(ro.filter_runout(fx.detections_ev(spark, sf), fx.projects_ev(spark, sf)))
+
+
+@R.add(
+    "scan_daily_runout",
+    with_fixtures(EV, [FILTERED, DAILY], "SELECT project_id, date_only, satellite, source, " + r6("distance_km", "frp", "latitude", "longitude") + " FROM daily"),
+)
+def q_scan_daily_runout(spark, sf):
+    """Daily maxima as text files in the example layout (one folder per project), read
+    back with the fixed schema (the same reader takes the shipped example files)."""
+    from hotspot import schemas
+
+    path = new_table_path(spark, "daily-csv")
+    _daily_ev(spark, sf).write.partitionBy("project_id").option("header", True).csv(path)
+    back = spark.read.option("header", True).schema(schemas.DAILY_RUNOUT).csv(path)
+    return round6(back.withColumn("project_id", F.col("project_id").cast("bigint")))
+
+
+@R.add(
+    "scan_frontier",
+    with_fixtures(EV, [FILTERED, DAILY] + frontier_ctes(), "SELECT project_id, date_only, satellite, source, date, "
+                  + r6("distance_km", "frp", "latitude", "longitude", "max_distance", "prev_max", "time_diff", "distance_diff", "speed") + " FROM front"),
+)
+def q_scan_frontier(spark, sf):
+    """Frontier as text files in the example layout, read back with the fixed schema."""
+    from hotspot import schemas
+
+    path = new_table_path(spark, "frontier-csv")
+    fr.frontier(_daily_ev(spark, sf)).select(*FRONT_COLS).write.partitionBy("project_id").option("header", True).csv(path)
+    back = spark.read.option("header", True).schema(schemas.FRONTIER).csv(path)
+    return round6(back.withColumn("project_id", F.col("project_id").cast("bigint")).select(*FRONT_COLS))

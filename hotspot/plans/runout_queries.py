@@ -239,3 +239,25 @@ def q_frontier_daily(spark, sf):
 )
 def q_speed_summary(spark, sf):
     return round6(fr.speed_summary(fr.frontier(_daily(spark, sf))))
+
+
+@R.add(
+    "new_maximum",
+    with_fixtures(EV, [FILTERED, DAILY] + frontier_ctes(), "SELECT project_id, date_only, satellite, " + r6("distance_km", "prev_max") + " FROM front_k"),
+)
+def q_new_maximum(spark, sf):
+    """daily rows strictly beyond the previous running maximum."""
+    rm = fr.running_max(_daily(spark, sf))
+    return round6(rm.where(F.col("distance_km") > F.col("prev_max")).select("project_id", "date_only", "satellite", "distance_km", "prev_max"))
+
+
+@R.add(
+    "safe_rate",
+    with_fixtures(EV, [FILTERED, DAILY] + frontier_ctes(), "SELECT project_id, date, satellite, "
+                  + r6("time_diff", "distance_diff") + ", round(CASE WHEN time_diff > 0 THEN distance_diff / time_diff ELSE 0.0 END, 6) AS rate FROM front"),
+)
+def q_safe_rate(spark, sf):
+    """Advance rate where time elapsed, else 0 (never a division by zero or NULL)."""
+    f = fr.frontier(_daily(spark, sf))
+    return round6(f.select("project_id", "date", "satellite", "time_diff", "distance_diff",
+                           fr.safe_rate("distance_diff", "time_diff").alias("rate")))
