@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotspot import schemas
-from hotspot.functions.clean import build_obs_ts
 
 N_PROJECTS = 5
 
@@ -148,16 +147,23 @@ def detections_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("detection_id"),
         sat.alias("satellite"),
         acq_date.alias("acq_date"),
-        F.format_string("%02d%02d", F.hour("ts"), F.minute("ts")).alias("acq_time"),
+        (F.hour("ts") * 60 + F.minute("ts")).alias("minute_of_day"),
         F.col("value").alias("frp"),
         (F.lit(0.32) + F.get_json_object("props", "$.k").cast("int").cast("double") * F.lit(0.004)).alias("track"),
         F.round(F.lit(-0.4) + F.lit(0.1) * k + scat_lat * days, 5).alias("latitude"),
         F.round(F.lit(-91.5) + F.lit(0.1) * k + scat_lon * days, 5).alias("longitude"),
     )
-    d = _with_sensor(base, spark)
+    return _typed(_with_sensor(base, spark))
+
+
+def _typed(d: DataFrame) -> DataFrame:
+    """acq_time text ('HHMM') and the observation timestamp from the minute of the day."""
+    m = F.col("minute_of_day")
+    hhmm = F.lpad((F.floor(m / 60) * 100 + F.pmod(m, F.lit(60))).cast("string"), 4, "0")
     return d.select(
-        "project_id", "detection_id", "sensor", "satellite", "source_id", "acq_date", "acq_time",
-        build_obs_ts("acq_date", "acq_time").alias("obs_ts"), "frp", "track", "latitude", "longitude",
+        "project_id", "detection_id", "sensor", "satellite", "source_id", "acq_date", hhmm.alias("acq_time"),
+        F.timestamp_add("MINUTE", m, F.col("acq_date").cast("timestamp_ntz")).alias("obs_ts"),
+        "frp", "track", "latitude", "longitude",
     )
 
 
@@ -193,12 +199,8 @@ def _li_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 @memo
 def detections_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean detections from lineitem (multi-year; calendar operators and the bench)."""
-    b = _li_base(spark, sf_dir).withColumn("acq_time", F.format_string("%02d%02d", "hh", "mm"))
-    d = _with_sensor(b, spark)
-    return d.select(
-        "project_id", "detection_id", "sensor", "satellite", "source_id", "acq_date", "acq_time",
-        build_obs_ts("acq_date", "acq_time").alias("obs_ts"), "frp", "track", "latitude", "longitude",
-    )
+    b = _li_base(spark, sf_dir).withColumn("minute_of_day", F.col("hh") * 60 + F.col("mm"))
+    return _typed(_with_sensor(b, spark))
 
 
 @memo
