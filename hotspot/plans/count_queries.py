@@ -45,7 +45,7 @@ MONTHLY = """monthly AS (SELECT g.project_id, g.month_start, s.satellite, CAST(c
 
 def wide(src: str, label: str) -> str:
     sats = ["MODIS", "SNPP", "NOAA20", "NOAA21"]
-    cols = ", ".join(f"sum(n_detections) FILTER (WHERE satellite = '{s}') AS {s}" for s in sats)
+    cols = ", ".join(f"CAST(sum(n_detections) FILTER (WHERE satellite = '{s}') AS BIGINT) AS {s}" for s in sats)
     return f"SELECT project_id, {label}, {cols} FROM {src} GROUP BY project_id, {label}"
 
 
@@ -116,7 +116,7 @@ def q_monthly_pivot(spark, sf):
 
 @R.add(
     "fill_grid",
-    with_fixtures(LI, [PL, DL, WC, WG, WEEKLY], "SELECT project_id, count(*) AS grid_cells, sum(n_detections) AS n_detections, "
+    with_fixtures(LI, [PL, DL, WC, WG, WEEKLY], "SELECT project_id, count(*) AS grid_cells, CAST(sum(n_detections) AS BIGINT) AS n_detections, "
                   "count(*) FILTER (WHERE n_detections = 0) AS zero_cells FROM weekly GROUP BY project_id"),
 )
 def q_fill_grid(spark, sf):

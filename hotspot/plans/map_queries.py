@@ -47,7 +47,7 @@ def q_frames_join(spark, sf):
 
 @R.add(
     "running_count",
-    with_fixtures(EV, [FILTERED], """SELECT project_id, day, n, sum(n) OVER (PARTITION BY project_id ORDER BY day) AS n_cumulative
+    with_fixtures(EV, [FILTERED], """SELECT project_id, day, n, CAST(sum(n) OVER (PARTITION BY project_id ORDER BY day) AS BIGINT) AS n_cumulative
   FROM (SELECT project_id, CAST(obs_ts AS DATE) AS day, count(*) AS n FROM filtered GROUP BY ALL) t"""),
 )
 def q_running_count(spark, sf):

@@ -47,6 +47,19 @@ def _norm(v):
     return (1, str(v))
 
 
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT", "double": "DOUBLE",
+    "float": "FLOAT", "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_diff(sdf, rel):
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (st.get(c), dt.get(c)) for c in sorted(set(st) | set(dt)) if st.get(c) != dt.get(c)}
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows), [cols[i] for i in order]
@@ -71,7 +84,10 @@ def compare(spark, con, key, fn, sql, sf_dir, show=3):
     if ac != bc:
         res["status"] = f"COLUMNS spark={ac} oracle={bc}"
         return res
-    if a == b:
+    td = type_diff(sdf, rel)
+    if a == b and td:
+        res["status"] = f"TYPES {td}"
+    elif a == b:
         res["status"] = "ok"
     else:
         sa, sb = set(a), set(b)
