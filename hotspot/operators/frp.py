@@ -97,21 +97,39 @@ def _running_mean(r: DataFrame, grid: DataFrame) -> DataFrame:
     return g.select(*G, "d0", "idx", n.alias("n"), exact_mean(s, n).alias("mean"))
 
 
+def _epoch_ticks(rows: DataFrame) -> DataFrame:
+    """Tick index of every row counted from the epoch: tick k is the instant k x 12 h, and
+    a row belongs to the first tick at or after it. Ticks fall on midnight and noon, so
+    they coincide with the source's grid starting at the first midnight."""
+    secs = seconds_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("obs_ts"))
+    return rows.withColumn("idx", F.ceil(secs / float(TICK_HOURS * 3600)).cast("long"))
+
+
+def _epoch_tick_ts(idx="idx"):
+    return F.timestamp_add("HOUR", F.col(idx) * TICK_HOURS, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int = 16) -> DataFrame:
-    """W3 (A8): exact expanding mean and quantiles at every 12-h tick, by two-level rank
-    selection — no per-tick re-scan of the rows and no group collected into one task.
+    """W3 (A8): exact expanding count, mean and quantiles at every 12-h tick, by two-level
+    rank selection — no per-tick re-scan of the rows and no group gathered into one task.
 
     1. rows -> (group, tick, value) counts (map-side combine; a hot value or group shrinks
        to at most one entry per tick);
-    2. distinct values of a group are cut into value buckets of about sqrt(N/6) rows by
+    2. the distinct values of a group are cut into value buckets of about sqrt(N/6) rows by
        their cumulative count (each value in exactly one bucket);
-    3. dense (tick x bucket) counts, running sum over ticks, then over buckets: for every
-       tick and every rank needed, the bucket holding that rank;
+    3. a dense (tick x bucket) grid of counts and exact sums — bounded by calendar x buckets,
+       not by rows — gets running sums over ticks, then over buckets: each grid row knows
+       the ranks it holds at its tick, so the bucket of every needed rank is found without
+       any join or per-row array scan;
     4. only that bucket's entries up to the tick are ranked to pick the value; the two
        neighbouring ranks are interpolated linearly (same rule as pandas / percentile).
     Work per group ~ ticks x sqrt(N) instead of ticks x N.
     """
-    r, grid = assign_ticks(rows)
+    r = _epoch_ticks(rows)
+    bounds = r.groupBy(*G).agg(F.min("idx").alias("i0"), F.max(F.to_date("obs_ts")).alias("d1"))
+    last = ((F.unix_date("d1") + 1) * (24 // TICK_HOURS)).cast("long")
+    grid = bounds.select(*G, F.explode(F.sequence(F.col("i0"), last)).alias("idx"))
+
     h = r.groupBy(*G, "idx", "frp").agg(F.count(F.lit(1)).alias("c"))
     vals = h.groupBy(*G, "frp").agg(F.sum("c").alias("nv"))
     wv = Window.partitionBy(*G).orderBy("frp")
@@ -121,47 +139,49 @@ def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int =
     vals = vals.select(*G, "frp", F.floor(before / size).cast("int").alias("bucket"))
     hb = h.join(vals, G + ["frp"])
     nb = vals.groupBy(*G).agg((F.max("bucket") + 1).alias("nb"))
-    bt = hb.groupBy(*G, "idx", "bucket").agg(F.sum("c").alias("c"))
+    bt = hb.groupBy(*G, "idx", "bucket").agg(
+        F.sum("c").alias("c"), F.sum(F.col("frp").cast(EXACT) * F.col("c")).alias("s")
+    )
 
-    dense = grid.join(nb, G).select(*G, "d0", "idx", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bucket"))
-    dense = dense.join(bt, G + ["idx", "bucket"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    dense = grid.join(nb, G).select(*G, "idx", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bucket"))
+    dense = dense.join(bt, G + ["idx", "bucket"], "left")
     w_t = Window.partitionBy(*G, "bucket").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    dense = dense.withColumn("ct", F.sum("c").over(w_t))
-    w_b = Window.partitionBy(*G, "idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    dense = dense.withColumn("cle", F.sum("ct").over(w_b))
-    per_tick = dense.groupBy(*G, "d0", "idx").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "cle"))).alias("cum"), F.max("cle").alias("n")
-    ).where(F.col("n") > 0)
+    dense = dense.select(*G, "idx", "bucket", F.sum(F.coalesce("c", F.lit(0))).over(w_t).alias("ct"),
+                         F.sum("s").over(w_t).alias("cs"))
+    by_tick = Window.partitionBy(*G, "idx")
+    w_b = by_tick.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    dense = dense.select(
+        "*", F.sum("ct").over(w_b).alias("cle"), F.sum("ct").over(by_tick).alias("n"), F.sum("cs").over(by_tick).alias("total")
+    ).where(F.col("ct") > 0)
 
     ranks = []
     for qi, p in enumerate(quantiles):
         pos = (F.col("n") - 1) * F.lit(float(p))
         for side, rk in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            ranks.append(F.struct(F.lit(qi).alias("qi"), F.lit(side).alias("side"), rk.cast("long").alias("r"),
-                                  (pos - F.floor(pos)).alias("frac")))
-    q = per_tick.select(*G, "d0", "idx", "cum", F.explode(F.array(*ranks)).alias("k")).select(*G, "d0", "idx", "cum", "k.*")
-    b = F.size(F.filter("cum", lambda x: x["cle"] <= F.col("r")))
-    q = q.withColumn("bucket", b).withColumn(
-        "r_in", F.col("r") - F.when(F.col("bucket") == 0, F.lit(0)).otherwise(F.element_at("cum", F.col("bucket"))["cle"])
-    ).drop("cum")
+            rk = rk.cast("long")
+            hit = (F.col("cle") - F.col("ct") <= rk) & (rk < F.col("cle"))
+            ranks.append(F.struct(F.lit(qi).alias("qi"), F.lit(side).alias("side"), (rk - F.col("cle") + F.col("ct")).alias("r_in"),
+                                  (pos - F.floor(pos)).alias("frac"), hit.alias("hit")))
+    q = dense.select(*G, "idx", "bucket", "n", exact_mean(F.col("total"), F.col("n")).alias("mean"),
+                     F.explode(F.array(*ranks)).alias("k")).where(F.col("k.hit"))
+    q = q.select(*G, "idx", "bucket", "n", "mean", "k.qi", "k.side", "k.r_in", "k.frac")
 
     qk = G + ["idx", "qi", "side"]
     cand = q.join(hb.select(*G, "bucket", F.col("idx").alias("eidx"), "frp", "c"), G + ["bucket"])
-    cand = cand.where(F.col("eidx") <= F.col("idx")).groupBy(*qk, "r_in", "frac", "d0", "frp").agg(F.sum("c").alias("m"))
+    cand = cand.where(F.col("eidx") <= F.col("idx")).groupBy(*qk, "r_in", "frac", "n", "mean", "frp").agg(F.sum("c").alias("m"))
     run = F.sum("m").over(Window.partitionBy(*qk).orderBy("frp").rowsBetween(Window.unboundedPreceding, 0))
-    picked = cand.withColumn("run", run).where(F.col("run") > F.col("r_in")).groupBy(*qk, "frac", "d0").agg(F.min("frp").alias("v"))
-    qv = picked.groupBy(*G, "d0", "idx", "qi").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"),
-        F.max("frac").alias("frac"),
+    picked = cand.withColumn("run", run).where(F.col("run") > F.col("r_in")).groupBy(*qk, "frac", "n", "mean").agg(
+        F.min("frp").alias("v")
     )
-    interp = (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("value")
-    wide = qv.groupBy(*G, "d0", "idx").pivot("qi", list(range(len(quantiles)))).agg(F.first(interp))
     names = _qnames(quantiles)
-    wide = wide.select(*G, "idx", *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)])
-    mean = _running_mean(r, grid).where(F.col("n") > 0)
-    out = mean.join(wide, G + ["idx"])
-    return out.select(*G, _tick_ts().alias("tick"), "n", "mean", *names)
+    aggs = [F.max("n").alias("n"), F.max("mean").alias("mean")]
+    for i, nm in enumerate(names):
+        lo = F.max(F.when((F.col("qi") == i) & (F.col("side") == "lo"), F.col("v")))
+        hi = F.max(F.when((F.col("qi") == i) & (F.col("side") == "hi"), F.col("v")))
+        fr = F.max(F.when(F.col("qi") == i, F.col("frac")))
+        aggs.append((lo + (hi - lo) * fr).alias(nm))
+    out = picked.groupBy(*G, "idx").agg(*aggs)
+    return out.select(*G, _epoch_tick_ts().alias("tick"), "n", "mean", *names)
 
 
 def _qnames(quantiles) -> list[str]:
