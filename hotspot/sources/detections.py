@@ -13,7 +13,7 @@ from hotspot.operators.dims import fixed_broadcast
 # historical_VIIRS_SNPP_NRT_<project>.csv, and the project part of such a name.
 SENSOR_KEY_RE = r"(MODIS_NRT|VIIRS_[A-Z0-9]+_NRT)"
 PROJECT_FROM_NAME_RE = r"historical_(?:MODIS_NRT|VIIRS_[A-Z0-9]+_NRT)_(.+)\.csv$"
-PROJECT_FROM_DIR_RE = r"project_id=(-?\d+)"
+PROJECT_FROM_DIR_RE = r"project_id=([^/]+)"
 
 USED = ["latitude", "longitude", "frp", "track", "acq_date", "acq_time"]
 
@@ -56,12 +56,12 @@ def _text(df: DataFrame, name: str):
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool = True) -> DataFrame:
+def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool = True, project_type: str = "bigint") -> DataFrame:
     """P1-P4 + J2 + F7: type the text columns (bad numbers and NaN -> NULL, three date
     layouts row by row, padded time, observation timestamp), attach the sensor dimension,
     and (by default) drop rows without position or date."""
     d = raw.select(
-        F.col("project_id").cast("bigint").alias("project_id") if "project_id" in raw.columns else F.lit(None).cast("bigint").alias("project_id"),
+        (F.col("project_id") if "project_id" in raw.columns else F.lit(None)).cast(project_type).alias("project_id"),
         _text(raw, "detection_id").alias("detection_id_text"),
         F.col("sensor"),
         coerce_numeric(_text(raw, "latitude")).alias("latitude"),
@@ -83,6 +83,12 @@ def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool
     return d.select(*[f.name for f in schemas.DETECTIONS.fields])
 
 
+def tag_project_from_path(raw: DataFrame) -> DataFrame:
+    """project_id from the archive path (project_id=<key>/ folder or
+    historical_<SENSOR>_<project>.csv name), as text."""
+    return raw.withColumn("project_id", F.col("project_key")).drop("project_key")
+
+
 def reject_log(raw: DataFrame) -> DataFrame:
     """Per project and sensor, rows read and rows dropped for a missing position or an
     unparseable date, plus rows whose FRP is unreadable (kept, FRP NULL)."""
