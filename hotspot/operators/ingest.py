@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotspot import schemas
-from hotspot.functions.clean import iso_date, parse_date, round_key
+from hotspot.functions.clean import is_iso_text, iso_date, parse_date, round_key
 
 DET_COLS = [f.name for f in schemas.DETECTIONS.fields]
 REFRESH_KEY = ["project_id", "sensor", "acq_date"]
@@ -86,7 +86,8 @@ def migrate_dates(raw: DataFrame) -> DataFrame:
     """Rewrite acq_date text to ISO; ISO and unparseable text stay as they are, so the
     operation is idempotent."""
     parsed = iso_date(parse_date("acq_date"))
-    return raw.withColumn("acq_date", F.coalesce(parsed, F.col("acq_date")))
+    keep = is_iso_text("acq_date")
+    return raw.withColumn("acq_date", F.when(keep, F.col("acq_date")).otherwise(F.coalesce(parsed, F.col("acq_date"))))
 
 
 def sort_archive(df: DataFrame) -> DataFrame:

@@ -168,7 +168,3 @@ def sensors(spark: SparkSession) -> DataFrame:
         for k, s, i, f in SENSORS
     ]
     return spark.range(1).select(F.inline(F.array(*rows)))
-
-
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -15,9 +15,6 @@ SENSOR_KEY_RE = r"(MODIS_NRT|VIIRS_[A-Z0-9]+_NRT)"
 PROJECT_FROM_NAME_RE = r"historical_(?:MODIS_NRT|VIIRS_[A-Z0-9]+_NRT)_(.+)\.csv$"
 PROJECT_FROM_DIR_RE = r"project_id=([^/]+)"
 
-USED = ["latitude", "longitude", "frp", "track", "acq_date", "acq_time"]
-
-
 def read_archive(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
     """Text archive(s) with a header; every column stays text (no inference), columns
     are addressed by name so sensor layouts with different column sets read alike.
