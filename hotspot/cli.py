@@ -43,7 +43,8 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def merge(spark: SparkSession, archive: str, landing: str, glob: str = "*.csv"):
     raw = detections.tag_project_from_path(detections.scan_tagged(spark, landing, glob))
     batch = detections.clean_detections(raw, spark, project_type="string")
-    batch = batch.withColumn("origin", F.lit(1)).withColumn("ingest_seq", F.col("detection_id"))
+    # arrival order inside the batch: non-negative and below 2^62 as the merge requires
+    batch = batch.withColumn("origin", F.lit(1)).withColumn("ingest_seq", F.monotonically_increasing_id())
     if not table_exists(spark, archive):
         sinks.write_archive(batch.withColumn("origin", F.lit(0)), archive)
         return None

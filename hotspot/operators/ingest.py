@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotspot import schemas
-from hotspot.functions.clean import is_iso_text, iso_date, parse_date, round_key
+from hotspot.functions.clean import build_obs_ts, is_iso_text, iso_date, parse_date, round_key
 
 DET_COLS = [f.name for f in schemas.DETECTIONS.fields]
 REFRESH_KEY = ["project_id", "sensor", "acq_date"]
@@ -50,14 +50,25 @@ def with_round_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("lat_r", round_key("latitude")).withColumn("lon_r", round_key("longitude"))
 
 
+SEQ_BITS = 62  # ingest_seq must lie in [0, 2^62)
+
+
 def merge_detections(history: DataFrame, batch: DataFrame) -> DataFrame:
     """U4: refresh the batch's dates, union, drop incomplete rows, de-duplicate on
     (project, sensor, 4-dp position, date, time) keeping the first by (origin, ingest_seq).
-    Inputs carry `origin` (0 history, 1 new) and `ingest_seq`; the result is idempotent:
-    merging the same batch again yields the same table."""
+    Inputs carry `origin` (0 history, 1 new) and `ingest_seq` in [0, 2^62); the result is
+    idempotent: merging the same batch again yields the same table.
+
+    The de-duplication is a hash aggregate: (origin, ingest_seq) is packed into one long and
+    every kept value is a primitive `min_by` on it; the columns that follow from the key
+    (satellite, source id, observation time) are attached again afterwards."""
     kept = refresh_anti(history, batch)
-    u = drop_incomplete(union_all([kept, batch]))
-    d = dedup_first(with_round_keys(u))
+    u = with_round_keys(drop_incomplete(union_all([kept, batch])))
+    u = u.withColumn("ord", F.shiftleft(F.col("origin").cast("long"), SEQ_BITS) + F.col("ingest_seq"))
+    vals = ["detection_id", "frp", "track", "latitude", "longitude", "origin", "ingest_seq"]
+    d = u.groupBy(*DEDUP_KEY).agg(*[F.min_by(c, "ord").alias(c) for c in vals])
+    sens = F.broadcast(schemas.sensors(history.sparkSession).select("sensor", "satellite", "source_id"))  # fixed 4 rows
+    d = d.join(sens, "sensor").withColumn("obs_ts", build_obs_ts("acq_date", "acq_time"))
     return d.select(*DET_COLS, "origin", "ingest_seq")
 
 

@@ -35,20 +35,28 @@ def filter_runout(det: DataFrame, projects: DataFrame) -> DataFrame:
     return d.withColumn("distance_km", haversine_km("vent_lat", "vent_lon", "latitude", "longitude"))
 
 
+def day_order_key():
+    """One long ordering the detections of a day by (time, latitude, longitude): minute of
+    the day (observation times are whole minutes, HHMM) in bits 51-61, latitude and
+    longitude at the archive's 5 decimals in bits 26-50 and 0-25. Detections equal on all
+    three are the same point at the same minute, so the pick among them does not matter.
+    A primitive key keeps the daily aggregate a hash aggregate (a struct key would force
+    a sort-based one)."""
+    minute = F.hour("obs_ts") * 60 + F.minute("obs_ts")
+    lat5 = F.rint(F.col("latitude") * 1e5).cast("long") + 9_000_000
+    lon5 = F.rint(F.col("longitude") * 1e5).cast("long") + 18_000_000
+    return F.shiftleft(minute.cast("long"), 51) + F.shiftleft(lat5, 26) + lon5
+
+
 def daily_runout(filtered: DataFrame) -> DataFrame:
     """Per project, day and satellite: max distance, max FRP, and the coordinates and
-    source of the first detection of the day in the total order (time, lat, lon, id)."""
-    first = F.min_by(
-        F.struct("latitude", "longitude", "source_id"),
-        F.struct("obs_ts", "latitude", "longitude", "detection_id"),
-    )
-    g = filtered.groupBy("project_id", F.to_date("obs_ts").alias("date_only"), "satellite").agg(
-        F.max("distance_km").alias("distance_km"), F.max("frp").alias("frp"), first.alias("p")
-    )
-    return g.select(
-        "project_id", "date_only", "satellite", "distance_km", "frp",
-        F.col("p.latitude").alias("latitude"), F.col("p.longitude").alias("longitude"),
-        F.col("p.source_id").alias("source"),
+    source of the first detection of the day in the order (time, latitude, longitude)."""
+    d = filtered.select("project_id", F.to_date("obs_ts").alias("date_only"), "satellite", "distance_km", "frp",
+                        "latitude", "longitude", "source_id", day_order_key().alias("ord"))
+    return d.groupBy("project_id", "date_only", "satellite").agg(
+        F.max("distance_km").alias("distance_km"), F.max("frp").alias("frp"),
+        F.min_by("latitude", "ord").alias("latitude"), F.min_by("longitude", "ord").alias("longitude"),
+        F.min_by("source_id", "ord").alias("source"),
     )
 
 

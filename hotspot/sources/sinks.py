@@ -39,7 +39,7 @@ def merge_into_archive(spark: SparkSession, path: str, batch: DataFrame) -> Data
     arch = read_archive_table(spark, path)
     hist = arch.where(F.col(MONTH).isin(months)).drop(MONTH).withColumn("origin", F.lit(0))
     if "ingest_seq" not in hist.columns:
-        hist = hist.withColumn("ingest_seq", F.col("detection_id"))
+        hist = hist.withColumn("ingest_seq", F.pmod(F.col("detection_id"), F.lit(1 << ingest.SEQ_BITS)))
     merged = cut_lineage(ingest.merge_detections(hist, batch))
     log = cut_lineage(ingest.merge_log(hist, batch, merged))
     write_archive(merged, path)

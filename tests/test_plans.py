@@ -47,3 +47,9 @@ def test_filter_and_projection_reach_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(frp), GreaterThan(frp,100.0)]" in p
     assert "PartitionFilters: [isnotnull(project_id" in p
     assert "ReadSchema: struct<detection_id:bigint,frp:double>" in p
+
+
+@pytest.mark.parametrize("key", ["daily_runout", "frontier", "merge_detections", "weekly_counts", "frp_cumulative"])
+def test_hot_aggregates_are_hash_based(spark, key):
+    """The aggregates over the largest inputs must not fall back to a sort-based aggregate."""
+    assert "SortAggregate" not in plan(all_queries()[key](spark, SMALL))
