@@ -1,7 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Each query is executed fully (noop sink, no driver collect): one warm-up, then the median
-of $BENCH_REPS runs. Prints one JSON line.
+Each query is executed fully (noop sink, no driver collect). Every query is first run once
+untimed (JVM and plan warm-up), then $BENCH_REPS timed rounds run all queries in turn and
+each query's median is reported. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -43,16 +44,20 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", partitions=max(8, cpus))
     spark.sparkContext.setLogLevel("ERROR")
     q = all_queries()
-    times: dict[str, float] = {}
-    for k in keys:
-        def run() -> float:
-            t0 = time.perf_counter()
-            q[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            return time.perf_counter() - t0
+    def run(k: str) -> float:
+        t0 = time.perf_counter()
+        q[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
 
-        run()  # warm-up
-        times[k] = round(statistics.median(run() for _ in range(reps)), 3)
-        print(f"# {k}: {times[k]} s", file=sys.stderr, flush=True)
+    for k in keys:  # warm-up round
+        run(k)
+    samples: dict[str, list[float]] = {k: [] for k in keys}
+    for _ in range(reps):
+        for k in keys:
+            samples[k].append(run(k))
+    times = {k: round(statistics.median(v), 3) for k, v in samples.items()}
+    for k, v in times.items():
+        print(f"# {k}: {v} s", file=sys.stderr, flush=True)
     sf = sf_dir.rsplit("sf", 1)[-1] if "sf" in os.path.basename(sf_dir) else sf_dir
     out = {
         "metric": "sum_median_query_seconds",

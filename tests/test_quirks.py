@@ -77,3 +77,24 @@ def test_nan_frp_never_passes_a_threshold(spark):
     df = spark.createDataFrame([(float("nan"),), (50.0,)], "x double").select(cl.nan_to_null("x").alias("frp"))
     df = df.withColumn("filter_frp", F.lit(10.0)).withColumn("frp_mode", F.lit("gt"))
     assert df.where(frp_predicate()).count() == 1
+
+
+def test_empty_inputs(spark):
+    """No detections: empty frontier/daily rows, no KPI row, an all-zero calendar grid,
+    frames that count zero."""
+    from hotspot import schemas
+    from hotspot.operators import frames, frontier, runout
+    from hotspot.sources import fixtures as fx
+
+    from conftest import SMALL
+
+    det = spark.createDataFrame([], schemas.DETECTIONS)
+    prj = fx.projects_ev(spark, SMALL)
+    filtered = runout.filter_runout(det, prj)
+    daily = runout.daily_runout(filtered)
+    assert daily.count() == 0 and frontier.frontier(daily).count() == 0
+    assert ct.count_kpis(det, prj).count() == 0
+    weekly = ct.weekly_counts(det, prj)
+    assert weekly.count() > 0 and weekly.where("n_detections <> 0").count() == 0
+    fc = frames.frame_counts(filtered, prj)
+    assert fc.count() > 0 and fc.where("n_cumulative <> 0").count() == 0
