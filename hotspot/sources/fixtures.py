@@ -221,16 +221,16 @@ def raw_li(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(sel == 0, F.lit(""))
         .when(sel == 1, F.lit("n/a"))
         .when(sel == 2, F.lit("NaN"))
-        .otherwise(F.format_string("%.5f", "frp"))
+        .otherwise(F.col("frp").cast("string"))
     )
     b = _with_sensor(b, spark)
     return b.select(
         "project_id",
         F.col("detection_id").cast("string").alias("detection_id"),
         "sensor",
-        F.format_string("%.5f", "latitude").alias("latitude"),
-        F.format_string("%.5f", "longitude").alias("longitude"),
-        F.format_string("%.2f", "track").alias("track"),
+        F.col("latitude").cast("string").alias("latitude"),
+        F.col("longitude").cast("string").alias("longitude"),
+        F.col("track").cast("string").alias("track"),
         text_date.alias("acq_date"),
         (F.col("hh") * 100 + F.col("mm")).cast("string").alias("acq_time"),
         frp_text.alias("frp"),
