@@ -96,6 +96,25 @@ def extent(filtered: DataFrame, projects: DataFrame, pad: float = 0.005) -> Data
     )
 
 
+# Map zoom level by view size (km): below 2 -> 15, 5 -> 14, 10 -> 13,
+# 20 -> 12, 50 -> 11, otherwise 10.
+ZOOM_STEPS = [(2.0, 15), (5.0, 14), (10.0, 13), (20.0, 12), (50.0, 11)]
+ZOOM_FAR = 10
+
+
+def view_zoom(filtered: DataFrame, projects: DataFrame) -> DataFrame:
+    """A13 (view): the map view size is the larger of the reference radius and the longest
+    runout (the radius alone when nothing was detected); the zoom level follows from it."""
+    far = filtered.groupBy("project_id").agg(F.max("distance_km").alias("dmax"))
+    p = projects.select("project_id", (F.col("ref_radius_m") / 1000.0).alias("radius_km"))
+    j = p.join(far, "project_id", "left")
+    view = F.greatest(F.col("radius_km"), F.coalesce(F.col("dmax"), F.col("radius_km")))
+    zoom = F.lit(ZOOM_FAR)
+    for limit, z in reversed(ZOOM_STEPS):
+        zoom = F.when(view < limit, F.lit(z)).otherwise(zoom)
+    return j.select("project_id", view.alias("view_km"), zoom.alias("zoom"))
+
+
 def request_manifest(projects: DataFrame, sensor_keys: list[str]) -> DataFrame:
     """The area requests a download needs — per project, sensor and window of at most
     5 days covering the period's dates — with the box text and day count."""

@@ -196,3 +196,14 @@ def q_unit_conversions(spark, sf):
                                                     F.max(F.to_date("obs_ts")).alias("d1"))
     return round6(g.select("project_id", (F.col("ref_radius_m") / 1000.0).alias("radius_km"), (F.col("dmax") * 1000.0).alias("max_distance_m"),
                            cal.hours_between_dates("d0", "d1").alias("span_hours")))
+
+
+@R.add(
+    "view_zoom",
+    with_fixtures(EV, [FILTERED], """SELECT p.project_id, round(greatest(p.ref_radius_m / 1000.0, coalesce(f.dmax, p.ref_radius_m / 1000.0)), 6) AS view_km,
+       CASE WHEN v < 2 THEN 15 WHEN v < 5 THEN 14 WHEN v < 10 THEN 13 WHEN v < 20 THEN 12 WHEN v < 50 THEN 11 ELSE 10 END AS zoom
+  FROM projects_ev p LEFT JOIN (SELECT project_id, max(distance_km) AS dmax FROM filtered GROUP BY ALL) f USING (project_id),
+       LATERAL (SELECT greatest(p.ref_radius_m / 1000.0, coalesce(f.dmax, p.ref_radius_m / 1000.0)) AS v) t"""),
+)
+def q_view_zoom(spark, sf):
+    return round6(sp.view_zoom(_filtered(spark, sf), fx.projects_ev(spark, sf)))
