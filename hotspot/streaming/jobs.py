@@ -7,9 +7,11 @@ a restarted job resumes from the checkpoint, and a re-delivered micro-batch is s
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,10 @@ from hotspot.sources import sinks
 
 EPOCH = "1970-01-01 00:00:00"
 
+# The per-project state function (T5) runs in Python workers; ship it by value so a job
+# works on executors where this package is not installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def event_time(ntz_col: str = "obs_ts"):
     """TIMESTAMP_NTZ wall clock -> TIMESTAMP at the same UTC instant (watermarks and
@@ -148,7 +154,8 @@ def _advance(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
                          r.date_only, r.distance_km, mx, td, dd, dd / td if td is not None and td > 0 else 0.0))
             mx, last = r.distance_km, r.date_only
     state.update((mx, last))
-    yield pd.DataFrame(rows, columns=[f.name for f in FRONTIER_OUT.fields])
+    if rows:
+        yield pd.DataFrame(rows, columns=[f.name for f in FRONTIER_OUT.fields])
 
 
 def stream_frontier(spark: SparkSession, landing: str, out: str, checkpoint: str) -> None:
