@@ -24,9 +24,12 @@ from hotspot.sources import detections, projects, sinks
 
 
 def _session() -> SparkSession:
+    # shuffle sizing is left to AQE: it coalesces small partitions to the advisory size
+    # and splits skewed ones; the cluster's own settings take precedence
     return (
         SparkSession.builder.appName("hotspot")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
     )
@@ -53,7 +56,12 @@ def merge(spark: SparkSession, archive: str, landing: str, glob: str = "*.csv"):
 
 def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob: str = "config_*.txt") -> None:
     prj = projects.scan_projects(spark, config_root, glob=glob).withColumn("project_id", F.col("project_key"))
-    det = spark.read.parquet(archive).drop("acq_month", "origin", "ingest_seq")
+    # months any project can use, as literals: the archive scan prunes the other months
+    lo, hi = prj.agg(F.min("start_ts"), F.max("end_ts")).first()
+    det = spark.read.parquet(archive)
+    if lo is not None and hi is not None:
+        det = det.where(F.col("acq_month").between(lo.strftime("%Y-%m"), hi.strftime("%Y-%m")))
+    det = det.drop("acq_month", "origin", "ingest_seq")
     filtered = runout.filter_runout(det, prj)
     daily = runout.daily_runout(filtered)
     front = frontier.frontier(daily)
