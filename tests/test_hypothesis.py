@@ -5,7 +5,6 @@ import datetime as dt
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from hotspot.functions import calendar as cal
 from hotspot.functions import clean as cl
