@@ -151,6 +151,16 @@ def q_reject_log(spark, sf):
     return sd.reject_log(_raw(spark, sf))
 
 
+@R.add(
+    "rejected_rows",
+    with_fixtures(["det_li"], [], f"SELECT project_id, detection_id, sensor, 'bad' AS acq_date, 'date' AS reason FROM det_li WHERE {LAYOUT} = 3"),
+)
+def q_rejected_rows(spark, sf):
+    """Q29: the dropped rows themselves, with the reason."""
+    r = sd.rejected_rows(_raw(spark, sf))
+    return r.select("project_id", F.col("detection_id").cast("bigint").alias("detection_id"), "sensor", "acq_date", "reason")
+
+
 # ---- merge ----------------------------------------------------------------------------
 
 

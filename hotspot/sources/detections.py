@@ -86,6 +86,19 @@ def tag_project_from_path(raw: DataFrame) -> DataFrame:
     return raw.withColumn("project_id", F.col("project_key")).drop("project_key")
 
 
+def rejected_rows(raw: DataFrame) -> DataFrame:
+    """Q29: the raw rows the cleaner drops (no readable position or date), as delivered,
+    with the reason — kept for inspection instead of vanishing silently."""
+    lat = coerce_numeric(_text(raw, "latitude"))
+    lon = coerce_numeric(_text(raw, "longitude"))
+    date = parse_date(_text(raw, "acq_date"))
+    reason = (
+        F.when(date.isNull(), F.lit("date"))
+        .when(lat.isNull() | lon.isNull(), F.lit("position"))
+    )
+    return raw.select("*", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def reject_log(raw: DataFrame) -> DataFrame:
     """Per project and sensor, rows read and rows dropped for a missing position or an
     unparseable date, plus rows whose FRP is unreadable (kept, FRP NULL)."""
