@@ -79,7 +79,7 @@ def q_stream_weekly(spark, sf):
     landing, out, chk = _paths(spark, "weekly")
     fx.detections_li(spark, sf).write.parquet(landing)
     jobs.stream_weekly(spark, landing, out, chk, anchor=3)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("project_id", "week_start", "satellite", "n_detections")
 
 
 @R.add("stream_frontier", with_fixtures(["projects_ev", "det_ev"], [FILTERED, DAILY] + frontier_ctes(), "SELECT project_id, date_only, satellite, source, date, "

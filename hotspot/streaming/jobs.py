@@ -21,6 +21,7 @@ from hotspot import schemas
 from hotspot.functions.calendar import seconds_between
 from hotspot.functions.clean import round_key
 from hotspot.sources import detections as sd
+from hotspot.session import cut_lineage
 from hotspot.sources import sinks
 
 EPOCH = "1970-01-01 00:00:00"
@@ -105,22 +106,47 @@ def stream_merge(spark: SparkSession, landing: str, archive: str, checkpoint: st
 # ---- T4 ------------------------------------------------------------------------------
 
 
-def stream_weekly(spark: SparkSession, landing: str, out: str, checkpoint: str, anchor: int = 3) -> None:
+def upsert_weeks(spark: SparkSession, out: str, changed: DataFrame, keys=("project_id", "week_start", "satellite")) -> None:
+    """Replace the changed (project, week, satellite) counts in a month-partitioned table:
+    only the touched months are read and rewritten (dynamic partition overwrite); the merged
+    rows are checkpointed first, so the write never reads the files it replaces. The table
+    is aggregated (projects x sensors x weeks), so one file per month is enough."""
+    month = F.date_format("week_start", "yyyy-MM")
+    changed = changed.withColumn("month", month)
+    months = [r[0] for r in changed.select("month").distinct().collect()]  # months open in one batch
+    try:
+        old = spark.read.parquet(out).where(F.col("month").isin(months))
+    except Exception:  # first batch: no table yet
+        old = changed.limit(0)
+    merged = old.select(*changed.columns).join(changed.select(*keys), list(keys), "left_anti").unionByName(changed)
+    merged = cut_lineage(merged)
+    merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("month").parquet(out)
+
+
+def stream_weekly(spark: SparkSession, landing: str, out: str, checkpoint: str, anchor: int = 3,
+                  lateness: str = "14 days") -> None:
     """T4: detections per (project, anchored week, satellite) as tumbling 7-day windows.
     1970-01-01 was a Thursday, so a week starting on weekday `anchor` (Monday = 0) is a
-    window offset of (anchor - 3) mod 7 days."""
+    window offset of (anchor - 3) mod 7 days. With a watermark the state of weeks older than
+    `lateness` is dropped; each micro-batch upserts the counts it changed (update mode), so
+    the result table always holds the current count of every week. Rows arriving later than
+    `lateness` are not counted by the stream (the batch counts stay authoritative)."""
     offset = (anchor - 3) % 7
     df = spark.readStream.schema(schemas.DETECTIONS).parquet(landing).withColumn("event_ts", event_time())
     w = F.window("event_ts", "7 days", "7 days", f"{offset} days")
-    agg = df.groupBy("project_id", w.alias("w"), "satellite").agg(F.count(F.lit(1)).alias("n_detections"))
+    agg = df.withWatermark("event_ts", lateness).groupBy("project_id", w.alias("w"), "satellite").agg(
+        F.count(F.lit(1)).alias("n_detections")
+    )
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # complete mode: each batch carries the whole (small, aggregated) result
+        if batch.isEmpty():
+            return
         start = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
-        batch.select("project_id", start.alias("week_start"), "satellite", "n_detections") \
-            .write.mode("overwrite").parquet(out)
+        changed = batch.select("project_id", start.alias("week_start"), "satellite", "n_detections")
+        upsert_weeks(batch.sparkSession, out, changed)
 
-    _run(agg.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint))
+    _run(agg.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint))
 
 
 # ---- T5 ------------------------------------------------------------------------------
