@@ -58,10 +58,14 @@ def report_kpis(projects: DataFrame, counts: DataFrame, runout: DataFrame, speed
 REPORT_SCHEMA = "project_id bigint, section string, metric string, value_num double, value_text string"
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """K6: the long KPI table as JSON, one directory per project."""
-    report.write.mode("overwrite").partitionBy("project_id").json(path)
+def write_report(report: DataFrame, projects: DataFrame, path: str) -> None:
+    """K6: the long KPI table as JSON, one directory per project and reporting period
+    (project_id=<id>/period=<start>_<end>/)."""
+    period = F.concat_ws("_", F.date_format("start_ts", "yyyyMMdd"), F.date_format("end_ts", "yyyyMMdd"))
+    r = report.join(projects.select("project_id", period.alias("period")), "project_id")
+    r.write.mode("overwrite").partitionBy("project_id", "period").json(path)
 
 
 def read_report(spark, path: str) -> DataFrame:
-    return spark.read.schema(REPORT_SCHEMA).json(path)
+    """All reports below `path`; project_id and period come from the folders."""
+    return spark.read.schema(REPORT_SCHEMA + ", period string").json(path)

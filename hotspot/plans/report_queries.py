@@ -82,7 +82,7 @@ def q_report_kpis(spark, sf):
 def q_write_report(spark, sf):
     """K6: the report table written as JSON per project and read back."""
     path = new_table_path(spark, "report")
-    rp.write_report(round6(_report(spark, sf)), path)
+    rp.write_report(round6(_report(spark, sf)), fx.projects_ev(spark, sf), path)
     return rp.read_report(spark, path).select("project_id", "section", "metric", "value_num", "value_text")
 
 
