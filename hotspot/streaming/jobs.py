@@ -82,22 +82,28 @@ def stream_dedup(spark: SparkSession, landing: str, out: str, checkpoint: str, l
 MERGE_INPUT = T.StructType(schemas.DETECTIONS.fields + [T.StructField("ingest_seq", T.LongType())])
 
 
+def merge_batch(spark: SparkSession, archive: str, batch: DataFrame, batch_id: int) -> bool:
+    """Apply one micro-batch to the archive unless its id was applied before (a retried
+    batch after a failure). Returns whether the archive changed."""
+    done_path = archive.rstrip("/") + "_batches"
+    try:
+        done = spark.read.parquet(done_path).where(F.col("batch_id") == batch_id).limit(1).count() > 0
+    except Exception:  # no batch applied yet
+        done = False
+    if done or batch.isEmpty():
+        return False
+    sinks.merge_into_archive(spark, archive, batch.withColumn("origin", F.lit(1)))
+    spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").parquet(done_path)
+    return True
+
+
 def stream_merge(spark: SparkSession, landing: str, archive: str, checkpoint: str) -> None:
     """Every micro-batch is merged into the month-partitioned archive (refresh the
     batch's dates, de-duplicate, rewrite only touched months). Batch ids already applied
     are recorded next to the archive, so a replayed batch changes nothing."""
-    done_path = archive.rstrip("/") + "_batches"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        try:
-            done = s.read.parquet(done_path).where(F.col("batch_id") == batch_id).limit(1).count() > 0
-        except Exception:  # no batch applied yet
-            done = False
-        if done or batch.isEmpty():
-            return
-        sinks.merge_into_archive(s, archive, batch.withColumn("origin", F.lit(1)))
-        s.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(done_path)
+        merge_batch(batch.sparkSession, archive, batch, batch_id)
 
     src = spark.readStream.schema(MERGE_INPUT).parquet(landing)
     _run(src.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
