@@ -49,11 +49,16 @@ def main() -> None:
         q[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
+    failed: dict[str, str] = {}
     for k in keys:  # warm-up round
-        run(k)
-    samples: dict[str, list[float]] = {k: [] for k in keys}
+        try:
+            run(k)
+        except Exception as e:  # keep benchmarking the others; report the failure
+            failed[k] = f"{type(e).__name__}: {str(e)[:200]}"
+    ok = [k for k in keys if k not in failed]
+    samples: dict[str, list[float]] = {k: [] for k in ok}
     for _ in range(reps):
-        for k in keys:
+        for k in ok:
             samples[k].append(run(k))
     times = {k: round(statistics.median(v), 3) for k, v in samples.items()}
     for k, v in times.items():
@@ -68,6 +73,8 @@ def main() -> None:
         "cpus": cpus,
         "reps": reps,
     }
+    if failed:
+        out["failed"] = failed
     print(json.dumps(out))
     spark.stop()
 
