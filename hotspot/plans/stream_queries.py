@@ -26,7 +26,8 @@ def q_stream_ingest(spark, sf):
     """Dirty text files land in project/sensor folders; the stream types and cleans them."""
     landing, out, chk = _paths(spark, "ingest")
     fx.raw_li(spark, sf).write.partitionBy("project_id", "sensor").option("header", True).csv(landing)
-    jobs.stream_ingest(spark, landing, out, chk)
+    cols = ["detection_id", "latitude", "longitude", "track", "acq_date", "acq_time", "frp"]  # the fixture's layout
+    jobs.stream_ingest(spark, landing, out, chk, columns=cols, project_type="bigint")
     return round6(spark.read.parquet(out))
 
 

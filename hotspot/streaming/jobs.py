@@ -50,16 +50,25 @@ def _run(writer, timeout_s: int = 600) -> None:
 # ---- T1 ------------------------------------------------------------------------------
 
 
-def raw_landing_schema() -> T.StructType:
-    cols = ["detection_id", "latitude", "longitude", "track", "acq_date", "acq_time", "frp", "project_id", "sensor"]
-    return T.StructType([T.StructField(c, T.StringType()) for c in cols])
+PARTITION_COLS = [T.StructField("project_id", T.StringType()), T.StructField("sensor", T.StringType())]
 
 
-def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str) -> None:
+def landing_schema(columns: list[str] | None = None) -> T.StructType:
+    """Text schema of landed files plus the folder columns. Default: the fixed per-sensor
+    layout, read by position (the sensor layouts differ only in brightness column names)."""
+    fields = list(schemas.RAW_DETECTION.fields) if columns is None else [T.StructField(c, T.StringType()) for c in columns]
+    return T.StructType(fields + PARTITION_COLS)
+
+
+def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, columns: list[str] | None = None,
+                  project_type: str = "string") -> None:
     """Text files landing in project_id=/sensor= folders -> typed, cleaned detections
-    appended to a Parquet table (same cleaning as the batch reader)."""
-    raw = spark.readStream.schema(raw_landing_schema()).option("header", True).option("enforceSchema", False).csv(landing)
-    clean = sd.clean_detections(raw, spark)
+    appended to a Parquet table (same cleaning as the batch reader). With `columns` given
+    the header must carry exactly those names (checked); otherwise the fixed layout is
+    read by position."""
+    reader = spark.readStream.schema(landing_schema(columns)).option("header", True)
+    raw = reader.option("enforceSchema", columns is None).csv(landing)
+    clean = sd.clean_detections(raw, spark, project_type=project_type)
     _run(clean.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append"))
 
 

@@ -31,3 +31,22 @@ def test_event_time_is_zone_free(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:00",)], "s string").select(F.col("s").cast("timestamp_ntz").alias("obs_ts"))
     secs = df.select(F.unix_seconds(jobs.event_time())).first()[0]
     assert secs == 1704164640
+
+
+def test_stream_ingest_reads_both_sensor_layouts(spark):
+    from hotspot import schemas
+
+    cols = [f.name for f in schemas.RAW_DETECTION.fields]
+    viirs = [("-0.38123", "-91.51001", "330.1", "0.4", "0.37", "2024-03-01", "639", "N", "VIIRS", "n", "2.0NRT", "290.2", "12.5", "D")]
+    modis = [("-0.38555", "-91.52002", "315.0", "1.0", "1.0", "01/03/2024", "1245", "A", "MODIS", "80", "6.1NRT", "300.0", "40.25", "D")]
+    landing, out, chk = (new_table_path(spark, n) for n in ("land", "out", "chk"))
+    spark.createDataFrame(viirs, ", ".join(f"{c} string" for c in cols)).write.option("header", True) \
+        .csv(f"{landing}/project_id=Fernandina/sensor=VIIRS_SNPP_NRT")
+    mcols = [c.replace("bright_ti4", "brightness").replace("bright_ti5", "bright_t31") for c in cols]
+    spark.createDataFrame(modis, ", ".join(f"{c} string" for c in mcols)).write.option("header", True) \
+        .csv(f"{landing}/project_id=Fernandina/sensor=MODIS_NRT")
+    jobs.stream_ingest(spark, landing, out, chk)
+    rows = {r["sensor"]: r for r in spark.read.parquet(out).collect()}
+    assert rows["VIIRS_SNPP_NRT"]["frp"] == 12.5 and rows["VIIRS_SNPP_NRT"]["acq_time"] == "0639"
+    assert rows["MODIS_NRT"]["frp"] == 40.25 and str(rows["MODIS_NRT"]["acq_date"]) == "2024-03-01"
+    assert {r["project_id"] for r in rows.values()} == {"Fernandina"}
