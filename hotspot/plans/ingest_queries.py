@@ -31,11 +31,26 @@ def _raw(spark, sf):
 
 
 def _write_raw(spark, sf) -> str:
+    """The dirty text archive (project/sensor folders), written to a fresh folder."""
     path = new_table_path(spark, "raw-archive")
     _raw(spark, sf).write.partitionBy("project_id", "sensor").option("header", True).csv(path)
     return path
 
 
+_ARCHIVES: dict = {}
+
+
+def _raw_archive(spark, sf) -> str:
+    """The text archive the scan queries read: written once per (session, data folder) and
+    never modified afterwards (it stands for an archive that already exists)."""
+    key = (id(spark), sf.rstrip("/"))
+    hit = _ARCHIVES.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, _write_raw(spark, sf))
+        _ARCHIVES[key] = hit
+    return hit[1]
+
+
 @R.add(
     "coerce_numeric",
     with_fixtures(["det_li"], [], f"SELECT detection_id, CASE WHEN {FRP_BAD} THEN NULL ELSE round(frp, 6) END AS frp, "
@@ -116,15 +131,15 @@ def q_drop_incomplete(spark, sf):
 
 @R.add("scan_detections", SCANNED)
 def q_scan_detections(spark, sf):
-    """Dirty text archive (Hive-style project/sensor directories) read back and typed."""
-    raw = sd.read_archive(spark, _write_raw(spark, sf))
+    """Dirty text archive (Hive-style project/sensor directories) read and typed."""
+    raw = sd.read_archive(spark, _raw_archive(spark, sf))
     return round6(sd.clean_detections(raw, spark))
 
 
 @R.add("scan_tagged", SCANNED)
 def q_scan_tagged(spark, sf):
     """The same archive scanned recursively, sensor and project taken from the path."""
-    raw = sd.scan_tagged(spark, _write_raw(spark, sf))
+    raw = sd.scan_tagged(spark, _raw_archive(spark, sf))
     raw = raw.withColumn("project_id", F.col("project_key").cast("bigint"))
     return round6(sd.clean_detections(raw, spark))
 
