@@ -168,8 +168,10 @@ def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int =
 
     qk = G + ["idx", "qi", "side"]
     cand = q.join(hb.select(*G, "bucket", F.col("idx").alias("eidx"), "frp", "c"), G + ["bucket"])
-    cand = cand.where(F.col("eidx") <= F.col("idx")).groupBy(*qk, "r_in", "frac", "n", "mean", "frp").agg(F.sum("c").alias("m"))
-    run = F.sum("m").over(Window.partitionBy(*qk).orderBy("frp").rowsBetween(Window.unboundedPreceding, 0))
+    cand = cand.where(F.col("eidx") <= F.col("idx"))
+    # running count in value order (equal values are adjacent, so the first entry whose
+    # running count passes the rank carries the value of that rank)
+    run = F.sum("c").over(Window.partitionBy(*qk).orderBy("frp", "eidx").rowsBetween(Window.unboundedPreceding, 0))
     picked = cand.withColumn("run", run).where(F.col("run") > F.col("r_in")).groupBy(*qk, "frac", "n", "mean").agg(
         F.min("frp").alias("v")
     )
