@@ -87,17 +87,17 @@ def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob:
 
 
 def main(argv=None) -> None:
-    ap = argparse.ArgumentParser(prog="hotspot")
+    ap = argparse.ArgumentParser(prog="hotspot", description="Hotspot detection analytics on Spark.")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    m = sub.add_parser("merge")
-    m.add_argument("--archive", required=True)
-    m.add_argument("--landing", required=True)
-    m.add_argument("--glob", default="*.csv")
-    a = sub.add_parser("analyse")
-    a.add_argument("--archive", required=True)
-    a.add_argument("--projects", required=True)
-    a.add_argument("--out", required=True)
-    a.add_argument("--glob", default="config_*.txt")
+    m = sub.add_parser("merge", help="type, clean and merge landed detection files into the archive")
+    m.add_argument("--archive", required=True, help="month-partitioned Parquet archive (created on first load)")
+    m.add_argument("--landing", required=True, help="folder of landed text files (searched recursively)")
+    m.add_argument("--glob", default="*.csv", help="file name pattern of landed files")
+    a = sub.add_parser("analyse", help="run every analysis for every project and write the result tables")
+    a.add_argument("--archive", required=True, help="the detections archive written by merge")
+    a.add_argument("--projects", required=True, help="folder holding the project config files")
+    a.add_argument("--out", required=True, help="output folder; one Parquet table per result")
+    a.add_argument("--glob", default="config_*.txt", help="file name pattern of config files")
     args = ap.parse_args(argv)
     spark = _session()
     if args.cmd == "merge":
