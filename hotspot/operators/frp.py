@@ -126,11 +126,12 @@ def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int =
     Work per group ~ ticks x sqrt(N) instead of ticks x N.
     """
     r = _epoch_ticks(rows)
-    bounds = r.groupBy(*G).agg(F.min("idx").alias("i0"), F.max(F.to_date("obs_ts")).alias("d1"))
+    h = r.groupBy(*G, "idx", "frp").agg(F.count(F.lit(1)).alias("c"), F.max(F.to_date("obs_ts")).alias("dmax"))
+    # grid bounds from the compressed table (no second pass over the rows)
+    bounds = h.groupBy(*G).agg(F.min("idx").alias("i0"), F.max("dmax").alias("d1"))
     last = ((F.unix_date("d1") + 1) * (24 // TICK_HOURS)).cast("long")
     grid = bounds.select(*G, F.explode(F.sequence(F.col("i0"), last)).alias("idx"))
-
-    h = r.groupBy(*G, "idx", "frp").agg(F.count(F.lit(1)).alias("c"))
+    h = h.drop("dmax")
     vals = h.groupBy(*G, "frp").agg(F.sum("c").alias("nv"))
     wv = Window.partitionBy(*G).orderBy("frp")
     before = F.coalesce(F.sum("nv").over(wv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
