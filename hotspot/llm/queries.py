@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspot.llm import mixing
+from hotspot.llm import mixing, url_filter
 from hotspot.llm.ctph import edited_fingerprints
 from hotspot.llm.jaccard_join import jaccard_join
+from hotspot.llm.pii import pseudonymise
 from hotspot.llm.suffix_dedup import suffix_dedup
 
 
@@ -15,11 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, target and taken words of every document, sources mixed 3 : 1 : 2 to 150 % of all words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms, and what was replaced."""
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_pii"), F.array_join(F.transform("pii", lambda m: m["kind"]), ",").alias("kinds"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piecewise fingerprints of every document and its edited text."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -37,5 +49,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op7_fingerprints, op8_suffix_dedup, op9_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_mixing, op6_pii, op7_fingerprints, op8_suffix_dedup, op9_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
