@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from hotspot.llm import mixing, url_filter
 from hotspot.llm.ctph import edited_fingerprints
+from hotspot.llm.decontam import contaminated
 from hotspot.llm.jaccard_join import jaccard_join
+from hotspot.llm.language_id import identify_documents
 from hotspot.llm.pii import pseudonymise
 from hotspot.llm.suffix_dedup import suffix_dedup
 
@@ -21,11 +23,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, target and taken words of every document, sources mixed 3 : 1 : 2 to 150 % of all words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by its text, declaration and address."""
+    return identify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms, and what was replaced."""
     out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -49,5 +61,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_mixing, op6_pii, op7_fingerprints, op8_suffix_dedup, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_decontamination, op4_mixing, op5_language_id, op6_pii, op7_fingerprints, op8_suffix_dedup, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
