@@ -16,7 +16,7 @@ from hotspot.llm.common import stored
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT, SEED = 1.5, 2.0, "mix"
 #: Documents in a chunk, about.
-CHUNK = 20_000
+CHUNK = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspot.llm import mixing, url_filter
+from hotspot.llm import license_scan, mixing, url_filter, warc_revisit
 from hotspot.llm.ctph import edited_fingerprints
 from hotspot.llm.decontam import contaminated
 from hotspot.llm.jaccard_join import jaccard_join
@@ -23,6 +23,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,5 +66,24 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_decontamination, op4_mixing, op5_language_id, op6_pii, op7_fingerprints, op8_suffix_dedup, op9_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
+def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the capture log of all pages, resolved."""
+    out = warc_revisit.resolve_revisits(warc_revisit.capture_log(table(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    fields = h["content-length"].alias("content_length"), h["date"].alias("date_field"), h["cache-control"].alias("cache_control")
+    return out.select("record_id", "canonical", "ts", "outcome", "source_id", "source_ts", "digest", *fields)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_license_scan, op3_decontamination, op4_mixing, op5_language_id,
+        op6_pii, op7_fingerprints, op8_suffix_dedup, op9_jaccard_join, op10_warc_revisit,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.ORACLE_SQL,
+    "op2_license_scan": license_scan.oracle_sql(),
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op10_warc_revisit": warc_revisit.ORACLE_SQL,
+}

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ by_value(__name__)
 LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 18
+#: Rows that a task combines or compares at a time; rows of one leading token beyond which its windows are dealt one by one.
+HELD, CROWD = 400_000, 64
 _ROW = "t1 long, t2 long, doc_id long, start long, n int, state int"
 _NAMES = ["t1", "t2", "doc_id", "start", "n", "state"]
 #: States of a row: to be sorted, to be sorted and looked into for repeats inside the run, known to be repeated.
@@ -86,14 +89,13 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     lead = low[start]
     # a run whose leading token occurs twice in it may repeat a window inside itself
     n = end - start
-    hits = np.zeros(len(start), np.int32)
-    longest = int(n.max(initial=0)) + w - 1
-    if longest <= 4 * w:
-        for t in range(longest):
-            i = np.minimum(start + t, len(h) - 1)
-            hits += (h[i] == lead) & (t < n + w - 1)
-    else:  # a periodic text: too long a run to step through
-        hits[:] = 2
+    # (a run longer than most is periodic and does)
+    long_ = n > 3 * w
+    hits = np.where(long_, 2, 0).astype(np.int32)
+    short = np.flatnonzero(~long_)
+    s, m, mine = start[short], n[short] + (w - 1), lead[short]
+    for t in range(int(m.max(initial=0))):
+        hits[short] += (h[np.minimum(s + t, len(h) - 1)] == mine) & (t < m)
     return owner[start], start, n, lead, span_hash(q, start, end + (length - 1), 1), hits > 1
 
 
@@ -124,18 +126,23 @@ def _combine(cols: list[np.ndarray]) -> list[np.ndarray]:
 
 def _suffixes(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        held = 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = [t or b"" for t in b.column(1).to_pylist()]
-            parts = []
             for lo, hi in _chunks(texts):
                 offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts[lo:hi]])))
                 found = _runs(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), offsets, length, gram)
                 if found is not None:
                     text, start, n, lead, all_, inner = found
                     parts.append((signed(lead), signed(all_), ids[lo + text], start - offsets[text], n.astype(np.int32), np.where(inner, INNER, SORT).astype(np.int32)))
-            if parts:
-                yield _batch(_combine([np.concatenate(x) for x in zip(*parts)]))
+                    held += len(start)
+                if held >= HELD:
+                    yield _batch(_combine([np.concatenate(x) for x in zip(*parts)]))
+                    parts, held = [], 0
+        if parts:
+            yield _batch(_combine([np.concatenate(x) for x in zip(*parts)]))
 
     return run
 
@@ -171,59 +178,123 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield _batch([c[out] for c in cols])
 
 
-def _windows(length: int):
-    """Window suffixes of the runs in ``spans`` (a list of start, n) of each text."""
+_OPEN = "k1 long, k2 long, k3 long, k4 long, doc_id long, start long, state int, data binary"
+_OPEN_NAMES = ["k1", "k2", "k3", "k4", "doc_id", "start", "state", "data"]
+
+
+def _opened(length: int):
+    """Runs to look into, per text in ``spans`` (a list of lead, start, n, crowded).
+
+    A run goes out with its bytes, keyed by its leading token; one of a crowded token goes out as
+    single windows, keyed by their own hashes, of which equal ones are first combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            runs: list[tuple] = []
             parts = []
             for i, t, spans in zip(*(b.column(k).to_pylist() for k in range(3))):
-                data = np.frombuffer(t, np.uint8)
-                at = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in spans]))
-                at = at[at + length <= len(data)]
-                p, q = prefix_hash(data), prefix_hash(data, 1)
-                parts.append((signed(span_hash(p, at, at + length)), signed(span_hash(q, at, at + length, 1)), np.full(len(at), i), at, np.ones(len(at), np.int32), np.zeros(len(at), np.int32)))
+                crowded = [np.arange(x["start"], x["start"] + x["n"]) for x in spans if x["crowded"]]
+                runs.extend((x["t1"], i, x["start"], t[x["start"] : x["start"] + x["n"] + length - 1]) for x in spans if not x["crowded"])
+                if crowded:
+                    at = np.unique(np.concatenate(crowded))
+                    parts.append(_hashed(np.frombuffer(t, np.uint8), at, length, i, at))
+            zero = np.zeros(len(runs), np.int64)
+            if runs:
+                doc, start = (np.array([r[k] for r in runs], np.int64) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), *(pa.array(zero) for _ in range(3)), pa.array(doc), pa.array(start), pa.array(zero.astype(np.int32)), pa.array([r[3] for r in runs], pa.binary())], _OPEN_NAMES)
             if parts:
-                yield _batch(_combine([np.concatenate(x) for x in zip(*parts)]))
+                c = _combine([np.concatenate(x) for x in zip(*parts)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[k]) for k in (0, 1, 2, 3, 2, 3)), pa.array(c[5]), pa.nulls(len(c[0])).cast(pa.binary())], _OPEN_NAMES)
 
     return run
 
 
-_EDGE = _ROW + ", part int, last boolean"
+def _hashed(data: np.ndarray, at: np.ndarray, length: int, doc, start: np.ndarray) -> tuple:
+    """Window suffixes: both hashes of the windows at ``at``, documents, starts, and two unused columns."""
+    h = signed(span_hash(prefix_hash(data), at, at + length)), signed(span_hash(prefix_hash(data, 1), at, at + length, 1))
+    return *h, np.broadcast_to(np.asarray(doc, np.int64), at.shape).copy(), start, np.ones(len(at), np.int32), np.zeros(len(at), np.int32)
 
 
-def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket of window suffixes: repeats, and its first and last row for the neighbouring buckets."""
-    from pyspark import TaskContext
+_EDGE = "t1 long, t2 long, doc_id long, start long, part int, last boolean"
 
-    part = TaskContext.get().partitionId()
-    cols = _bucket(batches)
-    if cols is None:
-        return
-    again = np.concatenate(([False], (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])))
-    out = again | (cols[5] == DONE)
-    cols[5] = np.full(len(out), DONE, np.int32)
-    for at, edge in ((np.flatnonzero(out), None), (np.array([0]), False), (np.array([len(out) - 1]), True)):
-        rows = _batch([c[at] for c in cols])
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([None if edge is None else part] * len(at), pa.int32()), pa.array([edge] * len(at), pa.bool_())], [*_NAMES, "part", "last"])
+
+def _edge_batch(cols, part, last) -> pa.RecordBatch:
+    n = len(cols[0])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array([part] * n, pa.int32()), pa.array([last] * n, pa.bool_())], ["t1", "t2", "doc_id", "start", "part", "last"])
+
+
+def _again(cols: list[np.ndarray]) -> list[np.ndarray]:
+    order = multikey_sort(cols[:4])
+    cols = [c[order] for c in cols]
+    same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+    again = np.concatenate((np.zeros(min(1, len(order)), bool), same)) | (cols[5] == DONE)
+    return [c[again] for c in cols]
+
+
+def _compare_windows(length: int):
+    """A bucket of windows: repeats; and the first and last single window for the neighbouring buckets.
+
+    Runs of one leading token are all in one bucket; of single windows equal ones may lie in several."""
+
+    def of_runs(rows: list[tuple]) -> list[np.ndarray]:
+        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        size = np.array([len(r[3]) for r in rows])
+        n = size - (length - 1)
+        first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        step = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        return _again(list(_hashed(data, np.repeat(first, n) + step, length, np.repeat([r[1] for r in rows], n), np.repeat([r[2] for r in rows], n) + step)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        rows: list[tuple] = []
+        held = 0
+        single = []
+        for b in batches:  # in the order of k1
+            alone = b.column(7).is_null()
+            w = b.filter(alone)
+            if w.num_rows:
+                single.append([w.column(k).to_numpy() for k in (0, 1, 4, 5)] + [np.ones(w.num_rows, np.int32), w.column(6).to_numpy()])
+            r = b.filter(pc.invert(alone))
+            for row in zip(*(r.column(k).to_pylist() for k in (0, 4, 5, 7))):
+                if held >= HELD and rows[-1][0] != row[0]:
+                    yield _edge_batch(of_runs(rows), None, None)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[3])
+        if rows:
+            yield _edge_batch(of_runs(rows), None, None)
+        if single:
+            cols = [np.concatenate(x) for x in zip(*single)]
+            order = multikey_sort(cols[:4])
+            for at, last in ((order[:1], False), (order[-1:], True)):
+                yield _edge_batch([c[at] for c in cols], part, last)
+            yield _edge_batch(_again(cols), None, None)
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs(doc_id long, text binary)`` to ``(doc_id, start, n)``: windows at ``start .. start + n - 1``
     of the text also start earlier in the corpus (smaller id, or same text and smaller offset)."""
     n = shuffle_partitions(docs.sparkSession)
-    order = ["t1", "t2", "doc_id", "start"]
     suffixes = docs.mapInArrow(_suffixes(length, gram), _ROW)
-    runs = stored(suffixes.repartitionByRange(n, *order).mapInArrow(_compare_runs, _ROW).select("doc_id", "start", "n", "state"), "runs")
-    open_ = runs.where(F.col("state") == SORT).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    windows = docs.join(open_.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(length), _ROW)
-    found = stored(windows.repartitionByRange(n, *order).mapInArrow(_compare_windows, _EDGE), "windows")
+    runs = stored(suffixes.repartitionByRange(n, "t1", "t2", "doc_id", "start").mapInArrow(_compare_runs, _ROW).select("t1", "doc_id", "start", "n", "state"), "runs")
+    open_ = runs.where(F.col("state") == SORT).select("t1", "doc_id", "start", "n")
+    crowds = open_.groupBy("t1").count().where(F.col("count") > CROWD).select("t1", F.lit(True).alias("crowded"))
+    open_ = open_.join(crowds, "t1", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    open_ = open_.groupBy("doc_id").agg(F.collect_list(F.struct("t1", "start", "n", "crowded")).alias("spans"))
+    windows = docs.join(open_.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(_opened(length), _OPEN)
+    order = ["k1", "k2", "k3", "k4"]
+    found = stored(windows.repartitionByRange(n, *order).sortWithinPartitions("k1").mapInArrow(_compare_windows(length), _EDGE), "windows")
     # two rows per bucket, whatever the input
     edges = found.where("part is not null")
     w = Window.orderBy("part", "last")
     before = edges.withColumns({f"b_{c}": F.lag(c).over(w) for c in ("t1", "t2", "last")})
-    across = before.where("not last and b_last and t1 = b_t1 and t2 = b_t2").select("doc_id", "start", "n")
-    return runs.where(F.col("state") == DONE).select("doc_id", "start", "n").unionByName(found.where("part is null").select("doc_id", "start", "n")).unionByName(across)
+    one = F.lit(1).alias("n")
+    across = before.where("not last and b_last and t1 = b_t1 and t2 = b_t2").select("doc_id", "start", one)
+    return runs.where(F.col("state") == DONE).select("doc_id", "start", "n").unionByName(found.where("part is null").select("doc_id", "start", one)).unionByName(across)
 
 
 def _cutter(length: int):
