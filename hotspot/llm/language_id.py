@@ -42,8 +42,12 @@ def trigrams(text: str | None) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)
 
 
+#: The language of text that is in none: every cell is as likely.
+UNKNOWN = "und"
+
+
 class TextModel(NamedTuple):
-    """Languages in order, and the log-probability of every cell in each."""
+    """Languages in order, and the log-probability of every cell in each; ``und`` is the last."""
 
     languages: list[str]
     logp: np.ndarray
@@ -68,11 +72,16 @@ def fit_text_model(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: str
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
     chosen = known.join(F.broadcast(sizes), "lang").where(draw < F.lit(float(train_rows)) / F.col("count"))
     rows = chosen.select("lang", "text").mapInArrow(_counter, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in rows})
+    langs = sorted({r["lang"] for r in rows} - {UNKNOWN})
     counts = np.full((CELLS, len(langs)), 0.5)
     for r in rows:
+        if r["lang"] == UNKNOWN:
+            continue
         counts[r["cell"], langs.index(r["lang"])] += r["n"]
-    return TextModel(langs, np.log(counts / counts.sum(axis=0)) if langs else counts)
+    if not langs:
+        return TextModel([], counts)
+    logp = np.log(counts / counts.sum(axis=0))
+    return TextModel([*langs, UNKNOWN], np.concatenate((logp, np.full((CELLS, 1), -np.log(CELLS))), axis=1))
 
 
 def _scorer(model, cap: int):
@@ -101,7 +110,7 @@ def identify(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR,
     """``rows(id, text, declared, host, suffix)`` to ``(id, lang, posterior, text_lang, accepted, declared, host, suffix)``.
 
     ``accepted``: the text has letters enough for a trigram, the posterior of the best language is
-    at least ``least``, and it is one of ``keep`` (None: any). A null text counts as empty and has
+    at least ``least``, and it is one of ``keep`` (None: any but ``und``, text in no known language). A null text counts as empty and has
     no text evidence, no language and is not accepted; a null declaration, host or suffix is a
     value of its own. Rows without an id and repeated rows are judged each for itself. An empty
     table, or no labelled rows to fit on, gives no language and nothing accepted. Hosts may hold
@@ -147,7 +156,7 @@ def identify(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR,
     res = joined.withColumns({"best": F.when(has, best), "text_best": F.when(has, text_best)})
     lang = F.element_at(names, (F.lit(1) - F.col("best.k")).cast("int"))
     res = res.select("id", lang.alias("lang"), F.col("best.p").alias("posterior"), F.element_at(names, (F.lit(1) - F.col("text_best.k")).cast("int")).alias("text_lang"), "declared", "host", "suffix")
-    wanted = F.lit(True) if keep is None else F.col("lang").isin(*keep)
+    wanted = (F.col("lang") != UNKNOWN) if keep is None else F.col("lang").isin(*keep)
     return res.withColumn("accepted", F.coalesce((F.col("posterior") >= least) & wanted, F.lit(False))).select("id", "lang", "posterior", "text_lang", "accepted", "declared", "host", "suffix")
 
 
