@@ -192,16 +192,18 @@ def _opened(length: int):
         for b in batches:
             runs: list[tuple] = []
             parts = []
-            for i, t, spans in zip(*(b.column(k).to_pylist() for k in range(3))):
-                crowded = [np.arange(x["start"], x["start"] + x["n"]) for x in spans if x["crowded"]]
-                runs.extend((x["t1"], i, x["start"], t[x["start"] : x["start"] + x["n"] + length - 1]) for x in spans if not x["crowded"])
+            ends, (lead, start, count, crowd) = _spans(b.column(2))
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                own = range(ends[k], ends[k + 1])
+                crowded = [np.arange(start[x], start[x] + count[x]) for x in own if crowd[x]]
+                runs.extend((lead[x], i, start[x], t[start[x] : start[x] + count[x] + length - 1]) for x in own if not crowd[x])
                 if crowded:
                     at = np.unique(np.concatenate(crowded))
                     parts.append(_hashed(np.frombuffer(t, np.uint8), at, length, i, at))
             zero = np.zeros(len(runs), np.int64)
             if runs:
-                doc, start = (np.array([r[k] for r in runs], np.int64) for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), *(pa.array(zero) for _ in range(3)), pa.array(doc), pa.array(start), pa.array(zero.astype(np.int32)), pa.array([r[3] for r in runs], pa.binary())], _OPEN_NAMES)
+                key, doc, at = (np.array([r[k] for r in runs], np.int64) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(zero) for _ in range(3)), pa.array(doc), pa.array(at), pa.array(zero.astype(np.int32)), pa.array([r[3] for r in runs], pa.binary())], _OPEN_NAMES)
             if parts:
                 c = _combine([np.concatenate(x) for x in zip(*parts)])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[k]) for k in (0, 1, 2, 3, 2, 3)), pa.array(c[5]), pa.nulls(len(c[0])).cast(pa.binary())], _OPEN_NAMES)
@@ -215,12 +217,32 @@ def _hashed(data: np.ndarray, at: np.ndarray, length: int, doc, start: np.ndarra
     return *h, np.broadcast_to(np.asarray(doc, np.int64), at.shape).copy(), start, np.ones(len(at), np.int32), np.zeros(len(at), np.int32)
 
 
-_EDGE = "t1 long, t2 long, doc_id long, start long, part int, last boolean"
+_EDGE = "t1 long, t2 long, doc_id long, start long, n int, part int, last boolean"
 
 
 def _edge_batch(cols, part, last) -> pa.RecordBatch:
     n = len(cols[0])
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array([part] * n, pa.int32()), pa.array([last] * n, pa.bool_())], ["t1", "t2", "doc_id", "start", "part", "last"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32()), pa.array([part] * n, pa.int32()), pa.array([last] * n, pa.bool_())], ["t1", "t2", "doc_id", "start", "n", "part", "last"])
+
+
+def _joined(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Repeated windows with those that follow each other in one text as one row."""
+    if not len(cols[0]):
+        return cols
+    order = np.lexsort((cols[3], cols[2]))
+    doc, start = cols[2][order], cols[3][order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:] - 1, [len(doc) - 1]))
+    zero = np.zeros(len(first), np.int64)
+    return [zero, zero, doc[first], start[first], (start[last] - start[first] + 1).astype(np.int32)]
+
+
+def _spans(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and flat fields of an array of structs, without a Python object for each."""
+    flat = column.flatten()
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(n))), [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
 
 
 def _again(cols: list[np.ndarray]) -> list[np.ndarray]:
@@ -259,18 +281,18 @@ def _compare_windows(length: int):
             r = b.filter(pc.invert(alone))
             for row in zip(*(r.column(k).to_pylist() for k in (0, 4, 5, 7))):
                 if held >= HELD and rows[-1][0] != row[0]:
-                    yield _edge_batch(of_runs(rows), None, None)
+                    yield _edge_batch(_joined(of_runs(rows)), None, None)
                     rows, held = [], 0
                 rows.append(row)
                 held += len(row[3])
         if rows:
-            yield _edge_batch(of_runs(rows), None, None)
+            yield _edge_batch(_joined(of_runs(rows)), None, None)
         if single:
             cols = [np.concatenate(x) for x in zip(*single)]
             order = multikey_sort(cols[:4])
             for at, last in ((order[:1], False), (order[-1:], True)):
                 yield _edge_batch([c[at] for c in cols], part, last)
-            yield _edge_batch(_again(cols), None, None)
+            yield _edge_batch(_joined(_again(cols)), None, None)
 
     return run
 
@@ -292,20 +314,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     edges = found.where("part is not null")
     w = Window.orderBy("part", "last")
     before = edges.withColumns({f"b_{c}": F.lag(c).over(w) for c in ("t1", "t2", "last")})
-    one = F.lit(1).alias("n")
-    across = before.where("not last and b_last and t1 = b_t1 and t2 = b_t2").select("doc_id", "start", one)
-    return runs.where(F.col("state") == DONE).select("doc_id", "start", "n").unionByName(found.where("part is null").select("doc_id", "start", one)).unionByName(across)
+    across = before.where("not last and b_last and t1 = b_t1 and t2 = b_t2").select("doc_id", "start", "n")
+    return runs.where(F.col("state") == DONE).select("doc_id", "start", "n").unionByName(found.where("part is null").select("doc_id", "start", "n")).unionByName(across)
 
 
 def _cutter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, t, spans in zip(*(b.column(k).to_pylist() for k in range(3))):
+            ends, (starts, counts) = _spans(b.column(2))
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 t, cuts = t or b"", []
-                if spans:
-                    s = np.array([x["start"] for x in spans])
-                    e = s + np.array([x["n"] for x in spans]) + (length - 1)
+                if ends[k] < ends[k + 1]:
+                    s = starts[ends[k] : ends[k + 1]]
+                    e = s + counts[ends[k] : ends[k + 1]] + (length - 1)
                     order = np.argsort(s, kind="stable")
                     s, e = s[order], np.maximum.accumulate(e[order])
                     new = np.concatenate(([True], s[1:] > e[:-1]))
