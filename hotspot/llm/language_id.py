@@ -149,13 +149,13 @@ def identify(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR,
         said = F.when(F.col("declared") == "", F.lit(1.0)).otherwise((F.greatest(F.col(f"d{k}") - F.col(f"s{k}"), F.lit(0.0)) + DECLARED_WEIGHT / max(1, everywhere["forms"])) / (F.lit(mass[k]) + DECLARED_WEIGHT))
         weights.append(F.col(f"s{k}") * prior * said)
     total = sum(weights[1:], weights[0])
-    best = F.array_max(F.array(*(F.struct((w / total).alias("p"), F.lit(-k).alias("k")) for k, w in enumerate(weights))))
+    best = F.array_max(F.array(*(F.struct(F.try_divide(w, total).alias("p"), F.lit(-k).alias("k")) for k, w in enumerate(weights))))
     text_best = F.array_max(F.array(*(F.struct(F.col(f"s{k}").alias("p"), F.lit(-k).alias("k")) for k in ks)))
     names = F.array(*(F.lit(x) for x in langs))
     has = F.col("n") > 0
-    res = joined.withColumns({"best": F.when(has, best), "text_best": F.when(has, text_best)})
-    lang = F.element_at(names, (F.lit(1) - F.col("best.k")).cast("int"))
-    res = res.select("id", lang.alias("lang"), F.col("best.p").alias("posterior"), F.element_at(names, (F.lit(1) - F.col("text_best.k")).cast("int")).alias("text_lang"), "declared", "host", "suffix")
+    res = joined.withColumns({"best": best, "text_best": text_best})
+    name = lambda c: F.when(has, F.element_at(names, (F.lit(1) - F.col(c)["k"]).cast("int")))
+    res = res.select("id", name("best").alias("lang"), F.when(has, F.col("best")["p"]).alias("posterior"), name("text_best").alias("text_lang"), "declared", "host", "suffix")
     wanted = (F.col("lang") != UNKNOWN) if keep is None else F.col("lang").isin(*keep)
     return res.withColumn("accepted", F.coalesce((F.col("posterior") >= least) & wanted, F.lit(False))).select("id", "lang", "posterior", "text_lang", "accepted", "declared", "host", "suffix")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspot.llm.common import stored
+from hotspot.llm.common import fresh, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT, SEED = 1.5, 2.0, "mix"
@@ -91,14 +91,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with ``copy`` from 1.
 
     Rows that repeat an id are emitted as often as all rows of that id together; rows without an
-    id are not taken.
+    id are not taken. A column named ``copy`` is replaced.
     """
     taken = mix(docs, id_col=id_col, **options).where("doc_id is not null").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias(id_col), F.col("copies").alias("__copies"), F.col("rows").alias("__rows"))
-    once = docs.join(taken.where("__rows = 1").drop("__rows").hint("shuffle_hash"), id_col)
-    again = docs.join(taken.where("__rows > 1").drop("__rows"), id_col).dropDuplicates([id_col])
-    out = once.unionByName(again).select(*docs.columns, F.explode(F.expr("sequence(1, cast(__copies as int))")).alias("copy"))
-    return out
+    n = fresh("copies")
+    names = [c for c in docs.columns if c != "copy"]
+    once, again = (taken.where(w).select(F.col("doc_id").alias(id_col), F.col("copies").alias(n)) for w in ("rows = 1", "rows > 1"))
+    out = docs.join(once.hint("shuffle_hash"), id_col).unionByName(docs.join(again, id_col).dropDuplicates([id_col]))
+    return out.select(*names, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("copy"))
 
 
 ORACLE_SQL = r"""

@@ -220,13 +220,13 @@ def _kind(m: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", keep_values: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", keep_values: bool = False, pii_col: str = "pii") -> DataFrame:
     """``docs`` with pseudonyms in place of personal numbers, dates and e-mail addresses.
 
-    Adds ``pii``: an array of ``(kind, pseudonym)`` of what was replaced, in text order; with
+    Adds ``pii`` (``pii_col``): an array of ``(kind, pseudonym)`` of what was replaced, in text order; with
     ``keep_values`` the private value as well, for whoever may re-link them.
     Matches that do not validate (wrong check digit, no such day, number above 255) stay. A null
-    text stays null with a null ``pii``; empty texts stay empty; a column already named ``pii`` is
+    text stays null with a null ``pii``; empty texts stay empty; a column already of that name is
     replaced, all others are kept. Rows are handled one by one: repeated rows give equal results,
     and nothing is shuffled.
     """
@@ -234,14 +234,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", keep_v
     any_ = "|".join(f"(?:{p})" for p in PATTERNS.values())
     # rows without a digit or an at sign have nothing to look for
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(any_), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
-    out = docs.withColumn("pii", found)
     new = lambda m: _let(_kind(m), lambda k: _case(k, m, key))
-    out = out.withColumn("pii", F.transform("pii", new))
+    out = docs.withColumn(pii_col, found).withColumn(pii_col, F.transform(pii_col, new))
     pieces = F.split(text, any_, -1)
-    joined = F.array_join(F.zip_with(pieces, F.col("pii"), lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], m["value"], F.lit("")))), "")
-    out = out.withColumn(text_col, F.when(F.size("pii") > 0, joined).otherwise(text))
-    out = out.withColumn("pii", F.filter("pii", lambda m: m["pseudonym"].isNotNull()))
-    return out if keep_values else out.withColumn("pii", F.transform("pii", lambda m: m.dropFields("value")))
+    joined = F.array_join(F.zip_with(pieces, F.col(pii_col), lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], m["value"], F.lit("")))), "")
+    out = out.withColumn(text_col, F.when(F.size(pii_col) > 0, joined).otherwise(text))
+    out = out.withColumn(pii_col, F.filter(pii_col, lambda m: m["pseudonym"].isNotNull()))
+    return out if keep_values else out.withColumn(pii_col, F.transform(pii_col, lambda m: m.dropFields("value")))
 
 
 def _case(kind: Column, m: Column, key: str) -> Column:
