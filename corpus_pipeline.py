@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotspot.llm import mixing
-from hotspot.llm.common import stored
+from hotspot.llm.common import fresh, stored
 from hotspot.llm.decontam import contaminated
 from hotspot.llm.jaccard_join import jaccard_join, keep_one
 from hotspot.llm.language_id import identify_documents
@@ -40,9 +40,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for personal values; ``n_chars`` follows the new text."""
-    out = pseudonymise(docs.withColumn("__old", F.col("text")))
+    old, found = fresh("old"), fresh("pii")
+    out = pseudonymise(docs.withColumn(old, F.col("text")), pii_col=found)
     kind = docs.schema["n_chars"].dataType
-    changed = ~F.col("text").eqNullSafe(F.col("__old"))
+    changed = ~F.col("text").eqNullSafe(F.col(old))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

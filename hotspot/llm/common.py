@@ -16,6 +16,8 @@ _U = np.uint64
 # fixed values: odd multipliers of the two byte hashes, the finaliser's constants
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Rows that one task of a component round may write.
+ROUND_ROWS = 100_000
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -124,10 +126,16 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     aggregates: nothing of a component meets in one task or the driver but a row count.
     """
     spark = edges.sparkSession
+    most = shuffle_partitions(spark)
+
+    def tasks(rows: int) -> int:
+        """A few rows need few tasks and files."""
+        return max(1, min(most, -(-rows // ROUND_ROWS)))
+
     e = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     steps: list[DataFrame] = []
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    while not e.isEmpty():
+    while left := e.count():
         if len(steps) >= most_rounds:
             raise RuntimeError("components do not converge")
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -138,12 +146,12 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         for _ in range(2):
             nxt = step.select(F.col("node").alias("to"), F.col("to").alias("to2"))
             step = step.join(nxt, "to").select("node", F.col("to2").alias("to"))
-        step = stored(step, "step")
+        step = stored(step.coalesce(tasks(2 * left)), "step")
         steps.append(step)
         s1 = step.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         s2 = step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         e = e.join(s1, "a").join(s2, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        e = stored(e, "edges")
+        e = stored(e.coalesce(tasks(left)), "edges")
     if not steps:
         return spark.createDataFrame([], "node long, label long")
     out = steps[-1].select("node", F.col("to").alias("root"))
