@@ -20,6 +20,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from hotspot.operators import counts, frames, frontier, frp, report, runout, spatial
+from hotspot.session import cut_lineage
 from hotspot.sources import detections, projects, sinks
 
 
@@ -35,23 +36,13 @@ def _session() -> SparkSession:
     )
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # path missing or not a table yet
-        return False
-
-
 def merge(spark: SparkSession, archive: str, landing: str, glob: str = "*.csv"):
     raw = detections.tag_project_from_path(detections.scan_tagged(spark, landing, glob))
-    batch = detections.clean_detections(raw, spark, project_type="string")
-    # arrival order inside the batch: non-negative and below 2^62 as the merge requires
+    batch = detections.clean_detections(raw, spark, project_type="string", carry=True)
+    # arrival order inside the batch: non-negative and below 2^62 as the merge requires; the
+    # batch is written once, so that the order does not depend on how often it is read
     batch = batch.withColumn("origin", F.lit(1)).withColumn("ingest_seq", F.monotonically_increasing_id())
-    if not table_exists(spark, archive):
-        sinks.write_archive(batch.withColumn("origin", F.lit(0)), archive)
-        return None
-    return sinks.merge_into_archive(spark, archive, batch)
+    return sinks.merge_into_archive(spark, archive, cut_lineage(batch))
 
 
 def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob: str = "config_*.txt") -> None:
@@ -61,15 +52,18 @@ def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob:
     det = spark.read.parquet(archive)
     if lo is not None and hi is not None:
         det = det.where(F.col("acq_month").between(lo.strftime("%Y-%m"), hi.strftime("%Y-%m")))
-    det = det.drop("acq_month", "origin", "ingest_seq")
-    filtered = runout.filter_runout(det, prj)
-    daily = runout.daily_runout(filtered)
+    det = det.drop(sinks.MONTH, sinks.BUCKET, "origin", "ingest_seq")
+    # the large filtered table and the daily maxima are written first and read back
+    extra = ("vent_lat", "vent_lon", "start_ts", "end_ts", "filter_frp", "frp_mode", "filter_track", "ref_radius_m")
+    base = out.rstrip("/")
+    sinks.write_by_month(runout.filter_runout(det, prj).drop(*extra), f"{base}/filtered_detections", "obs_ts")
+    filtered = spark.read.parquet(f"{base}/filtered_detections").drop(sinks.MONTH)
+    sinks.write_table(runout.daily_runout(filtered), f"{base}/daily_runout")
+    daily = spark.read.parquet(f"{base}/daily_runout")
     front = frontier.frontier(daily)
     rows = frp.frp_rows(det, prj)
     summary = frp.frp_summary(rows)
     tables = {
-        "filtered_detections": filtered.drop("vent_lat", "vent_lon", "start_ts", "end_ts", "filter_frp", "frp_mode", "filter_track", "ref_radius_m"),
-        "daily_runout": daily,
         "frontier": front,
         "speed_summary": frontier.speed_summary(front),
         "weekly_counts": counts.weekly_counts(det, prj),

@@ -27,8 +27,15 @@ def distinct_dates(batch: DataFrame) -> DataFrame:
 
 def refresh_anti(history: DataFrame, batch: DataFrame) -> DataFrame:
     """History rows whose (project, sensor, date) the batch re-delivers are dropped.
-    A left-anti join (no NOT IN null trap); the date set is small and is joined by hash."""
-    return history.join(distinct_dates(batch), REFRESH_KEY, "left_anti")
+    A left-anti join (no NOT IN null trap); the date set is small and is joined by hash.
+
+    Where both sides carry `delivery`, rows of the delivery that the batch goes on with stay:
+    one response split over several batches does not refresh itself away."""
+    kept = history.join(distinct_dates(batch), REFRESH_KEY, "left_anti")
+    if "delivery" not in history.columns or "delivery" not in batch.columns:
+        return kept
+    key = [*REFRESH_KEY, "delivery"]
+    return kept.unionByName(history.join(batch.select(*key).where("delivery is not null").distinct(), key, "left_semi"))
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
@@ -66,10 +73,13 @@ def merge_detections(history: DataFrame, batch: DataFrame) -> DataFrame:
     u = with_round_keys(drop_incomplete(union_all([kept, batch])))
     u = u.withColumn("ord", F.shiftleft(F.col("origin").cast("long"), SEQ_BITS) + F.col("ingest_seq"))
     vals = ["detection_id", "frp", "track", "latitude", "longitude", "origin", "ingest_seq"]
+    # whatever else the files carried (brightness, confidence, ...) goes along
+    more = [c for c in u.columns if c not in {*DET_COLS, *DEDUP_KEY, *vals, "ord"}]
+    vals += more
     d = u.groupBy(*DEDUP_KEY).agg(*[F.min_by(c, "ord").alias(c) for c in vals])
     sens = F.broadcast(schemas.sensors(history.sparkSession).select("sensor", "satellite", "source_id"))  # fixed 4 rows
     d = d.join(sens, "sensor").withColumn("obs_ts", build_obs_ts("acq_date", "acq_time"))
-    return d.select(*DET_COLS, "origin", "ingest_seq")
+    return d.select(*DET_COLS, "origin", "ingest_seq", *more)
 
 
 def merge_log(history: DataFrame, batch: DataFrame, merged: DataFrame) -> DataFrame:

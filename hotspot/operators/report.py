@@ -60,10 +60,10 @@ REPORT_SCHEMA = "project_id bigint, section string, metric string, value_num dou
 
 def write_report(report: DataFrame, projects: DataFrame, path: str) -> None:
     """K6: the long KPI table as JSON, one directory per project and reporting period
-    (project_id=<id>/period=<start>_<end>/)."""
+    (project_id=<id>/period=<start>_<end>/); reports of other projects and periods stay."""
     period = F.concat_ws("_", F.date_format("start_ts", "yyyyMMdd"), F.date_format("end_ts", "yyyyMMdd"))
     r = report.join(projects.select("project_id", period.alias("period")), "project_id")
-    r.write.mode("overwrite").partitionBy("project_id", "period").json(path)
+    r.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "period").json(path)
 
 
 def read_report(spark, path: str) -> DataFrame:

@@ -10,7 +10,8 @@ from hotspot.functions.waypoints import parse_waypoints
 from hotspot.operators.dims import dim_join
 
 REQUEST_MAX_DAYS = 5  # fixed value: longest window one area request may cover
-MIN_CELL_DEG = 0.1
+#: Side of a grid cell. Fixed: one large project does not make all cells large.
+CELL_DEG = 0.5
 
 
 def project_boxes(projects: DataFrame) -> DataFrame:
@@ -38,17 +39,15 @@ def assign_projects(det: DataFrame, projects: DataFrame) -> DataFrame:
     """Global detections (no project) -> every project whose box contains them.
 
     A 2-D range join that Catalyst would run as a nested loop is rewritten as an equi-join
-    on grid cells: the cell side is the largest box extent, so each box covers at most
-    2 x 2 cells; a detection falls in exactly one cell. The exact box test follows the
-    hash join. The box table is broadcast when Spark sizes it small (it is bounded by
+    on cells of a fixed grid: each box is listed under the cells it covers, a detection falls
+    in exactly one cell. The exact box test follows the hash join. The box table is broadcast when Spark sizes it small (it is bounded by
     the project count), otherwise both sides shuffle on the cell key (AQE splits a hot cell)."""
     boxes = _split_antimeridian(project_boxes(projects))
-    ext = boxes.agg(F.max(F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))).alias("x")).first()
-    cs = max(MIN_CELL_DEG, float(ext["x"] or 0.0))  # one scalar over the project catalogue
-    cell = lambda c: F.floor(F.col(c) / F.lit(cs)).cast("long")
+    cell = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(CELL_DEG)).cast("long")
+    south, north = F.greatest("south", F.lit(-90.0)), F.least("north", F.lit(90.0))
     cells = boxes.select(
         "*",
-        F.explode(F.sequence(cell("south"), cell("north"))).alias("cy"),
+        F.explode(F.sequence(cell(south), cell(north))).alias("cy"),
     ).select("*", F.explode(F.sequence(cell("west"), cell("east"))).alias("cx"))
     d = det.withColumn("cy", cell("latitude")).withColumn("cx", cell("longitude"))
     j = d.join(cells, ["cy", "cx"])
@@ -57,10 +56,12 @@ def assign_projects(det: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def in_bbox(det: DataFrame, projects: DataFrame) -> DataFrame:
-    """whether each detection lies inside its own project's download box."""
+    """whether each detection lies inside its own project's download box (a box may cross
+    the 180th meridian: longitudes are compared a full turn either way as well)."""
     b = project_boxes(projects).drop("area")
     j = dim_join(det, b, "project_id")
-    inside = F.col("latitude").between(F.col("south"), F.col("north")) & F.col("longitude").between(F.col("west"), F.col("east"))
+    lon = lambda turn: (F.col("longitude") + F.lit(turn)).between(F.col("west"), F.col("east"))
+    inside = F.col("latitude").between(F.col("south"), F.col("north")) & (lon(0.0) | lon(360.0) | lon(-360.0))
     return j.withColumn("inside", inside)
 
 

@@ -180,14 +180,14 @@ def q_rejected_rows(spark, sf):
 
 
 def merge_inputs(spark, sf):
-    """History and a new batch from the whole events detections: history is every
-    detection up to 20 Jan, the batch re-delivers 18-25 Jan (so 18-20 Jan are refreshed)
+    """History and a new batch that together hold the whole events detections: history is
+    every detection up to 20 Jan, the batch is all from 18 Jan on (so 18-20 Jan are refreshed)
     and carries a near copy of each of its rows (latitude moved by 0.00001: most fall on
     the same 4-dp key and are removed, the ones crossing a rounding boundary stay)."""
     d = fx.detections_ev(spark, sf)
     hist = d.where(F.col("acq_date") <= F.lit("2024-01-20").cast("date"))
     hist = hist.withColumn("origin", F.lit(0)).withColumn("ingest_seq", F.col("detection_id") * 2)
-    new0 = d.where(F.col("acq_date").between(F.lit("2024-01-18").cast("date"), F.lit("2024-01-25").cast("date")))
+    new0 = d.where(F.col("acq_date") >= F.lit("2024-01-18").cast("date"))
     copies = new0.withColumn("latitude", F.col("latitude") + 0.00001).withColumn("ingest_seq", F.col("detection_id") * 2 + 1)
     new = new0.withColumn("ingest_seq", F.col("detection_id") * 2).unionByName(copies).withColumn("origin", F.lit(1))
     return hist, new
@@ -195,7 +195,7 @@ def merge_inputs(spark, sf):
 
 MERGE_CTES = [
     """hist AS (SELECT *, 0 AS origin, detection_id * 2 AS ingest_seq FROM det_ev WHERE acq_date <= DATE '2024-01-20')""",
-    """new0 AS (SELECT * FROM det_ev WHERE acq_date BETWEEN DATE '2024-01-18' AND DATE '2024-01-25')""",
+    """new0 AS (SELECT * FROM det_ev WHERE acq_date >= DATE '2024-01-18')""",
     """new AS (SELECT *, 1 AS origin, detection_id * 2 AS ingest_seq FROM new0
   UNION ALL SELECT * REPLACE (latitude + 0.00001 AS latitude), 1 AS origin, detection_id * 2 + 1 AS ingest_seq FROM new0)""",
     """kept AS (SELECT * FROM hist h WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.project_id = h.project_id AND n.sensor = h.sensor AND n.acq_date = h.acq_date))""",

@@ -62,7 +62,7 @@ DET_EV = """det_ev AS (
   FROM events e
   JOIN region r ON r.r_regionkey = e.user_id % 5
   JOIN sensors s ON s.satellite = CASE e.event_type WHEN 'view' THEN 'SNPP' WHEN 'click' THEN 'NOAA20'
-                                                     WHEN 'signup' THEN 'NOAA21' WHEN 'purchase' THEN 'MODIS' END)"""
+                                                     WHEN 'signup' THEN 'NOAA21' ELSE 'MODIS' END)"""
 
 LI_BASE = """li_base AS (
   SELECT CAST(l_suppkey % 5 AS BIGINT) AS project_id, l_orderkey * 8 + l_linenumber AS detection_id,

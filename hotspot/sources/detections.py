@@ -2,49 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hotspot import schemas
 from hotspot.functions.clean import build_obs_ts, coerce_numeric, pad_time, parse_date
 from hotspot.operators.dims import fixed_broadcast
 
-# Archive keys as they appear in file names, e.g.
+# The sensor part of archive file and folder names, e.g.
 # historical_VIIRS_SNPP_NRT_<project>.csv, and the project part of such a name.
-SENSOR_KEY_RE = r"(MODIS_NRT|VIIRS_[A-Z0-9]+_NRT)"
-PROJECT_FROM_NAME_RE = r"historical_(?:MODIS_NRT|VIIRS_[A-Z0-9]+_NRT)_(.+)\.csv$"
+SENSOR_KEY_RE = r"((?:MODIS|VIIRS)(?:_[A-Z]+[0-9]*)??(?:_(?:NRT|SP|URT|RT))|(?:MODIS|VIIRS)(?:_(?:SNPP|NOAA[0-9]+|[A-Z]+[0-9]+))?)(?=_|/|\.|$)"
+PROJECT_FROM_NAME_RE = r"historical_(?:MODIS|VIIRS)(?:_[A-Z0-9]+)*?(?:_(?:NRT|SP|URT|RT))_(.+)\.csv$"
 PROJECT_FROM_DIR_RE = r"project_id=([^/]+)"
-
-def read_archive(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
+#: Columns that every header line names.
+HEADER_NAMES = ("latitude", "longitude")
+
+
+def file_layouts(lines: DataFrame) -> list[tuple[str, bool, list[str]]]:
+    """Distinct layouts of text files: (header line, whether the text is UTF-8, its files).
+
+    `lines` has (path, value). One aggregate over the text; the driver gets one line per file,
+    as it does when it lists them."""
+    low = F.lower("value")
+    head = low.contains(HEADER_NAMES[0]) & low.contains(HEADER_NAMES[1])
+    per_file = lines.groupBy("path").agg(F.max(F.when(head, F.col("value"))).alias("header"), F.max(~F.is_valid_utf8("value")).alias("bad"))
+    rows = per_file.where("header is not null").groupBy("header", "bad").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    return sorted((r["header"], not r["bad"], r["paths"]) for r in rows)
+
+
+def header_names(header: str) -> list[str]:
+    return [c.strip().strip('"').lstrip("\ufeff") for c in header.split(",")]
+
+
+def read_by_name(spark: SparkSession, path, glob: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Text archives whose files may differ in header: each layout is read with its own explicit
+    all-text schema and the parts are united by column name, so a column that a file lacks is
+    NULL for its rows. Files that are not UTF-8 are read as latin-1 (unless `encoding` is given).
+    Hive-style folders (project_id=/sensor=) become columns; `_path` is the row's file."""
+    lines = spark.read.option("recursiveFileLookup", True)
+    lines = (lines.option("pathGlobFilter", glob) if glob else lines).text(path)
+    found = file_layouts(lines.select(F.col("_metadata.file_path").alias("path"), "value"))
+    parts = []
+    for header, utf8, paths in found:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header_names(header)])
+        r = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+        r = r.option("encoding", encoding or ("UTF-8" if utf8 else "ISO-8859-1")).option("enforceSchema", True)
+        part = r.csv(paths).withColumn("_path", F.col("_metadata.file_path"))
+        folder = lambda key: F.regexp_extract("_path", f"{key}=([^/]+)/", 1)
+        for key in ("project_id", "sensor"):
+            if key not in part.columns:
+                part = part.withColumn(key, F.when(folder(key) != "", folder(key)))
+        parts.append(part)
+    if not parts:
+        return spark.createDataFrame([], "latitude string, longitude string, project_id string, sensor string, _path string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_archive(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
     """Text archive(s) with a header; every column stays text (no inference), columns
-    are addressed by name so sensor layouts with different column sets read alike.
-    Hive-style directories (project_id=/sensor=) become columns by partition discovery."""
-    return (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("mode", "PERMISSIVE")
-        .option("inferSchema", False)
-        .csv(path)
-    )
+    are addressed by name so sensor layouts with different column sets read alike."""
+    return read_by_name(spark, path, encoding=encoding).drop("_path")
 
 
-def scan_tagged(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
+def scan_tagged(spark: SparkSession, root: str, glob: str = "*.csv", encoding: str | None = None) -> DataFrame:
     """All archives below `root` matching `glob`; sensor key and project are taken from
     each row's file path (historical_<SENSOR>_<project>.csv, or project_id=/sensor= dirs)."""
-    df = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("inferSchema", False)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .csv(root)
-    )
-    path = F.col("_metadata.file_path")
+    df = read_by_name(spark, root, glob, encoding).drop("project_id", "sensor")
+    path = F.col("_path")
     name_project = F.regexp_extract(path, PROJECT_FROM_NAME_RE, 1)
     dir_project = F.regexp_extract(path, PROJECT_FROM_DIR_RE, 1)
+    dir_sensor = F.regexp_extract(path, "sensor=([^/]+)/", 1)
+    name_sensor = F.regexp_extract(path, SENSOR_KEY_RE, 1)
     return df.select(
-        "*",
-        F.regexp_extract(path, SENSOR_KEY_RE, 1).alias("sensor"),
+        *[c for c in df.columns if c != "_path"],
+        F.when(dir_sensor != "", dir_sensor).otherwise(name_sensor).alias("sensor"),
         F.when(dir_project != "", dir_project).otherwise(name_project).alias("project_key"),
     )
 
@@ -53,14 +87,34 @@ def _text(df: DataFrame, name: str):
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool = True, project_type: str = "bigint") -> DataFrame:
+# Columns that typing consumes; all others are carried through as delivered.
+TYPED = {"project_id", "detection_id", "sensor", "latitude", "longitude", "frp", "track", "acq_date", "acq_time", "satellite", "project_key"}
+
+
+def sensor_name(c) -> Column:
+    """The sensor dimension's key of an archive key: all processing levels of a satellite
+    (NRT, SP, RT, URT) are one sensor."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, "_(SP|URT|RT)$", "_NRT")
+
+
+def known_sensor(c) -> Column:
+    return F.coalesce(sensor_name(c).isin([s[0] for s in schemas.SENSORS]), F.lit(False))
+
+
+def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool = True, project_type: str = "bigint", carry: bool = False) -> DataFrame:
     """P1-P4 + J2 + F7: type the text columns (bad numbers and NaN -> NULL, three date
     layouts row by row, padded time, observation timestamp), attach the sensor dimension,
-    and (by default) drop rows without position or date."""
+    and (by default) drop rows without position, date or known sensor (`rejected_rows` lists
+    them). With `carry` the other delivered columns (brightness, scan, instrument, confidence,
+    version, day/night, ...) go along as text, the delivered satellite as `satellite_code`."""
+    more = [c for c in raw.columns if c not in TYPED] if carry else []
+    code = [F.col("satellite").alias("satellite_code")] if carry and "satellite" in raw.columns else []
     d = raw.select(
+        *[F.col(f"`{c}`") for c in more],
+        *code,
         (F.col("project_id") if "project_id" in raw.columns else F.lit(None)).cast(project_type).alias("project_id"),
         _text(raw, "detection_id").alias("detection_id_text"),
-        F.col("sensor"),
+        sensor_name("sensor").alias("sensor"),
         coerce_numeric(_text(raw, "latitude")).alias("latitude"),
         coerce_numeric(_text(raw, "longitude")).alias("longitude"),
         coerce_numeric(_text(raw, "frp")).alias("frp"),
@@ -74,10 +128,10 @@ def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool
     )
     d = d.withColumn("detection_id", ident).withColumn("obs_ts", build_obs_ts("acq_date", "acq_time"))
     # the sensor dimension has 4 fixed rows
-    d = d.join(fixed_broadcast(schemas.sensors(spark).drop("family")), "sensor")
+    d = d.join(fixed_broadcast(schemas.sensors(spark).drop("family")), "sensor", "left")
     if drop_incomplete:
-        d = d.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("acq_date").isNotNull())
-    return d.select(*[f.name for f in schemas.DETECTIONS.fields])
+        d = d.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("acq_date").isNotNull() & F.col("satellite").isNotNull())
+    return d.select(*[f.name for f in schemas.DETECTIONS.fields], *[f"`{c}`" for c in more], *(["satellite_code"] if code else []))
 
 
 def tag_project_from_path(raw: DataFrame) -> DataFrame:
@@ -87,8 +141,8 @@ def tag_project_from_path(raw: DataFrame) -> DataFrame:
 
 
 def rejected_rows(raw: DataFrame) -> DataFrame:
-    """Q29: the raw rows the cleaner drops (no readable position or date), as delivered,
-    with the reason — kept for inspection instead of vanishing silently."""
+    """Q29: the raw rows the cleaner drops (no readable position or date, unknown sensor), as
+    delivered, with the reason — kept for inspection instead of vanishing silently."""
     lat = coerce_numeric(_text(raw, "latitude"))
     lon = coerce_numeric(_text(raw, "longitude"))
     date = parse_date(_text(raw, "acq_date"))
@@ -96,12 +150,14 @@ def rejected_rows(raw: DataFrame) -> DataFrame:
         F.when(date.isNull(), F.lit("date"))
         .when(lat.isNull() | lon.isNull(), F.lit("position"))
     )
+    if "sensor" in raw.columns:
+        reason = reason.when(~known_sensor("sensor"), F.lit("sensor"))
     return raw.select("*", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def reject_log(raw: DataFrame) -> DataFrame:
-    """Per project and sensor, rows read and rows dropped for a missing position or an
-    unparseable date, plus rows whose FRP is unreadable (kept, FRP NULL)."""
+    """Per project and sensor, rows read and rows dropped for a missing position, an
+    unparseable date or an unknown sensor, plus rows whose FRP is unreadable (kept, FRP NULL)."""
     lat = coerce_numeric(_text(raw, "latitude"))
     lon = coerce_numeric(_text(raw, "longitude"))
     date = parse_date(_text(raw, "acq_date"))
@@ -110,6 +166,6 @@ def reject_log(raw: DataFrame) -> DataFrame:
     return raw.groupBy(*[F.col(k).cast("bigint").alias(k) if k == "project_id" else F.col(k) for k in keys]).agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(date.isNull()).alias("bad_date"),
-        F.count_if(lat.isNull() | lon.isNull() | date.isNull()).alias("rows_dropped"),
+        F.count_if(lat.isNull() | lon.isNull() | date.isNull() | (~known_sensor("sensor") if "sensor" in raw.columns else F.lit(False))).alias("rows_dropped"),
         F.count_if(frp.isNull()).alias("frp_null"),
     )

@@ -64,12 +64,13 @@ def config_lines(projects: DataFrame) -> DataFrame:
 
 def write_projects(lines: DataFrame, root: str) -> None:
     """K5: one config file per project under project_key=<key>/ (all lines of a project in
-    one file, in key order)."""
+    one file, in key order). Only the given projects' folders are replaced."""
     (
         lines.repartition("project_key")
         .sortWithinPartitions("project_key", "line_no")
         .select("project_key", "line")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("project_key")
         .text(root)
     )
@@ -95,7 +96,8 @@ def parse_period_ts(c: Column) -> Column:
 def scan_projects(spark: SparkSession, roots, glob: str = "*.txt") -> DataFrame:
     """S3: every config file below `roots` -> one typed row per project. Lines are
     'key=value' (split at the first '='; '#' lines skipped; both sides trimmed); the last
-    occurrence of a key wins; missing keys take the defaults."""
+    occurrence of a key wins; missing keys take the defaults. Files are told apart by their
+    folder, so one key under two roots gives two rows."""
     t = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
@@ -107,11 +109,12 @@ def scan_projects(spark: SparkSession, roots, glob: str = "*.txt") -> DataFrame:
     dir_key = F.regexp_extract("path", CONFIG_DIR_RE, 1)
     kv = t.select(
         F.when(dir_key != "", dir_key).otherwise(F.regexp_extract("path", CONFIG_NAME_RE, 1)).alias("project_key"),
+        F.regexp_replace("path", "/[^/]*$", "").alias("folder"),
         F.trim(parts.getItem(0)).alias("key"),
         F.trim(F.get(parts, 1)).alias("value"),
         "seq",
     )
-    wide = kv.groupBy("project_key").pivot("key", schemas.CONFIG_KEYS).agg(F.max_by("value", "seq"))
+    wide = kv.groupBy("project_key", "folder").pivot("key", schemas.CONFIG_KEYS).agg(F.max_by("value", "seq"))
     d = schemas.CONFIG_DEFAULTS
     col = lambda k: F.col(k)
     txt = lambda k: F.coalesce(col(k), F.lit(d[k]))

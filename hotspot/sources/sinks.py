@@ -1,29 +1,46 @@
-"""Writers: detection archive (partitioned by month, incremental), derived tables."""
+"""Writers: detection archive (partitioned by month and project bucket, incremental), derived tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotspot.operators import ingest
 from hotspot.session import cut_lineage
 
-MONTH = "acq_month"
+MONTH, BUCKET = "acq_month", "project_bucket"
+#: Project buckets of a month: a merge rewrites only those its batch touches.
+BUCKETS = 16
 
 
-def _month(c="acq_date"):
+def _month(c="acq_date") -> Column:
     return F.date_format(F.col(c), "yyyy-MM")
 
 
-def write_archive(df: DataFrame, path: str, spread: int = 8, mode: str = "overwrite") -> None:
-    """K1 + O2: Parquet partitioned by acq_month (dynamic overwrite: only the months present
-    in `df` are replaced). Rows are spread over `spread` writers per month by a hash salt,
-    so a month holding most of the data is not written by one task; newest first inside
-    each file."""
-    salt = F.pmod(F.xxhash64("project_id", "detection_id"), F.lit(spread))
-    out = df.withColumn(MONTH, _month()).repartition(MONTH, salt)
-    out = out.sortWithinPartitions("project_id", F.col("acq_date").desc(), F.col("acq_time").desc())
-    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("project_id"), F.lit(BUCKETS)).cast("int")
+
+
+def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at `path`, or None where there is none yet. Any other error (a read
+    that fails, no permission) is raised: it must not pass for an empty table."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def write_archive(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K1 + O2: Parquet partitioned by month and project bucket (dynamic overwrite: only the
+    partitions present in `df` are replaced). Writers follow the size of the data: AQE cuts
+    large partitions to its advisory size and joins small ones, so a month that holds most of
+    the rows is written by as many tasks as it needs; newest first inside each file."""
+    out = df.withColumn(MONTH, _month()).withColumn(BUCKET, _bucket()).hint("rebalance", MONTH, BUCKET)
+    out = out.sortWithinPartitions(MONTH, BUCKET, "project_id", F.col("acq_date").desc(), F.col("acq_time").desc())
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(MONTH, BUCKET).parquet(path)
 
 
 def read_archive_table(spark: SparkSession, path: str) -> DataFrame:
@@ -31,15 +48,21 @@ def read_archive_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge_into_archive(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
-    """Incremental merge: read only the months the batch touches (partition pruning), merge,
-    cut the lineage with a reliable checkpoint (the result no longer reads the path being
-    replaced), then overwrite just those months. Returns the merge log."""
-    months = [r[0] for r in batch.select(_month().alias("m")).where(F.col("m").isNotNull()).distinct().collect()]
-    # the month list is bounded by the calendar span of one batch
-    arch = read_archive_table(spark, path)
-    hist = arch.where(F.col(MONTH).isin(months)).drop(MONTH).withColumn("origin", F.lit(0))
-    if "ingest_seq" not in hist.columns:
-        hist = hist.withColumn("ingest_seq", F.pmod(F.col("detection_id"), F.lit(1 << ingest.SEQ_BITS)))
+    """Incremental merge: read only the (month, project bucket) partitions the batch touches
+    (partition pruning), merge, cut the lineage with a reliable checkpoint (the result no longer
+    reads the files being replaced), then overwrite just those partitions. A first load, without
+    an archive, goes the same way from an empty history. Returns the merge log."""
+    part = F.concat_ws("/", _month(), _bucket().cast("string"))
+    # bounded by the calendar span of one batch times the buckets
+    parts = [r[0] for r in batch.where(F.col("acq_date").isNotNull()).select(part.alias("p")).distinct().collect()]
+    arch = read_if_exists(spark, path)
+    if arch is None:
+        hist = batch.limit(0)
+    else:
+        hist = arch.where(F.concat_ws("/", F.col(MONTH), F.col(BUCKET).cast("string")).isin(parts)).drop(MONTH, BUCKET)
+        hist = hist.withColumn("origin", F.lit(0))
+        if "ingest_seq" not in hist.columns:
+            hist = hist.withColumn("ingest_seq", F.pmod(F.col("detection_id"), F.lit(1 << ingest.SEQ_BITS)))
     merged = cut_lineage(ingest.merge_detections(hist, batch))
     log = cut_lineage(ingest.merge_log(hist, batch, merged))
     write_archive(merged, path)
@@ -47,8 +70,15 @@ def merge_into_archive(spark: SparkSession, path: str, batch: DataFrame) -> Data
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """K2-K4: derived tables as Parquet (optionally partitioned)."""
+    """K3, K4: derived tables as Parquet (optionally partitioned)."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_by_month(df: DataFrame, path: str, time_col: str) -> None:
+    """K2: a large derived table as Parquet by month; AQE sizes the writers, so neither a hot
+    project nor a hot month is written by one task."""
+    out = df.withColumn(MONTH, F.date_format(time_col, "yyyy-MM")).hint("rebalance", MONTH)
+    out.write.mode("overwrite").partitionBy(MONTH).parquet(path)

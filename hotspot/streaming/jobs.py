@@ -2,74 +2,59 @@
 
 Every job reads a file landing area (new files = new data), keeps its progress in a
 checkpoint in the shared folder and can be re-run with trigger(availableNow) to catch up:
-a restarted job resumes from the checkpoint, and a re-delivered micro-batch is skipped.
+a restarted job resumes from the checkpoint. No job drops rows for coming late: what a
+batch changes is worked out against the tables kept so far, of which only the touched
+partitions are read, and every step gives the same tables when a batch is applied again.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hotspot import schemas
 from hotspot.functions.calendar import seconds_between
 from hotspot.functions.clean import round_key
-from hotspot.sources import detections as sd
+from hotspot.operators import frontier
 from hotspot.session import cut_lineage
+from hotspot.sources import detections as sd
 from hotspot.sources import sinks
 
 EPOCH = "1970-01-01 00:00:00"
 
-# The per-project state function (T5) runs in Python workers; ship it by value so a job
-# works on executors where this package is not installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def event_time(ntz_col: str = "obs_ts"):
-    """TIMESTAMP_NTZ wall clock -> TIMESTAMP at the same UTC instant (watermarks and
-    windows need TIMESTAMP); independent of the session time zone."""
+    """TIMESTAMP_NTZ wall clock -> TIMESTAMP at the same UTC instant (windows need TIMESTAMP);
+    independent of the session time zone."""
     return F.timestamp_seconds(seconds_between(F.lit(EPOCH).cast("timestamp_ntz"), F.col(ntz_col)))
 
 
-def _run(writer, timeout_s: int = 600) -> None:
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+def _run(writer) -> None:
+    """Until all landed files are processed, however long that takes; a failure is raised."""
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 # ---- T1 ------------------------------------------------------------------------------
 
 
-PARTITION_COLS = [T.StructField("project_id", T.StringType()), T.StructField("sensor", T.StringType())]
-
-
-def landing_schema(columns: list[str] | None = None) -> T.StructType:
-    """Text schema of landed files plus the folder columns. Default: the fixed per-sensor
-    layout, read by position (the sensor layouts differ only in brightness column names)."""
-    fields = list(schemas.RAW_DETECTION.fields) if columns is None else [T.StructField(c, T.StringType()) for c in columns]
-    return T.StructType(fields + PARTITION_COLS)
+def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, project_type: str = "string", carry: bool = False) -> None:
+    """Text files landing in project_id=/sensor= folders -> typed, cleaned detections in a
+    Parquet table by micro-batch (same cleaning as the batch reader). Columns are read by name:
+    each batch's files are grouped by their header lines. A batch applied again replaces its own
+    part (`batch`), so no row is written twice."""
 
+    def apply(lines: DataFrame, batch_id: int) -> None:
+        paths = [r[0] for r in lines.select("path").distinct().collect()]  # new files of one batch
+        if not paths:
+            return
+        s = lines.sparkSession
+        clean = sd.clean_detections(sd.read_by_name(s, paths).drop("_path"), s, project_type=project_type, carry=carry)
+        part = clean.withColumn("batch", F.lit(batch_id))
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
-def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, columns: list[str] | None = None,
-                  project_type: str = "string") -> None:
-    """Text files landing in project_id=/sensor= folders -> typed, cleaned detections
-    appended to a Parquet table (same cleaning as the batch reader). With `columns` given
-    the header must carry exactly those names (checked); otherwise the fixed layout is
-    read by position."""
-    reader = spark.readStream.schema(landing_schema(columns)).option("header", True)
-    raw = reader.option("enforceSchema", columns is None).csv(landing)
-    clean = sd.clean_detections(raw, spark, project_type=project_type)
-    _run(clean.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append"))
+    src = spark.readStream.option("recursiveFileLookup", True).text(landing).select(F.col("_metadata.file_path").alias("path"))
+    _run(src.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
 
 
 # ---- T2 ------------------------------------------------------------------------------
@@ -77,42 +62,55 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
 DEDUP_KEY = ["project_id", "sensor", "lat_r", "lon_r", "acq_date", "acq_time"]
 
 
-def stream_dedup(spark: SparkSession, landing: str, out: str, checkpoint: str, lateness: str = "7 days") -> None:
-    """Drop re-delivered detections (same project, sensor, 4-dp position, date, time)
-    while they arrive within `lateness` of the newest event time seen."""
-    df = spark.readStream.schema(schemas.DETECTIONS).parquet(landing)
-    df = df.withColumn("lat_r", round_key("latitude")).withColumn("lon_r", round_key("longitude")).withColumn("event_ts", event_time())
-    d = df.withWatermark("event_ts", lateness).dropDuplicatesWithinWatermark(DEDUP_KEY)
-    _run(d.drop("event_ts").writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append"))
+def stream_dedup(spark: SparkSession, landing: str, out: str, checkpoint: str) -> None:
+    """Each detection (project, sensor, 4-dp position, date, time) is kept once: the first of
+    its batch in (observation time, id, latitude, longitude) order, unless an earlier batch has
+    brought it. The table is partitioned by month, and only the months of a batch are compared
+    with it, so nothing is forgotten and nothing is dropped for coming late."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        s = batch.sparkSession
+        d = batch.withColumn("lat_r", round_key("latitude")).withColumn("lon_r", round_key("longitude"))
+        rest = [c for c in d.columns if c not in DEDUP_KEY]
+        first = F.min_by(F.struct(*rest), F.struct("obs_ts", "detection_id", "latitude", "longitude"))
+        d = d.groupBy(*DEDUP_KEY).agg(first.alias("r")).select(*DEDUP_KEY, "r.*").withColumn(sinks.MONTH, F.date_format("acq_date", "yyyy-MM"))
+        old = sinks.read_if_exists(s, out)
+        if old is not None:
+            months = [r[0] for r in d.select(sinks.MONTH).distinct().collect()]  # of one batch
+            known = old.where(F.col(sinks.MONTH).isin(months)).select(*DEDUP_KEY)
+            same = [d[c].eqNullSafe(known[c]) for c in DEDUP_KEY]
+            d = d.join(known, same, "left_anti")
+        cut_lineage(d).write.mode("append").partitionBy(sinks.MONTH).parquet(out)
+
+    _run(spark.readStream.schema(schemas.DETECTIONS).parquet(landing).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
 
 
 # ---- T3 ------------------------------------------------------------------------------
 
-MERGE_INPUT = T.StructType(schemas.DETECTIONS.fields + [T.StructField("ingest_seq", T.LongType())])
+MERGE_INPUT = T.StructType(schemas.DETECTIONS.fields + [T.StructField("ingest_seq", T.LongType()), T.StructField("delivery", T.StringType())])
 
 
-def merge_batch(spark: SparkSession, archive: str, batch: DataFrame, batch_id: int) -> bool:
-    """Apply one micro-batch to the archive unless its id was applied before (a retried
-    batch after a failure). Returns whether the archive changed."""
-    done_path = archive.rstrip("/") + "_batches"
-    try:
-        done = spark.read.parquet(done_path).where(F.col("batch_id") == batch_id).limit(1).count() > 0
-    except Exception:  # no batch applied yet
-        done = False
-    if done or batch.isEmpty():
+def merge_batch(spark: SparkSession, archive: str, batch: DataFrame, delivery: str) -> bool:
+    """Merge one micro-batch into the archive; returns whether it had rows. A batch applied again
+    gives the same archive. Rows without a `delivery` belong to the given one."""
+    if batch.isEmpty():
         return False
-    sinks.merge_into_archive(spark, archive, batch.withColumn("origin", F.lit(1)))
-    spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").parquet(done_path)
+    own = F.coalesce("delivery", F.lit(delivery)) if "delivery" in batch.columns else F.lit(delivery)
+    sinks.merge_into_archive(spark, archive, batch.withColumn("delivery", own).withColumn("origin", F.lit(1)))
     return True
 
 
 def stream_merge(spark: SparkSession, landing: str, archive: str, checkpoint: str) -> None:
-    """Every micro-batch is merged into the month-partitioned archive (refresh the
-    batch's dates, de-duplicate, rewrite only touched months). Batch ids already applied
-    are recorded next to the archive, so a replayed batch changes nothing."""
+    """Every micro-batch is merged into the archive (refresh the batch's dates, de-duplicate,
+    rewrite only touched partitions); the first one makes the archive. A response may be split
+    over files and batches: rows of one `delivery` never refresh each other away. Files that name
+    no delivery are one, the landing folder's; a later response that is to replace its dates
+    names a new one."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch.sparkSession, archive, batch, batch_id)
+        merge_batch(batch.sparkSession, archive, batch, landing)
 
     src = spark.readStream.schema(MERGE_INPUT).parquet(landing)
     _run(src.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
@@ -126,33 +124,26 @@ def upsert_weeks(spark: SparkSession, out: str, changed: DataFrame, keys=("proje
     only the touched months are read and rewritten (dynamic partition overwrite); the merged
     rows are checkpointed first, so the write never reads the files it replaces. The table
     is aggregated (projects x sensors x weeks), so one file per month is enough."""
-    month = F.date_format("week_start", "yyyy-MM")
-    changed = changed.withColumn("month", month)
+    changed = changed.withColumn("month", F.date_format("week_start", "yyyy-MM"))
     months = [r[0] for r in changed.select("month").distinct().collect()]  # months open in one batch
-    try:
-        old = spark.read.parquet(out).where(F.col("month").isin(months))
-    except Exception:  # first batch: no table yet
-        old = changed.limit(0)
+    old = sinks.read_if_exists(spark, out)
+    old = changed.limit(0) if old is None else old.where(F.col("month").isin(months))
     merged = old.select(*changed.columns).join(changed.select(*keys), list(keys), "left_anti").unionByName(changed)
     merged = cut_lineage(merged)
     merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("month").parquet(out)
 
 
-def stream_weekly(spark: SparkSession, landing: str, out: str, checkpoint: str, anchor: int = 3,
-                  lateness: str = "14 days") -> None:
+def stream_weekly(spark: SparkSession, landing: str, out: str, checkpoint: str, anchor: int = 3) -> None:
     """T4: detections per (project, anchored week, satellite) as tumbling 7-day windows.
     1970-01-01 was a Thursday, so a week starting on weekday `anchor` (Monday = 0) is a
-    window offset of (anchor - 3) mod 7 days. With a watermark the state of weeks older than
-    `lateness` is dropped; each micro-batch upserts the counts it changed (update mode), so
-    the result table always holds the current count of every week. Rows arriving later than
-    `lateness` are not counted by the stream (the batch counts stay authoritative)."""
+    window offset of (anchor - 3) mod 7 days. The state holds one count per project, week and
+    satellite, which the calendar bounds, and no watermark: a detection of any age is counted.
+    Each micro-batch upserts the counts it changed (update mode)."""
     offset = (anchor - 3) % 7
     df = spark.readStream.schema(schemas.DETECTIONS).parquet(landing).withColumn("event_ts", event_time())
     w = F.window("event_ts", "7 days", "7 days", f"{offset} days")
-    agg = df.withWatermark("event_ts", lateness).groupBy("project_id", w.alias("w"), "satellite").agg(
-        F.count(F.lit(1)).alias("n_detections")
-    )
+    agg = df.groupBy("project_id", w.alias("w"), "satellite").agg(F.count(F.lit(1)).alias("n_detections"))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -166,46 +157,29 @@ def stream_weekly(spark: SparkSession, landing: str, out: str, checkpoint: str,
 
 # ---- T5 ------------------------------------------------------------------------------
 
-FRONTIER_OUT = T.StructType(
-    [T.StructField("project_id", T.LongType())]
-    + schemas.DAILY_RUNOUT.fields
-    + [
-        T.StructField("date", T.DateType()),
-        T.StructField("max_distance", T.DoubleType()),
-        T.StructField("prev_max", T.DoubleType()),
-        T.StructField("time_diff", T.DoubleType()),
-        T.StructField("distance_diff", T.DoubleType()),
-        T.StructField("speed", T.DoubleType()),
-    ]
-)
-FRONTIER_STATE = "max_distance double, last_date date"
-
-
-def _advance(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per project: rows of this micro-batch in (date, satellite) order; a row beyond the
-    running maximum is a frontier row. State = (running max, date of the last kept row)."""
-    mx, last = (state.get if state.exists else (0.0, None))
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["date_only", "satellite"], kind="stable")
-    rows = []
-    for r in pdf.itertuples(index=False):
-        if r.distance_km > mx:
-            td = None if last is None else float((r.date_only - last).days * 24)
-            dd = (r.distance_km - mx) * 1000.0
-            rows.append((key[0], r.date_only, r.satellite, r.distance_km, r.frp, r.latitude, r.longitude, r.source,
-                         r.date_only, r.distance_km, mx, td, dd, dd / td if td is not None and td > 0 else 0.0))
-            mx, last = r.distance_km, r.date_only
-    state.update((mx, last))
-    if rows:
-        yield pd.DataFrame(rows, columns=[f.name for f in FRONTIER_OUT.fields])
-
 
 def stream_frontier(spark: SparkSession, landing: str, out: str, checkpoint: str) -> None:
-    """T5: the frontier kept incrementally — per-project running maximum as streaming state.
-    Equals the batch frontier when daily rows arrive in date order; late rows need the
-    batch recomputation (the batch table stays authoritative)."""
+    """T5: the frontier kept incrementally. Daily maxima are kept by project next to the result;
+    a batch adds its days and the frontier of its projects is worked out anew from their daily
+    rows (a few per calendar day), so days may come in any order and equal the batch frontier.
+    A day that is delivered again counts once, by its largest distance."""
     schema = T.StructType([T.StructField("project_id", T.LongType())] + schemas.DAILY_RUNOUT.fields)
-    src = spark.readStream.schema(schema).parquet(landing)
-    res = src.groupBy("project_id").applyInPandasWithState(
-        _advance, FRONTIER_OUT, FRONTIER_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    _run(res.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append"))
+    kept = out.rstrip("/") + "_daily"
+    rest = [f.name for f in schemas.DAILY_RUNOUT.fields if f.name not in ("date_only", "satellite")]
+
+    def replace(df: DataFrame, path: str) -> None:
+        df.hint("rebalance", "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        s = batch.sparkSession
+        touched = batch.select("project_id").distinct()
+        old = sinks.read_if_exists(s, kept)
+        rows = batch if old is None else batch.unionByName(old.withColumn("project_id", F.col("project_id").cast("long")).join(touched, "project_id", "left_semi"))
+        largest = F.max_by(F.struct(*rest), F.struct("distance_km", "latitude", "longitude"))
+        rows = cut_lineage(rows.groupBy("project_id", "date_only", "satellite").agg(largest.alias("r")).select("project_id", "date_only", "satellite", "r.*"))
+        replace(rows, kept)
+        replace(frontier.frontier(rows), out)
+
+    _run(spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))

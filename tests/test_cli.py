@@ -17,7 +17,8 @@ def test_merge_then_analyse(spark):
     raw = fx.raw_li(spark, SMALL).join(keys, "project_id").drop("project_id").withColumnRenamed("key", "project_id")
     landing, archive, cfg, out = (new_table_path(spark, n) for n in ("landing", "archive", "cfg", "out"))
     raw.write.partitionBy("project_id", "sensor").option("header", True).csv(landing)
-    assert cli.merge(spark, archive, landing) is None  # first load
+    first = cli.merge(spark, archive, landing).agg(F.sum("rows_new"), F.sum("rows_refreshed")).first()  # first load
+    assert first[0] > 0 and first[1] == 0
     n_archive = spark.read.parquet(archive).count()
     # every row except the ones with an unreadable date ('bad' layout) is archived
     assert n_archive == fx.detections_li(spark, SMALL).where(F.pmod(F.floor(F.col("detection_id") / 8), F.lit(4)) != 3).count()

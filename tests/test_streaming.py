@@ -13,18 +13,81 @@ def _snapshot(spark, path):
     return sorted(tuple(r) for r in spark.read.parquet(path).select("project_id", "detection_id", "ingest_seq", "latitude").collect())
 
 
-def test_replayed_batch_id_changes_nothing(spark):
+def test_replayed_batch_changes_nothing(spark):
     hist, new = merge_inputs(spark, SMALL)
     archive = new_table_path(spark, "replay-archive")
     sinks.write_archive(hist, archive)
     batch = new.drop("origin")
-    assert jobs.merge_batch(spark, archive, batch, 7) is True
+    assert jobs.merge_batch(spark, archive, batch, "d") is True
     first = _snapshot(spark, archive)
-    assert jobs.merge_batch(spark, archive, batch, 7) is False  # retried batch: skipped
+    assert jobs.merge_batch(spark, archive, batch, "d") is True
     assert _snapshot(spark, archive) == first
-    # a different batch id with the same rows is applied, and the merge is idempotent
-    assert jobs.merge_batch(spark, archive, batch, 8) is True
-    assert sorted((a, b) for a, b, _, _ in _snapshot(spark, archive)) == sorted((a, b) for a, b, _, _ in first)
+    assert jobs.merge_batch(spark, archive, batch.limit(0), "d") is False
+
+
+DET = "project_id long, detection_id long, sensor string, satellite string, source_id int, acq_date date, acq_time string, obs_ts timestamp_ntz, frp double, track double, latitude double, longitude double"
+
+
+def _det(spark, rows):
+    """Detections (id, date, latitude) of one project and sensor."""
+    data = [(1, i, "VIIRS_SNPP_NRT", "SNPP", 1, day, "0100", f"{day} 01:00:00", 9.0, 0.4, lat, 10.0) for i, day, lat in rows]
+    df = spark.createDataFrame(data, DET.replace("acq_date date", "acq_date string").replace("timestamp_ntz", "string"))
+    return df.withColumn("acq_date", F.col("acq_date").cast("date")).withColumn("obs_ts", F.col("obs_ts").cast("timestamp_ntz"))
+
+
+def _paths(spark, *names):
+    return [new_table_path(spark, n) for n in names]
+
+
+def test_dedup_keeps_late_detections(spark):
+    land, out, chk = _paths(spark, "land", "out", "chk")
+    for rows in ([(1, "2024-03-01", 1.0)], [(2, "2024-01-01", 1.0)], [(3, "2024-01-01", 1.00001), (4, "2023-01-01", 2.0)]):
+        _det(spark, rows).write.mode("append").parquet(land)
+        jobs.stream_dedup(spark, land, out, chk)
+    assert sorted(r.detection_id for r in spark.read.parquet(out).collect()) == [1, 2, 4]
+
+
+def test_weekly_counts_late_detections(spark):
+    land, out, chk = _paths(spark, "land", "out", "chk")
+    for rows in ([(1, "2024-03-01", 1.0)], [(2, "2024-01-03", 1.0)], [(3, "2024-01-04", 1.0), (4, "2024-01-03", 2.0)]):
+        _det(spark, rows).write.mode("append").parquet(land)
+        jobs.stream_weekly(spark, land, out, chk, anchor=0)
+    got = {str(r.week_start): r.n_detections for r in spark.read.parquet(out).collect()}
+    assert got == {"2024-02-26": 1, "2024-01-01": 3}
+
+
+def test_merge_first_load_split_delivery_and_second_stream(spark):
+    land, archive, chk, land2, chk2 = _paths(spark, "land", "archive", "chk", "land2", "chk2")
+    seq = lambda df: df.withColumn("ingest_seq", F.col("detection_id"))
+    # no archive yet; three copies of a row are one
+    seq(_det(spark, [(1, "2024-01-01", 1.0), (5, "2024-01-01", 1.0), (6, "2024-01-01", 1.0)])).write.parquet(land)
+    jobs.stream_merge(spark, land, archive, chk)
+    # the response of that date goes on in a second file and batch
+    seq(_det(spark, [(2, "2024-01-01", 2.0)])).write.mode("append").parquet(land)
+    jobs.stream_merge(spark, land, archive, chk)
+    ids = lambda: sorted(r.detection_id for r in spark.read.parquet(archive).collect())
+    assert ids() == [1, 2]
+    # another stream starts at batch 0 again
+    seq(_det(spark, [(3, "2024-01-02", 3.0)])).write.parquet(land2)
+    jobs.stream_merge(spark, land2, archive, chk2)
+    assert ids() == [1, 2, 3]
+    # a new response replaces the date
+    seq(_det(spark, [(4, "2024-01-01", 4.0)])).withColumn("delivery", F.lit("again")).write.mode("append").parquet(land2)
+    jobs.stream_merge(spark, land2, archive, chk2)
+    assert ids() == [3, 4]
+
+
+def test_frontier_takes_days_in_any_order(spark):
+    from hotspot import schemas
+
+    land, out, chk = _paths(spark, "land", "out", "chk")
+    day = lambda d, km: spark.createDataFrame([(1, d, "SNPP", km, 1.0, 0.0, 0.0, 1)], "project_id long, date_only string, satellite string, distance_km double, frp double, latitude double, longitude double, source int").withColumn("date_only", F.col("date_only").cast("date"))
+    assert [f.name for f in schemas.DAILY_RUNOUT.fields] == day("2024-01-01", 1.0).columns[1:]
+    for d, km in (("2024-01-10", 3.0), ("2024-01-05", 2.0), ("2024-01-12", 2.5), ("2024-01-10", 3.0)):
+        day(d, km).write.mode("append").parquet(land)
+        jobs.stream_frontier(spark, land, out, chk)
+    rows = sorted((str(r.date), r.max_distance, r.time_diff) for r in spark.read.parquet(out).collect())
+    assert [(d, m) for d, m, _ in rows] == [("2024-01-05", 2.0), ("2024-01-10", 3.0)] and rows[1][2] == 120.0
 
 
 def test_event_time_is_zone_free(spark):
@@ -46,6 +109,8 @@ def test_stream_ingest_reads_both_sensor_layouts(spark):
     spark.createDataFrame(modis, ", ".join(f"{c} string" for c in mcols)).write.option("header", True) \
         .csv(f"{landing}/project_id=Fernandina/sensor=MODIS_NRT")
     jobs.stream_ingest(spark, landing, out, chk)
+    jobs.stream_ingest(spark, landing, out, chk)  # nothing new
+    assert spark.read.parquet(out).count() == 2
     rows = {r["sensor"]: r for r in spark.read.parquet(out).collect()}
     assert rows["VIIRS_SNPP_NRT"]["frp"] == 12.5 and rows["VIIRS_SNPP_NRT"]["acq_time"] == "0639"
     assert rows["MODIS_NRT"]["frp"] == 40.25 and str(rows["MODIS_NRT"]["acq_date"]) == "2024-03-01"
