@@ -24,17 +24,44 @@ def frp_rows(det: DataFrame, projects: DataFrame) -> DataFrame:
     return d.where(F.col("acq_date").between(F.col("start_date"), F.col("end_date"))).select(*G, "obs_ts", "frp")
 
 
+#: Value ranges that a group's distinct values are cut into for the running count.
+RANGES = 4096
+
+
+def running_counts(vals: DataFrame, count: str) -> DataFrame:
+    """(group, frp, count) rows with `before`, the rows of the group below the value, and `total`.
+
+    Two levels, so that no group's distinct values meet in one task: equal ranges between the
+    group's least and largest value have their counts summed first; only values of one range
+    are put in order together."""
+    span = vals.groupBy(*G).agg(F.min("frp").alias("_lo"), F.max("frp").alias("_hi"), F.sum(count).alias("total"))
+    at = F.floor((F.col("frp") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES)
+    v = vals.join(span, G).withColumn("_range", F.when(F.col("_hi") > F.col("_lo"), F.least(at, F.lit(RANGES - 1))).otherwise(0).cast("int")).drop("_lo", "_hi")
+    first = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    base = v.groupBy(*G, "_range").agg(F.sum(count).alias("_n"))
+    base = base.select(*G, "_range", F.coalesce(F.sum("_n").over(first(*G).orderBy("_range")), F.lit(0)).alias("_base"))
+    within = F.coalesce(F.sum(count).over(first(*G, "_range").orderBy("frp")), F.lit(0))
+    v = v.withColumn("_in", within).join(base, [*G, "_range"])
+    return v.withColumn("before", F.col("_base") + F.col("_in")).drop("_range", "_base", "_in")
+
+
 def frp_summary(rows: DataFrame) -> DataFrame:
-    """A5: min, quartiles, mean, p95, max (exact, linearly interpolated quantiles)."""
-    q = F.percentile("frp", [0.25, 0.5, 0.75, 0.95])
-    a = rows.groupBy(*G).agg(
-        F.count("frp").alias("n"), F.min("frp").alias("min"), q.alias("q"),
-        F.avg("frp").alias("mean"), F.max("frp").alias("max"),
-    )
-    return a.select(
-        *G, "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean",
-        F.col("q")[2].alias("q3"), F.col("q")[3].alias("p95"), "max",
+    """A5: min, quartiles, mean, p95, max (exact, linearly interpolated quantiles): the values at
+    the needed ranks are those whose running count holds them."""
+    ps = (0.25, 0.5, 0.75, 0.95)
+    h = rows.groupBy(*G, "frp").agg(F.count(F.lit(1)).alias("c"), F.sum("frp").alias("s"))
+    v = running_counts(h, "c")
+    pos = {p: (F.col("total") - 1) * F.lit(p) for p in ps}
+    holds = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("c")), F.col("frp")))
+    a = v.groupBy(*G).agg(
+        F.max("total").alias("n"), F.min("frp").alias("min"), F.max("frp").alias("max"), (F.sum("s") / F.sum("c")).alias("mean"),
+        *[holds(f(x)).alias(f"{side}{k}") for k, x in enumerate(pos.values()) for side, f in (("lo", F.floor), ("hi", F.ceil))],
     )
+    q = []
+    for k, p in enumerate(ps):
+        x = (F.col("n") - 1) * F.lit(p)
+        q.append(F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (x - F.floor(x)))
+    return a.select(*G, "n", "min", q[0].alias("q1"), q[1].alias("median"), "mean", q[2].alias("q3"), q[3].alias("p95"), "max")
 
 
 def frp_overall(summary: DataFrame) -> DataFrame:
@@ -116,7 +143,7 @@ def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int =
     1. rows -> (group, tick, value) counts (map-side combine; a hot value or group shrinks
        to at most one entry per tick);
     2. the distinct values of a group are cut into value buckets of about sqrt(N/6) rows by
-       their cumulative count (each value in exactly one bucket);
+       their cumulative count (each value in exactly one bucket), which is itself two-level;
     3. a dense (tick x bucket) grid of counts and exact sums — bounded by calendar x buckets,
        not by rows — gets running sums over ticks, then over buckets: each grid row knows
        the ranks it holds at its tick, so the bucket of every needed rank is found without
@@ -133,11 +160,8 @@ def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int =
     grid = bounds.select(*G, F.explode(F.sequence(F.col("i0"), last)).alias("idx"))
     h = h.drop("dmax")
     vals = h.groupBy(*G, "frp").agg(F.sum("c").alias("nv"))
-    wv = Window.partitionBy(*G).orderBy("frp")
-    before = F.coalesce(F.sum("nv").over(wv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ng = F.sum("nv").over(Window.partitionBy(*G))
-    size = F.greatest(F.lit(min_bucket), F.ceil(F.sqrt(ng / 6.0))).cast("long")
-    vals = vals.select(*G, "frp", F.floor(before / size).cast("int").alias("bucket"))
+    size = F.greatest(F.lit(min_bucket), F.ceil(F.sqrt(F.col("total") / 6.0))).cast("long")
+    vals = running_counts(vals, "nv").select(*G, "frp", F.floor(F.col("before") / size).cast("int").alias("bucket"))
     hb = h.join(vals, G + ["frp"])
     nb = vals.groupBy(*G).agg((F.max("bucket") + 1).alias("nb"))
     bt = hb.groupBy(*G, "idx", "bucket").agg(

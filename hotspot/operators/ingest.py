@@ -86,20 +86,17 @@ def merge_log(history: DataFrame, batch: DataFrame, merged: DataFrame) -> DataFr
     """Per project and sensor — new rows delivered, history rows refreshed away,
     duplicates removed, total after the merge."""
     k = ["project_id", "sensor"]
-    kept = refresh_anti(history, batch)
-    h = history.groupBy(*k).agg(F.count(F.lit(1)).alias("h"))
-    kp = kept.groupBy(*k).agg(F.count(F.lit(1)).alias("kept"))
-    nb = batch.groupBy(*k).agg(F.count(F.lit(1)).alias("rows_new"))
-    inc = drop_incomplete(union_all([kept, batch])).groupBy(*k).agg(F.count(F.lit(1)).alias("complete"))
-    tot = merged.groupBy(*k).agg(F.count(F.lit(1)).alias("rows_total"))
-    j = h.join(kp, k, "full").join(nb, k, "full").join(inc, k, "full").join(tot, k, "full")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return j.select(
-        *k,
-        z("rows_new").cast("bigint").alias("rows_new"),
-        (z("h") - z("kept")).cast("bigint").alias("rows_refreshed"),
-        (z("complete") - z("rows_total")).cast("bigint").alias("duplicates_removed"),
-        z("rows_total").cast("bigint").alias("rows_total"),
+    complete = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("acq_date").isNotNull()
+    parts = {"h": history, "k": refresh_anti(history, batch), "n": batch, "t": merged}
+    counts = [df.groupBy(*k).agg(F.count(F.lit(1)).alias("rows"), F.count_if(complete).alias("complete")).withColumn("part", F.lit(p)) for p, df in parts.items()]
+    # small aggregates, put together by one more: no joins
+    u = reduce(lambda a, b: a.unionByName(b), counts)
+    z = lambda p, c="rows": F.sum(F.when(F.col("part") == p, F.col(c)).otherwise(0))
+    return u.groupBy(*k).agg(
+        z("n").cast("bigint").alias("rows_new"),
+        (z("h") - z("k")).cast("bigint").alias("rows_refreshed"),
+        (z("k", "complete") + z("n", "complete") - z("t")).cast("bigint").alias("duplicates_removed"),
+        z("t").cast("bigint").alias("rows_total"),
     )
 
 

@@ -7,6 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Units of the metrics that have one
+UNITS = {
+    "vent_lat": "deg", "vent_lon": "deg", "filter_frp": "MW", "filter_track": "km", "ref_radius_m": "m",
+    "frp_mean": "MW", "frp_max": "MW", "dist_mean": "km", "dist_max": "km",
+    "max_distance_km": "km", "max_speed": "m/h", "mean_speed": "m/h",
+}
 SECTIONS = ("project", "counts", "runout", "speed")
 
 
@@ -32,21 +38,24 @@ def _long(df: DataFrame, section: str, num: list[str], text: list[str]) -> DataF
         t = df.select("project_id", *[F.col(c).cast("string").alias(c) for c in text])
         parts.append(t.unpivot("project_id", text, "metric", "value_text").withColumn("value_num", F.lit(None).cast("double")))
     u = reduce(lambda a, b: a.unionByName(b), parts)
-    return u.select("project_id", F.lit(section).alias("section"), "metric", "value_num", "value_text")
+    unit = F.coalesce(*[F.when(F.col("metric") == m, F.lit(x)) for m, x in UNITS.items()])
+    return u.select("project_id", F.lit(section).alias("section"), "metric", "value_num", "value_text", unit.alias("unit"))
 
 
 def report_kpis(projects: DataFrame, counts: DataFrame, runout: DataFrame, speed: DataFrame, sections=SECTIONS) -> DataFrame:
     """The report's KPI tables as one long table (project, section, metric, value),
     for the chosen sections."""
     p = projects.select(
-        "project_id", "vent_lat", "vent_lon", "filter_frp", "filter_track", "ref_radius_m",
+        "project_id", "volcano", "frp_mode", "vent_lat", "vent_lon", "filter_frp", "filter_track", "ref_radius_m",
         F.date_format("start_ts", "yyyy-MM-dd HH:mm").alias("period_start"),
         F.date_format("end_ts", "yyyy-MM-dd HH:mm").alias("period_end"),
     )
     parts = {
-        "project": _long(p, "project", ["vent_lat", "vent_lon", "filter_frp", "filter_track", "ref_radius_m"], ["period_start", "period_end"]),
-        "counts": _long(counts.withColumn("last_day", F.date_format("last_day", "yyyy-MM-dd")), "counts",
-                        ["total_last_day", "total_last_week", "total_last_month", "peak_week", "peak_month"], ["last_day"]),
+        "project": _long(p, "project", ["vent_lat", "vent_lon", "filter_frp", "filter_track", "ref_radius_m"], ["volcano", "frp_mode", "period_start", "period_end"]),
+        "counts": _long(counts.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("last_day", "last_week_start", "last_week_end")})
+                        .withColumn("last_month", F.date_format("last_month", "yyyy-MM")), "counts",
+                        ["total_last_day", "total_last_week", "total_last_month", "peak_week", "peak_month"],
+                        ["last_day", "last_week_start", "last_week_end", "last_month"]),
         "runout": _long(runout, "runout", ["n_detections", "frp_mean", "frp_max", "dist_mean", "dist_max"], []),
         "speed": _long(speed.withColumn("first_date", F.date_format("first_date", "yyyy-MM-dd"))
                        .withColumn("last_date", F.date_format("last_date", "yyyy-MM-dd")), "speed",
@@ -55,7 +64,7 @@ def report_kpis(projects: DataFrame, counts: DataFrame, runout: DataFrame, speed
     return reduce(lambda a, b: a.unionByName(b), [parts[s] for s in sections])
 
 
-REPORT_SCHEMA = "project_id bigint, section string, metric string, value_num double, value_text string"
+REPORT_SCHEMA = "project_id bigint, section string, metric string, value_num double, value_text string, unit string"
 
 
 def write_report(report: DataFrame, projects: DataFrame, path: str) -> None:

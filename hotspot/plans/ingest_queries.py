@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hotspot.functions import clean as cl
@@ -151,9 +152,9 @@ def q_scan_tagged(spark, sf):
 def q_union_sensors(spark, sf):
     """Per-sensor frames with different column sets (MODIS carries no track here)."""
     d = fx.detections_li(spark, sf).select("detection_id", "sensor", "satellite", "track")
-    parts = [d.where(F.col("satellite") == s).drop("satellite") for s in ("SNPP", "NOAA20", "NOAA21")]
+    viirs = d.where(F.col("satellite") != "MODIS").drop("satellite")
     modis = d.where(F.col("satellite") == "MODIS").select("detection_id", "sensor")
-    return round6(ing.union_all(parts + [modis]))
+    return round6(ing.union_all([viirs, modis]))
 
 
 @R.add(
@@ -295,7 +296,12 @@ def q_landing_ingest(spark, sf):
     return round6(sd.clean_detections(raw, spark))
 
 
-@R.add("sort_archive", with_fixtures(["det_ev"], [], "SELECT project_id, detection_id, acq_date, acq_time FROM det_ev"))
+@R.add("sort_archive", with_fixtures(["det_ev"], [], "SELECT project_id, detection_id, acq_date, acq_time, true AS in_order FROM det_ev"))
 def q_sort_archive(spark, sf):
-    """O2: newest first inside each partition (no global sort); the row set is unchanged."""
-    return ing.sort_archive(fx.detections_ev(spark, sf)).select("project_id", "detection_id", "acq_date", "acq_time")
+    """O2: newest first inside each partition (no global sort); the row set is unchanged, and no
+    row is newer than the one before it in its partition."""
+    d = ing.sort_archive(fx.detections_ev(spark, sf)).select("project_id", "detection_id", "acq_date", "acq_time")
+    d = d.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    when = F.concat(F.date_format("acq_date", "yyyyMMdd"), "acq_time")
+    before = F.lag(when).over(Window.partitionBy("_part").orderBy("_at"))
+    return d.withColumn("in_order", F.coalesce(before >= when, F.lit(True))).drop("_part", "_at")

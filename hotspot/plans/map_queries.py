@@ -77,17 +77,22 @@ WAYPOINTS = [
 ]
 
 
-@R.add("parse_waypoints", with_fixtures(["projects_ev"], WAYPOINTS, "SELECT project_id, pos, name, " + r6("lat", "lon") + ", symbol FROM wp"))
+def _su(ctes: list[str]) -> list[str]:
+    """The same on the supplier projects."""
+    return [c.replace("projects_ev", "projects_su") for c in ctes]
+
+
+@R.add("parse_waypoints", with_fixtures(["projects_su"], _su(WAYPOINTS), "SELECT project_id, pos, name, " + r6("lat", "lon") + ", symbol FROM wp"))
 def q_parse_waypoints(spark, sf):
-    return round6(parse_waypoints(fx.projects_ev(spark, sf)))
+    return round6(parse_waypoints(fx.projects_su(spark, sf)))
 
 
-@R.add("pack_waypoints", with_fixtures(["projects_ev"], WAYPOINTS, "SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY pos) - 1 AS INTEGER) AS pos, "
+@R.add("pack_waypoints", with_fixtures(["projects_su"], _su(WAYPOINTS), "SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY pos) - 1 AS INTEGER) AS pos, "
                                         "name, " + r6("lat", "lon") + ", symbol FROM wp"))
 def q_pack_waypoints(spark, sf):
     """Pack the parsed waypoints back into lists and parse again (round trip: same
     waypoints in the same order; positions close the gaps of skipped entries)."""
-    p = fx.projects_ev(spark, sf)
+    p = fx.projects_su(spark, sf)
     packed = pack_waypoints(parse_waypoints(p))
     return round6(parse_waypoints(packed))
 
@@ -101,10 +106,10 @@ BOXES = """boxes AS (SELECT project_id,
 
 @R.add(
     "bbox",
-    with_fixtures(["projects_ev"], [BOXES], "SELECT project_id, west, south, east, north, printf('%.5f,%.5f,%.5f,%.5f', west, south, east, north) AS area FROM boxes"),
+    with_fixtures(["projects_su"], _su([BOXES]), "SELECT project_id, west, south, east, north, printf('%.5f,%.5f,%.5f,%.5f', west, south, east, north) AS area FROM boxes"),
 )
 def q_bbox(spark, sf):
-    return sp.project_boxes(fx.projects_ev(spark, sf))
+    return sp.project_boxes(fx.projects_su(spark, sf))
 
 
 @R.add(
@@ -147,17 +152,17 @@ def q_extent(spark, sf):
 
 @R.add(
     "request_manifest",
-    with_fixtures(["projects_ev"], [BOXES], """SELECT b.project_id, s.sensor, c.chunk_start, least(c.chunk_start + 4, c.ed) AS chunk_end,
+    with_fixtures(["projects_su"], _su([BOXES]), """SELECT b.project_id, s.sensor, c.chunk_start, least(c.chunk_start + 4, c.ed) AS chunk_end,
        CAST(date_diff('day', c.chunk_start, least(c.chunk_start + 4, c.ed)) + 1 AS INTEGER) AS day_range,
        printf('%.5f,%.5f,%.5f,%.5f', b.west, b.south, b.east, b.north) AS area
   FROM boxes b
   JOIN (SELECT project_id, CAST(end_ts AS DATE) AS ed,
           CAST(unnest(generate_series(CAST(start_ts AS DATE), CAST(end_ts AS DATE), INTERVAL 5 DAY)) AS DATE) AS chunk_start
-        FROM projects_ev) c USING (project_id)
+        FROM projects_su) c USING (project_id)
   CROSS JOIN (VALUES ('MODIS_NRT'), ('VIIRS_SNPP_NRT'), ('VIIRS_NOAA20_NRT'), ('VIIRS_NOAA21_NRT')) s(sensor)"""),
 )
 def q_request_manifest(spark, sf):
-    return sp.request_manifest(fx.projects_ev(spark, sf), [s[0] for s in schemas.SENSORS])
+    return sp.request_manifest(fx.projects_su(spark, sf), [s[0] for s in schemas.SENSORS])
 
 
 @R.add(
@@ -174,12 +179,12 @@ def q_time_fraction(spark, sf):
 
 @R.add(
     "period_ticks",
-    with_fixtures(["projects_ev"], [], """SELECT project_id, CAST(i AS INTEGER) AS i,
+    with_fixtures(["projects_su"], [], """SELECT project_id, CAST(i AS INTEGER) AS i,
        start_ts + to_seconds(CAST(floor(CAST(date_diff('second', start_ts, end_ts) AS DOUBLE) * i / 5.0) AS BIGINT)) AS tick
-  FROM projects_ev, (SELECT unnest(range(6)) AS i) t"""),
+  FROM projects_su, (SELECT unnest(range(6)) AS i) t"""),
 )
 def q_period_ticks(spark, sf):
-    p = fx.projects_ev(spark, sf)
+    p = fx.projects_su(spark, sf)
     return p.select("project_id", F.posexplode(cal.period_ticks("start_ts", "end_ts", 6)).alias("i", "tick"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hotspot.operators import counts as ct
@@ -31,7 +32,7 @@ KPI_CTES = [
     f"""pw AS (SELECT project_id, max(n) AS peak_week FROM (SELECT project_id, {wk('acq_date', 'a')} AS w, sum(n) AS n FROM dy
        WHERE {wk('acq_date', 'a')} >= {ffw('sd', 'a')} GROUP BY ALL) t GROUP BY project_id)""",
     """pm AS (SELECT project_id, max(n) AS peak_month FROM (SELECT project_id, date_trunc('month', acq_date) AS m, sum(n) AS n FROM dy GROUP BY ALL) t GROUP BY project_id)""",
-    """kpi AS (SELECT b.project_id, b.last_day, d.n AS total_last_day, coalesce(b.tlw, 0) AS total_last_week, coalesce(b.tlm, 0) AS total_last_month,
+    f"""kpi AS (SELECT b.project_id, b.last_day, CAST({wk('b.ed', 'b.a')} AS DATE) AS lws, CAST(date_trunc('month', b.ed) AS DATE) AS lmo, d.n AS total_last_day, coalesce(b.tlw, 0) AS total_last_week, coalesce(b.tlm, 0) AS total_last_month,
        coalesce(pw.peak_week, 0) AS peak_week, coalesce(pm.peak_month, 0) AS peak_month
      FROM base b JOIN dy d ON d.project_id = b.project_id AND d.acq_date = b.last_day
      LEFT JOIN pw ON pw.project_id = b.project_id LEFT JOIN pm ON pm.project_id = b.project_id)""",
@@ -44,21 +45,27 @@ SUMMARY_CTES = [
 ]
 
 
+def _unit(metric: str) -> str:
+    unit = rp.UNITS.get(metric)
+    return f"'{unit}'" if unit else "CAST(NULL AS VARCHAR)"
+
+
 def _num(src: str, section: str, cols: list[str]) -> list[str]:
-    return [f"SELECT project_id, '{section}' AS section, '{c}' AS metric, round(CAST({c} AS DOUBLE), 6) AS value_num, CAST(NULL AS VARCHAR) AS value_text FROM {src}"
-            for c in cols]
+    return [f"SELECT project_id, '{section}' AS section, '{c}' AS metric, round(CAST({c} AS DOUBLE), 6) AS value_num, CAST(NULL AS VARCHAR) AS value_text, "
+            f"{_unit(c)} AS unit FROM {src}" for c in cols]
 
 
 def _txt(src: str, section: str, cols: dict[str, str]) -> list[str]:
-    return [f"SELECT project_id, '{section}' AS section, '{c}' AS metric, CAST(NULL AS DOUBLE) AS value_num, {e} AS value_text FROM {src}"
-            for c, e in cols.items()]
+    return [f"SELECT project_id, '{section}' AS section, '{c}' AS metric, CAST(NULL AS DOUBLE) AS value_num, {e} AS value_text, "
+            f"{_unit(c)} AS unit FROM {src}" for c, e in cols.items()]
 
 
 REPORT_SELECT = "\nUNION ALL ".join(
     _num("projects_ev", "project", ["vent_lat", "vent_lon", "filter_frp", "filter_track", "ref_radius_m"])
-    + _txt("projects_ev", "project", {"period_start": "strftime(start_ts, '%Y-%m-%d %H:%M')", "period_end": "strftime(end_ts, '%Y-%m-%d %H:%M')"})
+    + _txt("projects_ev", "project", {"volcano": "volcano", "frp_mode": "frp_mode", "period_start": "strftime(start_ts, '%Y-%m-%d %H:%M')", "period_end": "strftime(end_ts, '%Y-%m-%d %H:%M')"})
     + _num("kpi", "counts", ["total_last_day", "total_last_week", "total_last_month", "peak_week", "peak_month"])
-    + _txt("kpi", "counts", {"last_day": "strftime(last_day, '%Y-%m-%d')"})
+    + _txt("kpi", "counts", {"last_day": "strftime(last_day, '%Y-%m-%d')", "last_week_start": "strftime(lws, '%Y-%m-%d')",
+                             "last_week_end": "strftime(lws + 6, '%Y-%m-%d')", "last_month": "strftime(lmo, '%Y-%m')"})
     + _num("psum", "runout", ["n_detections", "frp_mean", "frp_max", "dist_mean", "dist_max"])
     + _num("ssum", "speed", ["n_rows", "max_distance_km", "max_speed", "mean_speed"])
     + _txt("ssum", "speed", {"first_date": "strftime(first_date, '%Y-%m-%d')", "last_date": "strftime(last_date, '%Y-%m-%d')"})
@@ -83,7 +90,7 @@ def q_write_report(spark, sf):
     """K6: the report table written as JSON per project and read back."""
     path = new_table_path(spark, "report")
     rp.write_report(round6(_report(spark, sf)), fx.projects_ev(spark, sf), path)
-    return rp.read_report(spark, path).select("project_id", "section", "metric", "value_num", "value_text")
+    return rp.read_report(spark, path).select("project_id", "section", "metric", "value_num", "value_text", "unit")
 
 
 @R.add(
@@ -110,13 +117,17 @@ def q_available_sections(spark, sf):
 
 @R.add(
     "sort_detections",
-    with_fixtures(EV, [FILTERED], "SELECT project_id, detection_id, obs_ts, satellite, " + r6("latitude", "longitude") + " FROM filtered"),
+    with_fixtures(EV, [FILTERED], "SELECT project_id, detection_id, obs_ts, satellite, " + r6("latitude", "longitude")
+                  + ", row_number() OVER (PARTITION BY project_id ORDER BY obs_ts, satellite, latitude, longitude, detection_id) AS position FROM filtered"),
 )
 def q_sort_detections(spark, sf):
-    """O1: detections in the total order (time, satellite, position, id) — output only."""
+    """O1: detections in the total order (time, satellite, position, id), with the position at
+    which each comes out within its project."""
     f = ro.filter_runout(fx.detections_ev(spark, sf), fx.projects_ev(spark, sf))
     f = f.orderBy("project_id", "obs_ts", "satellite", "latitude", "longitude", "detection_id")
-    return round6(f.select("project_id", "detection_id", "obs_ts", "satellite", "latitude", "longitude"))
+    f = f.select("project_id", "detection_id", "obs_ts", "satellite", "latitude", "longitude", F.monotonically_increasing_id().alias("_at"))
+    at = F.row_number().over(Window.partitionBy("project_id").orderBy("_at")).cast("bigint")
+    return round6(f.withColumn("position", at).drop("_at"))
 
 
 def _write_filtered(spark, sf) -> str:

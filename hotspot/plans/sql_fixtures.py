@@ -30,6 +30,15 @@ PROJECTS_EV = """projects_ev AS (
          r_regionkey <> 2 AS include_reference_radius, r_regionkey IN (0, 3, 4) AS include_reference_waypoint
   FROM region)"""
 
+# the same rows for every supplier, in the forms of its key modulo 5
+PROJECTS_SU = (
+    PROJECTS_EV.replace("projects_ev AS (", "projects_su AS (")
+    .replace("CAST(r_regionkey AS BIGINT) AS project_id, r_name AS volcano", "CAST(s_suppkey AS BIGINT) AS project_id, 'Site ' || s_suppkey AS volcano")
+    .replace("to_days(r_regionkey)", "to_days(CAST(s_suppkey % 5 AS INTEGER))")
+    .replace("r_regionkey", "(s_suppkey % 5)")
+    .replace("FROM region", "FROM supplier")
+)
+
 PROJECTS_LI = """projects_li AS (
   SELECT CAST(r_regionkey AS BIGINT) AS project_id, r_name AS volcano,
          CAST(-0.4 AS DOUBLE) + CAST(0.1 AS DOUBLE) * r_regionkey AS vent_lat,
@@ -85,10 +94,11 @@ DET_LI = """det_li AS (
          b.frp, b.track, b.latitude, b.longitude
   FROM li_base b JOIN sensors s ON s.satellite = b.satellite)"""
 
-_ORDER = ["sensors", "projects_ev", "projects_li", "det_ev", "li_base", "det_li"]
+_ORDER = ["sensors", "projects_ev", "projects_su", "projects_li", "det_ev", "li_base", "det_li"]
 _TEXT = {
     "sensors": SENSORS,
     "projects_ev": PROJECTS_EV,
+    "projects_su": PROJECTS_SU,
     "projects_li": PROJECTS_LI,
     "det_ev": DET_EV,
     "li_base": LI_BASE,

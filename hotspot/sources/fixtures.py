@@ -54,11 +54,22 @@ def _ntz(text: str) -> Column:
 @memo
 def projects_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One project per region: vent, period, filters, waypoints (see README §fixtures)."""
-    r = read_table(spark, sf_dir, "region")
     k = F.col("r_regionkey")
-    return r.select(
-        k.cast("bigint").alias("project_id"),
-        F.col("r_name").alias("volcano"),
+    return _project_rows(read_table(spark, sf_dir, "region"), k, k, F.col("r_name"))
+
+
+@memo
+def projects_su(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One project per supplier (a catalogue that grows with the data), with the same variety."""
+    k = F.col("s_suppkey")
+    return _project_rows(read_table(spark, sf_dir, "supplier"), F.pmod(k, F.lit(N_PROJECTS)), k, F.concat(F.lit("Site "), k.cast("string")))
+
+
+def _project_rows(t: DataFrame, k: Column, project_id: Column, name: Column) -> DataFrame:
+    """Project rows in N_PROJECTS forms by `k`."""
+    return t.select(
+        project_id.cast("bigint").alias("project_id"),
+        name.alias("volcano"),
         (F.lit(-0.4) + F.lit(0.1) * k).alias("vent_lat"),
         (F.lit(-91.5) + F.lit(0.1) * k).alias("vent_lon"),
         F.timestamp_add("DAY", k, _ntz("2024-01-01 00:00:00")).alias("start_ts"),
