@@ -106,24 +106,32 @@ def _normalised(values: list[Column]) -> list[Column]:
     return [v / total for v in values]
 
 
+def score_texts(rows: DataFrame, model: TextModel) -> DataFrame:
+    """``rows(text, ...)`` with the text's number of trigrams and log-likelihoods in its place; no shuffle."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others) + ", n long, ll array<double>"
+    return rows.select("text", *(f.name for f in others)).mapInArrow(_scorer(rows.sparkSession.sparkContext.broadcast(model), TEXT_CAP), out)
+
+
 def identify(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``rows(id, text, declared, host, suffix)`` to ``(id, lang, posterior, text_lang, accepted, declared, host, suffix)``.
 
     ``accepted``: the text has letters enough for a trigram, the posterior of the best language is
-    at least ``least``, and it is one of ``keep`` (None: any but ``und``, text in no known language). A null text counts as empty and has
-    no text evidence, no language and is not accepted; a null declaration, host or suffix is a
-    value of its own. Rows without an id and repeated rows are judged each for itself. An empty
+    at least ``least``, and it is one of ``keep`` (None: any but ``und``, text in no known
+    language). A null text counts as empty and has no text evidence, no language and is not
+    accepted; a null declaration, host or suffix is a value of its own. Rows without an id and repeated rows are judged each for itself. An empty
     table, or no labelled rows to fit on, gives no language and nothing accepted. Hosts may hold
     any share of the rows: priors are map-side combined sums, joined back.
     """
-    spark = rows.sparkSession
+    return fuse(score_texts(rows.select("text", "id", "declared", "host", "suffix"), model), model, least, keep)
+
+
+def fuse(scored: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The same from scored texts: ``scored(id, declared, host, suffix, n, ll)``."""
     langs = model.languages
     if not langs:
         null = F.lit(None).cast("string")
-        return rows.select("id", null.alias("lang"), F.lit(None).cast("double").alias("posterior"), null.alias("text_lang"), F.lit(False).alias("accepted"), "declared", "host", "suffix")
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out = ", ".join(f"{c} {fields[c]}" for c in ("id", "declared", "host", "suffix")) + ", n long, ll array<double>"
-    scored = rows.select("text", "id", "declared", "host", "suffix").mapInArrow(_scorer(spark.sparkContext.broadcast(model), TEXT_CAP), out)
+        return scored.select("id", null.alias("lang"), F.lit(None).cast("double").alias("posterior"), null.alias("text_lang"), F.lit(False).alias("accepted"), "declared", "host", "suffix")
     scored = scored.withColumns({c: F.coalesce(c, F.lit("")) for c in ("declared", "host", "suffix")})
     soft = _normalised([F.exp(F.col("ll")[k]) for k in range(len(langs))])
     scored = stored(scored.select("id", "declared", "host", "suffix", "n", *(F.when(F.col("n") > 0, s).otherwise(0.0).alias(f"s{k}") for k, s in enumerate(soft))), "text_scores")
@@ -181,8 +189,7 @@ def identify_documents(docs: DataFrame, pages: DataFrame, train_rows: int = TRAI
     fixed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source")
     model = fit_text_model(fixed.select("id", "lang", "text"), train_rows)
     evidence = stored(page_evidence(pages), "page_evidence")
-    # ids first: the texts do not go through the join unless the evidence is too large to send
-    rows = fixed.join(evidence, "id", "left")
-    rows = rows.select("id", "text", F.coalesce("markup", F.lower("lang")).alias("declared"), F.coalesce("page_host", "source").alias("host"), "page_suffix").withColumnRenamed("page_suffix", "suffix")
-    out = identify(rows, model, least, keep)
-    return out.withColumnRenamed("id", "doc_id")
+    # texts are scored where they are read; only their scores meet the evidence
+    scored = score_texts(fixed, model).join(evidence, "id", "left")
+    scored = scored.select("id", F.coalesce("markup", F.lower("lang")).alias("declared"), F.coalesce("page_host", "source").alias("host"), F.col("page_suffix").alias("suffix"), "n", "ll")
+    return fuse(scored, model, least, keep).withColumnRenamed("id", "doc_id")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from hotspot.llm import license_scan, mixing, url_filter, warc_revisit
 from hotspot.llm.ctph import edited_fingerprints
 from hotspot.llm.decontam import contaminated
+from hotspot.llm.jaccard_join import ORACLE_SQL as JACCARD_SQL
 from hotspot.llm.jaccard_join import jaccard_join
 from hotspot.llm.language_id import identify_documents
 from hotspot.llm.pii import pseudonymise
+from hotspot.llm.suffix_dedup import ORACLE_SQL as SUFFIX_SQL
 from hotspot.llm.suffix_dedup import suffix_dedup
 
 
@@ -85,5 +87,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op2_license_scan": license_scan.oracle_sql(),
     "op4_mixing": mixing.ORACLE_SQL,
+    "op8_suffix_dedup": SUFFIX_SQL,
+    "op9_jaccard_join": JACCARD_SQL,
     "op10_warc_revisit": warc_revisit.ORACLE_SQL,
 }

@@ -369,3 +369,22 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     spans_type = "array<struct<start: bigint, end: bigint>>"
     out = cut.mapInArrow(_cutter(length), f"doc_id long, n_bytes long, removed {spans_type}, kept binary, kept_sha256 string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
+
+
+#: Every window of every text, for small tables.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, length(x) // 2 AS n, unnest(range(0, length(x) // 200 + 1)) AS c, x FROM d),
+q AS (SELECT doc_id, n, c, substr(x, 200 * c + 1, 400) AS y FROM p),
+w AS (SELECT doc_id, n, 100 * c + o AS i, md5(substr(y, 2 * o + 1, 200)) AS h FROM q, (SELECT unnest(range(100)) AS o) WHERE 100 * c + o + 100 <= n),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM w),
+c AS (SELECT doc_id, i, i > max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apart FROM g WHERE k > 1),
+b AS (SELECT doc_id, i, sum(coalesce(apart, TRUE)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM b GROUP BY doc_id, run),
+o AS (SELECT doc_id, run, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prev FROM r),
+k AS (SELECT d.doc_id, string_agg(substr(x, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) AS head, max(hi) AS last, count(*) AS n, sum(hi - lo) AS gone
+      FROM o JOIN d ON d.doc_id = o.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
