@@ -28,6 +28,7 @@ HEADLINE = [
     "assign_projects",
     "merge_detections",
     "scan_detections",
+    "write_archive",
     "report_kpis",
 ]
 

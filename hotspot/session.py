@@ -29,14 +29,16 @@ def get_session(master: str = "local[8]", partitions: int = 8, app: str = "hotsp
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for materialised tables and checkpoints.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured for the session;
-    only when it is unset (tests, local runs) a fresh local folder is created and
-    registered, so every writer and reader agrees on one place.
+    On a cluster this is ``spark.checkpoint.dir`` as configured for the session, and a job
+    without it is refused: a folder of the driver's own disk is none of the executors'. Only a
+    local session (tests) has a fresh local folder made and registered instead.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None)
+        if not d and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not d:
             d = tempfile.mkdtemp(prefix="hotspot-")
         sc.setCheckpointDir(d)
