@@ -95,7 +95,7 @@ def _scorer(model, cap: int):
                 t = trigrams(text)
                 n.append(len(t))
                 s = logp[t].sum(axis=0) * min(1.0, cap / max(1, len(t)))
-                ll.append((s - s.max()).tolist())
+                ll.append((s - s.max(initial=-np.inf)).tolist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(ll, pa.list_(pa.float64()))], [*b.schema.names[1:], "n", "ll"])
 
     return run
