@@ -44,9 +44,9 @@ def _glob(text: str, gap: str) -> str:
 
 
 def rule_pattern(rule: Rule) -> str:
-    """Regular expression on ``host path`` (a space between) of a URL."""
-    host = "[^ ]*" if rule.host == "*" else r"(?:[^ ]*\.)?" + _glob(rule.host, "[^ ]*")
-    return f"^{host} {_glob(rule.path, '.*')}"
+    """Regular expression on ``host?path`` of a URL (neither part can hold a question mark)."""
+    host = "[^?]*" if rule.host == "*" else r"(?:[^?]*\.)?" + _glob(rule.host, "[^?]*")
+    return rf"(?s)^{host}\?{_glob(rule.path, '.*')}"
 
 
 def rule_tokens(rule: Rule) -> list[str]:
@@ -89,7 +89,7 @@ def judge_urls(urls: DataFrame, rules: Iterable[Rule], patterns: Iterable[Rule]
     """
     spark = urls.sparkSession
     out = urls.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    key = F.concat_ws(" ", "host", "path")
+    key = F.concat_ws("?", "host", "path")
     out = out.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     listed = [*rules, *patterns]
     if not listed:
@@ -134,14 +134,14 @@ r(verdict, h, p, tier) AS (VALUES
   ('allow', 'org', '/', 0), ('block', 'example.org', '/es/', 0), ('block', 'example.org', '/en/1', 0),
   ('allow', 'com', '/fr/', 0), ('block', 'com', '/de/', 0), ('block', 'doubleclick.net', '', 1)),
 q(verdict, re, rule) AS (VALUES
-  ('block', '^(.*[.])?spam-farm[.][^ ]* ', 'spam-farm.*'), ('block', '/wp-login[.]php', '**/wp-login.php'),
+  ('block', '^(.*[.])?spam-farm[.][^?]*[?]', 'spam-farm.*'), ('block', '/wp-login[.]php', '**/wp-login.php'),
   ('block', '/casino/', '**/casino/'), ('block', '/viagra/', '**/viagra/')),
 m AS (
   SELECT host, path, verdict, h || p AS rule, tier FROM (SELECT DISTINCT host, path FROM b) u, r
   WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) AND (host <> '' OR path <> '')
   UNION ALL
   SELECT host, path, verdict, rule, 1 FROM (SELECT DISTINCT host, path FROM b) u, q
-  WHERE regexp_matches(CASE WHEN re LIKE '^%' THEN host || ' ' || path ELSE path END, re)),
+  WHERE regexp_matches(CASE WHEN re LIKE '^%' THEN host || '?' || path ELSE path END, re)),
 best AS (
   SELECT host, path, verdict, rule, tier FROM m
   QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY tier, length(rule) DESC, rule) = 1)

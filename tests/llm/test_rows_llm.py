@@ -29,7 +29,7 @@ def words(rng, n):
 def test_urls(spark):
     urls = [
         "http://a.org/x", "HTTP://Example.ORG/es/1", "http://m.example.org/es", "http://example.org/en/11?q#f", "http://notexample.org/es/",
-        "http://com/fr/", "https://x.com/de/a", "http://x.com", "http://a.org", "http://spam-farm.example.net/", "x.com/fr/", "", None, "://org/", "http://b.io/a/casino/b",
+        "http://com/fr/", "https://x.com/de/a", "http://x.com", "http://a.org", "http://spam-farm.example.net/", "x.com/fr/", "", None, "://org/", "http://b.io/a/casino/b", "http://x y.org/a b", "http://q.org?/es/",
     ]
     df = spark.createDataFrame([(i, u, "r", "t") for i, u in enumerate(urls)] + [(None, "http://a.org/x", "r", "t")], "page_id long, url string, rule string, token string")
     got = {(r.page_id): (r.host, r.path, r.rule, r.verdict, r.pattern) for r in judge_urls(df, RULES).collect()}
@@ -40,6 +40,7 @@ def test_urls(spark):
     assert got[7] == ("x.com", "", None, "allow", None) and got[8][2] is None
     assert got[9][2:] == (None, "block", "spam-farm.*") and got[14][2:] == (None, "block", "**/casino/")
     assert got[10] == got[11] == got[12] == ("", "", None, "allow", None) and got[13][:3] == ("org", "/", "org/")
+    assert got[15][:4] == ("x y.org", "/a b", "org/", "allow") and got[16][:3] == ("q.org", "", None)
     assert judge_urls(df.limit(0), RULES).collect() == []
     assert {r.verdict for r in judge_urls(df, [], []).collect()} == {"allow"}
 
