@@ -1,6 +1,7 @@
 """Command line: run the analyses over real archives and project configs.
 
     python -m hotspot merge   --archive ARCHIVE --landing LANDING
+    python -m hotspot migrate --landing LANDING
     python -m hotspot analyse --archive ARCHIVE --projects CONFIG_ROOT --out OUT
 
 `merge` reads detection text files below LANDING (historical_<SENSOR>_<project>.csv or
@@ -87,6 +88,8 @@ def main(argv=None) -> None:
     m.add_argument("--archive", required=True, help="month-partitioned Parquet archive (created on first load)")
     m.add_argument("--landing", required=True, help="folder of landed text files (searched recursively)")
     m.add_argument("--glob", default="*.csv", help="file name pattern of landed files")
+    g = sub.add_parser("migrate", help="rewrite dates of a text archive to ISO, folder by folder where needed")
+    g.add_argument("--landing", required=True, help="text archive in project_id=/sensor= folders")
     a = sub.add_parser("analyse", help="run every analysis for every project and write the result tables")
     a.add_argument("--archive", required=True, help="the detections archive written by merge")
     a.add_argument("--projects", required=True, help="folder holding the project config files")
@@ -98,6 +101,8 @@ def main(argv=None) -> None:
         log = merge(spark, args.archive, args.landing, args.glob)
         if log is not None:
             log.show(truncate=False)
+    elif args.cmd == "migrate":
+        sinks.migrate_archive(spark, args.landing).show(truncate=False)
     else:
         analyse(spark, args.archive, args.projects, args.out, args.glob)
 

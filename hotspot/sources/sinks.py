@@ -6,8 +6,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hotspot.functions.clean import is_iso_text, parse_date
 from hotspot.operators import ingest
 from hotspot.session import cut_lineage
+from hotspot.sources import detections
 
 MONTH, BUCKET = "acq_month", "project_bucket"
 #: Project buckets of a month: a merge rewrites only those its batch touches.
@@ -69,6 +71,21 @@ def merge_into_archive(spark: SparkSession, path: str, batch: DataFrame) -> Data
     return log
 
 
+def migrate_archive(spark: SparkSession, path: str) -> DataFrame:
+    """P6 on a text archive in project_id=/sensor= folders: dates in other layouts are rewritten to
+    ISO. Folders whose dates are all ISO (or cannot be read at all) are not touched, so a second
+    run rewrites nothing. Returns the folders rewritten and their rows."""
+    raw = detections.read_by_name(spark, path).drop("_path")
+    old = ~is_iso_text("acq_date") & parse_date("acq_date").isNotNull()
+    key = ["project_id", "sensor"]
+    dirty = raw.where(old).select(*key).distinct()
+    rows = cut_lineage(ingest.migrate_dates(raw.join(dirty, key, "left_semi")))
+    log = cut_lineage(rows.groupBy(*key).count())
+    w = rows.hint("rebalance", *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    w.partitionBy(*key).option("header", True).csv(path)
+    return log
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """K3, K4: derived tables as Parquet (optionally partitioned)."""
     w = df.write.mode("overwrite")

@@ -123,3 +123,18 @@ def test_refresh_keeps_the_delivery_that_goes_on(spark):
     h = spark.createDataFrame([(1, "s", 5, "a"), (1, "s", 6, "b"), (1, "t", 5, None)], "project_id long, sensor string, acq_date int, delivery string")
     b = spark.createDataFrame([(1, "s", 5, "a"), (1, "s", 6, "c"), (1, "t", 5, "c")], "project_id long, sensor string, acq_date int, delivery string")
     assert [(r.sensor, r.acq_date) for r in ingest.refresh_anti(h, b).collect()] == [("s", 5)]
+
+
+def test_migration_rewrites_only_folders_that_need_it(spark, tmp_path):
+    root = tmp_path / "arch"
+    for sensor, dates in (("MODIS_NRT", ["2024-03-01"]), ("VIIRS_SNPP_NRT", ["01/03/2024", "2/3/24", "bad", "2024-03-04"])):
+        d = root / "project_id=Wolf" / f"sensor={sensor}"
+        d.mkdir(parents=True)
+        (d / "a.csv").write_text("latitude,longitude,acq_date,acq_time,frp\n" + "".join(f"1.0,2.0,{x},100,3\n" for x in dates))
+    log = sinks.migrate_archive(spark, str(root)).collect()
+    assert [(r.sensor, r["count"]) for r in log] == [("VIIRS_SNPP_NRT", 4)]
+    assert (root / "project_id=Wolf" / "sensor=MODIS_NRT" / "a.csv").exists()
+    raw = sd.read_archive(spark, str(root)).where("sensor = 'VIIRS_SNPP_NRT'")
+    assert sorted(r.acq_date for r in raw.collect()) == ["2024-03-01", "2024-03-02", "2024-03-04", "bad"]
+    assert sinks.migrate_archive(spark, str(root)).collect() == []
+    assert sd.read_archive(spark, str(root)).count() == 5
