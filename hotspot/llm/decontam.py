@@ -24,7 +24,7 @@ by_value(__name__)
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, WORDS = 0.6, 0.8, 5
 #: Items in an index, items in a block of it, words of an item's part (longer items are cut).
-INDEX_ITEMS, BLOCK_ITEMS, PART = 10_000, 8, 256
+INDEX_ITEMS, BLOCK_ITEMS, PART = 10_000, 4, 256
 
 # ASCII signs other than letters and digits part words
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from hotspot.llm.common import components, shingles
+from hotspot.llm.common import components
 from hotspot.llm.ctph import edit_distance, edited_fingerprints, fingerprint, fingerprints, likeness
 from hotspot.llm.jaccard_join import _matches, jaccard_join, keep_one, prefix_length
 from hotspot.llm.suffix_dedup import multikey_sort, suffix_dedup
