@@ -57,6 +57,14 @@ def test_documents_with_benchmark_items_go(spark, stages):
 PRIVATE = r"[\w.]+@[\w.]+\.com|\+\d \(\d{3}\) \d{3}-\d{4}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|(?<!\d)\d{16}(?!\d)"
 
 
+def valid(value):
+    """Not a number that only looks like a card or an address."""
+    if value.isdigit():
+        x = [int(c) for c in value][::-1]
+        return (sum(x[0::2]) + sum(sum(divmod(2 * d, 10)) for d in x[1::2])) % 10 == 0
+    return not re.fullmatch(r"[\d.]+", value) or all(int(x) < 256 for x in value.split("."))
+
+
 def test_private_values_give_way_and_nothing_else_changes(stages):
     before, after = ({r.doc_id: r for r in s} for s in stages[3:5])
     assert set(before) == set(after)
@@ -64,10 +72,10 @@ def test_private_values_give_way_and_nothing_else_changes(stages):
     for i, old in before.items():
         new = after[i]
         assert new.n_chars == (len(new.text) if new.text != old.text else old.n_chars)
-        values = re.findall(PRIVATE, old.text)
+        values = [v for v in re.findall(PRIVATE, old.text) if valid(v)]
         changed += bool(values)
         assert not any(v in new.text for v in values)
-        pieces = re.split(PRIVATE, old.text)
+        pieces = re.split("|".join(map(re.escape, values)) or "(?!)", old.text)
         at = 0
         for p in pieces:  # the text between the values is all there, in order
             at = new.text.index(p, at) + len(p)
