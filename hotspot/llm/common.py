@@ -134,8 +134,9 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 
     e = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     steps: list[DataFrame] = []
-    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+    most_rows = 0
     while left := e.count():
+        most_rows = max(most_rows, 2 * left)
         if len(steps) >= most_rounds:
             raise RuntimeError("components do not converge")
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -158,7 +159,7 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     for step in reversed(steps[:-1]):
         nxt = out.select(F.col("node").alias("to"), "root")
         out = step.join(nxt, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    out = stored(out, "roots")
+    out = stored(out.coalesce(tasks(most_rows)), "roots")
     return out.join(out.groupBy("root").agg(F.min("node").alias("label")), "root").select("node", "label")
 
 
