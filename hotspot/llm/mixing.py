@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     before = Window.partitionBy("source").orderBy("size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("source", "size", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy("key"))
-    d = d.withColumn("rank", rank)
+    # by chunk: partitions by (source, size) alone, as the join may leave them, would hold a whole hot group
+    d = d.repartition("source", "size", "chunk").withColumn("rank", rank)
     same = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")) & (F.col("d.chunk") == F.col("c.chunk"))
     d = d.alias("d").join(chunks.alias("c"), same).select("d.doc_id", "d.source", "d.size", (F.col("d.rank") + F.col("c.base")).alias("at"))
     at = F.col("at").cast("double")

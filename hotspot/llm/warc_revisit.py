@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Records in a time slice of one URL, about.
-SLICE = 20_000
+SLICE = 1_000
 # fixed values: fields that a 304 response does not change in the stored one
 KEPT_FIELDS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
@@ -79,6 +79,8 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     spans = known.groupBy("canonical").agg(F.min("at").alias("t0"), F.max("at").alias("t1"), F.ceil(F.count("*") / F.lit(float(slice_rows))).alias("slices"))
     known = known.join(spans, "canonical")
     known = known.withColumn("slice", F.when(F.col("slices") <= 1, F.lit(0)).otherwise(F.floor((F.col("at") - F.col("t0")) / (F.col("t1") - F.col("t0") + 1) * F.col("slices"))).cast("long")).drop("t0", "t1", "slices")
+    # by slice: partitions by URL alone, as the join may leave them, would do for the window but hold a whole URL
+    known = known.repartition("canonical", "slice")
     full = F.when(F.col("full"), F.struct("record_id", "ts", "digest", "headers"))
     order = [F.col("at"), (~F.col("full")).cast("int"), F.col("record_id")]
     in_slice = Window.partitionBy("canonical", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
