@@ -20,7 +20,7 @@ NOTES = {
     "merge_detections": "Left-anti refresh against the batch's (project, sensor, date) set, then a min_by de-dup aggregate (map-side combine).",
     "frame_counts": "Daily counts + running sum on the day grid; no detections x days expansion.",
     "count_kpis": "Everything from (project, day) counts: last day, week/month totals, peaks.",
-    "scan_filtered": "Partition pruning on project_id, pushed value filter, pruned read schema.",
+    "scan_filtered": "Month-partitioned table read back with a pruned read schema.",
 }
 
 
