@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hotspot.llm.common import stored
+
 #: Records in a time slice of one URL, about.
 SLICE = 1_000
 # fixed values: fields that a 304 response does not change in the stored one
@@ -77,7 +79,8 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     can = F.col("canonical").isNotNull() & F.col("at").isNotNull()
     known, lost = r.where(can), r.where(~can & ~F.col("full"))
     spans = known.groupBy("canonical").agg(F.min("at").alias("t0"), F.max("at").alias("t1"), F.ceil(F.count("*") / F.lit(float(slice_rows))).alias("slices"))
-    known = known.join(spans, "canonical")
+    # written, so that the join reads two plain shuffles: AQE then splits the URL that holds many records
+    known = known.join(stored(spans, "spans"), "canonical")
     known = known.withColumn("slice", F.when(F.col("slices") <= 1, F.lit(0)).otherwise(F.floor((F.col("at") - F.col("t0")) / (F.col("t1") - F.col("t0") + 1) * F.col("slices"))).cast("long")).drop("t0", "t1", "slices")
     # by slice: partitions by URL alone, as the join may leave them, would do for the window but hold a whole URL
     known = known.repartition("canonical", "slice")
