@@ -28,6 +28,7 @@ INDEX_ITEMS, BLOCK_ITEMS, PART = 10_000, 4, 256
 
 # ASCII signs other than letters and digits part words
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_A_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -200,14 +201,21 @@ def _searcher(index, threshold: float, overlap: float):
 _OUT = "doc_id long, item_id long, start_word long, score double, question_overlap double, answer_overlap double"
 
 
+def cut_item(text: str) -> list[str]:
+    """The text in as few parts of at most ``PART`` words as hold it, of equal numbers of words up to one:
+    no part of a long item is a short tail, which any text would hold."""
+    starts = [m.start() for m in _A_WORD.finditer(text)]
+    n = -(-len(starts) // PART)
+    at = [0, *(starts[k * len(starts) // n] for k in range(1, n)), len(text)]
+    return [text[i:j] for i, j in zip(at, at[1:])]
+
+
 def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Items in parts of at most ``PART`` words, with the distinct terms of each."""
     for b in batches:
         rows = []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            w = (text or "").split()
-            pieces = [text] if len(w) <= PART else [" ".join(w[i : i + PART]) for i in range(0, len(w), PART)]
-            for piece in pieces:
+            for piece in cut_item(text or ""):
                 h = words_of(piece)
                 if len(h):
                     rows.append((key, piece, len(h), np.unique(h).view(np.int64).tolist()))

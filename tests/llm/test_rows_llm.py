@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hotspot.llm.decontam import BlockMaxIndex, contaminated, question_and_answer, words_of
+from hotspot.llm.decontam import BlockMaxIndex, contaminated, cut_item, question_and_answer, words_of
 from hotspot.llm.language_id import TRAIN_ROWS, fit_text_model, identify, identify_documents, page_evidence
 from hotspot.llm.license_scan import Templates, bigrams, dice, normalise, scan_licenses, units
 from hotspot.llm.mixing import mix, mixed_documents, targets
@@ -114,6 +114,21 @@ def test_contaminated(spark, index_items):
     assert contaminated(d.limit(0), b).collect() == [] and contaminated(d, b.limit(0)).collect() == []
 
 
+def test_long_items_leave_no_short_tail(spark):
+    rng = random.Random(10)
+    common = "the of and in to "
+    for n in (0, 1, 256, 257, 261, 512, 513, 1025):
+        text = "".join(f"wörd{k}{rng.choice([' ', '-', '. ', chr(10), ' -- '])}" for k in range(n))
+        cut = cut_item(text)
+        sizes = [len(words_of(t)) for t in cut]
+        assert "".join(cut) == text and sum(sizes) == n and max(sizes) <= 256 and len(cut) == max(1, -(-n // 256)) and max(sizes) - min(sizes) <= 1
+    items = [(n, words(rng, 256) + " " + " ".join(common.split()[: n - 256])) for n in range(257, 262)]
+    docs = [(n, words(rng, 100) + " " + t + " " + words(rng, 100)) for n, t in items]
+    docs += [(k, words(rng, 150) + " " + common + words(rng, 150)) for k in range(20)] + [(100, common), (101, "the")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(d, b).collect()} == {(n, n) for n, _ in items}
+
+
 def test_question_and_answer():
     assert question_and_answer("Who is it? It is me.") == ("Who is it? ", "It is me.")
     assert question_and_answer("one two three four") == ("one two three", "four") and question_and_answer("one") == ("", "one")
