@@ -27,7 +27,7 @@ def q_stream_ingest(spark, sf):
     landing, out, chk = _paths(spark, "ingest")
     fx.raw_li(spark, sf).write.partitionBy("project_id", "sensor").option("header", True).csv(landing)
     jobs.stream_ingest(spark, landing, out, chk, project_type="bigint")
-    return round6(spark.read.parquet(out).drop("batch"))
+    return round6(spark.read.parquet(out).drop("batch", "_path"))
 
 
 DEDUP_SQL = with_fixtures(["det_ev"], ["""src AS (SELECT *, true AS first FROM det_ev UNION ALL

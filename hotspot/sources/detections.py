@@ -101,13 +101,14 @@ def known_sensor(c) -> Column:
     return F.coalesce(sensor_name(c).isin([s[0] for s in schemas.SENSORS]), F.lit(False))
 
 
-def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool = True, project_type: str = "bigint", carry: bool = False) -> DataFrame:
+def clean_detections(raw: DataFrame, spark: SparkSession, drop_incomplete: bool = True, project_type: str = "bigint", carry: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """P1-P4 + J2 + F7: type the text columns (bad numbers and NaN -> NULL, three date
     layouts row by row, padded time, observation timestamp), attach the sensor dimension,
     and (by default) drop rows without position, date or known sensor (`rejected_rows` lists
     them). With `carry` the other delivered columns (brightness, scan, instrument, confidence,
-    version, day/night, ...) go along as text, the delivered satellite as `satellite_code`."""
-    more = [c for c in raw.columns if c not in TYPED] if carry else []
+    version, day/night, ...) go along as text, the delivered satellite as `satellite_code`; without
+    it, only those named in `keep` do."""
+    more = [c for c in raw.columns if (carry and c not in TYPED) or c in keep]
     code = [F.col("satellite").alias("satellite_code")] if carry and "satellite" in raw.columns else []
     d = raw.select(
         *[F.col(f"`{c}`") for c in more],

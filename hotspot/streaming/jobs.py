@@ -9,6 +9,8 @@ partitions are read, and every step gives the same tables when a batch is applie
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,15 +44,27 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     """Text files landing in project_id=/sensor= folders -> typed, cleaned detections in a
     Parquet table by micro-batch (same cleaning as the batch reader). Columns are read by name:
     each batch's files are grouped by their header lines. A batch applied again replaces its own
-    part (`batch`), so no row is written twice."""
+    part (`batch`: the checkpoint's own id and the batch number), and files that another checkpoint
+    has brought (`_path`) are passed over, so no row is written twice or lost when several streams
+    write to one table or a stream begins anew without its checkpoint."""
 
     def apply(lines: DataFrame, batch_id: int) -> None:
         paths = [r[0] for r in lines.select("path").distinct().collect()]  # new files of one batch
         if not paths:
             return
         s = lines.sparkSession
-        clean = sd.clean_detections(sd.read_by_name(s, paths).drop("_path"), s, project_type=project_type, carry=carry)
-        part = clean.withColumn("batch", F.lit(batch_id))
+        own = json.loads(s.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        old = sinks.read_if_exists(s, out)
+        if old is not None and "_path" in old.columns:
+            # the parts of this checkpoint are not read: it never brings a file twice
+            others = old.where(~F.col("batch").cast("string").startswith(f"{own}-")).select("_path")
+            known = others.join(s.createDataFrame([(p,) for p in paths], "_path string"), "_path", "left_semi").distinct()
+            known = {r[0] for r in known.collect()}  # of one batch's files
+            paths = [p for p in paths if p not in known]
+            if not paths:
+                return
+        clean = sd.clean_detections(sd.read_by_name(s, paths), s, project_type=project_type, carry=carry, keep=("_path",))
+        part = clean.withColumn("batch", F.lit(f"{own}-{batch_id}"))
         part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
     src = spark.readStream.option("recursiveFileLookup", True).text(landing).select(F.col("_metadata.file_path").alias("path"))

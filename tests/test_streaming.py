@@ -115,3 +115,27 @@ def test_stream_ingest_reads_both_sensor_layouts(spark):
     assert rows["VIIRS_SNPP_NRT"]["frp"] == 12.5 and rows["VIIRS_SNPP_NRT"]["acq_time"] == "0639"
     assert rows["MODIS_NRT"]["frp"] == 40.25 and str(rows["MODIS_NRT"]["acq_date"]) == "2024-03-01"
     assert {r["project_id"] for r in rows.values()} == {"Fernandina"}
+
+
+def test_stream_ingest_two_streams_and_a_lost_checkpoint(spark):
+    land, land2, out, chk, chk2, chk3 = _paths(spark, "land", "land2", "out", "chk", "chk2", "chk3")
+
+    def file(folder, k):
+        rows = [(str(10 * k + i), f"{k}.5", "10.0", "2024-03-01", "100", "9.0", "0.4") for i in range(2)]
+        df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("detection_id", "latitude", "longitude", "acq_date", "acq_time", "frp", "track")))
+        df.coalesce(1).write.mode("append").option("header", True).csv(f"{folder}/project_id=p/sensor=MODIS_NRT")
+
+    ids = lambda: sorted(r.detection_id for r in spark.read.parquet(out).collect())
+    for k in (1, 2):  # two batches of the first stream
+        file(land, k)
+        jobs.stream_ingest(spark, land, out, chk)
+    file(land2, 3)
+    jobs.stream_ingest(spark, land2, out, chk2)  # another stream's batch 0
+    assert ids() == [10, 11, 20, 21, 30, 31]
+    file(land, 4)
+    for _ in range(2):  # the first stream anew without its checkpoint, then nothing new
+        jobs.stream_ingest(spark, land, out, chk3)
+        assert ids() == [10, 11, 20, 21, 30, 31, 40, 41]
+    file(land, 5)
+    jobs.stream_ingest(spark, land, out, chk3)
+    assert ids() == [10, 11, 20, 21, 30, 31, 40, 41, 50, 51]
