@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hotspot.llm import mixing
 from hotspot.llm.common import fresh, stored
 from hotspot.llm.decontam import contaminated
-from hotspot.llm.jaccard_join import jaccard_join, keep_one
+from hotspot.llm.jaccard_join import one_of_each_class
 from hotspot.llm.language_id import identify_documents
 from hotspot.llm.pii import pseudonymise
 
@@ -27,8 +27,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each class of near duplicates."""
-    return keep_one(docs, stored(jaccard_join(docs), "classes")).select(*docs.columns)
+    """One document, that of least id, of each class of near duplicates; rows are decided each by itself."""
+    return one_of_each_class(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,6 +112,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id, and one of its own."""
+    return df.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty()
+
+
+def with_row_key(df: DataFrame, row: str, content: str) -> DataFrame:
+    """``df``, written and read back with a unique number per row (``row``) and a hash of the row's
+    columns (``content``), which does not depend on where the row lies."""
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in hashed]
+    return stored(df.withColumns({row: F.monotonically_increasing_id(), content: F.xxhash64(F.lit(0), *columns)}), "rows")
+
+
 def fresh(prefix: str) -> str:
     """A column name that no input column can have."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
@@ -165,5 +178,5 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 
 __all__ = [
     "by_value", "components", "cut_lineage", "fresh", "mix", "prefix_hash", "shingles", "shuffle_partitions", "signed", "span_hash",
-    "stored", "word_bounds", "word_hashes",
+    "stored", "unique_ids", "with_row_key", "word_bounds", "word_hashes",
 ]

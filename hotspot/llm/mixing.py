@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspot.llm.common import fresh, stored
+from hotspot.llm.common import fresh, stored, unique_ids, with_row_key
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT, SEED = 1.5, 2.0, "mix"
@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, li
     return t.select("source", "source_size", F.least("top", F.coalesce(F.col("level") * F.col("w"), F.col("top"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ties: tuple[str, ...] = ()) -> DataFrame:
     """How often the mix takes every document: ``(doc_id, size, source, source_size, target, copies, taken)``.
 
     One row per row of ``docs``. Documents are ordered within their source by size, then by hashed
@@ -60,10 +60,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     is at most the limit rounded up. Null and empty texts have size 0; a null source is a source of
     its own; rows without an id and rows that repeat an id are taken each for itself; a source
     without words has target 0 and no copies. An empty table gives an empty result; other columns
-    are ignored. Nothing but totals per source meets in one task.
+    are ignored, but those named in ``ties`` (not like one of the result) order rows of the same id
+    and come with the result. Nothing but totals per source meets in one task.
     """
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))
-    d = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")), "sizes")
+    d = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), *ties), "sizes")
     by_size = stored(d.groupBy("source", "size").agg(F.count("*").alias("docs")), "by_size")
     t = targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).cast("long").alias("source_size")), weights, share, limit)
     offset = unit(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
@@ -72,33 +73,38 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     parts = F.greatest(F.lit(1), F.pow(F.lit(16.0), F.ceil(F.log(16.0, F.col("docs") / F.lit(float(CHUNK)))))).cast("long")
     by_size = by_size.withColumn("digits", F.when(F.col("docs") <= CHUNK, 0).otherwise(F.round(F.log(16.0, parts.cast("double")))).cast("int"))
     same = F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.size") == F.col("g.size"))
-    d = d.alias("d").join(by_size.alias("g"), same).select("d.doc_id", "d.source", "d.size", "d.key", F.expr("substring(d.key, 1, g.digits)").alias("chunk"))
+    more = [f"d.{c}" for c in ties]
+    d = d.alias("d").join(by_size.alias("g"), same).select("d.doc_id", "d.source", "d.size", "d.key", *more, F.expr("substring(d.key, 1, g.digits)").alias("chunk"))
     chunks = d.groupBy("source", "size", "chunk").agg(F.count("*").alias("n"))
     # chunks of a source: one row per size and chunk, far fewer than documents
     before = Window.partitionBy("source").orderBy("size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("source", "size", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy("key"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy("key", *ties))
     # by chunk: partitions by (source, size) alone, as the join may leave them, would hold a whole hot group
     d = d.repartition("source", "size", "chunk").withColumn("rank", rank)
     same = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")) & (F.col("d.chunk") == F.col("c.chunk"))
-    d = d.alias("d").join(chunks.alias("c"), same).select("d.doc_id", "d.source", "d.size", (F.col("d.rank") + F.col("c.base")).alias("at"))
+    d = d.alias("d").join(chunks.alias("c"), same).select("d.doc_id", "d.source", "d.size", *more, (F.col("d.rank") + F.col("c.base")).alias("at"))
     at = F.col("at").cast("double")
     crossed = F.floor(at * F.col("rate") + F.col("offset")) - F.floor((at - 1) * F.col("rate") + F.col("offset"))
     out = d.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).withColumn("copies", crossed.cast("long"))
-    return out.select("doc_id", "size", "d.source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "d.source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *ties)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with ``copy`` from 1.
 
-    Rows that repeat an id are emitted as often as all rows of that id together; rows without an
-    id are not taken. A column named ``copy`` is replaced.
+    Rows that repeat an id are taken and emitted each for itself, whatever their other columns hold
+    (ordered by a hash of them, so that reruns give the same); rows without an id are not taken. A
+    column named ``copy`` is replaced. Only where ids repeat are the rows written with a number each.
     """
-    taken = mix(docs, id_col=id_col, **options).where("doc_id is not null").groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    n = fresh("copies")
+    row, same, n = fresh("row"), fresh("same"), fresh("copies")
     names = [c for c in docs.columns if c != "copy"]
-    once, again = (taken.where(w).select(F.col("doc_id").alias(id_col), F.col("copies").alias(n)) for w in ("rows = 1", "rows > 1"))
-    out = docs.join(once.hint("shuffle_hash"), id_col).unionByName(docs.join(again, id_col).dropDuplicates([id_col]))
+    rows, key, ties = docs.select(*names), id_col, ()
+    if not unique_ids(docs.where(F.col(id_col).isNotNull()), id_col):
+        rows, key, ties = with_row_key(rows, row, same), row, (same, row)
+    taken = mix(rows, id_col=id_col, ties=ties, **options).where("doc_id is not null and copies > 0")
+    taken = taken.select(F.col(row if ties else "doc_id").alias(key), F.col("copies").alias(n))
+    out = rows.join(taken.hint("shuffle_hash"), key)
     return out.select(*names, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("copy"))
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from hotspot.llm.common import components
 from hotspot.llm.ctph import edit_distance, edited_fingerprints, fingerprint, fingerprints, likeness
-from hotspot.llm.jaccard_join import _matches, jaccard_join, keep_one, prefix_length
+from hotspot.llm.jaccard_join import _matches, jaccard_join, keep_one, one_of_each_class, prefix_length
 from hotspot.llm.suffix_dedup import multikey_sort, suffix_dedup
 
 SCHEMA = "doc_id long, text string, fp string, label long, copies string, b int, start int"
@@ -72,6 +72,16 @@ def test_keep_one(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
 
 
+def test_one_of_each_class_decides_every_row(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (1, "m n o p q"), (2, "a b c d e f"), (2, "r s t u v"), (None, "m n o p q"), (None, "w x"), (4, "w x"), (5, None)]
+    docs = make(spark, rows)
+    for df in (docs, docs.repartition(3)):
+        kept = one_of_each_class(df)
+        assert kept.columns == docs.columns
+        want = [(1, "a b c d e f"), (1, "g h i j k l"), (1, "m n o p q"), (2, "r s t u v"), (4, "w x"), (5, None)]
+        assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in want)
+
+
 def test_prefix_is_shortened_to_the_recall():
     d = prefix_length(0.8, 16, 8, 0.999)
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16

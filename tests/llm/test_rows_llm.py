@@ -192,6 +192,15 @@ def test_mixed_documents(spark):
     assert copies == want
 
 
+def test_rows_that_repeat_an_id_are_mixed_each_for_itself(spark):
+    rows = [(i % 7, f"w{i} b c", "s") for i in range(40)] + [(7, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r.text for r in mixed_documents(df).collect())
+    # a rate of 1.5 takes every document once or twice
+    assert set(got) - {""} == {t for _, t, _ in rows if t} and set(got.values()) <= {1, 2} and abs(sum(got.values()) - 60) <= 3
+    assert got == Counter(r.text for r in mixed_documents(df.repartition(5).orderBy(F.rand(1))).collect())
+
+
 # languages
 
 
