@@ -23,6 +23,8 @@ by_value(__name__)
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, WORDS = 0.6, 0.8, 5
+#: Shingles below which one changed word may cost a part its overlap; words in order of the whole item then.
+SHORT, WHOLE = 25, 0.9
 #: Items in an index, items in a block of it, words of an item's part (longer items are cut).
 INDEX_ITEMS, BLOCK_ITEMS, PART = 10_000, 4, 256
 
@@ -59,6 +61,17 @@ def _grams(w: np.ndarray, k: int = WORDS) -> np.ndarray:
     return mix(h)
 
 
+def words_off(part: np.ndarray, passage: np.ndarray) -> int:
+    """Fewest words to change, leave out or put in until the part is a run of words of the passage."""
+    at = np.arange(len(passage) + 1)
+    row = np.zeros(len(passage) + 1, np.int64)
+    for x in part:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (passage != x))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
+
+
 class BlockMaxIndex:
     """Postings of normalised BM25 impacts with maxima per term and per block of items."""
 
@@ -73,7 +86,7 @@ class BlockMaxIndex:
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean_words))
             rows.append((t, impact / impact.sum()))
             q, a = (words_of(x) for x in question_and_answer(text))
-            self.parts.append((np.unique(_grams(q)), min(WORDS, len(q)), np.unique(_grams(a)), min(WORDS, len(a))))
+            self.parts.append(((q, np.unique(_grams(q))), (a, np.unique(_grams(a)))))
         self.longest = max(len(words_of(t)) for t in texts)
         item = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
         term = np.concatenate([t for t, _ in rows])
@@ -157,6 +170,35 @@ class BlockMaxIndex:
         return found
 
 
+def overlaps(question: tuple, answer: tuple, passage: np.ndarray, least: float) -> tuple[float, float] | None:
+    """Overlaps of question and answer, each given as its words and shingles, if the passage holds the item.
+
+    A part's overlap is the share of its five-word shingles in the passage. One changed word takes up
+    to five of them, so a part of fewer than ``SHORT`` shingles may instead have the share of its words
+    that stand in order in one place. Each overlap reaches ``least``; where one changed word alone
+    puts a part of a few words below it, ``WHOLE`` of all the item's words in order do as well.
+    """
+    part, off = [], []
+    for w, grams in (question, answer):
+        share = float(np.isin(grams, _grams(passage, min(WORDS, len(w)))).mean()) if len(w) else 1.0
+        wrong = 0
+        if share < least:
+            wrong = int((~np.isin(w, passage)).sum())  # at least
+            if len(grams) >= SHORT or wrong > max(1, (1 - least) * len(w)):
+                return None
+            wrong = words_off(w, passage)
+            share = max(share, 1 - wrong / len(w))
+        part.append(share)
+        off.append(wrong)
+    if min(part) < least - 1e-9:
+        if any(s < least - 1e-9 and n > 1 for s, n in zip(part, off)):
+            return None
+        whole = np.concatenate((question[0], answer[0]))
+        if words_off(whole, passage) > (1 - WHOLE) * len(whole) + 1e-9:
+            return None
+    return part[0], part[1]
+
+
 def _searcher(index, threshold: float, overlap: float):
     """Searches the passages of every text: windows of two strides, a stride as long as the longest item."""
 
@@ -177,10 +219,9 @@ def _searcher(index, threshold: float, overlap: float):
                 continue
             passage = None
             for item, score in ix.search(terms, threshold):
-                q, qk, a, ak = ix.parts[item]
                 passage = w[start[k] : start[k] + 2 * stride] if passage is None else passage
-                part = [np.isin(g, _grams(passage, size)).mean() if len(g) else 1.0 for g, size in ((q, qk), (a, ak))]
-                if min(part) >= overlap:
+                part = overlaps(*ix.parts[item], passage, overlap)
+                if part:
                     row = (float(score), int(start[k]), float(part[0]), float(part[1]))
                     best[ix.keys[item]] = max(best.get(ix.keys[item], row), row)
         return best
@@ -228,7 +269,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     One row per document row and item: the best passage, from ``start_word`` on. ``score`` is the
     share of the item's BM25 self-score that the passage reaches (``threshold`` at least); the
     overlaps are the shares of the item's five-word shingles found in the passage, of its question
-    (all but the last sentence) and of its answer, ``overlap`` at least each. Items without a word
+    (all but the last sentence) and of its answer, ``overlap`` at least each. A part of fewer than 25
+    shingles may have that share of its words in order instead, and a part of under five words one
+    word changed if nine tenths of the whole item's words are there in order, so that one changed
+    word hides no item of ten words or more. Items without a word
     and null or empty texts match nothing; rows that repeat an item or document are looked at each
     for itself, and a row without an id gives rows without one. Empty tables give an empty result;
     other columns are ignored. Items are held in indexes of about ``index_items`` (one broadcast

@@ -129,6 +129,27 @@ def test_long_items_leave_no_short_tail(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(d, b).collect()} == {(n, n) for n, _ in items}
 
 
+def test_items_with_one_changed_word_are_found(spark):
+    rng = random.Random(11)
+    shapes = [(9, 1), (12, 2), (14, 4), (6, 6), (20, 5), (28, 6), (29, 1), (45, 14), (4, 12)]
+    items = [(k, words(rng, q) + ". " + words(rng, a) + ".") for k, (q, a) in enumerate(shapes)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        for i in range(len(w)):
+            end = w[i][-1] if w[i].endswith(".") else ""
+            docs.append((len(docs), k, words(rng, 120) + " " + " ".join([*w[:i], "zzz" + end, *w[i + 1 :]]) + " " + words(rng, 120)))
+    # the question with another answer of several words, every third word changed, the words in another order
+    other = []
+    for k, t in items:
+        q, a = t.split(". ")
+        w = t.replace(".", "").split()
+        other += [q + ". " + words(rng, 6)] * (len(a.split()) > 1) + [" ".join("zzz" if i % 3 == 0 else x for i, x in enumerate(w)), " ".join(rng.sample(w, len(w)))]
+    d = spark.createDataFrame([(i, t) for i, _, t in docs] + [(10_000 + i, words(rng, 120) + " " + t) for i, t in enumerate(other)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, k) for i, k, _ in docs}
+
+
 def test_question_and_answer():
     assert question_and_answer("Who is it? It is me.") == ("Who is it? ", "It is me.")
     assert question_and_answer("one two three four") == ("one two three", "four") and question_and_answer("one") == ("", "one")
