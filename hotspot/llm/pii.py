@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hotspot.llm.common import fresh
+
 ROUNDS = 8
 KEY = "pseudonym-key"
 
@@ -26,6 +28,12 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+# a match with borders inside that a value of least length may end at
+_LONG = r"^(?:[0-9]|[A-Z]{2}[0-9]{2})[A-Z0-9 -]{11,}$"
+# no text holds all of these non-characters; one that it does not hold marks the ends of values
+_MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
+#: Rounds of marking: what is left of a match may make one with what follows.
+MARKING = 2
 #: Days from 1900-01-01 that the date permutation covers: 256 * 286, to the middle of 2100.
 DATE_START, DATE_A, DATE_B = "1900-01-01", 256, 286
 
@@ -225,24 +233,61 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", keep_v
 
     Adds ``pii`` (``pii_col``): an array of ``(kind, pseudonym)`` of what was replaced, in text order; with
     ``keep_values`` the private value as well, for whoever may re-link them.
-    Matches that do not validate (wrong check digit, no such day, number above 255) stay. A null
+    A card number or IBAN is parted from groups that follow it (an expiry date, a year, a word in
+    capitals, the next value): the longest valid value ended at a group border is taken, and what is
+    left is looked at again. Matches that do not validate (wrong check digit, no such day, number above 255) stay. A null
     text stays null with a null ``pii``; empty texts stay empty; a column already of that name is
     replaced, all others are kept. Rows are handled one by one: repeated rows give equal results,
     and nothing is shuffled.
     """
-    text = F.col(text_col)
+    own = F.col(text_col)
     any_ = "|".join(f"(?:{p})" for p in PATTERNS.values())
+    mark, text_with = fresh("mark"), fresh("text")
+    # only texts with long runs of digits or capitals need their values parted from what follows
+    long_ = own.rlike(f"{PATTERNS['card']}|{PATTERNS['iban']}")
+    out = docs.withColumn(mark, F.when(long_, F.coalesce(*(F.when(~own.contains(c), c) for c in _MARKS)))).withColumn(text_with, own)
+    text = F.col(text_with)
+    for _ in range(MARKING):
+        matches, pieces = F.regexp_extract_all(text, F.lit(any_), F.lit(0)), F.split(text, any_, -1)
+        behind = F.zip_with(matches, F.slice(pieces, F.lit(2), F.size(pieces)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+        parted = F.transform(F.filter(behind, lambda x: x["m"].isNotNull()), lambda x: _part(x["m"], x["p"], F.col(mark)))
+        joined = F.array_join(F.zip_with(pieces, parted, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+        out = out.withColumn(text_with, F.when(F.col(mark).isNotNull(), joined).otherwise(text))
     # rows without a digit or an at sign have nothing to look for
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(any_), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
     new = lambda m: _let(_kind(m), lambda k: _case(k, m, key))
-    out = docs.withColumn(pii_col, found).withColumn(pii_col, F.transform(pii_col, new))
+    out = out.withColumn(pii_col, found).withColumn(pii_col, F.transform(pii_col, new))
     pieces = F.split(text, any_, -1)
     joined = F.array_join(F.zip_with(pieces, F.col(pii_col), lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], m["value"], F.lit("")))), "")
-    out = out.withColumn(text_col, F.when(F.size(pii_col) > 0, joined).otherwise(text))
+    plain = F.when(F.col(mark).isNotNull(), F.replace(joined, F.col(mark), F.lit(""))).otherwise(joined)
+    out = out.withColumn(text_col, F.when(F.size(pii_col) > 0, plain).otherwise(own)).drop(mark, text_with)
     out = out.withColumn(pii_col, F.filter(pii_col, lambda m: m["pseudonym"].isNotNull()))
     return out if keep_values else out.withColumn(pii_col, F.transform(pii_col, lambda m: m.dropFields("value")))
 
 
+def _valid(m: Column) -> Column:
+    """Whether the whole of a card or IBAN match has right check digits."""
+    s = F.regexp_replace(m, "[ -]", "")
+    card = F.length(s).between(13, 19) & (_luhn(s) % 10 == 0)
+    return F.when(m.rlike("^[0-9]"), card).otherwise(F.length(s).between(15, 34) & (_mod97(s) == 1))
+
+
+def _part(m: Column, after: Column, mark: Column) -> Column:
+    """A card or IBAN match that is too long, with a mark behind the longest valid value that it begins
+    with and ends at a border of its groups; behind what is left as well, if that is a value by itself
+    or only white space (``after``) parts it from the next match."""
+
+    def cut(n: Column) -> Column:
+        left = F.substring(m, n + 1, F.length(m))
+        whole = F.regexp_replace(left, "^[ -]", "")
+        again = F.when(after.rlike(r"^\s+$") | (whole.rlike(_LONG) & _valid(whole)), mark).otherwise("")
+        return F.concat(F.substring(m, F.lit(1), n), mark, left, again)
+
+    ends = F.filter(F.reverse(F.sequence(F.lit(13), F.length(m) - 1)), lambda n: F.substring(m, n + 1, F.lit(1)).isin(" ", "-") & _valid(F.substring(m, F.lit(1), n)))
+    inside = _let(ends, lambda e: F.when(F.size(e) > 0, _let(F.get(e, F.lit(0)), cut)).otherwise(m))
+    return F.when(m.rlike(_LONG) & (_kind(m).isin("card", "iban")), F.when(_valid(m), m).otherwise(inside)).otherwise(m)
+
+
 def _case(kind: Column, m: Column, key: str) -> Column:
     out = None
     for k, f in _KINDS.items():
