@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from hotspot.llm import license_scan, mixing, url_filter, warc_revisit
 from hotspot.llm.ctph import edited_fingerprints
 from hotspot.llm.decontam import contaminated
+from hotspot.llm.divergence import ORACLE_SQL as DIVERGENCE_SQL
+from hotspot.llm.divergence import source_divergence
+from hotspot.llm.fill_middle import ORACLE_SQL as FILL_MIDDLE_SQL
+from hotspot.llm.fill_middle import fill_in_middle
 from hotspot.llm.jaccard_join import ORACLE_SQL as JACCARD_SQL
 from hotspot.llm.jaccard_join import jaccard_join
 from hotspot.llm.language_id import identify_documents
 from hotspot.llm.pii import pseudonymise
 from hotspot.llm.suffix_dedup import ORACLE_SQL as SUFFIX_SQL
 from hotspot.llm.suffix_dedup import suffix_dedup
+from hotspot.llm.topk_search import ORACLE_SQL as TOP_K_SQL
+from hotspot.llm.topk_search import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +82,27 @@ def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "canonical", "ts", "outcome", "source_id", "source_ts", "digest", *fields)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document arranged for fill-in-middle training, and of the text restored from it."""
+    return fill_in_middle(table(spark, sf_dir, "documents"), outputs=False).drop("pieces", "output")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its most marked terms."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best rows of every fiftieth vector by inner product."""
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_license_scan, op3_decontamination, op4_mixing, op5_language_id,
         op6_pii, op7_fingerprints, op8_suffix_dedup, op9_jaccard_join, op10_warc_revisit,
+        op11_fill_middle, op12_divergence, op13_top_k,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +112,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_suffix_dedup": SUFFIX_SQL,
     "op9_jaccard_join": JACCARD_SQL,
     "op10_warc_revisit": warc_revisit.ORACLE_SQL,
+    "op11_fill_middle": FILL_MIDDLE_SQL,
+    "op12_divergence": DIVERGENCE_SQL,
+    "op13_top_k": TOP_K_SQL,
 }
