@@ -47,47 +47,40 @@ def collapsed(docs: DataFrame, lang: str = "lang", source: str = "source", text:
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """``(lang, source, term, n)``: occurrences by source; where ``source`` is null, documents of the
-    language that hold the term."""
+    """``(lang, source, term, n, docs)``: occurrences of the term, and documents that hold it, by source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str | None], Counter] = {}
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}  # occurrences and documents of a group
 
         def out() -> pa.RecordBatch:
-            keys = [k for k, c in counts.items() for _ in range(len(c))]
-            cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
-            cols.append(pa.array([t for c in counts.values() for t in c], pa.binary()))
-            cols.append(pa.array([n for c in counts.values() for n in c.values()], pa.int64()))
+            sizes = [len(n) for n, _ in counts.values()]
+            cols = [pa.array(np.repeat(np.array([k[i] for k in counts], object), sizes), pa.string()) for i in (0, 1)]
+            cols.append(pa.array([t for n, _ in counts.values() for t in n], pa.binary()))
+            cols.append(pa.array([x for n, _ in counts.values() for x in n.values()], pa.int64()))
+            cols.append(pa.array([docs[t] for n, docs in counts.values() for t in n], pa.int64()))
             counts.clear()
-            return pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n"])
+            return pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "docs"])
 
         for b in batches:
             for k, (lang, text, sources) in enumerate(zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist())):
                 found = terms(text.as_buffer().to_pybytes())
-                if found:
-                    own = None  # counted once for all sources but a single copy
-                    if len(sources) > 1 or sources[0]["n"] > 1:
-                        own = Counter(found)
-                    for s in sources:
-                        held = counts.setdefault((lang, s["source"]), Counter())
-                        if own is None:
-                            held.update(found)
-                        else:
-                            for t, n in own.items():
-                                held[t] += n * s["n"]
-                    held, copies = counts.setdefault((lang, None), Counter()), sum(s["n"] for s in sources)
-                    if copies == 1:
-                        held.update(set(found))
+                own = Counter(found) if len(sources) > 1 or sources[0]["n"] > 1 else None  # once for all copies
+                for s in sources if found else ():
+                    n, docs = counts.setdefault((lang, s["source"]), (Counter(), Counter()))
+                    if own is None:
+                        n.update(found)
+                        docs.update(set(found))
                     else:
-                        for t in own:
-                            held[t] += copies
-                if k % 64 == 63 and sum(map(len, counts.values())) >= HELD:
+                        for t, x in own.items():
+                            n[t] += x * s["n"]
+                            docs[t] += s["n"]
+                if k % 64 == 63 and sum(len(n) for n, _ in counts.values()) >= HELD:
                     yield out()
         if counts:
             yield out()
 
-    some = texts.mapInArrow(run, "lang string, source string, term binary, n long")
-    return some.withColumn("term", F.col("term").cast("string")).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    some = texts.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
+    return some.withColumn("term", F.col("term").cast("string")).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(count: str, size: str) -> Column:
@@ -212,13 +205,12 @@ def source_divergence(docs: DataFrame, *, lang: str = "lang", source: str = "sou
     columns are ignored. The pairs are the only thing that grows with the square of the sources: they are the result.
     """
     key = ["lang", "source"]
-    counts = stored(term_counts(collapsed(docs, lang, source, text)), "divergence-counts")
-    of_term = Window.partitionBy("lang", "term")  # one row per source, and one
-    kept = counts.withColumn("docs", F.max(F.when(F.col("source").isNull(), F.col("n"))).over(of_term)).withColumn("lang_n", F.sum(F.when(F.col("source").isNotNull(), F.col("n"))).over(of_term))
-    kept = stored(kept.where((F.col("docs") >= least_docs) & F.col("source").isNotNull()).select(*key, "term", "n", "lang_n"), "divergence-kept")
+    of_term = Window.partitionBy("lang", "term")  # one row per source
+    kept = term_counts(collapsed(docs, lang, source, text)).withColumns({"docs": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term), "least": F.min("source").over(of_term)})
+    kept = stored(kept.where(F.col("docs") >= least_docs).select(*key, "term", "n", "lang_n", (F.col("source") == F.col("least")).alias("first")), "divergence-kept")
 
     by_source = kept.groupBy(*key).agg(F.sum("n").alias("total"))
-    by_lang = counts.where(F.col("source").isNull() & (F.col("n") >= least_docs)).groupBy("lang").agg(F.count("*").alias("v"))
+    by_lang = kept.groupBy("lang").agg(F.count_if("first").alias("v"))
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source")))).distinct()
     groups = named.join(by_source, key, "left").join(by_lang, "lang", "left").na.fill(0, ["total", "v"])
     groups = groups.select(*key, "v", F.expr("total + v").alias("size")).withColumn("p0", F.when(F.col("v") > 0, _share("0L", "size")))
