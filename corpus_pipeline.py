@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotspot.llm import mixing
-from hotspot.llm.common import fresh, stored
+from hotspot.llm.common import fresh, row_keyed, stored
 from hotspot.llm.decontam import contaminated
 from hotspot.llm.jaccard_join import one_of_each_class
 from hotspot.llm.language_id import identify_documents
@@ -18,12 +18,12 @@ from hotspot.llm.pii import pseudonymise
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; those without one (or without letters) go. Rows without an
-    id cannot be named in a verdict and stay."""
-    verdicts = identify_documents(docs, spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    # an id goes when none of its rows is accepted
-    rejected = stored(verdicts.where("doc_id is not null").groupBy("doc_id").agg({"accepted": "max"}).where("not `max(accepted)`").select("doc_id"), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose language is found; those without one (or without letters) go. Every row is judged
+    and kept by itself, with null or repeated ids as well."""
+    rows, key = row_keyed(docs)
+    verdicts = identify_documents(rows, spark.read.parquet(f"{sf_dir}/pages.parquet"), key_col=key)
+    rejected = stored(verdicts.where("not accepted").select(key), "rejected")
+    return rows.join(rejected, key, "left_anti").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = stored(hits.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; every row is decided by itself, with null or repeated ids as well."""
+    rows, key = row_keyed(docs)
+    hits = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    hits = stored(hits.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return rows.join(hits, key, "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

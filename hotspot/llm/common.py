@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,15 @@ def by_value(*modules: str) -> None:
 by_value(__name__)
 
 
+def broadcast_by_value(spark: SparkSession, obj) -> Broadcast:
+    """Broadcast of an object with its class, which ``sent_value`` rebuilds where no package is installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+
+
+def sent_value(sent: Broadcast):
+    return cloudpickle.loads(sent.value)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (a permutation), element-wise."""
     x = (x ^ (x >> _U(30))) * _U(_MIX[0])
@@ -125,6 +135,15 @@ def with_row_key(df: DataFrame, row: str, content: str) -> DataFrame:
     return stored(df.withColumns({row: F.monotonically_increasing_id(), content: F.xxhash64(F.lit(0), *columns)}), "rows")
 
 
+def row_keyed(df: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """``df`` with a column that names every row, and that column: the id where each row has one of its
+    own, else a number, for which the rows are written once."""
+    if unique_ids(df, id_col):
+        return df, id_col
+    row = fresh("row")
+    return with_row_key(df, row, fresh("content")), row
+
+
 def fresh(prefix: str) -> str:
     """A column name that no input column can have."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
@@ -177,6 +196,6 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 
 
 __all__ = [
-    "by_value", "components", "cut_lineage", "fresh", "mix", "prefix_hash", "shingles", "shuffle_partitions", "signed", "span_hash",
-    "stored", "unique_ids", "with_row_key", "word_bounds", "word_hashes",
+    "broadcast_by_value", "by_value", "components", "cut_lineage", "fresh", "mix", "prefix_hash", "row_keyed", "sent_value", "shingles",
+    "shuffle_partitions", "signed", "span_hash", "stored", "unique_ids", "with_row_key", "word_bounds", "word_hashes",
 ]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotspot.llm.common import by_value, mix, word_hashes
+from hotspot.llm.common import broadcast_by_value, by_value, mix, sent_value, word_hashes
 
 by_value(__name__)
 
@@ -227,7 +227,7 @@ def _searcher(index, threshold: float, overlap: float):
         return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
+        ix = sent_value(index)
         for b in batches:
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -297,7 +297,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         mine = own.select(F.explode("terms").alias("term")).distinct()
         counts = {r["term"] & (2**64 - 1): r["df"] for r in df.join(mine, "term", "left_semi").collect()}
         index = BlockMaxIndex([r["item_id"] for r in rows], [r["text"] for r in rows], counts, total["n"], total["mean"])
-        results.append(d.mapInArrow(_searcher(spark.sparkContext.broadcast(index), threshold, overlap), _OUT))
+        results.append(d.mapInArrow(_searcher(broadcast_by_value(spark, index), threshold, overlap), _OUT))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

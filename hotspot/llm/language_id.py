@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotspot.llm.common import by_value, stored
+from hotspot.llm.common import broadcast_by_value, by_value, fresh, sent_value, stored
 
 by_value(__name__)
 
@@ -88,7 +88,7 @@ def _scorer(model, cap: int):
     """Number of trigrams and tempered log-likelihood per language of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = model.value.logp
+        logp = sent_value(model).logp
         for b in batches:
             n, ll = [], []
             for text in b.column(0).to_pylist():
@@ -110,7 +110,7 @@ def score_texts(rows: DataFrame, model: TextModel) -> DataFrame:
     """``rows(text, ...)`` with the text's number of trigrams and log-likelihoods in its place; no shuffle."""
     others = [f for f in rows.schema.fields if f.name != "text"]
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others) + ", n long, ll array<double>"
-    return rows.select("text", *(f.name for f in others)).mapInArrow(_scorer(rows.sparkSession.sparkContext.broadcast(model), TEXT_CAP), out)
+    return rows.select("text", *(f.name for f in others)).mapInArrow(_scorer(broadcast_by_value(rows.sparkSession, model), TEXT_CAP), out)
 
 
 def identify(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -180,16 +180,18 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return p.select("id", F.col("p.host").alias("page_host"), F.when(F.col("p.markup") != "", F.col("p.markup")).alias("markup"), F.substring_index("p.host", ".", -1).alias("page_suffix"))
 
 
-def identify_documents(docs: DataFrame, pages: DataFrame, train_rows: int = TRAIN_ROWS, least: float = LEAST_POSTERIOR, keep: tuple[str, ...] | None = None) -> DataFrame:
+def identify_documents(docs: DataFrame, pages: DataFrame, train_rows: int = TRAIN_ROWS, least: float = LEAST_POSTERIOR, keep: tuple[str, ...] | None = None, key_col: str = "doc_id") -> DataFrame:
     """Language of every row of ``docs(doc_id, text, lang, source)``; see ``identify``.
 
     A document with a page takes the page's markup language, host and suffix as evidence, any
     other its declared language and source. The text model is fitted on the declared languages.
+    The result names rows by ``key_col``, where that is not their id.
     """
-    fixed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source")
+    key = fresh("key")
+    fixed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source", F.col(key_col).cast("long").alias(key))
     model = fit_text_model(fixed.select("id", "lang", "text"), train_rows)
     evidence = stored(page_evidence(pages), "page_evidence")
     # texts are scored where they are read; only their scores meet the evidence
     scored = score_texts(fixed, model).join(evidence, "id", "left")
-    scored = scored.select("id", F.coalesce("markup", F.lower("lang")).alias("declared"), F.coalesce("page_host", "source").alias("host"), F.col("page_suffix").alias("suffix"), "n", "ll")
-    return fuse(scored, model, least, keep).withColumnRenamed("id", "doc_id")
+    scored = scored.select(F.col(key).alias("id"), F.coalesce("markup", F.lower("lang")).alias("declared"), F.coalesce("page_host", "source").alias("host"), F.col("page_suffix").alias("suffix"), "n", "ll")
+    return fuse(scored, model, least, keep).withColumnRenamed("id", key_col)

@@ -93,16 +93,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with ``copy`` from 1.
 
-    Rows that repeat an id are taken and emitted each for itself, whatever their other columns hold
-    (ordered by a hash of them, so that reruns give the same); rows without an id are not taken. A
-    column named ``copy`` is replaced. Only where ids repeat are the rows written with a number each.
+    Rows that repeat an id, or have none, are taken and emitted each for itself, whatever their other
+    columns hold (ordered by a hash of them, so that reruns give the same). A column named ``copy`` is
+    replaced. Only where ids repeat or are missing are the rows written with a number each.
     """
     row, same, n = fresh("row"), fresh("same"), fresh("copies")
     names = [c for c in docs.columns if c != "copy"]
     rows, key, ties = docs.select(*names), id_col, ()
-    if not unique_ids(docs.where(F.col(id_col).isNotNull()), id_col):
+    if not unique_ids(docs, id_col):
         rows, key, ties = with_row_key(rows, row, same), row, (same, row)
-    taken = mix(rows, id_col=id_col, ties=ties, **options).where("doc_id is not null and copies > 0")
+    taken = mix(rows, id_col=id_col, ties=ties, **options).where("copies > 0")
     taken = taken.select(F.col(row if ties else "doc_id").alias(key), F.col("copies").alias(n))
     out = rows.join(taken.hint("shuffle_hash"), key)
     return out.select(*names, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("copy"))

@@ -121,15 +121,66 @@ def test_stages_take_edge_rows(spark, tmp_path):
             assert out.isEmpty()
         else:
             ids = [r.doc_id for r in out.select("doc_id").distinct().collect()]
-            assert set(ids) <= {1, 5} and out.where(F.col("text").contains("10.1.2.3")).isEmpty()
+            assert set(ids) <= {1, 5, None} and out.where(F.col("text").contains("10.1.2.3")).isEmpty()
         docs = docs.limit(0)
 
 
+def test_rows_are_decided_each_by_itself(spark, tmp_path):
+    """Rows without an id, and rows that share one, stay or go by their own text in each filtering stage."""
+    for name in ("pages", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    clean = "the and of in to that was for on are this with from have were "
+    rows = [(None, "of the " + item + " and", "en"), (None, clean * 3, "en"), (7, clean + item, "en"), (7, clean * 2, "en"), (8, clean + "is", "en"), (8, "12 345", "en"), (None, "67 89", "en")]
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en'").limit(50)  # for the language model
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], texts.schema)
+    stage = dict(cp.STAGES)
+    left = stage["decontamination"](spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(i), t) for i, t, _ in rows if item not in t)
+    mixed = texts.unionByName(docs)
+    kept = stage["language_id"](spark, mixed, str(tmp_path)).where("source = 's'").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t, _ in rows if not t[0].isdigit())
+    mix = mixing.mix(docs)
+    taken = stage["mixing"](spark, docs, str(tmp_path))
+    words = taken.select(F.sum(mixing.n_words(F.col("text")))).first()[0]
+    assert words == mix.agg(F.sum("taken")).first()[0]
+
+
+ELSEWHERE = """
+import importlib.util, os, sys
+spec = importlib.util.spec_from_file_location("entry_by_path", {entry!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from hotspot.session import get_session
+spark = get_session("local[4]", 4)
+assert not spark.sparkContext.parallelize([0], 1).map(lambda _: __import__("importlib").util.find_spec("hotspot") is not None).first()
+for name, query in entry.queries().items():
+    if name.startswith("op") or name == "pipeline":
+        query(spark, {sf!r}).write.format("noop").mode("overwrite").save()
+        print("ran", name, flush=True)
+"""
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """All keys in a session of another folder, whose workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    code = ELSEWHERE.format(entry=os.path.join(ROOT, "__spark_entry__.py"), sf=SMALL)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    ran = {x.split()[1] for x in done.stdout.splitlines() if x.startswith("ran ")}
+    assert done.returncode == 0 and ran == {*QUERIES, "pipeline"}, done.stderr[-2000:]
+
+
 def test_registered_queries():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 

@@ -208,9 +208,9 @@ def test_mixed_documents(spark):
     assert out.columns == ["doc_id", "text", "source", "copy"]
     copies = Counter(r.doc_id for r in out.collect())
     want = Counter()
-    for r in mix(df).where("doc_id is not null").collect():
+    for r in mix(df).collect():
         want[r.doc_id] += r.copies
-    assert copies == want
+    assert copies == want and copies[None] >= 1  # a row without an id counts in the sizes and is taken
 
 
 def test_rows_that_repeat_an_id_are_mixed_each_for_itself(spark):
