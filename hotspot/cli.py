@@ -48,19 +48,21 @@ def merge(spark: SparkSession, archive: str, landing: str, glob: str = "*.csv"):
 
 def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob: str = "config_*.txt") -> None:
     prj = projects.scan_projects(spark, config_root, glob=glob).withColumn("project_id", F.col("project_key"))
-    # months any project can use, as literals: the archive scan prunes the other months
+    # months any project can use: the others are not even listed
     lo, hi = prj.agg(F.min("start_ts"), F.max("end_ts")).first()
-    det = spark.read.parquet(archive)
-    if lo is not None and hi is not None:
-        det = det.where(F.col("acq_month").between(lo.strftime("%Y-%m"), hi.strftime("%Y-%m")))
+    months = (lo.strftime("%Y-%m"), hi.strftime("%Y-%m")) if lo is not None and hi is not None else ()
+    det = sinks.read_archive_table(spark, archive, *months)
     det = det.drop(sinks.MONTH, sinks.BUCKET, "origin", "ingest_seq")
     # the large filtered table and the daily maxima are written first and read back
     extra = ("vent_lat", "vent_lon", "start_ts", "end_ts", "filter_frp", "frp_mode", "filter_track", "ref_radius_m")
     base = out.rstrip("/")
-    sinks.write_by_month(runout.filter_runout(det, prj).drop(*extra), f"{base}/filtered_detections", "obs_ts")
-    filtered = spark.read.parquet(f"{base}/filtered_detections").drop(sinks.MONTH)
-    sinks.write_table(runout.daily_runout(filtered), f"{base}/daily_runout")
-    daily = spark.read.parquet(f"{base}/daily_runout")
+    keys = [r[0] for r in prj.select("project_id").distinct().collect()]  # the catalogue of this run
+    filtered = runout.filter_runout(det, prj).drop(*extra)
+    sinks.write_by_month(filtered, f"{base}/filtered_detections", "obs_ts", keys)
+    filtered = sinks.read_projects_table(spark, f"{base}/filtered_detections", filtered.schema, prj)
+    daily = runout.daily_runout(filtered)
+    sinks.write_projects_table(daily, f"{base}/daily_runout", keys)
+    daily = sinks.read_projects_table(spark, f"{base}/daily_runout", daily.schema, prj)
     front = frontier.frontier(daily)
     rows = frp.frp_rows(det, prj)
     summary = frp.frp_summary(rows)
@@ -78,7 +80,7 @@ def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob:
     }
     tables["report"] = report.report_kpis(prj, tables["count_kpis"], runout.period_summary(filtered), tables["speed_summary"])
     for name, df in tables.items():
-        sinks.write_table(df, f"{out.rstrip('/')}/{name}", ["project_id"])
+        sinks.write_projects_table(df, f"{base}/{name}", keys)
 
 
 def main(argv=None) -> None:

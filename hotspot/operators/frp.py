@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspot import schemas
 from hotspot.functions.calendar import seconds_between
 from hotspot.operators.counts import period_days
 from hotspot.operators.dims import dim_join
+from hotspot.session import cut_lineage
 
 G = ["project_id", "satellite"]
 QUANTILES = (0.25, 0.5, 0.75)
@@ -24,44 +25,64 @@ def frp_rows(det: DataFrame, projects: DataFrame) -> DataFrame:
     return d.where(F.col("acq_date").between(F.col("start_date"), F.col("end_date"))).select(*G, "obs_ts", "frp")
 
 
-#: Value ranges that a group's distinct values are cut into for the running count.
-RANGES = 4096
+#: Value ranges that a group's distinct values are cut into, and how exact their cut points are.
+RANGES, ACCURACY = 128, 20
+
+
+def value_ranges(vals: DataFrame, count: str, *stats: Column) -> tuple[DataFrame, DataFrame]:
+    """`vals(group, frp, count)`, one row per distinct value, and per group its `cuts` (the values that
+    part it into up to RANGES ranges of about equally many values, however they are spread), `at`
+    (range -> rows below it, rows in it), `total` and `stats`.
+
+    Both are checkpointed: approximate cut points come out a little different each time they are
+    taken, and ranges and counts must be those of the same ones. A value is one row, so one that
+    holds most of the rows weighs no more than others."""
+    vals = cut_lineage(vals)
+    cuts = F.percentile_approx("frp", [k / RANGES for k in range(1, RANGES)], ACCURACY * RANGES)
+    spans = cut_lineage(vals.groupBy(*G).agg(F.array_distinct(cuts).alias("cuts"), F.sum(count).alias("total"), *stats))
+    n = vals.join(spans.select(*G, "cuts"), G).groupBy(*G, _range()).agg(F.sum(count).alias("n"))
+    before = Window.partitionBy(*G).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    at = n.select(*G, "range", F.struct(F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n").alias("r"))
+    at = at.groupBy(*G).agg(F.map_from_entries(F.collect_list(F.struct("range", "r"))).alias("at"))
+    return vals, cut_lineage(spans.join(at, G))
+
+
+def _range() -> Column:
+    """Number of the range of `frp`: the cut points below it."""
+    return F.size(F.filter("cuts", lambda x: x < F.col("frp"))).alias("range")
+
+
+def _within(count: str) -> Column:
+    """Rows of the group below the value, from those below its range."""
+    w = Window.partitionBy(*G, "range").orderBy("frp").rowsBetween(Window.unboundedPreceding, -1)
+    return F.col("r.base") + F.coalesce(F.sum(count).over(w), F.lit(0))
 
 
 def running_counts(vals: DataFrame, count: str) -> DataFrame:
     """(group, frp, count) rows with `before`, the rows of the group below the value, and `total`.
-
-    Two levels, so that no group's distinct values meet in one task: equal ranges between the
-    group's least and largest value have their counts summed first; only values of one range
-    are put in order together."""
-    span = vals.groupBy(*G).agg(F.min("frp").alias("_lo"), F.max("frp").alias("_hi"), F.sum(count).alias("total"))
-    at = F.floor((F.col("frp") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES)
-    v = vals.join(span, G).withColumn("_range", F.when(F.col("_hi") > F.col("_lo"), F.least(at, F.lit(RANGES - 1))).otherwise(0).cast("int")).drop("_lo", "_hi")
-    first = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    base = v.groupBy(*G, "_range").agg(F.sum(count).alias("_n"))
-    base = base.select(*G, "_range", F.coalesce(F.sum("_n").over(first(*G).orderBy("_range")), F.lit(0)).alias("_base"))
-    within = F.coalesce(F.sum(count).over(first(*G, "_range").orderBy("frp")), F.lit(0))
-    v = v.withColumn("_in", within).join(base, [*G, "_range"])
-    return v.withColumn("before", F.col("_base") + F.col("_in")).drop("_range", "_base", "_in")
+    No group's distinct values meet in one task: only those of one range are put in order together."""
+    vals, spans = value_ranges(vals, count)
+    v = vals.join(spans, G).select(*vals.columns, "total", "at", _range()).withColumn("r", F.col("at")[F.col("range")])
+    return v.select(*vals.columns, "total", _within(count).alias("before"))
 
 
 def frp_summary(rows: DataFrame) -> DataFrame:
     """A5: min, quartiles, mean, p95, max (exact, linearly interpolated quantiles): the values at
-    the needed ranks are those whose running count holds them."""
+    the needed ranks are those whose running count holds them. The rows are read once, and only the
+    ranges that hold a needed rank are put in order."""
     ps = (0.25, 0.5, 0.75, 0.95)
     h = rows.groupBy(*G, "frp").agg(F.count(F.lit(1)).alias("c"), F.sum("frp").alias("s"))
-    v = running_counts(h, "c")
-    pos = {p: (F.col("total") - 1) * F.lit(p) for p in ps}
-    holds = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("c")), F.col("frp")))
-    a = v.groupBy(*G).agg(
-        F.max("total").alias("n"), F.min("frp").alias("min"), F.max("frp").alias("max"), (F.sum("s") / F.sum("c")).alias("mean"),
-        *[holds(f(x)).alias(f"{side}{k}") for k, x in enumerate(pos.values()) for side, f in (("lo", F.floor), ("hi", F.ceil))],
-    )
-    q = []
-    for k, p in enumerate(ps):
-        x = (F.col("n") - 1) * F.lit(p)
-        q.append(F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (x - F.floor(x)))
-    return a.select(*G, "n", "min", q[0].alias("q1"), q[1].alias("median"), "mean", q[2].alias("q3"), q[3].alias("p95"), "max")
+    h, spans = value_ranges(h, "c", F.min("frp").alias("min"), F.max("frp").alias("max"), (F.sum("s") / F.sum("c")).alias("mean"))
+    pos = [(F.col("total") - 1) * F.lit(p) for p in ps]
+    ranks = F.array(*[f(x).cast("long") for x in pos for f in (F.floor, F.ceil)])
+    v = h.join(spans, G).select(*G, "frp", "c", ranks.alias("ranks"), "at", _range()).withColumn("r", F.col("at")[F.col("range")])
+    v = v.where(F.exists("ranks", lambda k: (k >= F.col("r.base")) & (k < F.col("r.base") + F.col("r.n"))))
+    v = v.select(*G, "frp", "c", "ranks", _within("c").alias("before"))
+    holds = lambda k: F.max(F.when((F.col("before") <= F.col("ranks")[k]) & (F.col("ranks")[k] < F.col("before") + F.col("c")), F.col("frp")))
+    a = v.groupBy(*G).agg(*[holds(2 * k + side).alias(f"{name}{k}") for k in range(len(ps)) for side, name in enumerate(("lo", "hi"))])
+    a = spans.drop("cuts", "at").join(a, G)
+    q = [F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (x - F.floor(x)) for k, x in enumerate(pos)]
+    return a.select(*G, F.col("total").alias("n"), "min", q[0].alias("q1"), q[1].alias("median"), "mean", q[2].alias("q3"), q[3].alias("p95"), "max")
 
 
 def frp_overall(summary: DataFrame) -> DataFrame:
@@ -153,7 +174,8 @@ def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int =
     Work per group ~ ticks x sqrt(N) instead of ticks x N.
     """
     r = _epoch_ticks(rows)
-    h = r.groupBy(*G, "idx", "frp").agg(F.count(F.lit(1)).alias("c"), F.max(F.to_date("obs_ts")).alias("dmax"))
+    # the compressed table is used in several places: the rows are read once
+    h = cut_lineage(r.groupBy(*G, "idx", "frp").agg(F.count(F.lit(1)).alias("c"), F.max(F.to_date("obs_ts")).alias("dmax")))
     # grid bounds from the compressed table (no second pass over the rows)
     bounds = h.groupBy(*G).agg(F.min("idx").alias("i0"), F.max("dmax").alias("d1"))
     last = ((F.unix_date("d1") + 1) * (24 // TICK_HOURS)).cast("long")

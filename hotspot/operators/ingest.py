@@ -60,44 +60,68 @@ def with_round_keys(df: DataFrame) -> DataFrame:
 SEQ_BITS = 62  # ingest_seq must lie in [0, 2^62)
 
 
+def merge_tagged(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """The merge in one pass over both inputs: per de-duplication key its first row that stays, and
+    how many rows of it were new (`n_new`), refreshed away (`n_refreshed`) and complete among
+    those that stay (`n_kept`; 0: no row is left).
+
+    It is one hash aggregate: (origin, ingest_seq) is packed into one long and every kept value is
+    a primitive `min_by` on it. Rows of copies are reduced map-side."""
+    sides = [_staying(history, batch).withColumn("_new", F.lit(False)), batch.withColumns({"_stays": F.lit(True), "_new": F.lit(True)})]
+    u = with_round_keys(union_all(sides))
+    complete = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("acq_date").isNotNull()
+    u = u.withColumn("_kept", F.col("_stays") & complete)
+    order = F.shiftleft(F.col("origin").cast("long"), SEQ_BITS) + F.col("ingest_seq")
+    u = u.withColumn("_ord", F.when(F.col("_kept"), order))  # others are passed over by min_by
+    vals = ["detection_id", "frp", "track", "latitude", "longitude", "origin", "ingest_seq"]
+    # whatever else the files carried (brightness, confidence, ...) goes along
+    vals += [c for c in u.columns if c not in {*DET_COLS, *DEDUP_KEY, *vals, "_ord", "_kept", "_stays", "_new"}]
+    counts = {"n_new": F.col("_new"), "n_refreshed": ~F.col("_stays"), "n_kept": F.col("_kept")}
+    return u.groupBy(*DEDUP_KEY).agg(*[F.min_by(c, "_ord").alias(c) for c in vals], *[F.count_if(x).alias(n) for n, x in counts.items()])
+
+
+def _staying(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """J5 as a flag: `_stays` is false for history rows whose date the batch delivers again, unless it
+    goes on with their delivery (see `refresh_anti`). The date sets are small: plain hash joins."""
+    out = history.join(distinct_dates(batch).withColumn("_again", F.lit(True)), REFRESH_KEY, "left")
+    again = F.coalesce("_again", F.lit(False))
+    if "delivery" in history.columns and "delivery" in batch.columns:
+        key = [*REFRESH_KEY, "delivery"]
+        out = out.join(batch.select(*key).where("delivery is not null").distinct().withColumn("_goes_on", F.lit(True)), key, "left")
+        again = again & ~F.coalesce("_goes_on", F.lit(False))
+    return out.withColumn("_stays", ~again).drop("_again", "_goes_on")
+
+
+def merged_rows(tagged: DataFrame) -> DataFrame:
+    """The rows that a merge leaves; the columns that follow from the key (satellite, source id,
+    observation time) are attached again."""
+    sens = F.broadcast(schemas.sensors(tagged.sparkSession).select("sensor", "satellite", "source_id"))  # fixed 4 rows
+    d = tagged.where("n_kept > 0").join(sens, "sensor").withColumn("obs_ts", build_obs_ts("acq_date", "acq_time"))
+    more = [c for c in tagged.columns if c not in {*DET_COLS, *DEDUP_KEY, "origin", "ingest_seq", "n_new", "n_refreshed", "n_kept"}]
+    return d.select(*DET_COLS, "origin", "ingest_seq", *more)
+
+
 def merge_detections(history: DataFrame, batch: DataFrame) -> DataFrame:
     """U4: refresh the batch's dates, union, drop incomplete rows, de-duplicate on
     (project, sensor, 4-dp position, date, time) keeping the first by (origin, ingest_seq).
     Inputs carry `origin` (0 history, 1 new) and `ingest_seq` in [0, 2^62); the result is
-    idempotent: merging the same batch again yields the same table.
-
-    The de-duplication is a hash aggregate: (origin, ingest_seq) is packed into one long and
-    every kept value is a primitive `min_by` on it; the columns that follow from the key
-    (satellite, source id, observation time) are attached again afterwards."""
-    kept = refresh_anti(history, batch)
-    u = with_round_keys(drop_incomplete(union_all([kept, batch])))
-    u = u.withColumn("ord", F.shiftleft(F.col("origin").cast("long"), SEQ_BITS) + F.col("ingest_seq"))
-    vals = ["detection_id", "frp", "track", "latitude", "longitude", "origin", "ingest_seq"]
-    # whatever else the files carried (brightness, confidence, ...) goes along
-    more = [c for c in u.columns if c not in {*DET_COLS, *DEDUP_KEY, *vals, "ord"}]
-    vals += more
-    d = u.groupBy(*DEDUP_KEY).agg(*[F.min_by(c, "ord").alias(c) for c in vals])
-    sens = F.broadcast(schemas.sensors(history.sparkSession).select("sensor", "satellite", "source_id"))  # fixed 4 rows
-    d = d.join(sens, "sensor").withColumn("obs_ts", build_obs_ts("acq_date", "acq_time"))
-    return d.select(*DET_COLS, "origin", "ingest_seq", *more)
+    idempotent: merging the same batch again yields the same table."""
+    return merged_rows(merge_tagged(history, batch))
 
 
-def merge_log(history: DataFrame, batch: DataFrame, merged: DataFrame) -> DataFrame:
+def merge_log(tagged: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Per project and sensor — new rows delivered, history rows refreshed away,
-    duplicates removed, total after the merge."""
+    duplicates removed, total after the merge. It reads only what the merging pass has counted; `totals`
+    (project_id as text, sensor, rows_total) are those of a table of which the merge saw a part."""
     k = ["project_id", "sensor"]
-    complete = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("acq_date").isNotNull()
-    parts = {"h": history, "k": refresh_anti(history, batch), "n": batch, "t": merged}
-    counts = [df.groupBy(*k).agg(F.count(F.lit(1)).alias("rows"), F.count_if(complete).alias("complete")).withColumn("part", F.lit(p)) for p, df in parts.items()]
-    # small aggregates, put together by one more: no joins
-    u = reduce(lambda a, b: a.unionByName(b), counts)
-    z = lambda p, c="rows": F.sum(F.when(F.col("part") == p, F.col(c)).otherwise(0))
-    return u.groupBy(*k).agg(
-        z("n").cast("bigint").alias("rows_new"),
-        (z("h") - z("k")).cast("bigint").alias("rows_refreshed"),
-        (z("k", "complete") + z("n", "complete") - z("t")).cast("bigint").alias("duplicates_removed"),
-        z("t").cast("bigint").alias("rows_total"),
-    )
+    total = F.sum("n_kept")
+    left = F.count_if(F.col("n_kept") > 0)
+    log = tagged.groupBy(*k).agg(F.sum("n_new").alias("rows_new"), F.sum("n_refreshed").alias("rows_refreshed"), (total - left).alias("duplicates_removed"), left.alias("rows_total"))
+    if totals is None:
+        return log
+    t = totals.withColumnsRenamed({"project_id": "_project", "sensor": "_sensor", "rows_total": "_total"})
+    same = F.col("project_id").cast("string").eqNullSafe(F.col("_project")) & F.col("sensor").eqNullSafe(F.col("_sensor"))
+    return log.join(t, same, "left").select(*k, "rows_new", "rows_refreshed", "duplicates_removed", F.coalesce("_total", F.lit(0)).alias("rows_total"))
 
 
 def migrate_dates(raw: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def q_merge_detections(spark, sf):
 )
 def q_merge_log(spark, sf):
     hist, new = merge_inputs(spark, sf)
-    return ing.merge_log(hist, new, ing.merge_detections(hist, new))
+    return ing.merge_log(ing.merge_tagged(hist, new))
 
 
 @R.add(

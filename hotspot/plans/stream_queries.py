@@ -27,7 +27,7 @@ def q_stream_ingest(spark, sf):
     landing, out, chk = _paths(spark, "ingest")
     fx.raw_li(spark, sf).write.partitionBy("project_id", "sensor").option("header", True).csv(landing)
     jobs.stream_ingest(spark, landing, out, chk, project_type="bigint")
-    return round6(spark.read.parquet(out).drop("batch", "_path"))
+    return round6(jobs.ingested(spark, out).drop("batch", "_path"))
 
 
 DEDUP_SQL = with_fixtures(["det_ev"], ["""src AS (SELECT *, true AS first FROM det_ev UNION ALL
@@ -68,7 +68,7 @@ def q_stream_merge(spark, sf):
     new.where(F.col("acq_date") <= cut).select(*cols).write.mode("append").parquet(landing)
     jobs.stream_merge(spark, landing, archive, chk)
     jobs.stream_merge(spark, landing, archive, chk)  # nothing new: no change
-    return round6(spark.read.parquet(archive).select(*iq.DET_COLS, "ingest_seq"))
+    return round6(sinks.read_archive_table(spark, archive).select(*iq.DET_COLS, "ingest_seq"))
 
 
 @R.add("stream_weekly", with_fixtures(["det_li"], [], f"""SELECT project_id, {cq.wk('acq_date', '3')} AS week_start, satellite, count(*) AS n_detections
@@ -81,15 +81,15 @@ def q_stream_weekly(spark, sf):
     for part in (d.where(~cut), d.where(cut)):  # the second landing is years late
         part.write.mode("append").parquet(landing)
         jobs.stream_weekly(spark, landing, out, chk, anchor=3)
-    return spark.read.parquet(out).select("project_id", "week_start", "satellite", "n_detections")
+    return jobs.read_weeks(spark, out)
 
 
 @R.add("stream_frontier", with_fixtures(["projects_ev", "det_ev"], [FILTERED, DAILY] + frontier_ctes(), "SELECT project_id, date_only, satellite, source, date, "
                                         + r6("distance_km", "frp", "latitude", "longitude", "max_distance", "prev_max", "time_diff", "distance_diff", "speed")
                                         + " FROM front"))
 def q_stream_frontier(spark, sf):
-    """T5: daily maxima arrive in four landings, the second week last; each run works out the
-    frontiers of the projects it touches anew."""
+    """T5: daily maxima arrive in four landings, the second week last; each run replays
+    the days from the earliest new one on."""
     landing, out, chk = _paths(spark, "frontier")
     daily = ro.daily_runout(ro.filter_runout(fx.detections_ev(spark, sf), fx.projects_ev(spark, sf)))
     bounds = ["0001-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "9999-12-31"]

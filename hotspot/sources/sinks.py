@@ -1,27 +1,19 @@
-"""Writers: detection archive (partitioned by month and project bucket, incremental), derived tables."""
+"""Writers: detection archive (see `archive`), migration of text archives, derived tables."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hotspot.functions.clean import is_iso_text, parse_date
 from hotspot.operators import ingest
 from hotspot.session import cut_lineage
-from hotspot.sources import detections
-
-MONTH, BUCKET = "acq_month", "project_bucket"
-#: Project buckets of a month: a merge rewrites only those its batch touches.
-BUCKETS = 16
-
-
-def _month(c="acq_date") -> Column:
-    return F.date_format(F.col(c), "yyyy-MM")
-
-
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("project_id"), F.lit(BUCKETS)).cast("int")
+from hotspot.sources import detections, files
+from hotspot.sources.archive import BUCKET, MONTH, merge_into_archive, read_archive_table, write_archive
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
@@ -35,42 +27,6 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_archive(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1 + O2: Parquet partitioned by month and project bucket (dynamic overwrite: only the
-    partitions present in `df` are replaced). Writers follow the size of the data: AQE cuts
-    large partitions to its advisory size and joins small ones, so a month that holds most of
-    the rows is written by as many tasks as it needs; newest first inside each file."""
-    out = df.withColumn(MONTH, _month()).withColumn(BUCKET, _bucket()).hint("rebalance", MONTH, BUCKET)
-    out = out.sortWithinPartitions(MONTH, BUCKET, "project_id", F.col("acq_date").desc(), F.col("acq_time").desc())
-    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(MONTH, BUCKET).parquet(path)
-
-
-def read_archive_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def merge_into_archive(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
-    """Incremental merge: read only the (month, project bucket) partitions the batch touches
-    (partition pruning), merge, cut the lineage with a reliable checkpoint (the result no longer
-    reads the files being replaced), then overwrite just those partitions. A first load, without
-    an archive, goes the same way from an empty history. Returns the merge log."""
-    part = F.concat_ws("/", _month(), _bucket().cast("string"))
-    # bounded by the calendar span of one batch times the buckets
-    parts = [r[0] for r in batch.where(F.col("acq_date").isNotNull()).select(part.alias("p")).distinct().collect()]
-    arch = read_if_exists(spark, path)
-    if arch is None:
-        hist = batch.limit(0)
-    else:
-        hist = arch.where(F.concat_ws("/", F.col(MONTH), F.col(BUCKET).cast("string")).isin(parts)).drop(MONTH, BUCKET)
-        hist = hist.withColumn("origin", F.lit(0))
-        if "ingest_seq" not in hist.columns:
-            hist = hist.withColumn("ingest_seq", F.pmod(F.col("detection_id"), F.lit(1 << ingest.SEQ_BITS)))
-    merged = cut_lineage(ingest.merge_detections(hist, batch))
-    log = cut_lineage(ingest.merge_log(hist, batch, merged))
-    write_archive(merged, path)
-    return log
-
-
 def migrate_archive(spark: SparkSession, path: str) -> DataFrame:
     """P6 on a text archive in project_id=/sensor= folders: dates in other layouts are rewritten to
     ISO. Folders whose dates are all ISO (or cannot be read at all) are not touched, so a second
@@ -87,15 +43,48 @@ def migrate_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """K3, K4: derived tables as Parquet (optionally partitioned)."""
+    """K3, K4: derived tables as Parquet. With `partition_by` only the partitions that `df` holds are
+    replaced, so the results of other projects stay."""
     w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.parquet(path)
 
 
-def write_by_month(df: DataFrame, path: str, time_col: str) -> None:
-    """K2: a large derived table as Parquet by month; AQE sizes the writers, so neither a hot
-    project nor a hot month is written by one task."""
-    out = df.withColumn(MONTH, F.date_format(time_col, "yyyy-MM")).hint("rebalance", MONTH)
-    out.write.mode("overwrite").partitionBy(MONTH).parquet(path)
+def _partitions(spark: SparkSession, path: str, by: list[str], projects: set[str]) -> dict[str, set[str]]:
+    """Folders of these projects' partitions with the names of their files (as Spark lists them too)."""
+    folders = [path.rstrip("/")]
+    for k, c in enumerate(by):
+        below = [(at, n) for at in folders for n, _ in files.children(spark, at) if n.startswith(f"{c}=")]
+        folders = [f"{at}/{n}" for at, n in below if k or unquote(n.partition("=")[2]) in projects]
+    return {at: {n for n, _ in files.children(spark, at)} for at in folders}
+
+
+def write_projects_table(df: DataFrame, path: str, projects: list | None = None, then_by: tuple[str, ...] = ()) -> None:
+    """K2-K4: the rows of each project in `df` replace its rows in the table at `path`; other projects
+    stay. Of those in `projects` (the ones worked on) partitions that get no rows any more go as well,
+    after the new ones are in place: those that hold files of before only. AQE sizes the writers, so a hot
+    project is written by many tasks."""
+    by, wanted = ["project_id", *then_by], {str(p) for p in projects or ()}
+    before = _partitions(df.sparkSession, path, by, wanted)
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    for at, names in _partitions(df.sparkSession, path, by, wanted).items():
+        if names <= before.get(at, set()):
+            files.remove(df.sparkSession, at)
+
+
+def read_projects_table(spark: SparkSession, path: str, schema: StructType, projects: DataFrame) -> DataFrame:
+    """The rows of these projects in such a table, with the columns it was written from."""
+    rows = spark.read.schema(schema).parquet(path).select(*schema.names)
+    return rows.join(projects.select("project_id").distinct(), "project_id", "left_semi").select(*schema.names)
+
+
+def write_by_month(df: DataFrame, path: str, time_col: str, projects: list | None = None) -> None:
+    """K2: a large derived table by project and month."""
+    write_projects_table(df.withColumn(MONTH, F.date_format(time_col, "yyyy-MM")), path, projects, (MONTH,))
+
+
+__all__ = [
+    "BUCKET", "MONTH", "merge_into_archive", "migrate_archive", "read_archive_table", "read_if_exists", "read_projects_table",
+    "write_archive", "write_by_month", "write_projects_table", "write_table",
+]

@@ -2,13 +2,15 @@
 
 Every job reads a file landing area (new files = new data), keeps its progress in a
 checkpoint in the shared folder and can be re-run with trigger(availableNow) to catch up:
-a restarted job resumes from the checkpoint. No job drops rows for coming late: what a
-batch changes is worked out against the tables kept so far, of which only the touched
-partitions are read, and every step gives the same tables when a batch is applied again.
+a restarted job resumes from the checkpoint. No job drops rows for coming late, and every step
+gives the same tables when a batch is applied again. What earlier batches have brought is known
+from a ledger of files (T1), from the state store (T4, T5) or from the touched partitions of the
+kept table (T2, T3).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +20,10 @@ from pyspark.sql import types as T
 from hotspot import schemas
 from hotspot.functions.calendar import seconds_between
 from hotspot.functions.clean import round_key
-from hotspot.operators import frontier
 from hotspot.session import cut_lineage
 from hotspot.sources import detections as sd
 from hotspot.sources import sinks
+from hotspot.streaming.frontier_state import OUT, FrontierState
 
 EPOCH = "1970-01-01 00:00:00"
 
@@ -39,36 +41,83 @@ def _run(writer) -> None:
 
 # ---- T1 ------------------------------------------------------------------------------
 
+#: Files of one micro-batch of a text ingest: a backlog of any size comes in batches of at most as many.
+MAX_FILES = 10_000
+#: Parts of the ledger of ingested files; a batch reads only those that its files' names hash to.
+LEDGER_SLOTS = 64
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+_LEDGER = "path string, length long, modified timestamp, batch string, slot int"
+_FILE_KEY = ["path", "length", "modified"]
 
-def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, project_type: str = "string", carry: bool = False) -> None:
+
+def ledger_of(out: str) -> str:
+    return out.rstrip("/") + "_files"
+
+
+def _ledger(spark: SparkSession, out: str, slots: list[int] | None = None) -> DataFrame | None:
+    old = sinks.read_if_exists(spark, ledger_of(out))
+    if old is None:
+        return None
+    old = spark.read.schema(_LEDGER).parquet(ledger_of(out))  # an append-only table of one row per file and delivery
+    return old if slots is None else old.where(F.col("slot").isin(slots))
+
+
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of an ingested table: those of the newest delivery of each file, each once."""
+    rows, seen = spark.read.parquet(out), _ledger(spark, out)
+    if seen is None:
+        return rows.limit(0)
+    # of a file that two streams have brought at a time, the delivery of the first name counts
+    last = seen.groupBy("path").agg(F.max_by("batch", F.struct("modified", "batch")).alias("batch"))
+    return rows.join(last.withColumnRenamed("path", "_path"), ["_path", "batch"], "left_semi").select(*rows.columns)
+
+
+def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, project_type: str = "string", carry: bool = False, max_files: int = MAX_FILES, max_bytes: int | None = None) -> None:
     """Text files landing in project_id=/sensor= folders -> typed, cleaned detections in a
     Parquet table by micro-batch (same cleaning as the batch reader). Columns are read by name:
-    each batch's files are grouped by their header lines. A batch applied again replaces its own
-    part (`batch`: the checkpoint's own id and the batch number), and files that another checkpoint
-    has brought (`_path`) are passed over, so no row is written twice or lost when several streams
-    write to one table or a stream begins anew without its checkpoint."""
-
-    def apply(lines: DataFrame, batch_id: int) -> None:
-        paths = [r[0] for r in lines.select("path").distinct().collect()]  # new files of one batch
-        if not paths:
-            return
-        s = lines.sparkSession
-        own = json.loads(s.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        old = sinks.read_if_exists(s, out)
-        if old is not None and "_path" in old.columns:
-            # the parts of this checkpoint are not read: it never brings a file twice
-            others = old.where(~F.col("batch").cast("string").startswith(f"{own}-")).select("_path")
-            known = others.join(s.createDataFrame([(p,) for p in paths], "_path string"), "_path", "left_semi").distinct()
-            known = {r[0] for r in known.collect()}  # of one batch's files
-            paths = [p for p in paths if p not in known]
-            if not paths:
+    each batch's files are grouped by their header lines. A batch takes at most `max_files` files,
+    or about `max_bytes` bytes of them where that is given.
+
+    The stream itself lists files and does not read them. A ledger beside the table (`<out>_files`:
+    path, length, modification time, batch) says which have been brought, so no batch reads the
+    table: files that any stream has brought are passed over, also after a lost checkpoint. The file
+    source knows files by name alone; those replaced under an old name are found by the ledger when a
+    run begins, and taken again. A part (`batch`: the checkpoint's own id and the batch number,
+    replaced when it is applied again) is written before the ledger names it; `ingested` reads the
+    parts that the ledger names, each file's newest delivery."""
+
+    def bring(s: SparkSession, rows: list, part: str) -> None:
+        clean = sd.clean_detections(sd.read_by_name(s, [r.path for r in rows]), s, project_type=project_type, carry=carry, keep=("_path",))
+        clean.withColumn("batch", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        known = s.createDataFrame([(r.path, r.length, r.modified, part, r.slot) for r in rows], _LEDGER)
+        known.coalesce(1).write.mode("append").partitionBy("slot").parquet(ledger_of(out))
+
+    def apply(new: DataFrame, batch_id: int) -> None:
+        s, new = new.sparkSession, _listed(new)
+        found = new.collect()  # of one batch
+        seen = _ledger(s, out, sorted({r.slot for r in found})) if found else None
+        if seen is not None:
+            found = s.createDataFrame(found, new.schema).join(seen, _FILE_KEY, "left_anti").collect()
+        if found:
+            bring(s, found, f"{json.loads(s.read.text(f'{checkpoint}/metadata').first()[0])['id']}-{batch_id}")
+
+    def again() -> None:
+        now = _listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing))
+        while (seen := _ledger(spark, out)) is not None:
+            found = now.join(seen, "path", "left_semi").join(seen, _FILE_KEY, "left_anti").orderBy("path").limit(max_files).collect()
+            if not found:
                 return
-        clean = sd.clean_detections(sd.read_by_name(s, paths), s, project_type=project_type, carry=carry, keep=("_path",))
-        part = clean.withColumn("batch", F.lit(f"{own}-{batch_id}"))
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+            bring(spark, found, "again-" + hashlib.sha256(repr([(r.path, r.length, r.modified) for r in found]).encode()).hexdigest()[:32])
 
-    src = spark.readStream.option("recursiveFileLookup", True).text(landing).select(F.col("_metadata.file_path").alias("path"))
-    _run(src.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
+    again()
+    src = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True)
+    src = src.option("maxBytesPerTrigger", max_bytes) if max_bytes else src.option("maxFilesPerTrigger", max_files)
+    files = src.load(landing).select("path", "length", "modificationTime")  # the content is not read
+    _run(files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
+
+
+def _listed(files: DataFrame) -> DataFrame:
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.pmod(F.xxhash64("path"), F.lit(LEDGER_SLOTS)).cast("int").alias("slot"))
 
 
 # ---- T2 ------------------------------------------------------------------------------
@@ -132,20 +181,27 @@ def stream_merge(spark: SparkSession, landing: str, archive: str, checkpoint: st
 
 # ---- T4 ------------------------------------------------------------------------------
 
+WEEK_KEY = ["project_id", "week_start", "satellite"]
 
-def upsert_weeks(spark: SparkSession, out: str, changed: DataFrame, keys=("project_id", "week_start", "satellite")) -> None:
-    """Replace the changed (project, week, satellite) counts in a month-partitioned table:
-    only the touched months are read and rewritten (dynamic partition overwrite); the merged
-    rows are checkpointed first, so the write never reads the files it replaces. The table
-    is aggregated (projects x sensors x weeks), so one file per month is enough."""
-    changed = changed.withColumn("month", F.date_format("week_start", "yyyy-MM"))
+
+def upsert_weeks(spark: SparkSession, out: str, changed: DataFrame, stream: str) -> None:
+    """Replace one stream's changed (project, week, satellite) counts. The table is partitioned by
+    stream and month; only the touched months of this stream are read and rewritten (dynamic partition
+    overwrite), from a checkpoint, so the write never reads the files it replaces. The
+    table is aggregated (projects x sensors x weeks), so one file per month is enough."""
+    changed = changed.select(*WEEK_KEY, "n_detections").withColumns({"stream": F.lit(stream), "month": F.date_format("week_start", "yyyy-MM")})
     months = [r[0] for r in changed.select("month").distinct().collect()]  # months open in one batch
     old = sinks.read_if_exists(spark, out)
-    old = changed.limit(0) if old is None else old.where(F.col("month").isin(months))
-    merged = old.select(*changed.columns).join(changed.select(*keys), list(keys), "left_anti").unionByName(changed)
-    merged = cut_lineage(merged)
-    merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("month").parquet(out)
+    if old is not None:
+        old = old.where((F.col("stream") == stream) & F.col("month").isin(months)).select(*changed.columns)
+        changed = old.join(changed.select(*WEEK_KEY), WEEK_KEY, "left_anti").unionByName(changed)
+    merged = cut_lineage(changed)
+    merged.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "month").parquet(out)
+
+
+def read_weeks(spark: SparkSession, out: str) -> DataFrame:
+    """Detections per (project, week, satellite) over all streams that write to the table."""
+    return spark.read.parquet(out).groupBy(*WEEK_KEY).agg(F.sum("n_detections").alias("n_detections"))
 
 
 def stream_weekly(spark: SparkSession, landing: str, out: str, checkpoint: str, anchor: int = 3) -> None:
@@ -153,8 +209,13 @@ def stream_weekly(spark: SparkSession, landing: str, out: str, checkpoint: str,
     1970-01-01 was a Thursday, so a week starting on weekday `anchor` (Monday = 0) is a
     window offset of (anchor - 3) mod 7 days. The state holds one count per project, week and
     satellite, which the calendar bounds, and no watermark: a detection of any age is counted.
-    Each micro-batch upserts the counts it changed (update mode)."""
+    Each micro-batch upserts the counts it changed (update mode).
+
+    The table holds a part per stream, and `read_weeks` adds them up. A stream is known by its
+    landing folder: two of them count both, and one that begins anew without its checkpoint counts its
+    files again from nothing, in the place of its old part (while it catches up, with fewer)."""
     offset = (anchor - 3) % 7
+    stream = hashlib.sha256(landing.rstrip("/").encode()).hexdigest()[:16]
     df = spark.readStream.schema(schemas.DETECTIONS).parquet(landing).withColumn("event_ts", event_time())
     w = F.window("event_ts", "7 days", "7 days", f"{offset} days")
     agg = df.groupBy("project_id", w.alias("w"), "satellite").agg(F.count(F.lit(1)).alias("n_detections"))
@@ -164,36 +225,33 @@ def stream_weekly(spark: SparkSession, landing: str, out: str, checkpoint: str,
             return
         start = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
         changed = batch.select("project_id", start.alias("week_start"), "satellite", "n_detections")
-        upsert_weeks(batch.sparkSession, out, changed)
+        upsert_weeks(batch.sparkSession, out, changed, stream)
 
     _run(agg.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint))
 
 
 # ---- T5 ------------------------------------------------------------------------------
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def stream_frontier(spark: SparkSession, landing: str, out: str, checkpoint: str) -> None:
-    """T5: the frontier kept incrementally. Daily maxima are kept by project next to the result;
-    a batch adds its days and the frontier of its projects is worked out anew from their daily
-    rows (a few per calendar day), so days may come in any order and equal the batch frontier.
-    A day that is delivered again counts once, by its largest distance."""
-    schema = T.StructType([T.StructField("project_id", T.LongType())] + schemas.DAILY_RUNOUT.fields)
-    kept = out.rstrip("/") + "_daily"
-    rest = [f.name for f in schemas.DAILY_RUNOUT.fields if f.name not in ("date_only", "satellite")]
 
-    def replace(df: DataFrame, path: str) -> None:
-        df.hint("rebalance", "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+def stream_frontier(spark: SparkSession, landing: str, out: str, checkpoint: str) -> None:
+    """T5: the frontier kept incrementally, by project in the RocksDB state store (`FrontierState`): the
+    daily maxima and the frontier itself. A day may come in any order; only the days from it on are
+    replayed, and no table is read. What comes out is the frontier of each project that a batch
+    has changed, which replaces that project's rows. A day that is delivered again counts once, by its
+    largest distance; a row without a date is left out."""
+    schema = T.StructType([T.StructField("project_id", T.LongType()), *schemas.DAILY_RUNOUT.fields])
+    days = spark.readStream.schema(schema).parquet(landing)
+    front = days.groupBy("project_id").transformWithStateInPandas(FrontierState(), outputStructType=OUT, outputMode="Update", timeMode="None")
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        s = batch.sparkSession
-        touched = batch.select("project_id").distinct()
-        old = sinks.read_if_exists(s, kept)
-        rows = batch if old is None else batch.unionByName(old.withColumn("project_id", F.col("project_id").cast("long")).join(touched, "project_id", "left_semi"))
-        largest = F.max_by(F.struct(*rest), F.struct("distance_km", "latitude", "longitude"))
-        rows = cut_lineage(rows.groupBy("project_id", "date_only", "satellite").agg(largest.alias("r")).select("project_id", "date_only", "satellite", "r.*"))
-        replace(rows, kept)
-        replace(frontier.frontier(rows), out)
-
-    _run(spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.hint("rebalance", "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(out)
+
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKSDB)  # map state needs it
+    try:
+        _run(front.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint))
+    finally:
+        spark.conf.set(_STORE, before)

@@ -67,3 +67,32 @@ def test_exact_cumulative_equals_window_form(spark):
     a = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in frp.cumulative_quantiles(rows).collect())
     b = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in frp.cumulative_quantiles_window(rows).collect())
     assert a == b
+
+
+def test_value_ranges_hold_about_equally_many_values(spark):
+    """A million distinct values, one far outlier and one value of a third of the rows."""
+    from hotspot.operators import frp
+
+    v = spark.range(1_000_000).select(F.lit(1).alias("project_id"), F.lit("SNPP").alias("satellite"), F.pow(F.col("id") / 1e6, F.lit(7)).alias("frp"), F.when(F.col("id") == 500_000, 500_000).otherwise(1).cast("long").alias("c"))
+    v = v.unionByName(spark.createDataFrame([(1, "SNPP", 1e9, 1)], "project_id int, satellite string, frp double, c long"))
+    vals, spans = frp.value_ranges(v, "c")
+    sizes = [r["count"] for r in vals.join(spans, frp.G).groupBy(frp._range()).count().collect()]
+    assert sum(sizes) == 1_000_001 and len(sizes) > 100 and max(sizes) <= 4 * sum(sizes) / len(sizes)
+
+
+def test_summary_equals_percentile_with_outliers_and_heavy_values(spark):
+    from hotspot.operators import frp
+
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("project_id"), F.lit("SNPP").alias("satellite"), F.when(F.col("id") % 4 == 0, 5.25).when(F.col("id") == 7, 1e12).otherwise(F.round(F.rand(3) * 100, 2)).alias("frp"))
+    rows = rows.unionByName(spark.createDataFrame([(9, "NOAA20", 3.5)], "project_id long, satellite string, frp double"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    got = {r.project_id: (r.n, r.min, r.q1, r.median, r.q3, r.p95, r.max) for r in frp.frp_summary(rows).collect()}
+    want = rows.groupBy("project_id").agg(F.count("*"), F.min("frp"), *[F.percentile("frp", p) for p in (0.25, 0.5, 0.75, 0.95)], F.max("frp")).collect()
+    assert len(got) == 4
+    for r in want:
+        assert all(abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(got[r[0]], r[1:]))
+    counts = frp.running_counts(rows.groupBy(*frp.G, "frp").agg(F.count("*").alias("c")), "c").collect()
+    by = {}
+    for r in sorted(counts, key=lambda r: (r.project_id, r.frp)):
+        assert r.before == by.get(r.project_id, 0)
+        by[r.project_id] = r.before + r.c
