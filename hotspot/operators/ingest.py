@@ -46,8 +46,13 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 def dedup_first(df: DataFrame, key=DEDUP_KEY, order=("origin", "ingest_seq")) -> DataFrame:
     """One row per key, the one lowest in `order` (history before new, then arrival).
     Written as a min_by aggregate, so a key with a huge group of copies is pre-reduced
-    map-side instead of being sorted in a single task."""
+    map-side instead of being sorted in a single task. The default order is packed into one
+    long, as in the merge, and each column picked by it: a hash aggregate, of the columns in use."""
     cols = [c for c in df.columns if c not in key]
+    first, then = order
+    if (first, then) == ("origin", "ingest_seq"):
+        by = F.shiftleft(F.col(first).cast("long"), SEQ_BITS) + F.col(then)
+        return df.withColumn("_ord", by).groupBy(*key).agg(*[F.min_by(c, "_ord").alias(c) for c in cols])
     best = F.min_by(F.struct(*cols), F.struct(*order))
     return df.groupBy(*key).agg(best.alias("r")).select(*key, "r.*")
 

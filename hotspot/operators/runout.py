@@ -62,17 +62,16 @@ def daily_runout(filtered: DataFrame) -> DataFrame:
 
 def daily_runout_point(filtered: DataFrame) -> DataFrame:
     """A10: like A9 but the coordinates are those of the farthest detection of the day."""
-    far = F.max_by(
-        F.struct("latitude", "longitude", "source_id", "obs_ts"),
-        F.struct("distance_km", "detection_id"),
-    )
-    g = filtered.groupBy("project_id", F.to_date("obs_ts").alias("date_only"), "satellite").agg(
-        F.max("distance_km").alias("distance_km"), F.max("frp").alias("frp"), far.alias("p")
-    )
-    return g.select(
-        "project_id", "date_only", "satellite", "distance_km", "frp",
-        F.col("p.latitude").alias("latitude"), F.col("p.longitude").alias("longitude"),
-        F.col("p.source_id").alias("source"), F.col("p.obs_ts").alias("obs_ts"),
+    # farthest first, then the greatest id, as one number of at most 34 digits: distances in nanometres
+    # (closer ones are one place) before the id. A primitive key keeps it a hash aggregate, as in A9
+    digits = "decimal(38,0)"
+    far = F.expr(f"cast(cast(round(distance_km * 1e12) as decimal(17,0)) * cast(100000000000000000000 as decimal(21,0)) as {digits})")
+    ident = F.expr(f"cast(cast(detection_id as decimal(20,0)) + 9223372036854775808 as {digits})")
+    d = filtered.withColumn("_far", (far + F.coalesce(ident, F.lit(0).cast(digits))).cast(digits))
+    of_far = lambda c, name: F.max_by(c, "_far").alias(name)
+    return d.groupBy("project_id", F.to_date("obs_ts").alias("date_only"), "satellite").agg(
+        F.max("distance_km").alias("distance_km"), F.max("frp").alias("frp"),
+        of_far("latitude", "latitude"), of_far("longitude", "longitude"), of_far("source_id", "source"), of_far("obs_ts", "obs_ts"),
     )
 
 
@@ -85,10 +84,11 @@ def period_summary(filtered: DataFrame) -> DataFrame:
     )
 
 
-def satellite_series(filtered: DataFrame, satellite: str | None = None) -> DataFrame:
-    """A17 + F5: per-satellite time series of FRP and distance (data behind the charts)."""
-    d = filtered if satellite is None else filtered.where(F.col("satellite") == satellite)
-    return d.select("project_id", "satellite", "detection_id", "obs_ts", "frp", "distance_km")
+def satellite_series(filtered: DataFrame, satellites: list[str] | None = None) -> DataFrame:
+    """A17 + F5: time series of FRP and distance of the chosen satellites (of all), data behind the
+    charts: by project and satellite in order of time, then id (one sort, for output)."""
+    d = filtered if satellites is None else filtered.where(F.col("satellite").isin(list(satellites)))
+    return d.select("project_id", "satellite", "detection_id", "obs_ts", "frp", "distance_km").orderBy("project_id", "satellite", "obs_ts", "detection_id")
 
 
 def radius_check(filtered: DataFrame, projects: DataFrame) -> DataFrame:

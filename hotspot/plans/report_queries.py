@@ -13,7 +13,7 @@ from hotspot.plans import count_queries as cq
 from hotspot.plans.common import Registry, round6
 from hotspot.plans.runout_queries import DAILY, FILTERED, FRONT_COLS, frontier_ctes
 from hotspot.plans.sql_fixtures import r6, with_fixtures
-from hotspot.session import new_table_path
+from hotspot.session import cut_lineage, new_table_path
 from hotspot.sources import fixtures as fx
 from hotspot.sources import sinks
 
@@ -125,9 +125,15 @@ def q_sort_detections(spark, sf):
     which each comes out within its project."""
     f = ro.filter_runout(fx.detections_ev(spark, sf), fx.projects_ev(spark, sf))
     f = f.orderBy("project_id", "obs_ts", "satellite", "latitude", "longitude", "detection_id")
-    f = f.select("project_id", "detection_id", "obs_ts", "satellite", "latitude", "longitude", F.monotonically_increasing_id().alias("_at"))
-    at = F.row_number().over(Window.partitionBy("project_id").orderBy("_at")).cast("bigint")
-    return round6(f.withColumn("position", at).drop("_at"))
+    f = f.select("project_id", "detection_id", "obs_ts", "satellite", "latitude", "longitude", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    f = cut_lineage(f)  # places are those of one sort
+    # a project's rows follow each other in a partition: only (project, partition) pairs are put in order
+    k = ["project_id", "_part"]
+    parts = f.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("project_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*k, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return round6(f.join(parts, k).withColumn("position", at).drop("_part", "_at", "_first", "_before"))
 
 
 def _write_filtered(spark, sf) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +9,7 @@ from pyspark.sql import types as T
 from hotspot import schemas
 from hotspot.functions.clean import build_obs_ts, coerce_numeric, pad_time, parse_date
 from hotspot.operators.dims import fixed_broadcast
+from hotspot.session import cut_lineage
 
 # The sensor part of archive file and folder names, e.g.
 # historical_VIIRS_SNPP_NRT_<project>.csv, and the project part of such a name.
@@ -21,44 +20,53 @@ PROJECT_FROM_DIR_RE = r"project_id=([^/]+)"
 HEADER_NAMES = ("latitude", "longitude")
 
 
-def file_layouts(lines: DataFrame) -> list[tuple[str, bool, list[str]]]:
-    """Distinct layouts of text files: (header line, whether the text is UTF-8, its files).
-
-    `lines` has (path, value). One aggregate over the text; the driver gets one line per file,
-    as it does when it lists them."""
-    low = F.lower("value")
-    head = low.contains(HEADER_NAMES[0]) & low.contains(HEADER_NAMES[1])
-    per_file = lines.groupBy("path").agg(F.max(F.when(head, F.col("value"))).alias("header"), F.max(~F.is_valid_utf8("value")).alias("bad"))
-    rows = per_file.where("header is not null").groupBy("header", "bad").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
-    return sorted((r["header"], not r["bad"], r["paths"]) for r in rows)
-
-
 def header_names(header: str) -> list[str]:
     return [c.strip().strip('"').lstrip("\ufeff") for c in header.split(",")]
 
 
+def _decoded(c: str, encoding: str | None) -> Column:
+    """Each line by itself: UTF-8 where it is, else latin-1 (or the given encoding for all)."""
+    if encoding:
+        return F.decode(F.col(c).cast("binary"), encoding)
+    return F.when(F.is_valid_utf8(c), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
+
+
 def read_by_name(spark: SparkSession, path, glob: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Text archives whose files may differ in header: each layout is read with its own explicit
-    all-text schema and the parts are united by column name, so a column that a file lacks is
-    NULL for its rows. Files that are not UTF-8 are read as latin-1 (unless `encoding` is given).
-    Hive-style folders (project_id=/sensor=) become columns; `_path` is the row's file."""
+    """Text archives whose files may differ in header: columns are addressed by name, so one that a
+    file lacks is NULL for its rows. Every line is decoded by itself (UTF-8, else latin-1, unless
+    `encoding` is given). Hive-style folders (project_id=/sensor=) become columns; `_path` is the row's file.
+
+    Files are listed once. A first pass finds each file's header line; different headers are few, and
+    only they come to the driver. All rows are then one scan, whatever the number of layouts: a line is
+    parsed by position and its fields are named by the layout of its file, which, where there are
+    several, a join on the path brings (one row per file, as a written table)."""
     lines = spark.read.option("recursiveFileLookup", True)
     lines = (lines.option("pathGlobFilter", glob) if glob else lines).text(path)
-    found = file_layouts(lines.select(F.col("_metadata.file_path").alias("path"), "value"))
-    parts = []
-    for header, utf8, paths in found:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header_names(header)])
-        r = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        r = r.option("encoding", encoding or ("UTF-8" if utf8 else "ISO-8859-1")).option("enforceSchema", True)
-        part = r.csv(paths).withColumn("_path", F.col("_metadata.file_path"))
-        folder = lambda key: F.regexp_extract("_path", f"{key}=([^/]+)/", 1)
-        for key in ("project_id", "sensor"):
-            if key not in part.columns:
-                part = part.withColumn(key, F.when(folder(key) != "", folder(key)))
-        parts.append(part)
-    if not parts:
+    lines = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("_line"))
+    low = F.lower("_line")
+    heads = lines.where(low.contains(HEADER_NAMES[0]) & low.contains(HEADER_NAMES[1])).groupBy("_path").agg(F.max("_line").alias("_header"))
+    heads = cut_lineage(heads)
+    layouts = sorted(r[0] for r in heads.select("_header").distinct().collect())
+    if not layouts:
         return spark.createDataFrame([], "latitude string, longitude string, project_id string, sensor string, _path string")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # a file without a header has no columns: with one layout its lines are told by a join as well
+    rows = lines.join(heads, "_path").where((F.col("_line") != F.col("_header")) & (F.trim("_line") != ""))
+    named = [header_names(h) for h in layouts]
+    fields = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(max(map(len, named)))])
+    rows = rows.withColumn("_f", F.from_csv(_decoded("_line", encoding), fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"}))
+    columns = []
+    for name in dict.fromkeys(c for names in named for c in names):
+        at = [(h, names.index(name)) for h, names in zip(layouts, named) if name in names]
+        places = {k for _, k in at}
+        if len(at) == len(layouts) and len(places) == 1:
+            value = F.col(f"_f.c{places.pop()}")
+        else:
+            value = F.coalesce(*[F.when(F.col("_header") == h, F.col(f"_f.c{k}")) for h, k in at])
+        columns.append(value.alias(name))
+    folder = lambda key: F.regexp_extract("_path", f"{key}=([^/]+)/", 1)
+    known = {c for names in named for c in names}
+    columns += [F.when(folder(key) != "", folder(key)).alias(key) for key in ("project_id", "sensor") if key not in known]
+    return rows.select(*columns, "_path")
 
 
 def read_archive(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:

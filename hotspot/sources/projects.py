@@ -25,7 +25,7 @@ def display_name(key) -> Column:
 
 
 def _py_bool(c: Column) -> Column:
-    return F.when(c, F.lit("True")).otherwise(F.lit("False"))
+    return F.when(c, F.lit("True")).when(~c, F.lit("False"))
 
 
 def _num_text(c: Column) -> Column:
@@ -55,13 +55,25 @@ def config_lines(projects: DataFrame) -> DataFrame:
         "wpt_symbols": F.col("wpt_symbols"),
     }
     items = F.array(*[
-        F.struct(F.lit(i).alias("line_no"), F.lit(k).alias("key"), F.coalesce(values[k], F.lit("")).alias("value"))
+        F.struct(F.lit(i).alias("line_no"), F.lit(k).alias("key"), F.coalesce(values[k], F.lit(schemas.CONFIG_DEFAULTS[k])).alias("value"))
         for i, k in enumerate(schemas.CONFIG_KEYS)
     ])
     x = projects.select(project_key("volcano").alias("project_key"), F.explode(items).alias("kv"))
     return x.select("project_key", "kv.line_no", "kv.key", F.concat("kv.key", F.lit("="), "kv.value").alias("line"))
 
 
+def normalised(projects: DataFrame) -> DataFrame:
+    """K5: periods from the first minute of their first day to the last of their last one; what a
+    project leaves open is filled with the defaults when its lines are made."""
+    day = lambda c: F.to_date(c).cast("timestamp_ntz")
+    return projects.withColumns({"start_ts": day("start_ts"), "end_ts": F.timestamp_add("MINUTE", F.lit(24 * 60 - 1), day("end_ts"))})
+
+
+def save_projects(projects: DataFrame, root: str) -> None:
+    """K5: typed projects as config files, normalised; other projects' files stay."""
+    write_projects(config_lines(normalised(projects)), root)
+
+
 def write_projects(lines: DataFrame, root: str) -> None:
     """K5: one config file per project under project_key=<key>/ (all lines of a project in
     one file, in key order). Only the given projects' folders are replaced."""

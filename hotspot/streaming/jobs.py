@@ -167,13 +167,14 @@ def merge_batch(spark: SparkSession, archive: str, batch: DataFrame, delivery: s
 
 def stream_merge(spark: SparkSession, landing: str, archive: str, checkpoint: str) -> None:
     """Every micro-batch is merged into the archive (refresh the batch's dates, de-duplicate,
-    rewrite only touched partitions); the first one makes the archive. A response may be split
-    over files and batches: rows of one `delivery` never refresh each other away. Files that name
-    no delivery are one, the landing folder's; a later response that is to replace its dates
-    names a new one."""
+    rewrite only touched partitions); the first one makes the archive. What lands later replaces its
+    dates, as every fetch does; only a response that names its `delivery` may be split over batches:
+    rows of one delivery never refresh each other away. Files that name none are one delivery with
+    the others of their batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch.sparkSession, archive, batch, landing)
+        s = batch.sparkSession
+        merge_batch(s, archive, batch, f"{json.loads(s.read.text(f'{checkpoint}/metadata').first()[0])['id']}-{batch_id}")
 
     src = spark.readStream.schema(MERGE_INPUT).parquet(landing)
     _run(src.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))

@@ -78,9 +78,14 @@ def test_merge_first_load_split_delivery_and_second_stream(spark):
     # no archive yet; three copies of a row are one
     seq(_det(spark, [(1, "2024-01-01", 1.0), (5, "2024-01-01", 1.0), (6, "2024-01-01", 1.0)])).write.parquet(land)
     jobs.stream_merge(spark, land, archive, chk)
-    # the response of that date goes on in a second file and batch
-    seq(_det(spark, [(2, "2024-01-01", 2.0)])).write.mode("append").parquet(land)
+    # a later fetch replaces the date
+    seq(_det(spark, [(7, "2024-01-01", 7.0)])).write.mode("append").parquet(land)
     jobs.stream_merge(spark, land, archive, chk)
+    assert sorted(r.detection_id for r in sinks.read_archive_table(spark, archive).collect()) == [7]
+    # a named response of that date goes on in a second file and batch
+    for i in (1, 2):
+        seq(_det(spark, [(i, "2024-01-01", float(i))])).withColumn("delivery", F.lit("d1")).write.mode("append").parquet(land)
+        jobs.stream_merge(spark, land, archive, chk)
     ids = lambda: sorted(r.detection_id for r in sinks.read_archive_table(spark, archive).collect())
     assert ids() == [1, 2]
     # another stream starts at batch 0 again
