@@ -24,13 +24,24 @@ def header_names(header: str) -> list[str]:
     return [c.strip().strip('"').lstrip("\ufeff") for c in header.split(",")]
 
 
-def _decoded(c: str, encoding: str | None) -> Column:
+def decoded(c: str, encoding: str | None = None) -> Column:
     """Each line by itself: UTF-8 where it is, else latin-1 (or the given encoding for all)."""
     if encoding:
         return F.decode(F.col(c).cast("binary"), encoding)
     return F.when(F.is_valid_utf8(c), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
 
 
+def text_lines(spark: SparkSession, path, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines of text files (`_path`, `_line`; `_block`, `_at`: their order in a file), files listed once,
+    and the header line of each file (`_path`, `_header`), as a written table of one row per file."""
+    lines = spark.read.option("recursiveFileLookup", True)
+    lines = (lines.option("pathGlobFilter", glob) if glob else lines).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("_line"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    low = F.lower("_line")
+    heads = lines.where(low.contains(HEADER_NAMES[0]) & low.contains(HEADER_NAMES[1]))
+    return lines, cut_lineage(heads.groupBy("_path").agg(F.max("_line").alias("_header")))
+
+
 def read_by_name(spark: SparkSession, path, glob: str | None = None, encoding: str | None = None) -> DataFrame:
     """Text archives whose files may differ in header: columns are addressed by name, so one that a
     file lacks is NULL for its rows. Every line is decoded by itself (UTF-8, else latin-1, unless
@@ -40,12 +51,7 @@ def read_by_name(spark: SparkSession, path, glob: str | None = None, encoding: s
     only they come to the driver. All rows are then one scan, whatever the number of layouts: a line is
     parsed by position and its fields are named by the layout of its file, which, where there are
     several, a join on the path brings (one row per file, as a written table)."""
-    lines = spark.read.option("recursiveFileLookup", True)
-    lines = (lines.option("pathGlobFilter", glob) if glob else lines).text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("_line"))
-    low = F.lower("_line")
-    heads = lines.where(low.contains(HEADER_NAMES[0]) & low.contains(HEADER_NAMES[1])).groupBy("_path").agg(F.max("_line").alias("_header"))
-    heads = cut_lineage(heads)
+    lines, heads = text_lines(spark, path, glob)
     layouts = sorted(r[0] for r in heads.select("_header").distinct().collect())
     if not layouts:
         return spark.createDataFrame([], "latitude string, longitude string, project_id string, sensor string, _path string")
@@ -53,7 +59,7 @@ def read_by_name(spark: SparkSession, path, glob: str | None = None, encoding: s
     rows = lines.join(heads, "_path").where((F.col("_line") != F.col("_header")) & (F.trim("_line") != ""))
     named = [header_names(h) for h in layouts]
     fields = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(max(map(len, named)))])
-    rows = rows.withColumn("_f", F.from_csv(_decoded("_line", encoding), fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"}))
+    rows = rows.withColumn("_f", F.from_csv(decoded("_line", encoding), fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"}))
     columns = []
     for name in dict.fromkeys(c for names in named for c in names):
         at = [(h, names.index(name)) for h, names in zip(layouts, named) if name in names]

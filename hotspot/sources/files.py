@@ -48,3 +48,13 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, float]]:
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)
+
+
+def replace(spark: SparkSession, new: str, old_uri: str) -> None:
+    """The new file takes the place of the one at a URI (as rows name it) in one rename."""
+    fs, source = _at(spark, new)
+    target = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(old_uri))
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(source, fs.makeQualified(target), overwrite)

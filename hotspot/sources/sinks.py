@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hotspot.functions.clean import is_iso_text, parse_date
-from hotspot.operators import ingest
+from hotspot.functions.clean import is_iso_text, iso_date, parse_date
 from hotspot.session import cut_lineage
 from hotspot.sources import detections, files
 from hotspot.sources.archive import BUCKET, MONTH, merge_into_archive, read_archive_table, write_archive
 
+_MIGRATING = "_migrating-"
+_MIGRATED = "path string, project_id string, sensor string, count long, n_changed long, n_unreadable long"
+
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at `path`, or None where there is none yet. Any other error (a read
@@ -28,18 +31,46 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def migrate_archive(spark: SparkSession, path: str) -> DataFrame:
-    """P6 on a text archive in project_id=/sensor= folders: dates in other layouts are rewritten to
-    ISO. Folders whose dates are all ISO (or cannot be read at all) are not touched, so a second
-    run rewrites nothing. Returns the folders rewritten and their rows."""
-    raw = detections.read_by_name(spark, path).drop("_path")
-    old = ~is_iso_text("acq_date") & parse_date("acq_date").isNotNull()
-    key = ["project_id", "sensor"]
-    dirty = raw.where(old).select(*key).distinct()
-    rows = cut_lineage(ingest.migrate_dates(raw.join(dirty, key, "left_semi")))
-    log = cut_lineage(rows.groupBy(*key).count())
-    w = rows.hint("rebalance", *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    w.partitionBy(*key).option("header", True).csv(path)
-    return log
+    """P6 on a text archive: in every file whose dates are in other layouts these become ISO, whether it
+    is named historical_<SENSOR>_<project>.csv or lies in project_id=/sensor= folders. Header, other
+    fields and the order of the lines stay (the text comes out as UTF-8); dates that cannot be read,
+    and lines with quotes, stay as they are. Files without a date to change are not touched, so a
+    second run rewrites nothing.
+
+    Copy on write by file: new files are written beside by Spark, one task per file, and each takes
+    its old one's place in one rename; after a crash a file is old or new, and another run goes on.
+    Returns the files rewritten: path, project, sensor, rows, dates changed, dates that cannot be read."""
+    for name, _ in files.children(spark, path):
+        if name.startswith(_MIGRATING):  # of a run that died
+            files.remove(spark, f"{path}/{name}")
+    lines, heads = detections.text_lines(spark, path)
+    headers = [r[0] for r in heads.select("_header").distinct().collect()]  # as many as layouts
+    at = {h: detections.header_names(h).index("acq_date") for h in headers if "acq_date" in detections.header_names(h)}
+    if not at:
+        return spark.createDataFrame([], _MIGRATED)
+    place = F.coalesce(*[F.when(F.col("_header") == h, F.lit(k)) for h, k in sorted(at.items())])
+    rows = lines.join(heads, "_path").withColumns({"_line": detections.decoded("_line"), "_place": place})
+    fields = F.split("_line", ",", -1)
+    rows = rows.withColumn("_date", F.when((F.col("_line") != F.col("_header")) & ~F.contains("_line", F.lit('"')), F.get(fields, F.col("_place"))))
+    iso = iso_date(parse_date("_date"))
+    old = ~is_iso_text("_date") & iso.isNotNull()
+    rows = rows.withColumn("_iso", F.when(old, iso))
+    row = F.trim("_line") != ""
+    counts = rows.groupBy("_path", "_header").agg(
+        (F.count_if(row) - 1).alias("count"), F.count("_iso").alias("n_changed"), F.count_if(row & F.col("_iso").isNull() & ~is_iso_text("_date") & F.col("_date").isNotNull()).alias("n_unreadable")
+    )
+    dirty = cut_lineage(counts.where("n_changed > 0").withColumn("_key", F.sha2("_path", 256)))
+    beside = f"{path.rstrip('/')}/{_MIGRATING}{uuid.uuid4().hex}"
+    line = F.when(F.col("_iso").isNotNull(), F.array_join(F.transform(fields, lambda x, k: F.when(k == F.col("_place"), F.col("_iso")).otherwise(x)), ",")).otherwise(F.col("_line"))
+    new = rows.join(dirty.select("_path", "_key"), "_path").select("_key", line.alias("value"), "_block", "_at")
+    new.repartition("_key").sortWithinPartitions("_key", "_block", "_at").select("_key", "value").write.partitionBy("_key").text(beside)
+    for r in dirty.select("_path", "_key").toLocalIterator():  # names only
+        (part,) = [n for n, _ in files.children(spark, f"{beside}/_key={r['_key']}") if n.startswith("part-")]
+        files.replace(spark, f"{beside}/_key={r['_key']}/{part}", r["_path"])
+    files.remove(spark, beside)
+    project = F.coalesce(F.nullif(F.regexp_extract("_path", detections.PROJECT_FROM_DIR_RE, 1), F.lit("")), F.regexp_extract("_path", detections.PROJECT_FROM_NAME_RE, 1))
+    sensor = F.coalesce(F.nullif(F.regexp_extract("_path", "sensor=([^/]+)/", 1), F.lit("")), F.regexp_extract("_path", detections.SENSOR_KEY_RE, 1))
+    return dirty.select(F.col("_path").alias("path"), project.alias("project_id"), sensor.alias("sensor"), "count", "n_changed", "n_unreadable")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -87,13 +87,13 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     parts that the ledger names, each file's newest delivery."""
 
     def bring(s: SparkSession, rows: list, part: str) -> None:
-        clean = sd.clean_detections(sd.read_by_name(s, [r.path for r in rows]), s, project_type=project_type, carry=carry, keep=("_path",))
+        clean = sd.clean_detections(sd.read_by_name(s, [r.at for r in rows]), s, project_type=project_type, carry=carry, keep=("_path",))
         clean.withColumn("batch", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
         known = s.createDataFrame([(r.path, r.length, r.modified, part, r.slot) for r in rows], _LEDGER)
         known.coalesce(1).write.mode("append").partitionBy("slot").parquet(ledger_of(out))
 
     def apply(new: DataFrame, batch_id: int) -> None:
-        s, new = new.sparkSession, _listed(new)
+        s, new = new.sparkSession, _listed(new, "name")
         found = new.collect()  # of one batch
         seen = _ledger(s, out, sorted({r.slot for r in found})) if found else None
         if seen is not None:
@@ -102,7 +102,7 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
             bring(s, found, f"{json.loads(s.read.text(f'{checkpoint}/metadata').first()[0])['id']}-{batch_id}")
 
     def again() -> None:
-        now = _listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing))
+        now = _listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing), "_metadata.file_path")
         while (seen := _ledger(spark, out)) is not None:
             found = now.join(seen, "path", "left_semi").join(seen, _FILE_KEY, "left_anti").orderBy("path").limit(max_files).collect()
             if not found:
@@ -112,12 +112,14 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     again()
     src = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True)
     src = src.option("maxBytesPerTrigger", max_bytes) if max_bytes else src.option("maxFilesPerTrigger", max_files)
-    files = src.load(landing).select("path", "length", "modificationTime")  # the content is not read
+    files = src.load(landing).select("path", "length", "modificationTime", F.col("_metadata.file_path").alias("name"))  # the content is not read
     _run(files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
 
 
-def _listed(files: DataFrame) -> DataFrame:
-    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.pmod(F.xxhash64("path"), F.lit(LEDGER_SLOTS)).cast("int").alias("slot"))
+def _listed(files: DataFrame, name: str) -> DataFrame:
+    """Files by the name that their rows carry (signs such as blanks are coded in it), and where to read them."""
+    files = files.select(F.col("path").alias("at"), F.col(name).alias("path"), "length", F.col("modificationTime").alias("modified"))
+    return files.withColumn("slot", F.pmod(F.xxhash64("path"), F.lit(LEDGER_SLOTS)).cast("int"))
 
 
 # ---- T2 ------------------------------------------------------------------------------

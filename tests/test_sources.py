@@ -138,3 +138,24 @@ def test_migration_rewrites_only_folders_that_need_it(spark, tmp_path):
     assert sorted(r.acq_date for r in raw.collect()) == ["2024-03-01", "2024-03-02", "2024-03-04", "bad"]
     assert sinks.migrate_archive(spark, str(root)).collect() == []
     assert sd.read_archive(spark, str(root)).count() == 5
+
+
+def test_migration_of_flat_files_as_they_are_named(spark, tmp_path):
+    head = "latitude,longitude,acq_date,acq_time,frp,note\n"
+    flat = tmp_path / "historical_VIIRS_SNPP_NRT_Big One.csv"
+    flat.write_bytes((head + "1.0,2.0,03/01/2024,100,3,caf\u00e9\n").encode("latin-1") + b"1.0,2.0,2024-01-04,1,,\n\n1.0,2.0,bad,1,4,x\n" + b'1.0,2.0,03/01/2024,1,4,"a,b"\n')
+    other = tmp_path / "historical_MODIS_NRT_Wolf.csv"
+    other.write_text("acq_date,latitude,longitude\n5/6/23,1.0,2.0\n")
+    clean = tmp_path / "historical_VIIRS_NOAA20_NRT_Wolf.csv"
+    clean.write_text(head + "1.0,2.0,2024-03-01,100,3,x\n")
+    odd = tmp_path / "readme.csv"
+    odd.write_text("no header\n03/01/2024\n")
+    (tmp_path / "_migrating-dead").mkdir()
+    before = clean.stat().st_mtime_ns, odd.stat().st_mtime_ns
+    log = {r.project_id: (r.sensor, r["count"], r.n_changed, r.n_unreadable) for r in sinks.migrate_archive(spark, str(tmp_path)).collect()}
+    assert log == {"Big%20One": ("VIIRS_SNPP_NRT", 4, 1, 1), "Wolf": ("MODIS_NRT", 1, 1, 0)}
+    assert flat.read_text() == head + '1.0,2.0,2024-01-03,100,3,caf\u00e9\n1.0,2.0,2024-01-04,1,,\n\n1.0,2.0,bad,1,4,x\n1.0,2.0,03/01/2024,1,4,"a,b"\n'
+    assert other.read_text() == "acq_date,latitude,longitude\n2023-06-05,1.0,2.0\n"
+    assert before == (clean.stat().st_mtime_ns, odd.stat().st_mtime_ns)
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+    assert sinks.migrate_archive(spark, str(tmp_path)).collect() == []

@@ -240,8 +240,9 @@ def test_a_file_replaced_under_its_name_is_taken_again(spark, tmp_path):
 
     land, out, chk = (str(tmp_path / n) for n in ("land", "out", "chk"))
     _landed(land, "a.csv", [1, 2])
-    _landed(land, "b.csv", [3])
+    _landed(land, "b of c%d.csv", [3])
     jobs.stream_ingest(spark, land, out, chk)
+    assert jobs.ingested(spark, out).count() == 3
     _landed(land, "a.csv", [4])
     later = os.stat(f"{land}/project_id=p/sensor=MODIS_NRT/a.csv").st_mtime + 5
     os.utime(f"{land}/project_id=p/sensor=MODIS_NRT/a.csv", (later, later))
