@@ -9,7 +9,7 @@ from hotspot import schemas
 from hotspot.functions.calendar import seconds_between
 from hotspot.operators.counts import period_days
 from hotspot.operators.dims import dim_join
-from hotspot.session import cut_lineage
+from hotspot.session import kept
 
 G = ["project_id", "satellite"]
 QUANTILES = (0.25, 0.5, 0.75)
@@ -30,40 +30,35 @@ RANGES, ACCURACY = 128, 20
 
 
 def value_ranges(vals: DataFrame, count: str, *stats: Column) -> tuple[DataFrame, DataFrame]:
-    """`vals(group, frp, count)`, one row per distinct value, and per group its `cuts` (the values that
-    part it into up to RANGES ranges of about equally many values, however they are spread), `at`
-    (range -> rows below it, rows in it), `total` and `stats`.
-
-    Both are checkpointed: approximate cut points come out a little different each time they are
-    taken, and ranges and counts must be those of the same ones. A value is one row, so one that
-    holds most of the rows weighs no more than others."""
-    vals = cut_lineage(vals)
+    """`vals(group, frp, count)`, one row per distinct value, with the value's `range`, and per range its
+    rows (`n`), the rows of the group below it (`base`) and the group's `total` and `stats`.
+
+    The cut points part a group's values, however they are spread, into up to RANGES ranges of about
+    equally many. They are approximate and come out a little different each time they are
+    taken, so values and ranges are written once. A value is one row, so one that holds most of the rows
+    weighs no more than others."""
+    vals = kept(vals, "values")
     cuts = F.percentile_approx("frp", [k / RANGES for k in range(1, RANGES)], ACCURACY * RANGES)
-    spans = cut_lineage(vals.groupBy(*G).agg(F.array_distinct(cuts).alias("cuts"), F.sum(count).alias("total"), *stats))
-    n = vals.join(spans.select(*G, "cuts"), G).groupBy(*G, _range()).agg(F.sum(count).alias("n"))
+    spans = kept(vals.groupBy(*G).agg(F.array_distinct(cuts).alias("cuts"), F.sum(count).alias("total"), *stats), "cuts")
+    below = F.size(F.filter("cuts", lambda x: x < F.col("frp")))
+    vals = kept(vals.join(spans.select(*G, "cuts"), G).select(*vals.columns, below.alias("range")), "ranges")
     before = Window.partitionBy(*G).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
-    at = n.select(*G, "range", F.struct(F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n").alias("r"))
-    at = at.groupBy(*G).agg(F.map_from_entries(F.collect_list(F.struct("range", "r"))).alias("at"))
-    return vals, cut_lineage(spans.join(at, G))
-
-
-def _range() -> Column:
-    """Number of the range of `frp`: the cut points below it."""
-    return F.size(F.filter("cuts", lambda x: x < F.col("frp"))).alias("range")
+    at = vals.groupBy(*G, "range").agg(F.sum(count).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return vals, at.join(spans.drop("cuts"), G)
 
 
 def _within(count: str) -> Column:
     """Rows of the group below the value, from those below its range."""
     w = Window.partitionBy(*G, "range").orderBy("frp").rowsBetween(Window.unboundedPreceding, -1)
-    return F.col("r.base") + F.coalesce(F.sum(count).over(w), F.lit(0))
+    return F.col("base") + F.coalesce(F.sum(count).over(w), F.lit(0))
 
 
 def running_counts(vals: DataFrame, count: str) -> DataFrame:
     """(group, frp, count) rows with `before`, the rows of the group below the value, and `total`.
     No group's distinct values meet in one task: only those of one range are put in order together."""
-    vals, spans = value_ranges(vals, count)
-    v = vals.join(spans, G).select(*vals.columns, "total", "at", _range()).withColumn("r", F.col("at")[F.col("range")])
-    return v.select(*vals.columns, "total", _within(count).alias("before"))
+    names = vals.columns
+    vals, ranges = value_ranges(vals, count)
+    return vals.join(ranges, [*G, "range"]).select(*names, "total", _within(count).alias("before"))
 
 
 def frp_summary(rows: DataFrame) -> DataFrame:
@@ -72,15 +67,16 @@ def frp_summary(rows: DataFrame) -> DataFrame:
     ranges that hold a needed rank are put in order."""
     ps = (0.25, 0.5, 0.75, 0.95)
     h = rows.groupBy(*G, "frp").agg(F.count(F.lit(1)).alias("c"), F.sum("frp").alias("s"))
-    h, spans = value_ranges(h, "c", F.min("frp").alias("min"), F.max("frp").alias("max"), (F.sum("s") / F.sum("c")).alias("mean"))
+    h, ranges = value_ranges(h, "c", F.min("frp").alias("min"), F.max("frp").alias("max"), (F.sum("s") / F.sum("c")).alias("mean"))
     pos = [(F.col("total") - 1) * F.lit(p) for p in ps]
     ranks = F.array(*[f(x).cast("long") for x in pos for f in (F.floor, F.ceil)])
-    v = h.join(spans, G).select(*G, "frp", "c", ranks.alias("ranks"), "at", _range()).withColumn("r", F.col("at")[F.col("range")])
-    v = v.where(F.exists("ranks", lambda k: (k >= F.col("r.base")) & (k < F.col("r.base") + F.col("r.n"))))
-    v = v.select(*G, "frp", "c", "ranks", _within("c").alias("before"))
-    holds = lambda k: F.max(F.when((F.col("before") <= F.col("ranks")[k]) & (F.col("ranks")[k] < F.col("before") + F.col("c")), F.col("frp")))
-    a = v.groupBy(*G).agg(*[holds(2 * k + side).alias(f"{name}{k}") for k in range(len(ps)) for side, name in enumerate(("lo", "hi"))])
-    a = spans.drop("cuts", "at").join(a, G)
+    ranges = ranges.where(F.exists(ranks, lambda k: (k >= F.col("base")) & (k < F.col("base") + F.col("n"))))
+    v = h.join(ranges, [*G, "range"]).select(*G, "frp", "c", "total", "min", "max", "mean", _within("c").alias("before"))
+    holds = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("c")), F.col("frp")))
+    a = v.groupBy(*G).agg(
+        *[F.first(c).alias(c) for c in ("total", "min", "max", "mean")],
+        *[holds(f(x)).alias(f"{side}{k}") for k, x in enumerate(pos) for side, f in (("lo", F.floor), ("hi", F.ceil))],
+    )
     q = [F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (x - F.floor(x)) for k, x in enumerate(pos)]
     return a.select(*G, F.col("total").alias("n"), "min", q[0].alias("q1"), q[1].alias("median"), "mean", q[2].alias("q3"), q[3].alias("p95"), "max")
 
@@ -175,7 +171,7 @@ def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int =
     """
     r = _epoch_ticks(rows)
     # the compressed table is used in several places: the rows are read once
-    h = cut_lineage(r.groupBy(*G, "idx", "frp").agg(F.count(F.lit(1)).alias("c"), F.max(F.to_date("obs_ts")).alias("dmax")))
+    h = kept(r.groupBy(*G, "idx", "frp").agg(F.count(F.lit(1)).alias("c"), F.max(F.to_date("obs_ts")).alias("dmax")), "tick-values")
     # grid bounds from the compressed table (no second pass over the rows)
     bounds = h.groupBy(*G).agg(F.min("idx").alias("i0"), F.max("dmax").alias("d1"))
     last = ((F.unix_date("d1") + 1) * (24 // TICK_HOURS)).cast("long")

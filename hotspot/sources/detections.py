@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hotspot import schemas
 from hotspot.functions.clean import build_obs_ts, coerce_numeric, pad_time, parse_date
@@ -24,11 +23,12 @@ def header_names(header: str) -> list[str]:
     return [c.strip().strip('"').lstrip("\ufeff") for c in header.split(",")]
 
 
-def decoded(c: str, encoding: str | None = None) -> Column:
-    """Each line by itself: UTF-8 where it is, else latin-1 (or the given encoding for all)."""
+def decoded(c: str | Column, encoding: str | None = None) -> Column:
+    """Text by itself: UTF-8 where it is, else latin-1 (or the given encoding for all)."""
+    c = F.col(c) if isinstance(c, str) else c
     if encoding:
-        return F.decode(F.col(c).cast("binary"), encoding)
-    return F.when(F.is_valid_utf8(c), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
+        return F.decode(c.cast("binary"), encoding)
+    return F.when(F.is_valid_utf8(c), c).otherwise(F.decode(c.cast("binary"), "ISO-8859-1"))
 
 
 def text_lines(spark: SparkSession, path, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -58,16 +58,18 @@ def read_by_name(spark: SparkSession, path, glob: str | None = None, encoding: s
     # a file without a header has no columns: with one layout its lines are told by a join as well
     rows = lines.join(heads, "_path").where((F.col("_line") != F.col("_header")) & (F.trim("_line") != ""))
     named = [header_names(h) for h in layouts]
-    fields = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(max(map(len, named)))])
-    rows = rows.withColumn("_f", F.from_csv(decoded("_line", encoding), fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"}))
+    fields = [f"_c{k}" for k in range(max(map(len, named)))]
+    # a generator of one row: the line is parsed once, however often its fields are used above
+    parsed = F.from_csv(decoded("_line", encoding), ", ".join(f"{f} string" for f in fields), {"mode": "PERMISSIVE"})
+    rows = rows.select("_path", "_header", F.inline(F.array(parsed)))
     columns = []
     for name in dict.fromkeys(c for names in named for c in names):
         at = [(h, names.index(name)) for h, names in zip(layouts, named) if name in names]
         places = {k for _, k in at}
         if len(at) == len(layouts) and len(places) == 1:
-            value = F.col(f"_f.c{places.pop()}")
+            value = F.col(f"_c{places.pop()}")
         else:
-            value = F.coalesce(*[F.when(F.col("_header") == h, F.col(f"_f.c{k}")) for h, k in at])
+            value = F.coalesce(*[F.when(F.col("_header") == h, F.col(f"_c{k}")) for h, k in at])
         columns.append(value.alias(name))
     folder = lambda key: F.regexp_extract("_path", f"{key}=([^/]+)/", 1)
     known = {c for names in named for c in names}

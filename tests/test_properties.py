@@ -76,7 +76,8 @@ def test_value_ranges_hold_about_equally_many_values(spark):
     v = spark.range(1_000_000).select(F.lit(1).alias("project_id"), F.lit("SNPP").alias("satellite"), F.pow(F.col("id") / 1e6, F.lit(7)).alias("frp"), F.when(F.col("id") == 500_000, 500_000).otherwise(1).cast("long").alias("c"))
     v = v.unionByName(spark.createDataFrame([(1, "SNPP", 1e9, 1)], "project_id int, satellite string, frp double, c long"))
     vals, spans = frp.value_ranges(v, "c")
-    sizes = [r["count"] for r in vals.join(spans, frp.G).groupBy(frp._range()).count().collect()]
+    sizes = [r["count"] for r in vals.groupBy("range").count().collect()]
+    assert sum(r.n for r in spans.collect()) == 1_500_000
     assert sum(sizes) == 1_000_001 and len(sizes) > 100 and max(sizes) <= 4 * sum(sizes) / len(sizes)
 
 

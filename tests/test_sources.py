@@ -36,6 +36,12 @@ def test_mixed_headers_are_read_by_name(spark, mixed):
     assert n.project_id == "Big_One" and v.project_id == "Wolf" and rows["VIIRS_NOAA21_NRT"].note == "caf\u00e9"
 
 
+def test_quoted_fields_blanks_and_short_lines(spark, tmp_path):
+    (tmp_path / "historical_VIIRS_SNPP_NRT_Wolf.csv").write_bytes(b'latitude,longitude,note,frp,"last"\r\n1.5,2.5,"a,b c",3,x\r\n\r\n-1.5,,  d ,,\r\n7\r\n1,2,3,4,5,6,7\r\n8,9,n,\xe9,\r\n')
+    got = sorted(((r.latitude, r.longitude, r.note, r.frp, r["last"]) for r in sd.read_by_name(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([("1.5", "2.5", "a,b c", "3", "x"), ("-1.5", None, "  d ", None, None), ("7", None, None, None, None), ("1", "2", "3", "4", "5"), ("8", "9", "n", "\u00e9", None)], key=str)
+
+
 def test_unknown_sensor_is_logged(spark, mixed):
     raw = sd.scan_tagged(spark, mixed)
     assert [(r.reason, r.latitude) for r in sd.rejected_rows(raw).collect()] == [("sensor", "1.0")]
