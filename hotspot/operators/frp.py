@@ -26,7 +26,7 @@ def frp_rows(det: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 #: Value ranges that a group's distinct values are cut into, and how exact their cut points are.
-RANGES, ACCURACY = 128, 20
+RANGES, ACCURACY = 64, 20
 
 
 def value_ranges(vals: DataFrame, count: str, *stats: Column) -> tuple[DataFrame, DataFrame]:

@@ -78,7 +78,7 @@ def test_value_ranges_hold_about_equally_many_values(spark):
     vals, spans = frp.value_ranges(v, "c")
     sizes = [r["count"] for r in vals.groupBy("range").count().collect()]
     assert sum(r.n for r in spans.collect()) == 1_500_000
-    assert sum(sizes) == 1_000_001 and len(sizes) > 100 and max(sizes) <= 4 * sum(sizes) / len(sizes)
+    assert sum(sizes) == 1_000_001 and len(sizes) > 50 and max(sizes) <= 4 * sum(sizes) / len(sizes)
 
 
 def test_summary_equals_percentile_with_outliers_and_heavy_values(spark):
