@@ -46,8 +46,12 @@ def merge(spark: SparkSession, archive: str, landing: str, glob: str = "*.csv"):
     return sinks.merge_into_archive(spark, archive, cut_lineage(batch))
 
 
-def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob: str = "config_*.txt") -> None:
+def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob: str = "config_*.txt", week_day: int | None = None, sections=report.SECTIONS) -> None:
+    """`week_day` (Monday = 0) starts the weeks of all projects instead of their own anchor; `sections`
+    are those of the report."""
     prj = projects.scan_projects(spark, config_root, glob=glob).withColumn("project_id", F.col("project_key"))
+    if week_day is not None:
+        prj = prj.withColumn("week_anchor", F.lit(week_day))
     # months any project can use: the others are not even listed
     lo, hi = prj.agg(F.min("start_ts"), F.max("end_ts")).first()
     months = (lo.strftime("%Y-%m"), hi.strftime("%Y-%m")) if lo is not None and hi is not None else ()
@@ -78,7 +82,7 @@ def analyse(spark: SparkSession, archive: str, config_root: str, out: str, glob:
         "frame_counts": frames.frame_counts(filtered, prj),
         "extent": spatial.extent(filtered, prj),
     }
-    tables["report"] = report.report_kpis(prj, tables["count_kpis"], runout.period_summary(filtered), tables["speed_summary"])
+    tables["report"] = report.report_kpis(prj, tables["count_kpis"], runout.period_summary(filtered), tables["speed_summary"], sections)
     for name, df in tables.items():
         sinks.write_projects_table(df, f"{base}/{name}", keys)
 
@@ -97,6 +101,8 @@ def main(argv=None) -> None:
     a.add_argument("--projects", required=True, help="folder holding the project config files")
     a.add_argument("--out", required=True, help="output folder; one Parquet table per result")
     a.add_argument("--glob", default="config_*.txt", help="file name pattern of config files")
+    a.add_argument("--week-day", type=int, choices=range(7), metavar="0-6", help="weekday on which weeks start, Monday = 0 (default: Thursday)")
+    a.add_argument("--sections", nargs="+", choices=report.SECTIONS, default=list(report.SECTIONS), help="sections of the report")
     args = ap.parse_args(argv)
     spark = _session()
     if args.cmd == "merge":
@@ -106,7 +112,7 @@ def main(argv=None) -> None:
     elif args.cmd == "migrate":
         sinks.migrate_archive(spark, args.landing).show(truncate=False)
     else:
-        analyse(spark, args.archive, args.projects, args.out, args.glob)
+        analyse(spark, args.archive, args.projects, args.out, args.glob, args.week_day, args.sections)
 
 
 if __name__ == "__main__":

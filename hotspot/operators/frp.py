@@ -153,22 +153,9 @@ def _epoch_tick_ts(idx="idx"):
     return F.timestamp_add("HOUR", F.col(idx) * TICK_HOURS, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int = 16) -> DataFrame:
-    """W3 (A8): exact expanding count, mean and quantiles at every 12-h tick, by two-level
-    rank selection — no per-tick re-scan of the rows and no group gathered into one task.
-
-    1. rows -> (group, tick, value) counts (map-side combine; a hot value or group shrinks
-       to at most one entry per tick);
-    2. the distinct values of a group are cut into value buckets of about sqrt(N/6) rows by
-       their cumulative count (each value in exactly one bucket), which is itself two-level;
-    3. a dense (tick x bucket) grid of counts and exact sums — bounded by calendar x buckets,
-       not by rows — gets running sums over ticks, then over buckets: each grid row knows
-       the ranks it holds at its tick, so the bucket of every needed rank is found without
-       any join or per-row array scan;
-    4. only that bucket's entries up to the tick are ranked to pick the value; the two
-       neighbouring ranks are interpolated linearly (same rule as pandas / percentile).
-    Work per group ~ ticks x sqrt(N) instead of ticks x N.
-    """
+def _tick_buckets(rows: DataFrame, min_bucket: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Steps 1-3 of W3: the (tick, value) counts with each value's bucket, and per tick and bucket that
+    has rows by then their number (`ct`), that of all buckets up to it (`cle`), of all (`n`), and the sum."""
     r = _epoch_ticks(rows)
     # the compressed table is used in several places: the rows are read once
     h = kept(r.groupBy(*G, "idx", "frp").agg(F.count(F.lit(1)).alias("c"), F.max(F.to_date("obs_ts")).alias("dmax")), "tick-values")
@@ -196,7 +183,26 @@ def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int =
     dense = dense.select(
         "*", F.sum("ct").over(w_b).alias("cle"), F.sum("ct").over(by_tick).alias("n"), F.sum("cs").over(by_tick).alias("total")
     ).where(F.col("ct") > 0)
+    return hb, dense
+
+
+def cumulative_quantiles(rows: DataFrame, quantiles=QUANTILES, min_bucket: int = 16) -> DataFrame:
+    """W3 (A8): exact expanding count, mean and quantiles at every 12-h tick, by two-level
+    rank selection — no per-tick re-scan of the rows and no group gathered into one task.
 
+    1. rows -> (group, tick, value) counts (map-side combine; a hot value or group shrinks
+       to at most one entry per tick);
+    2. the distinct values of a group are cut into value buckets of about sqrt(N/6) rows by
+       their cumulative count (each value in exactly one bucket), which is itself two-level;
+    3. a dense (tick x bucket) grid of counts and exact sums — bounded by calendar x buckets,
+       not by rows — gets running sums over ticks, then over buckets: each grid row knows
+       the ranks it holds at its tick, so the bucket of every needed rank is found without
+       any join or per-row array scan;
+    4. only that bucket's entries up to the tick are ranked to pick the value; the two
+       neighbouring ranks are interpolated linearly (same rule as pandas / percentile).
+    Work per group ~ ticks x sqrt(N) instead of ticks x N.
+    """
+    hb, dense = _tick_buckets(rows, min_bucket)
     ranks = []
     for qi, p in enumerate(quantiles):
         pos = (F.col("n") - 1) * F.lit(float(p))
@@ -253,11 +259,17 @@ def cumulative_quantiles_window(rows: DataFrame, quantiles=QUANTILES) -> DataFra
     return u.select(*G, _tick_ts().alias("tick"), "n", "mean", *[F.col("q")[i].alias(nm) for i, nm in enumerate(names)])
 
 
-def cumulative_quantiles_approx(rows: DataFrame, quantiles=QUANTILES) -> DataFrame:
+#: Size parameter of the sketches, and the rank error (share of the rows) that their answers are held to:
+#: 15 standard errors of a sketch of this size.
+SKETCH_K, RANK_ERROR = 800, 0.02
+
+
+def cumulative_quantiles_approx(rows: DataFrame, quantiles=QUANTILES, k: int = SKETCH_K) -> DataFrame:
     """Approximate quantiles from KLL sketches — one sketch per tick, merged as a
-    running window aggregate. Exact n and mean; quantiles within the sketch's rank error."""
+    running window aggregate. Exact n and mean; quantiles within the sketch's rank error.
+    Sketches are random: `certified_quantiles` measures the error of the answers given."""
     r, grid = assign_ticks(rows)
-    per_tick = r.groupBy(*G, "idx").agg(F.expr("kll_sketch_agg_double(frp)").alias("sk"))
+    per_tick = r.groupBy(*G, "idx").agg(F.expr(f"kll_sketch_agg_double(frp, {int(k)})").alias("sk"))
     g = grid.join(per_tick, G + ["idx"], "left")
     w = Window.partitionBy(*G).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("msk", F.expr("kll_merge_agg_double(sk)").over(w))
@@ -266,3 +278,34 @@ def cumulative_quantiles_approx(rows: DataFrame, quantiles=QUANTILES) -> DataFra
     names = _qnames(quantiles)
     qs = [F.expr(f"kll_sketch_get_quantile_double(msk, {float(p)})").alias(nm) for p, nm in zip(quantiles, names)]
     return g.select(*G, _tick_ts().alias("tick"), "n", "mean", *qs)
+
+
+def exact_ranks(rows: DataFrame, answers: DataFrame, names: list[str]) -> DataFrame:
+    """For values given per tick (`answers(group, tick, *names)`, each a value that the group has by then):
+    `(group, tick, name, value, below, upto)`, the rows by that tick with a lesser value, and with one not
+    greater. Buckets below the value's own are counted whole, as in W3; only its own bucket is read."""
+    hb, dense = _tick_buckets(rows)
+    idx = seconds_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("tick")) / (TICK_HOURS * 3600)
+    a = answers.withColumn("idx", idx.cast("long")).unpivot([*G, "tick", "idx"], names, "name", "value")
+    buckets = hb.select(*G, F.col("frp").alias("value"), "bucket").distinct()
+    a = a.join(buckets, [*G, "value"], "left").join(dense.select(*G, "idx", "bucket", (F.col("cle") - F.col("ct")).alias("base")), [*G, "idx", "bucket"], "left")
+    entries = hb.select(*G, "bucket", F.col("idx").alias("eidx"), "frp", "c")
+    near = a.join(entries, [*G, "bucket"], "left").where(F.col("eidx").isNull() | (F.col("eidx") <= F.col("idx")))
+    count = lambda hit: F.max("base") + F.sum(F.when(hit, F.col("c")).otherwise(0))
+    return near.groupBy(*G, "tick", "name", "value").agg(count(F.col("frp") < F.col("value")).alias("below"), count(F.col("frp") <= F.col("value")).alias("upto"))
+
+
+def certified_quantiles(rows: DataFrame, quantiles=QUANTILES, k: int = SKETCH_K, error: float = RANK_ERROR) -> DataFrame:
+    """W3b with proof: the approximate quantiles of every tick, the greatest distance of their exact ranks
+    from the ranks asked for (`rank_error`, as a share of the rows; 0 where the value covers its rank)
+    and whether it is within `error` (`within_bound`). The answers are written once, as sketches
+    are random, so those checked are those returned."""
+    names = _qnames(quantiles)
+    approx = kept(cumulative_quantiles_approx(rows, quantiles, k), "sketched")
+    ranks = exact_ranks(rows, approx, names)
+    share = F.element_at(F.create_map(*[F.lit(x) for nm, p in zip(names, quantiles) for x in (nm, float(p))]), F.col("name"))
+    ranks = ranks.join(approx.select(*G, "tick", "n"), [*G, "tick"])
+    off = F.greatest(F.col("below") / F.col("n") - share, share - F.col("upto") / F.col("n"), F.lit(0.0))
+    # a value that the group does not hold has no rank, and its tick no bound
+    worst = ranks.groupBy(*G, "tick").agg(F.when(F.count("upto") == len(names), F.max(off)).alias("rank_error"))
+    return approx.join(worst, [*G, "tick"], "left").withColumn("within_bound", F.coalesce(F.col("rank_error") <= error, F.lit(False)))

@@ -41,6 +41,12 @@ def test_merge_then_analyse(spark):
     kept = spark.read.parquet(f"{out}/weekly_counts").where("project_id = 'OTHER'")
     assert [r.n_detections for r in kept.collect()] == [7]  # results of a project of another root stay
 
+    monday = new_table_path(spark, "monday")
+    cli.analyse(spark, archive, cfg, monday, glob="*.txt", week_day=0, sections=("counts", "speed"))
+    starts = spark.read.parquet(f"{monday}/weekly_counts").select(F.weekday("week_start")).distinct().collect()
+    assert [r[0] for r in starts] == [0] and weekly.select(F.weekday("week_start")).distinct().first()[0] == 3
+    assert {r[0] for r in spark.read.parquet(f"{monday}/report").select("section").distinct().collect()} == {"counts", "speed"}
+
 
 def test_results_are_replaced_by_project(spark):
     path = new_table_path(spark, "results")

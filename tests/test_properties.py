@@ -62,6 +62,29 @@ def test_approx_quantiles_within_rank_error(spark):
     assert checked > 0
 
 
+def test_ranks_of_given_values_match_brute_force(spark):
+    """A heavy value, an outlier, ties and small groups; every answer's rank counted over all its rows."""
+    import datetime as dt
+    import random
+
+    rng, t0 = random.Random(4), dt.datetime(2024, 1, 1, 0, 30)
+    rows = [(1, "SNPP", t0 + dt.timedelta(minutes=rng.randrange(8000)), rng.choice([5.0, 5.0, round(rng.random() * 50, 1)])) for _ in range(2500)]
+    rows += [(1, "SNPP", t0, 1e9), (2, "SNPP", t0, -3.0), (2, "NOAA20", t0, 1.0), (2, "NOAA20", t0 + dt.timedelta(days=3), 2.0)]
+    df = spark.createDataFrame(rows, "project_id int, satellite string, obs_ts timestamp_ntz, frp double")
+    out = frp.certified_quantiles(df).collect()
+    assert {(r.project_id, r.satellite) for r in out} == {(1, "SNPP"), (2, "SNPP"), (2, "NOAA20")}
+    for r in out:
+        v = [x[3] for x in rows if x[:2] == (r.project_id, r.satellite) and x[2] <= r.tick]
+        worst = max(max(sum(x < q for x in v) / len(v) - p, p - sum(x <= q for x in v) / len(v), 0.0) for q, p in ((r.q25, 0.25), (r.median, 0.5), (r.q75, 0.75)))
+        assert r.n == len(v) and abs(r.rank_error - worst) < 1e-12 and r.within_bound == (worst <= frp.RANK_ERROR)
+    assert all(r.within_bound for r in out)
+    far = df.groupBy(*frp.G).agg(F.max("frp").alias("median"))  # the greatest value is no median
+    ticks = spark.createDataFrame([(r.project_id, r.satellite, r.tick) for r in out if r.project_id == 1], "project_id int, satellite string, tick timestamp_ntz")
+    top = frp.exact_ranks(df, ticks.join(far, frp.G), ["median"]).collect()
+    assert len(top) == ticks.count() and all(r.upto - r.below == 1 and r.value == 1e9 for r in top)
+    assert frp.certified_quantiles(df.limit(0)).count() == 0
+
+
 def test_exact_cumulative_equals_window_form(spark):
     rows = frp.frp_rows(fx.detections_ev(spark, SMALL), fx.projects_ev(spark, SMALL))
     a = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in frp.cumulative_quantiles(rows).collect())
