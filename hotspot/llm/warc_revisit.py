@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspot.llm.common import stored
+from hotspot.llm.common import shuffle_partitions, stored
 
-#: Records in a time slice of one URL, about.
-SLICE = 1_000
+#: Records in a slice, about; a log has as many slices as that takes, or as many as a shuffle has partitions.
+SLICE = 200_000
 # fixed values: fields that a 304 response does not change in the stored one
 KEPT_FIELDS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
@@ -69,29 +69,25 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     that repeat an id are resolved each for itself; an empty table gives an empty result, and further
     columns are ignored.
 
-    A URL's records are cut into slices of time of about ``slice_rows`` each; the last response of
-    every slice is carried to the next ones, so that no URL meets in one task whatever its share.
+    All records are cut, in the order of URL, time, kind and id, into slices of about ``slice_rows`` each
+    (Spark's sampled range partitions; what is equal in all of these is parted at random). A burst or an early
+    outlier thus moves the cuts, and records of one second are cut as well. The last response of every
+    slice is carried to the URL's next ones, so that no URL meets in one task whatever its share.
     Payloads are not moved: ``with_payload`` joins them to the result.
     """
-    status = F.col("status").cast("int")
-    r = records.select(F.col("record_id"), F.col("url"), F.col("ts"), F.col("kind"), lower_names(F.col("headers")).alias("headers"), F.col("digest"), (F.coalesce(status, F.lit(200)).isin(200, 203) & (F.col("kind") == "response")).alias("full"))
-    r = r.where(F.col("full") | (F.col("kind") == "revisit")).withColumns({"canonical": canonical_url(F.col("url")), "at": F.col("ts").cast("double")})
+    status = F.coalesce(F.col("status").cast("int"), F.lit(200))
+    r = records.select("record_id", "url", "ts", "kind", "headers", "digest", (status.isin(200, 203) & (F.col("kind") == "response")).alias("full"))
+    r = r.where(F.col("full") | (F.col("kind") == "revisit")).withColumns({"canonical": canonical_url(F.col("url")), "at": F.col("ts").cast("double")}).drop("kind")
     can = F.col("canonical").isNotNull() & F.col("at").isNotNull()
-    known, lost = r.where(can), r.where(~can & ~F.col("full"))
-    spans = known.groupBy("canonical").agg(F.min("at").alias("t0"), F.max("at").alias("t1"), F.ceil(F.count("*") / F.lit(float(slice_rows))).alias("slices"))
-    # written, so that the join reads two plain shuffles: AQE then splits the URL that holds many records
-    known = known.join(stored(spans, "spans"), "canonical")
-    known = known.withColumn("slice", F.when(F.col("slices") <= 1, F.lit(0)).otherwise(F.floor((F.col("at") - F.col("t0")) / (F.col("t1") - F.col("t0") + 1) * F.col("slices"))).cast("long")).drop("t0", "t1", "slices")
-    # by slice: partitions by URL alone, as the join may leave them, would do for the window but hold a whole URL
-    known = known.repartition("canonical", "slice")
+    known = in_slices(r.where(can), slice_rows)
+    lost = r.where(~can & ~F.col("full")).withColumn("headers", lower_names(F.col("headers")))
     full = F.when(F.col("full"), F.struct("record_id", "ts", "digest", "headers"))
-    order = [F.col("at"), (~F.col("full")).cast("int"), F.col("record_id")]
-    in_slice = Window.partitionBy("canonical", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    known = known.withColumn("own", F.last(full, ignorenulls=True).over(in_slice))
+    in_slice = Window.partitionBy("canonical", "slice").orderBy("at", "later", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     lasts = known.where("full").groupBy("canonical", "slice").agg(F.max_by(F.struct("record_id", "ts", "digest", "headers"), F.struct(F.col("at"), F.col("record_id"))).alias("tail"))
-    # slices of a URL: far fewer than its records
+    # slices of a URL: far fewer than its records; only a URL that is cut has something to carry
     slices = known.select("canonical", "slice").distinct().join(lasts, ["canonical", "slice"], "left")
-    carried = slices.select("canonical", "slice", F.last("tail", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    carried = slices.select("canonical", "slice", F.last("tail", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried")).where("carried is not null")
+    known = known.withColumn("own", F.last(full, ignorenulls=True).over(in_slice))
     found = known.where("not full").join(carried, ["canonical", "slice"], "left").withColumn("src", F.coalesce("own", "carried")).select("record_id", "url", "canonical", "ts", "headers", "digest", "src")
     lost = lost.select("record_id", "url", "canonical", "ts", "headers", "digest", F.lit(None).cast(found.schema["src"].dataType).alias("src"))
     out = found.unionByName(lost)
@@ -106,6 +102,16 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     )
 
 
+def in_slices(known: DataFrame, slice_rows: int) -> DataFrame:
+    """Records with their ``slice``: a slice holds about ``slice_rows`` successive ones in the order of URL,
+    time, kind and id. Written once: the cuts are sampled, and all that follows must see the same."""
+    parts = max(shuffle_partitions(known.sparkSession), -(-known.count() // slice_rows))
+    order = ["canonical", "at", "later", "record_id", "chance"]
+    known = known.withColumns({"later": (~F.col("full")).cast("int"), "chance": F.rand(7)})
+    known = known.repartitionByRange(parts, *order).withColumn("slice", F.spark_partition_id())
+    return stored(known.drop("chance").withColumn("headers", lower_names(F.col("headers"))), "slices")
+
+
 def with_payload(resolved: DataFrame, payloads: DataFrame) -> DataFrame:
     """Resolved revisits with the payload of their source: ``payloads(record_id, payload)``."""
     p = payloads.select(F.col("record_id").alias("source_id"), "payload")

@@ -1,6 +1,7 @@
 """Jaccard join, suffix dedup and piecewise fingerprints against brute force and on edge cases."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 from hotspot.llm.common import components
 from hotspot.llm.ctph import edit_distance, edited_fingerprints, fingerprint, fingerprints, likeness
-from hotspot.llm.jaccard_join import _matches, jaccard_join, keep_one, one_of_each_class, prefix_length
+from hotspot.llm.jaccard_join import DEPTH, THRESHOLD, TREES, _matches, _signer, close_pairs, jaccard_join, keep_one, least_agreement, one_of_each_class, prefix_length
 from hotspot.llm.suffix_dedup import multikey_sort, suffix_dedup
 
 SCHEMA = "doc_id long, text string, fp string, label long, copies string, b int, start int"
@@ -87,6 +88,27 @@ def test_prefix_is_shortened_to_the_recall():
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
 
 
+def test_least_agreement_misses_one_in_a_million():
+    short = lambda n: sum(math.comb(128, i) * 0.8**i * 0.2 ** (128 - i) for i in range(n))
+    assert short(least_agreement()) <= 1e-6 < short(least_agreement() + 1)
+    assert least_agreement(1.0) == 128
+
+
+def test_texts_of_one_template_form_no_groups(spark):
+    """60 of 100 shingles are everybody's (similarity 0.43); only planted copies, one word added, are alike."""
+    rng = random.Random(6)
+    common = words(rng, 64).split()
+    texts = [" ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(3000)]
+    texts += [t + " more" for t in texts[:100]]
+    docs = make(spark, list(enumerate(texts)))
+    sig = docs.select("doc_id", "text").mapInArrow(_signer(5, TREES * DEPTH), "doc_id long, fp binary, n long, sig binary")
+    close = {(r.a, r.b) for r in close_pairs(sig.select("doc_id", "sig", "n"), THRESHOLD, TREES, DEPTH, prefix_length()).collect()}
+    planted = {(k, 3000 + k) for k in range(100)}
+    assert planted <= close and len(close) < 200
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(docs).collect()}
+    assert got == {i: (i % 3000, int(i < 100 or i >= 3000)) for i in range(3100)}
+
+
 def test_matches_are_exact_over_column_chunks():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 20_000).astype(np.uint64)

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from hotspot.llm.decontam import BlockMaxIndex, contaminated, cut_item, question_and_answer, words_of
 from hotspot.llm.language_id import TRAIN_ROWS, fit_text_model, identify, identify_documents, page_evidence
-from hotspot.llm.license_scan import Templates, bigrams, dice, normalise, scan_licenses, units
+from hotspot.llm.license_scan import PARAGRAPHS, TEMPLATES, Templates, bigrams, dice, normalise, scan_licenses, sentences, units
 from hotspot.llm.mixing import mix, mixed_documents, targets
 from hotspot.llm.pii import feistel_digits, pseudonymise
 from hotspot.llm.url_filter import RULES, Rule, judge_urls, rule_tokens
-from hotspot.llm.warc_revisit import canonical_url, resolve_revisits, with_payload
+from hotspot.llm.warc_revisit import canonical_url, in_slices, resolve_revisits, with_payload
 
 
 def words(rng, n):
@@ -61,6 +61,40 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0)).collect() == []
 
 
+def test_whole_licences_inside_longer_texts(spark):
+    import textwrap
+
+    of = lambda name: [t for n, t in PARAGRAPHS if n == name]
+    story = "It rained all day in the valley.\nNobody went out.\n\n"
+    mit = story + "The MIT License (MIT)\n\nCopyright (c) 2020 A. Person\n\n" + "\n\n".join(textwrap.fill(t, 70) for t in of("MIT")) + "\n\n" + story
+    bsd = of("BSD-2-Clause")
+    bsd = "/*\n" + "\n".join(" * " + x for x in textwrap.wrap("Copyright 2021 B. Person. All rights reserved. " + bsd[0] + " 1. " + bsd[1] + " 2. " + bsd[2] + " 3. " + of("BSD-3-Clause")[0] + " " + bsd[3], 60)) + "\n */\nint main;\n"
+    gpl = "#!/bin/sh\n" + "\n".join("# " + x for x in textwrap.wrap("Copyright 2022 C. Person. " + of("GPL-3.0")[0] + " " + " ".join(of("GPL")), 72)) + "\necho done\n"
+    rows = [(1, mit), (2, bsd), (3, gpl), (4, "Copyright 2020 Acme Corp. Released under the MIT License."), (5, "A long line. " * 2000 + "Licensed under CC BY 4.0. " + "And on it goes. " * 2000), (6, story)]
+    got = {}
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.unit, r.license))
+    assert [x for x in got[1] if x[0] == "paragraph"] == [("paragraph", "MIT")] * 3
+    assert {x for x in got[2]} >= {("sentence", "BSD-2-Clause"), ("sentence", "BSD-3-Clause")} and len(got[2]) >= 6
+    assert {x for x in got[3]} >= {("sentence", "GPL-3.0"), ("sentence", "GPL")}
+    assert got[4] == [("sentence", "MIT")] and got[5] == [("sentence", "CC-BY-4.0")] and 6 not in got
+
+
+def test_size_bounds_prune_templates():
+    known = Templates(TEMPLATES, 0.8)
+    w = normalise(PARAGRAPHS[-2][1])
+    tried = [r for r in known.rows if r[3] <= len(w) - 1 <= r[4]]
+    assert 0 < len(tried) < len(known.rows) / 2 and known.best(w) == ("Unlicense", 1.0)
+    assert known.hi > 150 and known.best(w * 20) is None
+
+
+def test_sentences():
+    assert sentences("One. Two v. 2.0 is here: # * Three! \"Four\" e.g. five") == ["One.", "Two v. 2.0 is here:", "Three!", 'Four" e.g. five']
+    assert sentences("") == [""] and sentences(". " * 50_000) == [". " * 50_000]
+    assert [u[0] for u in units("One here. Two there.")] == ["line", "sentence", "sentence"]
+    assert [u[0] for u in units("One here.\nTwo there.")] == ["line", "line", "paragraph"]  # each sentence is a line
+
+
 def test_template_index_loses_no_match():
     rng = random.Random(1)
     vocabulary = "a b c d e f g".split()
@@ -388,6 +422,19 @@ def test_revisits_of_a_crowded_url_match_brute_force(spark):
     assert got == want
 
 
+def test_bursts_and_early_records_leave_no_large_slice(spark):
+    """Two early records and 20,000 in two seconds, a third of them with one id: slices stay small, results right."""
+    n = 20_000
+    rows = [record(i, "http://hot.org/", 0 if i < 2 else 10**9 + (i > n // 2), *(("response", {"ETag": "E"}, f"D{i}", 200) if i in (0, n - 1) else ("revisit", {"ETag": "E"}, None, 304))) for i in range(n)]
+    rows = [(7, *r[1:]) if 2 < i < n // 3 else r for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, LOG).repartition(4)
+    log = df.select("record_id", "url", "ts", "headers", "digest", (F.col("kind") == "response").alias("full"), canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("double").alias("at"))
+    sizes = [r["count"] for r in in_slices(log, 1000).groupBy("slice").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 4000
+    got = resolve_revisits(df, 1000).groupBy("ts", "source_id", "outcome").count().collect()
+    assert {(r.ts, r.source_id, r.outcome, r["count"]) for r in got} == {(0, 0, "resolved", 1), (10**9, 0, "resolved", n // 2 - 1), (10**9 + 1, n - 1, "resolved", n // 2 - 2)}
+
+
 def test_canonical_urls(spark):
     pairs = {"HTTP://WWW.Ex.org:80/A/?b=2&a=1&utm_x=3#z": "ex.org/A?a=1&b=2", "https://u:p@ex.org": "ex.org/", "x": None, "http://ex.org/?ref=1": "ex.org/"}
     df = spark.createDataFrame([(u,) for u in pairs], "u string")
