@@ -127,6 +127,10 @@ class Templates:
         self.keys = sorted({max(g, key=len) for g in self.index})
         self.any = re.compile("|".join(map(re.escape, self.keys)) or "(?!)")
 
+    def may_match(self, words: list[str]) -> bool:
+        """Whether any part of these successive words can match: it needs an indexed bigram."""
+        return not self.index.keys().isdisjoint(zip(words, words[1:]))
+
     def best(self, words: list[str]) -> tuple[str, float] | None:
         """The template of highest coefficient at or above the threshold, the first by name among equals."""
         n = len(words) - 1
@@ -170,7 +174,7 @@ def _scanner(templates: Sequence[tuple[str, str]], threshold: float):
         for b in batches:
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not text or not known.any.search(text.lower()):
+                if not text or not known.may_match(normalise(text)):
                     continue
                 for kind, first, n, part, words in units(text):
                     if known.any.search(words.lower()) and (hit := known.best(normalise(words))):

@@ -106,6 +106,7 @@ def test_template_index_loses_no_match():
             best = max(((dice(bigrams(w), bigrams(normalise(t))), [-ord(c) for c in n], n) for n, t in ts), default=(0, None, None))
             got = known.best(w)
             assert (got is None) == (best[0] < 0.8 - 1e-12) and (got is None or (got == (best[2], best[0]) and known.any.search(" ".join(w))))
+            assert got is None or known.may_match(["x", *w, "x"])
 
 
 def test_units():
