@@ -22,6 +22,8 @@ by_value(__name__)
 
 #: Trigram cells; labelled rows per language that the text model is fitted on (about; chosen by hashed id).
 CELLS, TRAIN_ROWS = 1 << 15, 2000
+#: A language has at least this share of the labelled rows, so that a model has at most 256 (64 MB to send).
+LEAST_SHARE = 1 / 256
 #: Text evidence counts as at most so many independent trigrams; smoothing of priors and declarations.
 TEXT_CAP, HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 60, 8.0, 20.0, 2.0
 LEAST_POSTERIOR = 0.5
@@ -66,9 +68,11 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_text_model(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: str = "lid") -> TextModel:
     """Trigram model from ``labelled(id, lang, text)``: about ``train_rows`` rows of each language, by
-    hashed id; the counts are summed by Spark, and the model's size does not depend on the rows."""
+    hashed id; the counts are summed by Spark, and the model's size does not depend on the rows.
+    Labels of less than ``LEAST_SHARE`` of the labelled rows, as misspelt ones, are no languages of the
+    model; texts that bear them are judged like any other."""
     known = labelled.where("lang is not null and lang <> ''")
-    sizes = known.groupBy("lang").count()
+    sizes = known.groupBy("lang").count().where(F.col("count") >= F.lit(known.count() * LEAST_SHARE))  # 256 rows at most
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
     chosen = known.join(F.broadcast(sizes), "lang").where(draw < F.lit(float(train_rows)) / F.col("count"))
     rows = chosen.select("lang", "text").mapInArrow(_counter, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()

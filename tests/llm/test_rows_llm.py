@@ -265,6 +265,63 @@ def labelled(rng, n):
     return [(i, " ".join(rng.choices(sets[lang], k=30)), lang, f"src{i % 3}") for i, lang in enumerate(["xx", "yy"] * n)]
 
 
+def test_misspelt_labels_are_no_languages(spark):
+    rows = [(i, "en" if i % 2 else "fr", "the cat sat" if i % 2 else "le chat noir") for i in range(1000)] + [(2000 + i, f"bad{i}", "the cat sat") for i in range(300)]
+    labelled = spark.createDataFrame(rows, "id long, lang string, text string")
+    model = fit_text_model(labelled)
+    assert model.languages == ["en", "fr", "und"]
+    docs = labelled.select("id", "text", F.col("lang").alias("declared"), F.lit("h").alias("host"), F.lit("s").alias("suffix"))
+    assert {r.lang for r in identify(docs, model).where("id >= 2000").collect()} == {"en"}
+
+
+def test_languages_match_a_plain_fusion(spark):
+    """Model, posteriors and decisions against plain Python over all rows, without arrays or joins."""
+    rng, tongues = random.Random(12), {"en": "the of and to in is that it was for".split(), "de": "der die und in den von zu das mit sich".split(), "fr": "le de un et la les que dans pour est".split()}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(tongues))
+        text = " ".join(rng.choice(tongues[rng.choice(list(tongues))] if rng.random() < 0.25 else tongues[lang]) for _ in range(rng.choice([1, 3, 40])))
+        rows.append((i, rng.choice([text, text, text + " 12 -- 3!", "", None]) if i % 9 == 0 else text, lang if rng.random() < 0.8 else rng.choice([*tongues, None]), rng.choice(["hot.de", f"{lang}.org", None]), rng.choice(["de", "org", None])))
+
+    def cells(text):
+        kept = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in (text or "").lower())
+        while "  " in kept:
+            kept = kept.replace("  ", " ")
+        b = kept.encode()
+        return [(int.from_bytes(b[j : j + 3], "big") * 0x9E3779B1 % 2**32) >> 17 for j in range(len(b) - 2)]
+
+    langs = sorted(tongues)
+    counts = {k: [0.5] * 2**15 for k in langs}
+    for _, text, lang, *_ in rows:
+        for c in cells(text) if lang else ():
+            counts[lang][c] += 1
+    names, total = [*langs, "und"], {k: sum(v) for k, v in counts.items()}
+    soft = {}
+    for i, text, *_ in rows:
+        t = cells(text)
+        ll = [min(1, 60 / max(1, len(t))) * sum(math.log(counts[k][c] / total[k]) for c in t) for k in langs] + [min(1, 60 / max(1, len(t))) * len(t) * -math.log(2**15)]
+        e = [math.exp(x - max(ll)) for x in ll]
+        soft[i] = [x / sum(e) if t else 0.0 for x in e]
+    ks = range(len(names))
+    add = lambda at, value: [sum(soft[r[0]][k] for r in rows if (r[at] or "") == value) for k in ks]
+    mass = [1 + sum(soft[r[0]][k] for r in rows) for k in ks]
+    forms, want = len({r[2] or "" for r in rows}), {}
+    for i, text, declared, host, suffix in rows:
+        s, x, h, d = soft[i], add(4, suffix or ""), add(3, host or ""), add(2, declared or "")
+        h = [max(h[k] - s[k], 0) for k in ks]
+        near = [(x[k] + 20 * mass[k] / sum(mass)) / (sum(x) + 20) for k in ks]
+        said = [(max(d[k] - s[k], 0) + 2 / forms) / (mass[k] + 2) if declared else 1 for k in ks]
+        w = [s[k] * (h[k] + 8 * near[k]) / (sum(h) + 8) * said[k] for k in ks]
+        best = max(ks, key=lambda k: w[k])
+        want[i] = (names[best], w[best] / sum(w), names[best] != "und" and w[best] / sum(w) >= 0.5) if cells(text) else (None, None, False)
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
+    got = identify(df, fit_text_model(df.withColumnRenamed("declared", "lang"))).collect()
+    assert len(got) == len(rows) and len({r.lang for r in got}) >= 4
+    for r in got:
+        lang, p, accepted = want[r.id]
+        assert (r.lang, r.accepted) == (lang, accepted) and (p is None or abs(r.posterior - p) < 1e-9), (r, want[r.id])
+
+
 def test_languages(spark):
     rng = random.Random(6)
     rows = labelled(rng, 60)
