@@ -5,7 +5,9 @@ Rows of equal shingle sets become one representative. Every representative enter
 prefix is shortened from ``depth`` until pairs at the threshold are met in some trie with
 the target recall; a sort by (node at that length, remaining values) is the trie, and
 neighbours in it below one node are candidates. Candidates whose sizes or signatures are
-too far apart for the threshold are dropped, the rest forms candidate groups, and in those every pair is verified
+too far apart for the threshold are dropped, the rest forms candidate groups. Below a node
+of more members than neighbours are looked at, all pairs of different groups are compared by
+sizes and signatures, block against block, and join their groups. In the groups every pair is verified
 exactly on the shingle sets, block against block, giving counts and spanning links only.
 """
 
@@ -30,6 +32,8 @@ TREES, DEPTH, RECALL = 16, 8, 0.999
 MISSED = 1e-6
 #: Neighbours looked at in each trie order; members of a block in the exact step.
 NEAR, BLOCK = 3, 256
+#: Members of a block of a crowded node, whose signatures are compared; of them, those compared at once.
+CROWD, CHUNK = 4096, 256
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -78,7 +82,7 @@ def _signer(words: int, k: int):
 
 
 def _planter(trees: int, depth: int, d: int):
-    """One row per tree: the node of the first ``d`` values, the rest as an order key."""
+    """One row per tree: the node of the first ``d`` values, the rest as an order key; columns after the signature go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,8 +96,8 @@ def _planter(trees: int, depth: int, d: int):
                 for j in range(2):
                     at = d + 2 * q + j
                     rest[:, :, q] = (rest[:, :, q] << np.uint64(32)) | (sig[:, :, at] if at < depth else np.uint64(0))
-            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), trees)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(node.ravel())), pa.array(signed(rest[:, :, 0].ravel())), pa.array(signed(rest[:, :, 1].ravel())), pa.array(ids)], ["node", "k1", "k2", "doc_id"])
+            own = [pa.array(np.repeat(b.column(i).to_numpy(zero_copy_only=False), trees)) for i in (0, *range(2, b.num_columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(node.ravel())), pa.array(signed(rest[:, :, 0].ravel())), pa.array(signed(rest[:, :, 1].ravel())), *own], ["node", "k1", "k2", "doc_id", *b.schema.names[2:]])
 
     return run
 
@@ -143,7 +147,8 @@ def _border(part: int, pos, node, doc) -> pa.RecordBatch:
 
 
 def candidate_pairs(reps: DataFrame, trees: int, depth: int, d: int) -> DataFrame:
-    """``reps(doc_id, sig)`` to distinct candidate pairs ``(a, b)``, ``a < b``, linear in the input."""
+    """``reps(doc_id, sig)`` to distinct candidate pairs ``(a, b)``, ``a < b``, linear in the input: all
+    pairs below nodes of up to ``NEAR + 1`` members, the neighbours below the others (``crowded_pairs``)."""
     spark = reps.sparkSession
     rows = reps.select("doc_id", "sig").mapInArrow(_planter(trees, depth, d), "node long, k1 long, k2 long, doc_id long")
     order = ["node", "k1", "k2", "doc_id"]
@@ -181,6 +186,107 @@ def close_pairs(reps: DataFrame, threshold: float, trees: int, depth: int, d: in
     return alike.select("a", "b", "sa", "sb").mapInArrow(_agree(least_agreement(threshold, trees * depth)), "a long, b long")
 
 
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _linker(threshold: float, least: int):
+    """Spanning links between the labels in each (node, lo, hi) block pair, by sizes and signatures of all
+    pairs of different labels; rows arrive sorted by it and by label."""
+
+    def links(rows: list[tuple]) -> tuple[list, list]:
+        lo, hi = rows[0][1:3]
+        names, label = np.unique(np.array([r[4] for r in rows], np.int64), return_inverse=True)
+        block = np.array([r[3] for r in rows])
+        size = np.array([r[5] for r in rows], np.float64)
+        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(len(rows), -1)
+        parent = list(range(len(names)))
+        a, b = [], []
+        # one block with itself, or the one with the other
+        left, right = (np.flatnonzero(block == x) for x in (lo, hi))
+        for p in range(0, len(left), CHUNK):
+            i = left[p : p + CHUNK]
+            x = np.ascontiguousarray(sig[i].T)
+            for q in range(p if lo == hi else 0, len(right), CHUNK):
+                j = right[q : q + CHUNK]
+                open_ = label[i][:, None] != label[j][None, :]
+                if not open_.any():
+                    continue
+                smaller, larger = np.minimum(size[i][:, None], size[j][None, :]), np.maximum(size[i][:, None], size[j][None, :])
+                open_ &= smaller >= threshold * larger - 1e-9
+                if not open_.any():
+                    continue
+                y = np.ascontiguousarray(sig[j].T)
+                same = np.zeros(open_.shape, np.uint16)
+                for u, v in zip(x, y):
+                    same += u[:, None] == v[None, :]
+                u, v = np.nonzero(open_ & (same >= least))
+                if not len(u):
+                    continue
+                for u, v in np.unique(np.stack((label[i][u], label[j][v]), axis=1), axis=0).tolist():
+                    u, v = _root(parent, u), _root(parent, v)
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                        a.append(int(names[u]))
+                        b.append(int(names[v]))
+                # labels joined here are one from now on
+                label = np.array([_root(parent, k) for k in range(len(names))])[label]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: tuple[list, list] = ([], [])
+
+        def flush() -> None:
+            if len(held) > 1:
+                for o, x in zip(out, links(held)):
+                    o.extend(x)
+            held.clear()
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if held and held[0][:3] != row[:3]:
+                    flush()
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+            out = ([], [])
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return run
+
+
+def crowded_pairs(reps: DataFrame, near: DataFrame, threshold: float, trees: int, depth: int, d: int) -> DataFrame:
+    """Pairs ``(a, b)`` of the labels of ``near(node, label)`` (a row of ``reps`` without one is its own) that span
+    all pairs below one node which sizes and signatures do not rule out. Pairs below nodes of up to
+    ``NEAR + 1`` members are neighbours and known; of the others those of different labels are compared."""
+    spark = reps.sparkSession
+    tagged = reps.join(near, reps.doc_id == near.node, "left").select("doc_id", "sig", "n", F.coalesce("label", "doc_id").alias("label"))
+    nodes = tagged.select("doc_id", "sig", "label").mapInArrow(_planter(trees, depth, d), "node long, k1 long, k2 long, doc_id long, label long").select("node", "doc_id", "label")
+    crowds = nodes.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    crowds = stored(crowds.where((F.col("members") > NEAR + 1) & (F.col("least") < F.col("most"))).select("node", F.ceil(F.col("members") / F.lit(CROWD)).cast("int").alias("blocks")), "crowds")
+    members = nodes.join(crowds, "node").select("node", "doc_id", "blocks").join(tagged, "doc_id")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "n", "sig")
+    key = ["node", "lo", "hi"]
+    rows = dealt.repartition(shuffle_partitions(spark), *key).sortWithinPartitions(*key, "label")
+    return rows.mapInArrow(_linker(threshold, least_agreement(threshold, trees * depth)), "a long, b long").distinct()
+
+
+def candidate_groups(reps: DataFrame, threshold: float, trees: int, depth: int, d: int) -> DataFrame:
+    """``(node, label)``: groups of ``reps(doc_id, sig, n)`` that hold every pair below one node which sizes
+    and signatures do not rule out."""
+    near = components(close_pairs(reps, threshold, trees, depth, d))
+    joined = components(crowded_pairs(reps, near, threshold, trees, depth, d))
+    alone = joined.select("node").join(near, "node", "left_anti").select("node", F.col("node").alias("label"))
+    wider = joined.select(F.col("node").alias("label"), F.col("label").alias("wide"))
+    return near.unionByName(alone).join(wider, "label", "left").select("node", F.coalesce("wide", "label").alias("label"))
+
+
 def _set_maker(words: int):
     """Shingle sets of the group members; a row of a repeated id whose text is not the one kept goes."""
 
@@ -237,19 +343,12 @@ def _verifier(threshold: float):
         copies = np.array([r[6] for r in rows])
         count = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
         parent = list(range(len(rows)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
         for x, y in zip(i.tolist(), j.tolist()):
-            x, y = root(x), root(y)
+            x, y = _root(parent, x), _root(parent, y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
         own = np.flatnonzero(count).tolist()
-        return [rows[x][4] for x in own], [rows[root(x)][4] for x in own], [int(count[x]) for x in own]
+        return [rows[x][4] for x in own], [rows[_root(parent, x)][4] for x in own], [int(count[x]) for x in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -292,7 +391,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     ids = sig.groupBy("doc_id").agg(F.min("fp").alias("fp"))
     classes = stored(ids.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")), "sets")
     reps = sig.join(classes, (sig.fp == classes.fp) & (sig.doc_id == classes.rep_id)).select("doc_id", "sig", "n").dropDuplicates(["doc_id"])
-    groups = components(close_pairs(reps, threshold, trees, depth, d))
+    groups = candidate_groups(reps, threshold, trees, depth, d)
     sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = groups.join(sizes, "label").join(classes, groups.node == classes.rep_id).select(F.col("node").alias("doc_id"), "fp", "copies", "label", "blocks")
     sets = own.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "fp", "copies", "label", "blocks").mapInArrow(_set_maker(words), "doc_id long, words binary, copies long, label long, blocks int")

@@ -9,7 +9,7 @@ import pytest
 
 from hotspot.llm.common import components
 from hotspot.llm.ctph import edit_distance, edited_fingerprints, fingerprint, fingerprints, likeness
-from hotspot.llm.jaccard_join import DEPTH, THRESHOLD, TREES, _matches, _signer, close_pairs, jaccard_join, keep_one, least_agreement, one_of_each_class, prefix_length
+from hotspot.llm.jaccard_join import DEPTH, THRESHOLD, TREES, _matches, _signer, candidate_groups, close_pairs, jaccard_join, keep_one, least_agreement, one_of_each_class, prefix_length
 from hotspot.llm.suffix_dedup import multikey_sort, suffix_dedup
 
 SCHEMA = "doc_id long, text string, fp string, label long, copies string, b int, start int"
@@ -109,6 +109,47 @@ def test_texts_of_one_template_form_no_groups(spark):
     assert got == {i: (i % 3000, int(i < 100 or i >= 3000)) for i in range(3100)}
 
 
+def template_rows(n, copies, seed):
+    """``n`` texts of one template, no two linked, in which ``copies`` have a linked copy; and what the join returns."""
+    rng = random.Random(seed)
+    base = words(rng, 399).split()
+    ids = rng.sample(range(10**6), n + copies)
+    texts = []
+    for i in range(n):  # seven words apart: 35 shingles of 395 lost, similarity about 0.7
+        w = list(base)
+        for at in range(0, 399, 57):
+            w[at + rng.randrange(50)] = f"u{i}x{at}"
+        texts.append(w)
+    for i in range(copies):  # six more: similarity at least 0.85
+        texts.append([f"v{i}x{k}" if k in at else x for at in [rng.sample(range(399), 6)] for k, x in enumerate(texts[i])])
+    alike = {i: n + i for i in range(copies)}
+    alike |= {b: a for a, b in alike.items()}
+    expect = {ids[i]: (min(ids[i], ids[alike.get(i, i)]), int(i in alike)) for i in range(n + copies)}
+    return [(ids[i], " ".join(w)) for i, w in enumerate(texts)], expect
+
+
+def test_alike_signatures_far_apart_in_a_crowded_node_are_grouped(spark):
+    """Rows 0 and 11 meet below one node only, with ten unlike rows between them in its order."""
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 2**32, (12, TREES, DEPTH), dtype=np.uint32)
+    sig[:, 0] = sig[0, 0]
+    sig[11, 1:, 1:] = sig[0, 1:, 1:]
+    reps = spark.createDataFrame([(i, bytearray(sig[i].tobytes()), 100) for i in range(12)], "doc_id long, sig binary, n long")
+    of = (THRESHOLD, TREES, DEPTH, prefix_length())
+    assert close_pairs(reps, *of).collect() == []
+    assert sorted(map(tuple, candidate_groups(reps, *of).collect())) == [(0, 0), (11, 0)]
+
+
+def test_crowds_are_compared_block_against_block(spark, monkeypatch):
+    from hotspot.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "CROWD", 16)
+    monkeypatch.setattr(module, "CHUNK", 5)
+    rows, expect = template_rows(90, 15, 12)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(make(spark, rows)).collect()}
+    assert got == expect
+
+
 def test_matches_are_exact_over_column_chunks():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 20_000).astype(np.uint64)
