@@ -165,3 +165,23 @@ def test_migration_of_flat_files_as_they_are_named(spark, tmp_path):
     assert before == (clean.stat().st_mtime_ns, odd.stat().st_mtime_ns)
     assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
     assert sinks.migrate_archive(spark, str(tmp_path)).collect() == []
+
+
+def test_raw_archive_is_written_in_shares_of_bounded_size(spark, monkeypatch):
+    """The rows that a writing task sorts are a share of the advisory size, not a split of the input."""
+    from hotspot.plans import ingest_queries as iq
+
+    raw = spark.range(0, 24_000, 1, 6).selectExpr("id % 2 as project_id", "cast(id as string) as detection_id", "if(id % 4 < 2, 'MODIS_NRT', 'VIIRS_SNPP_NRT') as sensor")
+    monkeypatch.setattr(iq.fx, "raw_li", lambda *_: raw)
+
+    def files():
+        archive = spark.read.option("header", True).csv(iq._write_raw(spark, "unused"))
+        assert archive.select("detection_id").distinct().count() == archive.count() == 24_000
+        return len(archive.inputFiles())
+
+    assert files() == 4
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        assert files() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
