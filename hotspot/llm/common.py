@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark import cloudpickle
@@ -67,7 +68,9 @@ def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums of a polynomial byte hash modulo 2^64; see ``span_hash``."""
     pw, _, table = _powers(len(data), which)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * pw[: len(data)], out=out[1:])
+    terms = table.take(data)
+    terms *= pw[: len(data)]
+    np.cumsum(terms, out=out[1:])
     return out
 
 
@@ -79,8 +82,9 @@ def span_hash(prefix: np.ndarray, start, end, which: int = 0) -> np.ndarray:
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of UTF-8 bytes; words are runs without ASCII white space."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.flatnonzero(space[1:] != space[:-1])
     return edge[0::2], edge[1::2]
 
 
@@ -105,6 +109,47 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def shingle_sets(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of several texts, one set after the other, and where each set begins (and the last ends)."""
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw), np.uint8)
+    s, e = word_bounds(data)
+    w = span_hash(prefix_hash(data), s, e)
+    first = np.concatenate(([0], np.searchsorted(s, np.cumsum([len(r) + 1 for r in raw]))))
+    most = max(0, len(w) - k + 1)
+    h = np.zeros(most, np.uint64)
+    for i in range(k):
+        h = h * _U(_BASES[1]) + w[i : most + i]
+    h = mix(h)
+    sets = []
+    for at, n in zip(first.tolist(), np.diff(first).tolist()):
+        if n >= k:
+            sets.append(np.sort(h[at : at + n - k + 1]))
+        else:
+            one = np.zeros(min(n, 1), np.uint64)
+            for i in range(n):
+                one = one * _U(_BASES[1]) + w[at + i]
+            sets.append(mix(one))
+    size = np.array([len(x) for x in sets], np.int64)
+    start = np.concatenate(([0], np.cumsum(size)))
+    values = np.concatenate([np.zeros(0, np.uint64), *sets])
+    new = np.concatenate(([True], values[1:] != values[:-1]))[: len(values)]
+    new[start[:-1][size > 0]] = True
+    return values[new], np.concatenate(([0], np.cumsum(new)))[start]
+
+
+def chunks(texts: list[str | None], chars: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Bounds of successive texts of about that many characters together."""
+    lo = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= chars:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as the long that Spark keeps, same order: the lowest value becomes the lowest long."""
     return (x ^ _U(1 << 63)).view(np.int64)
@@ -196,6 +241,6 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 
 
 __all__ = [
-    "broadcast_by_value", "by_value", "components", "cut_lineage", "fresh", "mix", "prefix_hash", "row_keyed", "sent_value", "shingles",
+    "broadcast_by_value", "by_value", "chunks", "components", "cut_lineage", "fresh", "mix", "prefix_hash", "row_keyed", "sent_value", "shingle_sets", "shingles",
     "shuffle_partitions", "signed", "span_hash", "stored", "unique_ids", "with_row_key", "word_bounds", "word_hashes",
 ]

@@ -4,11 +4,12 @@ Rows of equal shingle sets become one representative. Every representative enter
 ``trees`` prefix tries with a signature of ``depth`` MinHash values per tree. The matched
 prefix is shortened from ``depth`` until pairs at the threshold are met in some trie with
 the target recall; a sort by (node at that length, remaining values) is the trie, and
-neighbours in it below one node are candidates. Candidates whose sizes or signatures are
-too far apart for the threshold are dropped, the rest forms candidate groups. Below a node
-of more members than neighbours are looked at, all pairs of different groups are compared by
-sizes and signatures, block against block, and join their groups. In the groups every pair is verified
-exactly on the shingle sets, block against block, giving counts and spanning links only.
+one pass over it gives the candidates: all pairs below nodes of few members, chains of neighbours
+below others. Candidates whose sizes or signatures are too far apart for the threshold are dropped,
+the rest forms candidate groups. The pass also keeps the members of the nodes of many: there all pairs
+of different groups are compared by sizes and signatures, block against block, and join their groups.
+In the groups every pair is verified exactly on the shingle sets, block against block, giving counts
+and spanning links only.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotspot.llm.common import by_value, components, fresh, mix, shingles, shuffle_partitions, signed, stored, unique_ids, with_row_key
+from hotspot.llm.common import by_value, chunks, components, fresh, mix, shingle_sets, shuffle_partitions, signed, stored, unique_ids, with_row_key
 
 by_value(__name__)
 
@@ -30,8 +31,9 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.999
 #: Probability that the signatures of a pair at the threshold agree too little for the pair to be pursued.
 MISSED = 1e-6
-#: Neighbours looked at in each trie order; members of a block in the exact step.
-NEAR, BLOCK = 3, 256
+#: Neighbours looked at in each trie order; members of a block in the exact step. Of the nodes of more
+#: than ``NEAR + 1`` members, one in so many has its neighbours chained.
+NEAR, BLOCK, CHAINED = 3, 256, 4
 #: Members of a block of a crowded node, whose signatures are compared; of them, those compared at once.
 CROWD, CHUNK = 4096, 256
 
@@ -56,33 +58,39 @@ def fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def minhash(s: np.ndarray, k: int) -> np.ndarray:
-    """``k`` MinHash values (32 bits each) of a set of 64-bit hashes."""
+def minhashes(values: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """``k`` MinHash values (32 bits each) of each set of 64-bit hashes; the sets, none empty, lie one after the other."""
     a = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
     b = mix(np.arange(k + 1, 2 * k + 1, dtype=np.uint64))
-    out = np.full(k, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(s), 2048):
-        out = np.minimum(out, (a[:, None] * s[None, i : i + 2048] + b[:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((k, len(starts)), np.uint64)
+    h = np.empty_like(values)
+    for i in range(k if len(starts) else 0):
+        np.multiply(values, a[i], out=h)
+        h += b[i]
+        np.minimum.reduceat(h, starts, out=out[i])
+    return np.ascontiguousarray((out >> np.uint64(32)).astype(np.uint32).T)
 
 
 def _signer(words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps, ns, sigs = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(t, words)
-                ids.append(i)
-                fps.append(fingerprint(s) if len(s) else None)
-                ns.append(len(s))
-                sigs.append(minhash(s, k).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "fp", "n", "sig"])
+            fps, ns, sigs = [], [], []
+            texts = b.column(1).to_pylist()
+            for lo, hi in chunks(texts):
+                values, at = shingle_sets(texts[lo:hi], words)
+                size = np.diff(at)
+                signed_ = iter(minhashes(values, at[:-1][size > 0], k))
+                ns.extend(size.tolist())
+                for i, n in enumerate(size.tolist()):
+                    fps.append(fingerprint(values[at[i] : at[i + 1]]) if n else None)
+                    sigs.append(next(signed_).tobytes() if n else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "fp", "n", "sig"])
 
     return run
 
 
 def _planter(trees: int, depth: int, d: int):
-    """One row per tree: the node of the first ``d`` values, the rest as an order key; columns after the signature go along."""
+    """One row per tree: the node of the first ``d`` values, the rest as an order key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,75 +104,88 @@ def _planter(trees: int, depth: int, d: int):
                 for j in range(2):
                     at = d + 2 * q + j
                     rest[:, :, q] = (rest[:, :, q] << np.uint64(32)) | (sig[:, :, at] if at < depth else np.uint64(0))
-            own = [pa.array(np.repeat(b.column(i).to_numpy(zero_copy_only=False), trees)) for i in (0, *range(2, b.num_columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(node.ravel())), pa.array(signed(rest[:, :, 0].ravel())), pa.array(signed(rest[:, :, 1].ravel())), *own], ["node", "k1", "k2", "doc_id", *b.schema.names[2:]])
+            own = pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), trees))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(node.ravel())), pa.array(signed(rest[:, :, 0].ravel())), pa.array(signed(rest[:, :, 1].ravel())), own], ["node", "k1", "k2", "doc_id"])
 
     return run
 
 
-_SCAN = "a long, b long, part int, pos int, node long, doc_id long"
+_SCAN = "a long, b long, node long, doc_id long, edge boolean"
+_SCANNED = ["a", "b", "node", "doc_id", "edge"]
 
 
 def _neighbours(near: int):
-    """Pairs among ``near`` successive rows below one node; first and last rows as border rows."""
+    """Rows sorted by node to pairs and members: all pairs of a node of up to ``near + 1`` rows; of a node of
+    more, all members, and successive ones as pairs if it is one of the chained. A node at either end of the
+    partition may go on in the next: its members are given, as ``edge`` if they are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        tail_n, tail_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seen = 0
+        held_n, held_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # node and last member of a run that is given as it comes; whether the partition's first run is not over
+        going: tuple[int, int] | None = None
+        first = True
         for b in batches:
-            node = np.concatenate((tail_n, b.column(0).to_numpy()))
-            doc = np.concatenate((tail_d, b.column(1).to_numpy()))
-            new = len(tail_n)
+            node = np.concatenate((held_n, b.column(0).to_numpy()))
+            doc = np.concatenate((held_d, b.column(1).to_numpy()))
+            if not len(node):
+                continue
+            start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            size = np.diff(np.append(start, len(node)))
+            many = size > near + 1
+            on = going is not None and going[0] == node[0]
+            many[0] |= on
+            first = first and (going is None or on)
+            edge = np.zeros(len(size), bool)
+            edge[0] = first and len(size) > 1 and not many[0]
+            first = first and len(size) == 1
+            # the last run may go on in the next batch: a short one is held until it is over
+            cut = len(node) if many[-1] else int(start[-1])
+            chain = np.repeat(many, size)[:cut] & (node[:cut] % CHAINED == 0)
+            given = np.repeat(many | edge, size)[:cut]
             a, c = [], []
-            for g in range(1, near + 1):
-                lo = max(new, g)
-                if lo < len(node):
-                    same = np.flatnonzero(node[lo:] == node[lo - g : len(node) - g]) + lo
-                    a.append(doc[same - g])
-                    c.append(doc[same])
-            a, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, c))
-            m = len(a)
-            nulls = pa.nulls(m)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), nulls.cast(pa.int32()), nulls.cast(pa.int32()), nulls.cast(pa.int64()), nulls.cast(pa.int64())], ["a", "b", "part", "pos", "node", "doc_id"])
-            if seen < near:
-                head = slice(new, new + near - seen)
-                yield _border(part, np.arange(seen, seen + len(node[head])), node[head], doc[head])
-            seen += len(node) - new
-            tail_n, tail_d = node[-near:], doc[-near:]
-        if seen > near:
-            keep = min(near, seen - near)
-            yield _border(part, np.arange(seen - keep, seen), tail_n[-keep:], tail_d[-keep:])
+            for g in range(1, min(near, cut - 1) + 1):
+                same = node[g:cut] == node[: cut - g]
+                at = np.flatnonzero(same & (~given[g:] | chain[g:] if g == 1 else ~given[g:]))
+                a.append(doc[at])
+                c.append(doc[at + g])
+            if on and chain[0]:
+                a.append(np.array([going[1]]))
+                c.append(doc[:1])
+            a, c = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, c))
+            none = pa.nulls(len(a))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.bool_())], _SCANNED)
+            yield _members(node[:cut][given], doc[:cut][given], np.repeat(edge, size)[:cut][given])
+            going = (int(node[-1]), int(doc[-1])) if many[-1] else None
+            held_n, held_d = node[cut:], doc[cut:]
+        yield _members(held_n, held_d, np.ones(len(held_n), bool))
 
     return run
 
 
-def _border(part: int, pos, node, doc) -> pa.RecordBatch:
-    n = len(node)
-    return pa.RecordBatch.from_arrays([pa.nulls(n).cast(pa.int64())] * 2 + [pa.array([part] * n, pa.int32()), pa.array(np.minimum(pos, 2**31 - 1).astype(np.int32)), pa.array(node), pa.array(doc)], ["a", "b", "part", "pos", "node", "doc_id"])
+def _members(node: np.ndarray, doc: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(node)).cast(pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(node), pa.array(doc), pa.array(edge)], _SCANNED)
 
 
-def candidate_pairs(reps: DataFrame, trees: int, depth: int, d: int) -> DataFrame:
-    """``reps(doc_id, sig)`` to distinct candidate pairs ``(a, b)``, ``a < b``, linear in the input: all
-    pairs below nodes of up to ``NEAR + 1`` members, the neighbours below the others (``crowded_pairs``)."""
+def forest(reps: DataFrame, trees: int, depth: int, d: int) -> DataFrame:
+    """One pass over the sorted tries of ``reps(doc_id, sig)``, written: pairs ``(a, b)``, and members
+    ``(node, doc_id, edge)`` of nodes of more than ``NEAR + 1`` rows or at a border of partitions."""
     spark = reps.sparkSession
     rows = reps.select("doc_id", "sig").mapInArrow(_planter(trees, depth, d), "node long, k1 long, k2 long, doc_id long")
     order = ["node", "k1", "k2", "doc_id"]
-    # sampled splitters also cut a crowded node, hence the border rows
+    # sampled splitters also cut a crowded node, hence the edge rows
     sorted_rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    scan = stored(sorted_rows.select("node", "doc_id").mapInArrow(_neighbours(NEAR), _SCAN), "forest")
+    return stored(sorted_rows.select("node", "doc_id").mapInArrow(_neighbours(NEAR), _SCAN), "forest")
+
+
+def candidate_pairs(scan: DataFrame) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)``, ``a < b``, of a ``forest``, linear in its input: all pairs below nodes
+    of up to ``NEAR + 1`` members, chains below one in ``CHAINED`` of the others (``crowded_pairs``)."""
     # a few rows per partition, whatever the input
-    w = Window.orderBy("part", "pos")
-    border = scan.where("a is null")
-    for g in range(1, NEAR + 1):
-        border = border.withColumns({f"n{g}": F.lag("node", g).over(w), f"d{g}": F.lag("doc_id", g).over(w), f"p{g}": F.lag("part", g).over(w)})
-    across = [border.where(f"n{g} = node and p{g} <> part").select(F.col(f"d{g}").alias("a"), F.col("doc_id").alias("b")) for g in range(1, NEAR + 1)]
-    pairs = scan.where("a is not null").select("a", "b")
-    for x in across:
-        pairs = pairs.unionByName(x)
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edge = scan.where("edge").select("node", "doc_id")
+    across = edge.withColumnRenamed("doc_id", "a").join(edge.withColumnRenamed("doc_id", "b"), "node").where("a < b").select("a", "b")
+    pairs = scan.where("a is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(across).distinct()
 
 
 def _agree(least: int):
@@ -177,9 +198,10 @@ def _agree(least: int):
     return run
 
 
-def close_pairs(reps: DataFrame, threshold: float, trees: int, depth: int, d: int) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of ``reps(doc_id, sig, n)`` that sizes and signatures do not rule out."""
-    pairs = candidate_pairs(reps, trees, depth, d)
+def close_pairs(reps: DataFrame, threshold: float, trees: int, depth: int, d: int, scan: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of ``reps(doc_id, sig, n)``, or of their ``forest`` if it is there, that sizes
+    and signatures do not rule out."""
+    pairs = candidate_pairs(scan if scan is not None else forest(reps, trees, depth, d))
     sa, sb = (reps.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
     # a set has at least that share of the other's size; then their signatures are compared
     alike = pairs.join(sa, "a").join(sb, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
@@ -203,13 +225,15 @@ def _linker(threshold: float, least: int):
         block = np.array([r[3] for r in rows])
         size = np.array([r[5] for r in rows], np.float64)
         sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(len(rows), -1)
+        # equal values have equal low bytes, which are compared first
+        low = sig.astype(np.uint8)
         parent = list(range(len(names)))
         a, b = [], []
         # one block with itself, or the one with the other
         left, right = (np.flatnonzero(block == x) for x in (lo, hi))
         for p in range(0, len(left), CHUNK):
             i = left[p : p + CHUNK]
-            x = np.ascontiguousarray(sig[i].T)
+            x = np.ascontiguousarray(low[i].T)
             for q in range(p if lo == hi else 0, len(right), CHUNK):
                 j = right[q : q + CHUNK]
                 open_ = label[i][:, None] != label[j][None, :]
@@ -219,13 +243,20 @@ def _linker(threshold: float, least: int):
                 open_ &= smaller >= threshold * larger - 1e-9
                 if not open_.any():
                     continue
-                y = np.ascontiguousarray(sig[j].T)
-                same = np.zeros(open_.shape, np.uint16)
-                for u, v in zip(x, y):
-                    same += u[:, None] == v[None, :]
-                u, v = np.nonzero(open_ & (same >= least))
-                if not len(u):
+                # rows and columns without an open pair need no comparison
+                rows_, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+                same = np.zeros((len(rows_), len(cols)), np.uint8 if sig.shape[1] < 256 else np.uint16)
+                equal = np.empty(same.shape, bool)
+                for u, v in zip(x[:, rows_], low[j[cols]].T):
+                    np.equal(u[:, None], np.ascontiguousarray(v)[None, :], out=equal)
+                    same += equal.view(np.uint8)
+                u, v = np.nonzero(open_[np.ix_(rows_, cols)] & (same >= least))
+                u, v = rows_[u], cols[v]
+                keep = [(sig[i[u[w : w + 4096]]] == sig[j[v[w : w + 4096]]]).sum(axis=1) >= least for w in range(0, len(u), 4096)]
+                if not any(k.any() for k in keep):
                     continue
+                keep = np.concatenate(keep)
+                u, v = u[keep], v[keep]
                 for u, v in np.unique(np.stack((label[i][u], label[j][v]), axis=1), axis=0).tolist():
                     u, v = _root(parent, u), _root(parent, v)
                     if u != v:
@@ -259,16 +290,16 @@ def _linker(threshold: float, least: int):
     return run
 
 
-def crowded_pairs(reps: DataFrame, near: DataFrame, threshold: float, trees: int, depth: int, d: int) -> DataFrame:
+def crowded_pairs(reps: DataFrame, near: DataFrame, scan: DataFrame, threshold: float, trees: int, depth: int) -> DataFrame:
     """Pairs ``(a, b)`` of the labels of ``near(node, label)`` (a row of ``reps`` without one is its own) that span
-    all pairs below one node which sizes and signatures do not rule out. Pairs below nodes of up to
-    ``NEAR + 1`` members are neighbours and known; of the others those of different labels are compared."""
+    all pairs below one node of the ``forest`` which sizes and signatures do not rule out. Pairs below nodes of up
+    to ``NEAR + 1`` members are known; of the others those of different labels are compared."""
     spark = reps.sparkSession
-    tagged = reps.join(near, reps.doc_id == near.node, "left").select("doc_id", "sig", "n", F.coalesce("label", "doc_id").alias("label"))
-    nodes = tagged.select("doc_id", "sig", "label").mapInArrow(_planter(trees, depth, d), "node long, k1 long, k2 long, doc_id long, label long").select("node", "doc_id", "label")
+    nodes = scan.where("a is null").select("node", "doc_id").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    nodes = nodes.select("node", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     crowds = nodes.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
     crowds = stored(crowds.where((F.col("members") > NEAR + 1) & (F.col("least") < F.col("most"))).select("node", F.ceil(F.col("members") / F.lit(CROWD)).cast("int").alias("blocks")), "crowds")
-    members = nodes.join(crowds, "node").select("node", "doc_id", "blocks").join(tagged, "doc_id")
+    members = nodes.join(crowds, "node").join(reps, "doc_id")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "n", "sig")
@@ -280,8 +311,9 @@ def crowded_pairs(reps: DataFrame, near: DataFrame, threshold: float, trees: int
 def candidate_groups(reps: DataFrame, threshold: float, trees: int, depth: int, d: int) -> DataFrame:
     """``(node, label)``: groups of ``reps(doc_id, sig, n)`` that hold every pair below one node which sizes
     and signatures do not rule out."""
-    near = components(close_pairs(reps, threshold, trees, depth, d))
-    joined = components(crowded_pairs(reps, near, threshold, trees, depth, d))
+    scan = forest(reps, trees, depth, d)
+    near = components(close_pairs(reps, threshold, trees, depth, d, scan))
+    joined = components(crowded_pairs(reps, near, scan, threshold, trees, depth))
     alone = joined.select("node").join(near, "node", "left_anti").select("node", F.col("node").alias("label"))
     wider = joined.select(F.col("node").alias("label"), F.col("label").alias("wide"))
     return near.unionByName(alone).join(wider, "label", "left").select("node", F.coalesce("wide", "label").alias("label"))
@@ -293,11 +325,14 @@ def _set_maker(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, sets = [], []
-            for i, (t, fp) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                s = shingles(t, words)
-                if len(s) and fingerprint(s) == fp:
-                    keep.append(i)
-                    sets.append(s.tobytes())
+            texts, fps = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for lo, hi in chunks(texts):
+                values, at = shingle_sets(texts[lo:hi], words)
+                for i in range(lo, hi):
+                    s = values[at[i - lo] : at[i - lo + 1]]
+                    if len(s) and fingerprint(s) == fps[i]:
+                        keep.append(i)
+                        sets.append(s.tobytes())
             rows = b.take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary()), *(rows.column(i) for i in range(3, 6))], ["doc_id", "words", "copies", "label", "blocks"])
 
@@ -328,6 +363,19 @@ def _matches(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.n
     return i, j
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index of the component of each of ``n`` nodes, joined by pairs ``(i, j)``."""
+    root = np.arange(n)
+    while True:
+        u, v = root[i], root[j]
+        apart = u != v
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(u, v)[apart], np.minimum(u, v)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _verifier(threshold: float):
     """Exact links in each (label, lo, hi) block pair; rows arrive sorted by it. Out: link counts and spanning links."""
 
@@ -342,13 +390,9 @@ def _verifier(threshold: float):
             return [], [], []
         copies = np.array([r[6] for r in rows])
         count = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
-        parent = list(range(len(rows)))
-        for x, y in zip(i.tolist(), j.tolist()):
-            x, y = _root(parent, x), _root(parent, y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
+        root = _roots(len(rows), i, j)
         own = np.flatnonzero(count).tolist()
-        return [rows[x][4] for x in own], [rows[_root(parent, x)][4] for x in own], [int(count[x]) for x in own]
+        return [rows[x][4] for x in own], [rows[root[x]][4] for x in own], [int(count[x]) for x in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -390,7 +434,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     sig = stored(own.mapInArrow(_signer(words, trees * depth), "doc_id long, fp binary, n long, sig binary"), "signatures")
     ids = sig.groupBy("doc_id").agg(F.min("fp").alias("fp"))
     classes = stored(ids.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")), "sets")
-    reps = sig.join(classes, (sig.fp == classes.fp) & (sig.doc_id == classes.rep_id)).select("doc_id", "sig", "n").dropDuplicates(["doc_id"])
+    # an id has one fingerprint in ``classes``
+    reps = sig.join(classes, (sig.fp == classes.fp) & (sig.doc_id == classes.rep_id)).select(sig.fp, "doc_id", "sig", "n").dropDuplicates(["fp", "doc_id"])
+    reps = stored(reps.select("doc_id", "sig", "n"), "representatives")
     groups = candidate_groups(reps, threshold, trees, depth, d)
     sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = groups.join(sizes, "label").join(classes, groups.node == classes.rep_id).select(F.col("node").alias("doc_id"), "fp", "copies", "label", "blocks")

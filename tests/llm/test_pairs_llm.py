@@ -5,11 +5,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from hotspot.llm.common import components
+from hotspot.llm.common import chunks, components, shingle_sets, shingles
 from hotspot.llm.ctph import edit_distance, edited_fingerprints, fingerprint, fingerprints, likeness
-from hotspot.llm.jaccard_join import DEPTH, THRESHOLD, TREES, _matches, _signer, candidate_groups, close_pairs, jaccard_join, keep_one, least_agreement, one_of_each_class, prefix_length
+from hotspot.llm.jaccard_join import DEPTH, THRESHOLD, TREES, _matches, _neighbours, _roots, _signer, candidate_groups, candidate_pairs, close_pairs, forest, jaccard_join, keep_one, least_agreement, one_of_each_class, prefix_length
 from hotspot.llm.suffix_dedup import multikey_sort, suffix_dedup
 
 SCHEMA = "doc_id long, text string, fp string, label long, copies string, b int, start int"
@@ -150,6 +151,73 @@ def test_crowds_are_compared_block_against_block(spark, monkeypatch):
     assert got == expect
 
 
+def test_near_copies_give_few_pairs_and_one_group(spark):
+    """A document of a large node enters no pair for each of its neighbours in each tree, only those of a few chains."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
+    sigs = [np.where(rng.random(len(base)) < 0.03, rng.integers(0, 2**32, len(base), dtype=np.uint32), base) for _ in range(400)]
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes()), 100) for i, x in enumerate(sigs)], "doc_id long, sig binary, n long")
+    of = (THRESHOLD, TREES, DEPTH, prefix_length())
+    assert close_pairs(reps, *of).count() < 400 * 10  # by three neighbours in every tree: over 30 each
+    assert candidate_pairs(forest(reps, *of[1:])).count() < 400 * 10
+    assert sorted(map(tuple, candidate_groups(reps, *of).collect())) == [(i, 0) for i in range(400)]
+
+
+@pytest.mark.parametrize("batch", [1, 3, 7, 1000])
+def test_forest_pass_covers_every_node(batch):
+    """Whatever the cuts between batches and partitions: a node's pairs are given, or all of its members."""
+    rng = random.Random(batch)
+    node = sorted(x for x in range(60) for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 9, 30])))
+    rows = [(x, i) for i, x in enumerate(node)]
+    rng = np.random.default_rng(batch)
+    cuts = [0, *sorted(rng.integers(0, len(rows), 5).tolist()), len(rows)]
+    pairs, members, edge = set(), {}, {}
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : min(at + batch, hi)]], pa.int64()) for k in (0, 1)], ["node", "doc_id"]) for at in range(lo, hi, batch)]
+        for out in _neighbours(3)(iter(part)):
+            for r in out.to_pylist():
+                if r["a"] is not None:
+                    assert node[r["a"]] == node[r["b"]] and r["a"] < r["b"]
+                    pairs.add((r["a"], r["b"]))
+                else:
+                    members.setdefault(r["node"], []).append(r["doc_id"])
+                    if r["edge"]:
+                        edge.setdefault(r["node"], []).append(r["doc_id"])
+    pairs |= {(x, y) for m in edge.values() for x in m for y in m if x < y}
+    for x in set(node):
+        own = [i for i, y in enumerate(node) if y == x]
+        if len(own) > 4:
+            assert sorted(members[x]) == own
+        else:
+            assert {(i, j) for i in own for j in own if i < j} <= pairs
+    assert sum(len(m) for x, m in members.items() if node.count(x) < 5) <= 8 * len(cuts)
+
+
+def test_roots_span_the_pairs():
+    rng = np.random.default_rng(7)
+    for n, m in ((1, 0), (50, 20), (200, 150), (300, 2000)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = list(range(n))
+        for _ in range(n):
+            for x, y in zip(i.tolist(), j.tolist()):
+                want[x] = want[y] = min(want[x], want[y])
+        assert _roots(n, i, j).tolist() == want
+    assert _roots(300, np.arange(299), np.arange(1, 300)).tolist() == [0] * 300
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_shingle_sets_are_those_of_each_text(k):
+    rng = random.Random(k)
+    texts = [None, "", " \n\t", "a", "A  b", "one two three four five six", "ß ΑΣ ΑΣ\x1fx", "\ud800 y", "z " * 9]
+    texts += [words(rng, rng.randint(0, 12)) for _ in range(40)] + [words(rng, 3000), None]
+    for chars in (1, 200, 1 << 17):
+        got = []
+        for lo, hi in chunks(texts, chars):
+            values, at = shingle_sets(texts[lo:hi], k)
+            got += [values[x:y].tolist() for x, y in zip(at, at[1:])]
+        assert got == [shingles(t, k).tolist() for t in texts]
+
+
 def test_matches_are_exact_over_column_chunks():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 20_000).astype(np.uint64)
